@@ -17,4 +17,97 @@ SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(a.n_removed, 0)::BIGINT A
 FROM d LEFT JOIN a ON d.rid = a.rid
 """
 
-ORACLES: dict[str, str] = {"op1_substring_dedup": OP1}
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def _rules() -> tuple[str, str]:
+    from .url_reputation import RULES
+
+    rule, verdict = [], []
+    for v, r in sorted(RULES, key=lambda x: -len(x[1])):
+        host, _, path = r.partition("/")
+        fits = f"WHEN (host = '{host}' OR ends_with(host, '.{host}')) AND starts_with(path, '/{path}')"
+        rule.append(f"{fits} THEN '{r}'")
+        verdict.append(f"{fits} THEN '{v}'")
+    return " ".join(rule), " ".join(verdict)
+
+
+def _op4() -> str:
+    from .url_reputation import MAX_BAD, STRENGTHS, Z
+
+    low, high = STRENGTHS
+    rule, verdict = _rules()
+    strength = f"(SELECT CASE WHEN coalesce(w, 0) = 0 OR e <= 0 THEN {high} ELSE least({high}, greatest({low}, 1 / (e / w) - 1)) END FROM (SELECT sum((bad - n * m) * (bad - n * m) - n * m * (1 - m)) AS e, sum(n * (n - 1) * m * (1 - m)) AS w FROM %s))"
+    return rf"""
+WITH u AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+h AS (SELECT page_id, translate(regexp_extract(coalesce(rest, ''), '^[^/?#]*', 0), '{_UPPER}', '{_LOWER}') AS host, regexp_extract(coalesce(rest, ''), '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+p AS (SELECT *, regexp_replace(regexp_replace(host, '^.*@', ''), '\.?(:[0-9]*)?$', '') AS site FROM h),
+o AS (SELECT p.site, count(*) AS n, sum(CASE WHEN l.quality = 0 OR l.toxic = 1 THEN 1 ELSE 0 END)::DOUBLE AS bad
+      FROM p JOIN labels l ON l.doc_id = p.page_id WHERE l.quality IS NOT NULL AND l.toxic IS NOT NULL GROUP BY p.site),
+s AS (SELECT *, CASE WHEN regexp_matches(site, '^[0-9.]+$') THEN site ELSE regexp_extract(site, '([^.]*\.)?[^.]*$', 0) END AS dom FROM o),
+t AS (SELECT *, CASE WHEN regexp_matches(dom, '^[0-9.]+$') THEN '' ELSE regexp_extract(dom, '[^.]*$', 0) END AS suf FROM s),
+a0 AS (SELECT suf, sum(n) AS n, sum(bad) AS bad, (SELECT (coalesce(sum(bad), 0) + 0.5::DOUBLE) / (coalesce(sum(n), 0) + 1.0::DOUBLE) FROM t) AS m FROM t GROUP BY suf),
+a AS (SELECT suf, (bad + k * m) / (n + k) AS m FROM (SELECT *, {strength % 'a0'} AS k FROM a0)),
+b0 AS (SELECT t.dom, a.m, sum(t.n) AS n, sum(t.bad) AS bad FROM t JOIN a ON t.suf = a.suf GROUP BY t.dom, a.m),
+b AS (SELECT dom, (bad + k * m) / (n + k) AS m FROM (SELECT *, {strength % 'b0'} AS k FROM b0)),
+c0 AS (SELECT t.site, t.n, t.bad, b.m FROM t JOIN b ON t.dom = b.dom),
+c AS (SELECT site, bad + k * m AS x, n - bad + k * (1 - m) AS y FROM (SELECT *, {strength % 'c0'} AS k FROM c0)),
+r AS (SELECT site, x / (x + y) - {Z} * sqrt(x * y / (x + y + 1)) / (x + y) AS lower FROM c)
+SELECT page_id, host, path, CASE {rule} END AS rule, CASE {verdict} WHEN r.lower > {MAX_BAD} THEN 'block' ELSE 'allow' END AS verdict
+FROM p LEFT JOIN r ON p.site = r.site
+"""
+
+
+OP5 = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{_WORD}') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+      ELSE list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')) END) AS g FROM d),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+i AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT x, y FROM i JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * c >= 90 * (p.n + q.n - c)),
+r(x, y) AS (SELECT x, y FROM l UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least(d.doc_id, coalesce(m.y, d.doc_id)) AS component_id
+FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN (SELECT x, min(y) AS y FROM r GROUP BY x) m ON m.x = d.doc_id
+"""
+
+
+def _op10() -> str:
+    import math
+
+    from .licenses import PHRASES, TEMPLATES, THRESHOLD
+
+    def words(x: str) -> str:
+        return rf"regexp_extract_all({x}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+    def listed(t: str) -> str:
+        return "[" + ", ".join(f"'{w}'" for w in t.split()) + "]"
+
+    places, names, met, shares = [], [], [], []
+    for label, phrase in PHRASES:
+        k = len(phrase.split())
+        places.append(f"list_transform(list_filter(range(1, len(w) - {k} + 2), lambda i: w[i:i + {k - 1}] = {listed(phrase)}), lambda i: i - 1)")
+        names.append(label)
+    for label, t in TEMPLATES:
+        size = len(set(t.split()))
+        need = math.ceil(THRESHOLD * size - 1e-9)
+        best = f"coalesce(list_max(list_transform(blocks, lambda b: len(list_distinct(list_intersect(b, {listed(t)}))))), 0)"
+        met.append(f"CASE WHEN {best} >= {need} THEN '{label}' END")
+        shares.append(f"CASE WHEN {best} >= {need} THEN {best} / {size}::DOUBLE ELSE 0 END")
+    base = ", ".join(f"CASE WHEN len(p{i}) > 0 THEN '{n}' END" for i, n in enumerate(names))
+    count = " + ".join(f"len(p{i})" for i in range(len(names)))
+    low = ", ".join(f"list_min(p{i})" for i in range(len(names)))
+    high = ", ".join(f"list_max(p{i})" for i in range(len(names)))
+    joined = lambda x: f"array_to_string(list_sort(list_distinct(list_filter([{x}], lambda v: v IS NOT NULL))), ',')"
+    return rf"""
+WITH t AS (SELECT doc_id, translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}') AS t FROM documents),
+d AS (SELECT doc_id, {words('t')} AS w, list_transform(regexp_split_to_array(t, '\n|[.!?][ \t\r]'), lambda b: list_distinct({words('b')})) AS blocks FROM t),
+p AS (SELECT doc_id, w, blocks, {', '.join(f'{x} AS p{i}' for i, x in enumerate(places))} FROM d)
+SELECT doc_id, len(w)::BIGINT AS n_words, ({count})::BIGINT AS n_base, least({low})::BIGINT AS first_word, greatest({high})::BIGINT AS last_word,
+  {joined(base)} AS base_labels, {joined(base + ', ' + ', '.join(met))} AS labels,
+  CASE WHEN {count} > 0 THEN 1.0::DOUBLE ELSE greatest({', '.join(shares)})::DOUBLE END AS score
+FROM p
+"""
+
+
+ORACLES: dict[str, str] = {"op1_substring_dedup": OP1, "op4_url_reputation": _op4(), "op5_jaccard_join": OP5, "op10_license_scan": _op10()}

@@ -5,12 +5,17 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .jaccard_join import jaccard_components
+from .licenses import scan_licenses
+from .mixing import mix_sources
 from .orc_tokens import token_orc_round_trip
 from .packing import pack_documents
 from .repetition import quality_rules
 from .substring_dedup import remove_repeated_substrings
 from .syncmers import edited_fingerprints
+from .url_reputation import judge_urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,10 +36,26 @@ def op3_orc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_orc_round_trip(table(spark, sf_dir, "documents"), tokenizer_path(), end_id=2)
 
 
+def op4_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled outcomes of pages are the rows of ``labels`` with the page's number: a page is
+    bad if its quality is 0 or it is toxic."""
+    bad = F.col("quality").isNotNull() & F.col("toxic").isNotNull()
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), F.when(bad, ((F.col("quality") == 0) | (F.col("toxic") == 1)).cast("long")).alias("bad"))
+    return judge_urls(table(spark, sf_dir, "pages"), labels).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"), ngram=3, percent=90).drop("links")
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(table(spark, sf_dir, "documents"))
+
+
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_fingerprints(table(spark, sf_dir, "documents"))
 
@@ -43,10 +64,18 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path(), end_id=1)
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op3_orc_tokens": op3_orc_tokens,
+    "op4_url_reputation": op4_url_reputation,
+    "op5_jaccard_join": op5_jaccard_join,
     "op6_quality_rules": op6_quality_rules,
+    "op7_source_mixing": op7_source_mixing,
     "op8_fingerprints": op8_fingerprints,
     "op9_packing": op9_packing,
+    "op10_license_scan": op10_license_scan,
 }
