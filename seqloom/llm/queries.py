@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .jaccard_join import jaccard_components
 from .licenses import scan_licenses
+from .lm_score import score_documents
 from .mixing import mix_sources
 from .orc_tokens import token_orc_round_trip
 from .packing import pack_documents
@@ -32,6 +33,10 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeated_substrings(table(spark, sf_dir, "documents")).drop("removed")
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(table(spark, sf_dir, "documents"))
+
+
 def op3_orc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_orc_round_trip(table(spark, sf_dir, "documents"), tokenizer_path(), end_id=2)
 
@@ -70,6 +75,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_lm_scoring": op2_lm_scoring,
     "op3_orc_tokens": op3_orc_tokens,
     "op4_url_reputation": op4_url_reputation,
     "op5_jaccard_join": op5_jaccard_join,
