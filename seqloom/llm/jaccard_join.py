@@ -147,7 +147,7 @@ def _batch(**columns: tuple) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in columns.values()], names=list(columns))
 
 
-_SETS = "doc_id long, n_shingles long, node long, " + ", ".join(f"b{i} long" for i in range(SKETCH_WORDS))
+_SETS = "doc_id long, row_key long, n_shingles long, node long, " + ", ".join(f"b{i} long" for i in range(SKETCH_WORDS))
 
 
 def _describe(ngram: int):
@@ -160,7 +160,7 @@ def _describe(ngram: int):
             cell = np.repeat(np.arange(len(n)), n) * SKETCH_WORDS + (bit >> K.U64(6)).astype(np.int64)
             np.bitwise_xor.at(sketch, cell, K.U64(1) << (bit & K.U64(63)))
             sketch = K.signed(sketch).reshape(-1, SKETCH_WORDS)
-            yield _batch(doc_id=(b.column("doc_id"), pa.int64()), n_shingles=(n, pa.int64()), node=(K.signed(set_names(g, bounds)), pa.int64()), **{f"b{i}": (sketch[:, i], pa.int64()) for i in range(SKETCH_WORDS)})
+            yield _batch(doc_id=(b.column("doc_id"), pa.int64()), row_key=(b.column("row_key"), pa.int64()), n_shingles=(n, pa.int64()), node=(K.signed(set_names(g, bounds)), pa.int64()), **{f"b{i}": (sketch[:, i], pa.int64()) for i in range(SKETCH_WORDS)})
 
     return run
 
@@ -253,7 +253,8 @@ def _could_link(a: str, b: str, percent: int) -> Column:
 
 def jaccard_components(docs: DataFrame, ngram: int = 3, percent: int = 90, subparts: int = 3) -> DataFrame:
     """Per row of ``docs``: doc_id, n_shingles (distinct), component_id (smallest doc_id that
-    links reach), links long (verified links between its set and different ones).
+    links reach), links long (verified links between its set and different ones), row_key
+    (xxhash64 of doc_id and text).
 
     A link is 100 * intersection >= percent * union of the lower-cased word shingle sets.
     Components are exact; ``links`` counts the links that were verified to find them, which
@@ -266,7 +267,7 @@ def jaccard_components(docs: DataFrame, ngram: int = 3, percent: int = 90, subpa
     spark = prepare(docs.sparkSession)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sets = stored(d.mapInArrow(_describe(ngram), _SETS), "shingle-sets")
+    sets = stored(d.select("doc_id", F.xxhash64("doc_id", "text").alias("row_key"), "text").mapInArrow(_describe(ngram), _SETS), "shingle-sets")
     real = sets.where("doc_id IS NOT NULL AND n_shingles > 0")
     signed = d.where("doc_id IS NOT NULL").mapInArrow(_sign(ngram, percent, subparts), "sig long, node long")
     shared = signed.repartition(n, "sig").sortWithinPartitions("sig", "node").mapInArrow(_shared, "sig long, node long")
@@ -300,6 +301,20 @@ def jaccard_components(docs: DataFrame, ngram: int = 3, percent: int = 90, subpa
     ends = links.select("x").unionByName(links.select(F.col("y").alias("x"))).groupBy(F.col("x").alias("node")).agg(F.count(F.lit(1)).alias("links"))
     found = member.join(least, "root").join(ends, "node", "left").select("node", "component_id", F.coalesce("links", F.lit(0)).alias("links"))
     linked = F.col("n_shingles") > 0
-    made = sets.select("doc_id", "n_shingles", F.when(linked, F.col("node")).alias("node")).join(found, "node", "left")
+    made = sets.select("doc_id", "row_key", "n_shingles", F.when(linked, F.col("node")).alias("node")).join(found, "node", "left")
     own = F.when(linked & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.when(~linked, F.col("doc_id")))
-    return made.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce("links", F.lit(0)).alias("links"))
+    return made.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce("links", F.lit(0)).alias("links"), "row_key")
+
+
+def keep_one_of_each(docs: DataFrame, ngram: int = 5, percent: int = 80, subparts: int = 2) -> DataFrame:
+    """``docs`` with one row of each group of near copies: the one with the smallest doc_id.
+
+    Rows without words or doc_id are in no group and stay.  All columns stay; of rows with
+    equal doc_id and text any one does.
+    """
+    groups = jaccard_components(docs, ngram, percent, subparts)
+    first = groups.where("n_shingles > 0 AND doc_id = component_id").groupBy("component_id").agg(F.min("row_key").alias("__row"))
+    single = F.col("doc_id").isNull() | ~F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    keyed = docs.where(~single).withColumn("__row", F.xxhash64(F.col("doc_id").cast("long"), "text"))
+    kept = keyed.join(first.select("__row"), "__row", "left_semi").dropDuplicates(["__row"]).drop("__row")
+    return kept.unionByName(docs.where(single))

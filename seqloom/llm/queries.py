@@ -50,7 +50,7 @@ def op4_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_components(table(spark, sf_dir, "documents"), ngram=3, percent=90).drop("links")
+    return jaccard_components(table(spark, sf_dir, "documents"), ngram=3, percent=90).drop("links", "row_key")
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

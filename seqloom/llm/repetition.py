@@ -140,6 +140,11 @@ def _measure(min_repeat: int):
     return run
 
 
+def keep_good(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that the rules keep, with all their columns."""
+    return quality_rules(docs, keep_columns=True).where("__kept").drop("__kept")
+
+
 def quality_rules(docs: DataFrame, min_repeat: int = MIN_REPEAT, max_covered: float = MAX_COVERED, max_longest: float = MAX_LONGEST, keep_columns: bool = False) -> DataFrame:
     """Counts and verdict for every whole text; no shuffle.
 
@@ -150,10 +155,10 @@ def quality_rules(docs: DataFrame, min_repeat: int = MIN_REPEAT, max_covered: fl
 
     Returns doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     covered_words, longest_repeat (long), base_failed, kept (boolean); with
-    ``keep_columns`` all columns of ``docs`` and ``kept``.
+    ``keep_columns`` all columns of ``docs`` and ``__kept``.
 
     A null text has no words, so it fails; repeated rows are judged each; an empty table
-    gives an empty one.  Columns of ``docs`` may have any other names.
+    gives an empty one.  Columns of ``docs`` may have any names that don't start with ``__``.
     """
     prepare(docs.sparkSession)
     d = docs if keep_columns else docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -163,5 +168,5 @@ def quality_rules(docs: DataFrame, min_repeat: int = MIN_REPEAT, max_covered: fl
     failed = (n < MIN_WORDS) | (100 * F.col("__n_repeat_words") > MAX_REPEAT_PERCENT * n)
     kept = ~failed & (F.col("__covered_words") <= max_covered * n) & (F.when(F.col("__longest_repeat") >= min_repeat, F.col("__longest_repeat")).otherwise(0) <= max_longest * n)
     if keep_columns:
-        return m.select(*[F.col(f"`{c}`") for c in docs.columns], kept.alias("kept"))
+        return m.select(*[F.col(f"`{c}`") for c in docs.columns], kept.alias("__kept"))
     return m.select("doc_id", *[F.col(f"__{n}").alias(n) for n, _ in _SCHEMA], failed.alias("base_failed"), kept.alias("kept"))

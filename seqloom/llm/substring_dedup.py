@@ -165,67 +165,92 @@ def _repeated_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
         yield _table(schema, held[1:])
 
 
-def _cut(window: int, with_text: bool):
+def _kept_texts(b: pa.RecordBatch, window: int) -> Iterator[tuple[bytes, int, np.ndarray, np.ndarray, int]]:
+    """For each text its bytes after removal (words joined by one space), number of words,
+    the removed intervals' starts and ends, and the number of removed words."""
+    w = K.words(K.texts(b.column("text")))
+    row, hit = _flat(b, "hits")
+    begin = w.first[row] + hit["start"]
+    gone = K.covered(len(w.starts), begin, begin + hit["n"] + window - 1)
+    data = w.texts.data
+    for i in range(b.num_rows):
+        lo, hi = w.first[i], w.first[i + 1]
+        keep = np.flatnonzero(~gone[lo:hi]) + lo
+        if len(keep) == hi - lo:
+            text = b" ".join(data[w.texts.offsets[i] : w.texts.offsets[i + 1]].tobytes().split())
+        else:
+            text = b" ".join([data[s:e].tobytes() for s, e in zip(w.starts[keep], w.ends[keep], strict=True)])
+        yield text, int(hi - lo), *K.runs(gone[lo:hi]), int(hi - lo - len(keep))
+
+
+def _digest(window: int):
     schema = [("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("removed", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            w = K.words(K.texts(b.column("text")))
-            row, hit = _flat(b, "hits")
-            n = len(w.starts)
-            begin = w.first[row] + hit["start"]
-            gone = K.covered(n, begin, begin + hit["n"] + window - 1)
-            kept, digest, spans = [], [], []
-            data = w.texts.data
-            for i in range(b.num_rows):
-                lo, hi = w.first[i], w.first[i + 1]
-                keep = np.flatnonzero(~gone[lo:hi]) + lo
-                raw = data[w.texts.offsets[i] : w.texts.offsets[i + 1]].tobytes()
-                if len(keep) == hi - lo:
-                    text = b" ".join(raw.split())
-                else:
-                    text = b" ".join([data[s:e].tobytes() for s, e in zip(w.starts[keep], w.ends[keep], strict=True)])
-                digest.append(hashlib.sha256(text).hexdigest())
-                kept.append(text.decode("utf-8", "replace") if with_text else None)
-                s, e = K.runs(gone[lo:hi])
-                spans.append([{"start": int(x), "end": int(y)} for x, y in zip(s, e, strict=True)])
-            columns = [b.column("doc_id"), w.counts, K.per_text_sum(gone, w.first), digest, spans]
-            made = _table(schema, columns)
-            yield made.append_column("kept_text", pa.array(kept, pa.string())) if with_text else made
+            rows = [(n, gone, hashlib.sha256(text).hexdigest(), [{"start": x, "end": y} for x, y in zip(s.tolist(), e.tolist(), strict=True)]) for text, n, s, e, gone in _kept_texts(b, window)]
+            yield _table(schema, [b.column("doc_id"), *([r[i] for r in rows] for i in range(4))])
 
     return run
 
 
-def remove_repeated_substrings(docs: DataFrame, window: int = 35, gram: int = 8, with_text: bool = False) -> DataFrame:
-    """Remove from each text every word that a repeated window of ``window`` words covers.
+def _strip(window: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            old = b.column("text").to_pylist()
+            new = [text.decode() if gone else was for was, (text, *_, gone) in zip(old, _kept_texts(b, window), strict=True)]
+            columns = {name: b.column(name) for name in b.schema.names if name not in ("row_key", "hits")}
+            columns["text"] = pa.array(new, pa.string())
+            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
-    A window repeats if its word sequence starts anywhere else in the corpus, in the same
-    document included; all copies go.  Words are ``[^\\x20\\x09-\\x0D]+``, unchanged.
+    return run
 
-    Returns per row of ``docs``: doc_id, n_words, n_removed, kept_sha256 (of the kept words
-    joined by one space), removed (maximal intervals of word positions, half open), and with
-    ``with_text`` kept_text.
 
-    Nulls: a null text has no words; a null doc_id is kept as null.  Texts of fewer than
-    ``window`` words lose nothing.  Repeated rows are documents like any other, so a row
-    that is there twice loses all its windows in both.  Rows are told apart by a hash of
-    doc_id and text, so equal ids with different texts don't mix.  An empty table gives an
-    empty table; further columns of ``docs`` are ignored.
-    """
+def _with_hits(d: DataFrame, window: int, gram: int) -> DataFrame:
+    """``d`` (with text and row_key) and, for each row, its repeated windows."""
     if not 1 <= gram <= window:
         raise ValueError("gram must be between 1 and window")
-    spark = prepare(docs.sparkSession)
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
-    d = base.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row_key"))
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = int(d.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     runs = d.select("row_key", "text").mapInArrow(_emit_runs(window, gram), _RUNS)
     found = runs.repartition(n, "anchor").sortWithinPartitions("anchor", "run_hash").mapInArrow(_settle_runs, _FOUND)
     found = stored(found, "substring-runs")
     asks = found.where("not settled").groupBy("row_key").agg(F.collect_list(F.struct("start", "n", "anchor")).alias("asks"))
-    # Both joins deal the texts out by the same key and columns, so Spark shuffles them once.
+    # Both joins deal the rows out by the same key and columns, so Spark shuffles them once.
     windows = d.join(asks, "row_key", "left").mapInArrow(_emit_windows(window), _HITS)
     repeated = windows.repartition(n, "h").sortWithinPartitions("h").mapInArrow(_repeated_windows, "row_key long, start int, n int")
     hits = repeated.unionByName(found.where("settled").select("row_key", "start", "n"))
     hits = hits.groupBy("row_key").agg(F.collect_list(F.struct("start", "n")).alias("hits"))
-    out = "doc_id long, n_words long, n_removed long, kept_sha256 string, removed array<struct<start:int,end:int>>" + (", kept_text string" if with_text else "")
-    return d.join(hits, "row_key", "left").mapInArrow(_cut(window, with_text), out)
+    return d.join(hits, "row_key", "left")
+
+
+def remove_repeated_substrings(docs: DataFrame, window: int = 35, gram: int = 8) -> DataFrame:
+    """What removing every word that a repeated window of ``window`` words covers leaves.
+
+    A window repeats if its word sequence starts anywhere else in the corpus, in the same
+    document included; all copies go.  Words are ``[^\\x20\\x09-\\x0D]+``, unchanged.
+
+    Returns per row of ``docs``: doc_id, n_words, n_removed, kept_sha256 (of the kept words
+    joined by one space), removed (maximal intervals of word positions, half open).
+
+    Nulls: a null text has no words; a null doc_id is kept as null.  Texts of fewer than
+    ``window`` words lose nothing.  Repeated rows are documents like any other, so a row
+    that is there twice loses all its windows in both.  Rows are told apart by a hash of
+    doc_id and text, so equal ids with different texts don't mix.  An empty table gives an
+    empty table; further columns of ``docs`` are ignored.
+    """
+    prepare(docs.sparkSession)
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("doc_id", "text").alias("row_key"))
+    return _with_hits(d, window, gram).mapInArrow(_digest(window), "doc_id long, n_words long, n_removed long, kept_sha256 string, removed array<struct<start:int,end:int>>")
+
+
+def strip_repeated_substrings(docs: DataFrame, window: int = 35, gram: int = 8) -> DataFrame:
+    """``docs`` with the texts that are left: same rows and columns.  A text that loses words
+    becomes its kept words joined by one space; others stay as they are.  n_chars, if there,
+    is set to the new length.  Columns must not be named row_key or hits."""
+    prepare(docs.sparkSession)
+    d = docs.withColumn("row_key", F.xxhash64("doc_id", "text"))
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    out = _with_hits(d, window, gram).mapInArrow(_strip(window), fields).select(*[F.col(f"`{c}`") for c in docs.columns])
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType))
+    return out
