@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from . import evaluation, geometry, integrity, policies, quality, relations, selection, vectors  # noqa: F401  they register
+from ._register import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
