@@ -74,10 +74,11 @@ def max_difference(total: int, percent: int) -> int:
 
 
 class Bands:
-    """Size bands and the differences that a pair found in each can have."""
+    """Size bands and the differences that a pair found in each can have.  A band is at least
+    as wide as linked sizes are apart, so a partner stands in the same band or the next."""
 
     def __init__(self, percent: int, ratio: float = 1.25):
-        self.percent, self.ratio, self.edges, self.k = percent, ratio, [1], []
+        self.percent, self.ratio, self.edges, self.k = percent, max(ratio, 100 / percent), [1], []
 
     def upto(self, size: int) -> None:
         while self.edges[-1] <= size:

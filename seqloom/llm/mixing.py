@@ -3,7 +3,8 @@
 Documents are counted by source and exact word length.  Every document is taken as often
 as the source's target holds the whole source; for the rest of the target each length gives
 its share, and a bounded-knapsack dynamic programme over the lengths that are left fills the
-remaining words exactly, where lengths allow it.  Which documents of a length are taken
+remaining words exactly, where lengths allow it.  A document is repeated beyond that only if
+the others can't fill the target.  Which documents of a length are taken
 follows a seeded hash order, found by counting hash buckets, so no length, however common,
 is sorted in one task.
 """
@@ -45,55 +46,69 @@ def targets(sizes: Sequence[tuple[str | None, int]], weights: Sequence[int] = WE
     return out
 
 
-def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int, exact: int = EXACT_WORDS) -> np.ndarray:
-    """How many items of each length to take (at most its count) so that the total comes as
-    near to ``budget`` as the method can: the share of every length, then long ones while
-    more than ``exact`` is left, then an exact bounded knapsack."""
+def _fill(lengths: np.ndarray, free: np.ndarray, left: int, exact: int) -> np.ndarray:
+    """Items of each length, at most ``free``, that come nearest to ``left`` words from below:
+    long ones first while more than ``exact`` is left, then an exact bounded knapsack."""
     take = np.zeros(len(lengths), np.int64)
-    total = int((lengths * counts).sum())
-    if budget <= 0 or not total:
-        return take
-    if budget >= total:
-        return counts.astype(np.int64)
-    take = np.array([c * budget // total for c in counts.tolist()], np.int64)
-    left = budget - int((take * lengths).sum())
-    usable = [i for i in np.argsort(-lengths, kind="stable").tolist() if lengths[i] > 0]
+    usable = [i for i in np.argsort(-lengths, kind="stable").tolist() if lengths[i] > 0 and free[i] > 0]
+    for i in usable:
+        if left <= exact:
+            break
+        # Leave the knapsack something to choose from.
+        more = min(int(free[i]), (left - exact // 2) // int(lengths[i]))
+        take[i] += more
+        left -= more * int(lengths[i])
     for i in usable:
         if left <= exact:
             break
-        more = min(int(counts[i] - take[i]), left // int(lengths[i]))
+        more = min(int(free[i] - take[i]), left // int(lengths[i]))
         take[i] += more
         left -= more * int(lengths[i])
-    # Bounded knapsack: bit b of reach says that b words can be filled; counts in powers of two.
+    # Bit b of reach says that b words can be filled; counts go in powers of two.
     bound = min(left, exact)
     mask, reach, steps = (1 << (bound + 1)) - 1, 1, []
     for i in reversed(usable):
-        free, k = min(int(counts[i] - take[i]), bound // int(lengths[i])), 1
-        while free > 0 and not reach >> bound & 1:
-            m = min(k, free)
+        room, k = min(int(free[i] - take[i]), bound // int(lengths[i])), 1
+        while room > 0 and not reach >> bound & 1:
+            m = min(k, room)
             steps.append((i, m, reach))
             reach |= reach << (int(lengths[i]) * m) & mask
-            free, k = free - m, 2 * k
+            room, k = room - m, 2 * k
     at = reach.bit_length() - 1
-    left -= at
     for i, m, before in reversed(steps):
         if not before >> at & 1:
             take[i] += m
             at -= m * int(lengths[i])
-    # A single longer item may come nearer from above.
-    over = [i for i in usable if take[i] < counts[i] and 0 < lengths[i] - left < left]
+    return take
+
+
+def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int, passes: int = 1, exact: int = EXACT_WORDS) -> np.ndarray:
+    """How many items of each length to take so that the total comes near to ``budget``: the
+    share of every length, then what fits of the rest; items are taken a second time (up to
+    ``passes`` times) only for words that single ones can't fill."""
+    total = int((lengths * counts).sum())
+    if budget <= 0 or not total:
+        return np.zeros(len(lengths), np.int64)
+    take = np.array([min(c, c * budget // total) for c in counts.tolist()], np.int64)
+    for k in range(1, passes + 1):
+        left = budget - int((take * lengths).sum())
+        take += _fill(lengths, k * counts - take, left, exact)
+    left = budget - int((take * lengths).sum())
+    # A single item more may come nearer from above.
+    over = [i for i in range(len(lengths)) if take[i] < passes * counts[i] and 0 < lengths[i] - left < left]
     if over:
         take[min(over, key=lambda i: lengths[i])] += 1
     return take
 
 
 def _plan(group: pa.Table) -> pa.Table:
+    """For each length: every document's copies (times), and how many get one more (extra)."""
     size, n = group.column("size").to_numpy(), group.column("n").to_numpy()
     target = group.column("target")[0].as_py()
     whole = int((size * n).sum())
     times = min(int(target // whole), MAX_REPEATS) if whole else 0
-    take = fit_budget(size, n, round(target - times * whole))
-    return group.append_column("times", pa.array(np.full(len(size), times), pa.int32())).append_column("extra", pa.array(take, pa.int64()))
+    take = fit_budget(size, n, round(target - times * whole), MAX_REPEATS - times)
+    return group.append_column("times", pa.array(times + take // n, pa.int32())).append_column("extra", pa.array(take % n, pa.int64()))
 
 
 def mix_sources(docs: DataFrame, weights: Sequence[int] = WEIGHTS, seed: int = SEED, keep_columns: bool = False) -> DataFrame:

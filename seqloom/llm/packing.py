@@ -3,8 +3,9 @@
 Pieces are dealt into parts by their row number (never by a key of the data), so that each part holds
 a bounded number of pieces, and every part is packed by best-fit decreasing.  Lower bounds
 from dual-feasible functions certify a part whose number of bins none can beat.  Parts with
-a gap, and the emptiest bin of every part, hand their unfilled bins' pieces back; those are
-dealt anew into fewer parts and packed again.
+a gap hand back the pieces of all bins that are not full.  Certified parts hand back those of
+their emptiest bin, or, where large pieces and not the sum of all set the bound, those of all
+bins that are not 99 % full.  What came back is dealt anew into larger parts and packed again.
 """
 
 from __future__ import annotations
@@ -125,6 +126,9 @@ def _pack(capacity: int, last: bool):
         if not last:
             if n > lower_bound(lengths, capacity):
                 done = fill == capacity
+            elif n > -(-int(lengths.sum()) // capacity):
+                # Certified for these pieces, but small ones of other parts may fill the gaps.
+                done = fill >= capacity - capacity // 100
             else:
                 done[np.argmin(fill)] = fill.min() == capacity
         for name, values, kind in (("bin", bins, pa.int32()), ("offset", offsets, pa.int64()), ("done", done[bins], pa.bool_())):
@@ -140,8 +144,7 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, part_pieces: int =
 
     A piece that fills a sequence is a certified bin of its own and is not packed.  In each
     round the certified parts are done but for their emptiest bin; the rest goes to the next
-    round, in as few parts as ``part_pieces`` allows, until one part is left or the rounds
-    are over.  sequence_id is the row of a full piece, else round, part and bin.
+    round, in parts of twice as many pieces, until one part is left or the rounds are over.  sequence_id is the row of a full piece, else round, part and bin.
     """
     columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
     made = pieces.where(F.col("length") == capacity).select(*columns, F.col("row").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
@@ -150,7 +153,7 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, part_pieces: int =
     for r in range(rounds):
         if not n:
             break
-        parts = max(1, math.ceil(n / part_pieces))
+        parts = max(1, math.ceil(n / (part_pieces << r)))
         last = parts == 1 or r == rounds - 1
         dealt = rest.withColumn("part", F.pmod(F.xxhash64("row", F.lit(r)), F.lit(parts)).cast("int"))
         packed = stored(dealt.groupBy("part").applyInArrow(_pack(capacity, last), _PACKED), f"packing-{r}")
