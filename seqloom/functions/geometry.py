@@ -93,9 +93,9 @@ def crop_geometry(b: Column, roi: Column, w: Column, h: Column) -> Column:
 
 
 def distortion(b: Column) -> Column:
-    """The longer side over the shorter."""
+    """The longer side over the shorter; null for a box without area."""
     w, h = width(b).cast("double"), height(b).cast("double")
-    return F.greatest(F.try_divide(w, h), F.try_divide(h, w))
+    return F.try_divide(F.greatest(w, h), F.least(w, h))
 
 
 def distance(p: Column, q: Column) -> Column:

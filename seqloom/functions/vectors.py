@@ -28,7 +28,8 @@ def l2_distance(a: Column, b: Column) -> Column:
 
 def cosine(a: Column, b: Column) -> Column:
     """Clipped to [-1, 1]; null for a vector of zeros."""
-    return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.try_divide(dot(a, b), l2(a) * l2(b))))
+    c = F.try_divide(dot(a, b), l2(a) * l2(b))
+    return F.when(c.isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), c)))
 
 
 def pop_std(a: Column) -> Column:

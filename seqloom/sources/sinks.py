@@ -39,9 +39,15 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
 
 
 def read_text(spark: SparkSession, path: str) -> str | None:
-    if not exists(spark, path):
+    """A small file's text, or None.  Spark's readers pass over names with an underscore."""
+    fs, p = _fs(spark, path)
+    if not fs.exists(p):
         return None
-    return "\n".join(r[0] for r in spark.read.text(path, wholetext=True).collect())  # a marker
+    stream = fs.open(p)
+    try:
+        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
 
 
 def write_csv(df: DataFrame, path: str, columns: Sequence[str], strict: bool = True) -> None:
