@@ -15,6 +15,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._spark import stored
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: (verdict, rule): a host with its subdomains, and the start of the path.
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
@@ -78,11 +80,12 @@ def _strength(children: DataFrame) -> float:
 def host_reputation(outcomes: DataFrame) -> DataFrame:
     """From labelled pages (site, bad 0/1): per site n, bad, prior_mean, mean, lower, upper.
 
-    Levels are summed from the sites' rows; each is far smaller than the one below.  Three
-    single numbers, the strengths, go through the driver.
+    The sites' counts are stored once; levels are summed from them, each far smaller than the
+    one below.  Single numbers, the overall mean and the strengths, go through the driver.
     """
     sites = outcomes.groupBy("site").agg(F.count(F.lit(1)).alias("n"), F.sum("bad").alias("bad"))
     sites = sites.withColumn("domain", domain(F.col("site"))).withColumn("suffix", suffix(F.col("domain")))
+    sites = stored(sites, "site-outcomes")
     total = sites.agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).first()
     overall = ((total["bad"] or 0) + 0.5) / ((total["n"] or 0) + 1.0)
     add_up = [F.sum("n").alias("n"), F.sum("bad").alias("bad")]
