@@ -9,10 +9,12 @@ bytes of one batch.
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 U64 = np.uint64
 MASK = (1 << 64) - 1
@@ -56,7 +58,7 @@ def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
                 out[done : 2 * done] = out[:done] * step
                 done *= 2
             both.append(out)
-        if size <= 1 << 22:
+        if size <= 1 << 20:
             _powers[base] = both
         have = both
     return have[0][:n], have[1][:n]
@@ -116,6 +118,23 @@ def texts(column: pa.Array | pa.ChunkedArray) -> Texts:
     return Texts(data, offsets - offsets[0])
 
 
+#: Bytes of text that are worked on at once; a longer text is worked on alone.
+PIECE_BYTES = 1 << 20
+
+
+def pieces(batches: Iterable[pa.RecordBatch], *columns: str) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of about PIECE_BYTES of the named text columns ("text" if none
+    is named), so that memory does not follow the length of the texts that meet in a batch."""
+    for b in batches:
+        total = np.zeros(b.num_rows, np.int64)
+        for name in columns or ("text",):
+            total += np.asarray(pc.binary_length(b.column(name)).fill_null(0), np.int64)
+        share = np.cumsum(total) // PIECE_BYTES
+        starts = np.flatnonzero(np.concatenate(([True], share[1:] != share[:-1]))) if len(share) else []
+        for lo, hi in zip(starts, [*starts[1:], b.num_rows], strict=True):
+            yield b.slice(lo, hi - lo)
+
+
 def words(t: Texts) -> Words:
     n = len(t.data)
     if n == 0:

@@ -132,7 +132,7 @@ SPACE_OR_TAIL[0x80:0xC0] = True  # the later bytes of a code point
 
 def _measure(min_repeat: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in K.pieces(batches):
             made = [pa.array(x, t) for x, (_, t) in zip(measures(b.column("text"), min_repeat), _SCHEMA, strict=True)]
             names = [n for n in b.schema.names]
             yield pa.RecordBatch.from_arrays([*b.columns, *made], names=[*names, *(f"__{n}" for n, _ in _SCHEMA)])

@@ -183,6 +183,6 @@ def append_id(ids: np.ndarray, bounds: np.ndarray, end_id: int | None) -> tuple[
 
 def encoded(batches: Iterator[pa.RecordBatch], spec: str, end_id: int | None) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     e = encoder(spec)
-    for b in batches:
+    for b in K.pieces(batches):
         if b.num_rows:
             yield b, *append_id(*e.encode(b.column("text")), end_id)
