@@ -12,8 +12,8 @@ two rounds that together decide each window exactly:
    window is counted.  A row's key joins anchor and window hash, so two different windows
    meet only if two independent 64-bit hashes collide.
 
-Both counts read rows sorted by hash as a stream and keep one row of state, so no group
-is held in memory.  Windows in a row with equal hashes travel as one row with a length.
+The first round reads runs sorted by hash as a stream with one row of state, so no group is
+held in memory.  Windows in a row with equal hashes travel as one row with a length.
 """
 
 from __future__ import annotations
@@ -45,7 +45,7 @@ def _emit_runs(window: int, gram: int):
     schema = [("anchor", pa.int64()), ("run_hash", pa.int64()), ("row_key", pa.int64()), ("start", pa.int32()), ("n", pa.int32()), ("twice", pa.bool_())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in K.pieces(batches):
             w = K.words(K.texts(b.column("text")))
             at = K.windows(w.first, window)
             if not len(at):
@@ -120,7 +120,7 @@ def _emit_windows(window: int):
     schema = [("h", pa.int64()), ("row_key", pa.int64()), ("start", pa.int32()), ("n", pa.int32())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in K.pieces(batches):
             row, ask = _flat(b, "asks")
             if not len(row):
                 continue
@@ -145,26 +145,6 @@ def _emit_windows(window: int):
     return run
 
 
-def _repeated_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From windows sorted by hash: those whose hash is met at another place."""
-    schema = [("row_key", pa.int64()), ("start", pa.int32()), ("n", pa.int32())]
-    held, before = None, False
-    for b in batches:
-        rows = [b.column(i).to_numpy() for i in range(4)]
-        if not len(rows[0]):
-            continue
-        if held is not None:
-            rows = [np.concatenate((x, y)) for x, y in zip(held, rows, strict=True)]
-        h = rows[0]
-        eq = h[1:] == h[:-1]
-        hit = (np.concatenate(([before], eq[:-1])) | eq | (rows[3][:-1] > 1)) if len(h) > 1 else np.zeros(0, bool)
-        yield _table(schema, [x[:-1][hit] for x in rows[1:]])
-        before = bool(eq[-1]) if len(eq) else before
-        held = [x[-1:] for x in rows]
-    if held is not None and (before or held[3][0] > 1):
-        yield _table(schema, held[1:])
-
-
 def _kept_texts(b: pa.RecordBatch, window: int) -> Iterator[tuple[bytes, int, np.ndarray, np.ndarray, int]]:
     """For each text its bytes after removal (words joined by one space), number of words,
     the removed intervals' starts and ends, and the number of removed words."""
@@ -187,7 +167,7 @@ def _digest(window: int):
     schema = [("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("removed", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in K.pieces(batches):
             rows = [(n, gone, hashlib.sha256(text).hexdigest(), [{"start": x, "end": y} for x, y in zip(s.tolist(), e.tolist(), strict=True)]) for text, n, s, e, gone in _kept_texts(b, window)]
             yield _table(schema, [b.column("doc_id"), *([r[i] for r in rows] for i in range(4))])
 
@@ -196,7 +176,7 @@ def _digest(window: int):
 
 def _strip(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in K.pieces(batches):
             old = b.column("text").to_pylist()
             new = [text.decode() if gone else was for was, (text, *_, gone) in zip(old, _kept_texts(b, window), strict=True)]
             columns = {name: b.column(name) for name in b.schema.names if name not in ("row_key", "hits")}
@@ -215,9 +195,13 @@ def _with_hits(d: DataFrame, window: int, gram: int) -> DataFrame:
     found = runs.repartition(n, "anchor").sortWithinPartitions("anchor", "run_hash").mapInArrow(_settle_runs, _FOUND)
     found = stored(found, "substring-runs")
     asks = found.where("not settled").groupBy("row_key").agg(F.collect_list(F.struct("start", "n", "anchor")).alias("asks"))
-    # Both joins deal the rows out by the same key and columns, so Spark shuffles them once.
+    # All joins deal the rows out by the same key and columns, so Spark shuffles them once.
     windows = d.join(asks, "row_key", "left").mapInArrow(_emit_windows(window), _HITS)
-    repeated = windows.repartition(n, "h").sortWithinPartitions("h").mapInArrow(_repeated_windows, "row_key long, start int, n int")
+    # Counts are added up before the shuffle.  The second key keeps the few repeated windows
+    # from standing where the sums were made, so that both sides of the join are dealt out
+    # anew and Spark may split a window that has very many places.
+    often = windows.groupBy("h", F.pmod("h", F.lit(2)).alias("half")).agg(F.sum("n").alias("times")).where("times > 1").select("h")
+    repeated = windows.join(often, "h").select("row_key", "start", "n")
     hits = repeated.unionByName(found.where("settled").select("row_key", "start", "n"))
     hits = hits.groupBy("row_key").agg(F.collect_list(F.struct("start", "n")).alias("hits"))
     return d.join(hits, "row_key", "left")
