@@ -58,14 +58,24 @@ def iou(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(i.cast("double"), (area(a) + area(b) - i).cast("double")), F.lit(0.0))
 
 
+def raw_roi(b: Column, margin: Column) -> Column:
+    """The box with a margin of its sides, rounded outwards."""
+    dx, dy = width(b) * margin, height(b) * margin
+    return box(F.floor(b["x1"] - dx), F.floor(b["y1"] - dy), F.ceil(b["x2"] + dx), F.ceil(b["y2"] + dy))
+
+
+def clipping(raw: Column, roi: Column) -> Column:
+    """Whether clipping changed a box, and which share of it is lost."""
+    lost = 1.0 - F.coalesce(F.try_divide(area(roi).cast("double"), area(raw).cast("double")), F.lit(0.0))
+    return F.struct((raw != roi).alias("clipped"), lost.alias("clipped_fraction"))
+
+
 def expand_roi(b: Column, margin: float, w: Column, h: Column) -> Column:
     """The box with a margin of its sides, clipped to the frame: roi, clipped, clipped_fraction."""
-    dx, dy = width(b) * margin, height(b) * margin
-    raw = box(F.floor(b["x1"] - dx), F.floor(b["y1"] - dy), F.ceil(b["x2"] + dx), F.ceil(b["y2"] + dy))
+    raw = raw_roi(b, F.lit(margin))
     roi = clip(raw, w, h)
-    lost = 1.0 - F.coalesce(F.try_divide(area(roi).cast("double"), area(raw).cast("double")), F.lit(0.0))
-    same = (roi["x1"] == raw["x1"]) & (roi["y1"] == raw["y1"]) & (roi["x2"] == raw["x2"]) & (roi["y2"] == raw["y2"])
-    return F.struct(roi.alias("roi"), (~same).alias("clipped"), lost.alias("clipped_fraction"))
+    c = clipping(raw, roi)
+    return F.struct(roi.alias("roi"), c["clipped"].alias("clipped"), c["clipped_fraction"].alias("clipped_fraction"))
 
 
 def square_roi(b: Column, margin: float) -> Column:

@@ -38,8 +38,10 @@ lost AS (SELECT *, cx1 <> x1 OR cy1 <> y1 OR cx2 <> x2 OR cy2 <> y2 AS clipped,
 
 
 def rois(spark: SparkSession, d: str) -> DataFrame:
-    made = F.array(*[F.struct(F.lit(m).alias("margin"), G.expand_roi(F.col("a"), m, *_frame()).alias("r")) for m in MARGINS])
-    return T.boxes(spark, d).select("l_orderkey", "l_linenumber", "a", F.explode(made).alias("c")).select("l_orderkey", "l_linenumber", "a", "c.margin", "c.r.*")
+    """Every box with every margin; steps are columns of their own, so none is computed twice."""
+    made = T.boxes(spark, d).select("l_orderkey", "l_linenumber", "a", F.explode(F.array(*[F.lit(m) for m in MARGINS])).alias("margin"))
+    made = made.withColumn("raw", G.raw_roi(F.col("a"), F.col("margin"))).withColumn("roi", G.clip(F.col("raw"), *_frame()))
+    return made.select("l_orderkey", "l_linenumber", "margin", "roi", G.clipping(F.col("raw"), F.col("roi")).alias("c")).select("l_orderkey", "l_linenumber", "margin", "roi", "c.*")
 
 
 @query(f"""WITH {T.BOXES}, {_ROIS} SELECT l_orderkey, l_linenumber, margin::DOUBLE AS margin, cx1 AS x1, cy1 AS y1, cx2 AS x2, cy2 AS y2, clipped, round(fraction, 9) AS clipped_fraction FROM lost""")
