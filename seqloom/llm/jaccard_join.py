@@ -8,17 +8,20 @@ split into n1 parts by hash, and each part into n2 subparts.  Two linked sets di
 most one element in some part, so they agree on one subset of n2 - 1 of its subparts: the
 hash of a set's elements in every such subset is a signature.
 
-There are a few parts more than the pigeonhole needs.  A set with fewer parts that have an
-empty subset than there are spare parts leaves those out: it agrees with each partner on
-another part as well.  Empty projections would otherwise meet in one large bucket.
+There are a few parts more than the pigeonhole needs.  A set with no more parts that have an
+empty subset than there are spare ones leaves its empty subsets out: it agrees with each
+partner on a subset of another part as well, which is empty for neither.  Empty projections
+would otherwise meet in one large bucket.
 
 Signatures lead to candidates, candidates are verified on their true sets:
 
 1. Of each bucket only the pairs with its hub (the set with most shared signatures) are
-   verified, which settles groups of near copies without pairs within them.
-2. For sets of a bucket that are not connected by then, all pairs are tried whose sizes
-   and 512-bit parity sketches allow a link; the sketches differ in no more bits than the
-   sets in elements, so no link is lost.
+   tried, which settles groups of near copies without pairs within them.
+2. For sets of a bucket that are not connected by then, all pairs are tried.
+
+Pairs whose sizes or parity sketches rule a link out are dropped before texts are joined:
+each element flips one bit of a set's sketch, so two sketches differ in no more bits than
+the sets in elements, and no link is lost.
 
 Equal sets are one node from the start.
 """
@@ -37,7 +40,8 @@ from ._spark import prepare, stored
 from .components import connected_components
 
 _SHINGLE, _PART, _SUB, _SECOND = 0xC2B2AE3D27D4EB4F, K.U64(0x27D4EB2F165667C5), K.U64(0x85EBCA77C2B2AE63), K.U64(0x165667B19E3779F9)
-SKETCH_WORDS = 8
+#: Words of a node's parity sketch.
+SKETCH_WORDS = 16
 
 
 def shingle_sets(column: pa.Array, ngram: int) -> tuple[np.ndarray, np.ndarray]:
@@ -133,10 +137,9 @@ def signatures(g: np.ndarray, bounds: np.ndarray, bands: Bands, subparts: int) -
         number = count.sum(axis=1)[:, None] - count
         exact = k[owner] == 0
         weak = (number == 0).any(axis=1) & ~exact
-        few = np.bincount(owner[weak], minlength=len(rows)) <= spare
-        keep = ~(weak & few[owner])
+        few = (np.bincount(owner[weak], minlength=len(rows)) <= spare)[owner]
         for j in range(subparts):
-            use = keep & (~exact | (j == 0))
+            use = np.where(exact, j == 0, (number[:, j] > 0) | ~few)
             whole = np.where(exact, total.sum(axis=1, dtype=K.U64), left[:, j])
             tag = ((band[owner].astype(K.U64) << K.U64(40)) + (part_no.astype(K.U64) << K.U64(4)) + K.U64(j))[use]
             out_set.append(rows[owner[use]])
@@ -153,7 +156,7 @@ _SETS = "doc_id long, row_key long, n_shingles long, node long, " + ", ".join(f"
 
 def _describe(ngram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in K.pieces(batches):
             g, bounds = shingle_sets(b.column("text"), ngram)
             n = np.diff(bounds)
             bit = K.mix(g ^ _PART) % K.U64(64 * SKETCH_WORDS)
@@ -169,7 +172,7 @@ def _describe(ngram: int):
 def _sign(ngram: int, percent: int, subparts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands, seen = Bands(percent), np.zeros(0, K.U64)
-        for b in batches:
+        for b in K.pieces(batches):
             g, bounds = shingle_sets(b.column("text"), ngram)
             names = set_names(g, bounds)
             # Copies of one set in one task sign once.
@@ -209,7 +212,7 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _named(ngram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in K.pieces(batches):
             names = K.signed(set_names(*shingle_sets(b.column("text"), ngram)))
             same = pa.array(names == b.column("node").to_numpy())
             yield pa.RecordBatch.from_arrays([b.column("node").filter(same), b.column("text").filter(same)], names=["node", "text"])
@@ -219,7 +222,7 @@ def _named(ngram: int):
 
 def _verify(ngram: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in K.pieces(batches, "text_x", "text_y"):
             # A hub stands in many rows of a batch: its set is made once.
             x, y = b.column("x").to_numpy(), b.column("y").to_numpy()
             names, first, back = np.unique(x, return_index=True, return_inverse=True)
@@ -245,13 +248,23 @@ def verified(pairs: DataFrame, texts: DataFrame, ngram: int, percent: int) -> Da
     return pairs.join(y, "y").join(x, "x").select("x", "y", "text_x", "text_y").mapInArrow(_verify(ngram, percent), "x long, y long")
 
 
-def _could_link(a: str, b: str, percent: int) -> Column:
-    """Sizes and sketches of two nodes allow a link."""
-    na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
-    bits = sum((F.bit_count(F.col(f"{a}.b{i}").bitwiseXOR(F.col(f"{b}.b{i}"))) for i in range(SKETCH_WORDS)), F.lit(0))
+def _could_link(na: Column, nb: Column, bits: Column, percent: int) -> Column:
+    """Sizes and differing sketch bits of two nodes allow a link."""
     return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & (bits * (100 + percent) <= (na + nb) * (100 - percent))
 
 
+def _bits(a: str, b: str) -> Column:
+    return sum((F.bit_count(F.col(f"{a}{i}").bitwiseXOR(F.col(f"{b}{i}"))) for i in range(SKETCH_WORDS)), F.lit(0))
+
+
+def plausible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (x, y) that sizes and whole sketches don't rule out."""
+    sketch = [f"b{i}" for i in range(SKETCH_WORDS)]
+    side = lambda k: nodes.select(F.col("node").alias(k), F.col("n").alias(f"n_{k}"), *[F.col(c).alias(f"{k}_{c}") for c in sketch])
+    j = pairs.join(side("x"), "x").join(side("y"), "y")
+    return j.where(_could_link(F.col("n_x"), F.col("n_y"), _bits("x_b", "y_b"), percent)).select("x", "y")
+
+
 def jaccard_components(docs: DataFrame, ngram: int = 3, percent: int = 90, subparts: int = 3) -> DataFrame:
     """Per row of ``docs``: doc_id, n_shingles (distinct), component_id (smallest doc_id that
     links reach), links long (verified links between its set and different ones), row_key
@@ -282,7 +295,7 @@ def jaccard_components(docs: DataFrame, ngram: int = 3, percent: int = 90, subpa
 
     hubs = shared.join(degree, "node").groupBy("sig").agg(F.max(F.struct("degree", "node")).alias("m")).select("sig", F.col("m.node").alias("x"))
     stars = stored(shared.join(hubs, "sig").where("node <> x").select("x", F.col("node").alias("y")).distinct(), "star-pairs")
-    links = stored(verified(stars, texts, ngram, percent), "links")
+    links = stored(verified(plausible(stars, nodes, percent), texts, ngram, percent), "links")
     roots = connected_components(links)
 
     placed = shared.join(roots, "node", "left").select("sig", "node", F.coalesce("root", "node").alias("root"))
@@ -291,8 +304,9 @@ def jaccard_components(docs: DataFrame, ngram: int = 3, percent: int = 90, subpa
     a, b = rest.alias("a"), rest.alias("b")
     apart = (F.col("a.node") < F.col("b.node")) & (F.col("a.root") != F.col("b.root"))
     tried = stars.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
-    pairs = a.join(b, (F.col("a.sig") == F.col("b.sig")) & apart & _could_link("a", "b", percent)).select(F.col("a.node").alias("x"), F.col("b.node").alias("y")).distinct()
-    more = stored(verified(pairs.join(tried, ["x", "y"], "left_anti"), texts, ngram, percent), "more-links")
+    pairs = a.join(b, (F.col("a.sig") == F.col("b.sig")) & apart & _could_link(F.col("a.n"), F.col("b.n"), _bits("a.b", "b.b"), percent)).select(F.col("a.node").alias("x"), F.col("b.node").alias("y")).distinct()
+    pairs = plausible(pairs.join(tried, ["x", "y"], "left_anti"), nodes, percent)
+    more = stored(verified(pairs, texts, ngram, percent), "more-links")
     if not more.isEmpty():
         links = links.unionByName(more)
         roots = connected_components(links)
