@@ -19,7 +19,7 @@ import pyarrow as pa
 from . import kernel as K
 
 #: Units whose ids a worker remembers; beyond it, it forgets all and starts again.
-REMEMBERED_UNITS = 1_000_000
+REMEMBERED_UNITS = 500_000
 
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123)]] = True
