@@ -5,7 +5,7 @@ pages is shrunk from level to level: a host's prior is a beta distribution aroun
 domain's mean, a domain's around its suffix's, a suffix's around the overall mean.  How
 strong each prior is comes from the data: the excess of the children's variance over the
 binomial one (moments of the beta-binomial).  A host is blocked if the lower bound of its
-posterior is above a limit.  DataFrame functions only.
+posterior, without labels its prior, is above a limit.  DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -78,34 +78,48 @@ def _strength(children: DataFrame) -> float:
 
 
 def host_reputation(outcomes: DataFrame) -> DataFrame:
-    """From labelled pages (site, bad 0/1): per site n, bad, prior_mean, mean, lower, upper.
+    """From pages (site, bad 0/1, null: not labelled): per site n and bad of its labelled pages,
+    prior_mean, mean, lower, upper.
+
+    A site without labelled pages has its prior as posterior.  Where its domain has no labels
+    either, the domain's own share of bad pages is open too, so the prior's variance is that
+    of both levels, and that of all three where the suffix has none.  Without any labelled
+    page there is no prior, and no row.
 
     The sites' counts are stored once; levels are summed from them, each far smaller than the
     one below.  Single numbers, the overall mean and the strengths, go through the driver.
     """
-    sites = outcomes.groupBy("site").agg(F.count(F.lit(1)).alias("n"), F.sum("bad").alias("bad"))
+    sites = outcomes.groupBy("site").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
     sites = sites.withColumn("domain", domain(F.col("site"))).withColumn("suffix", suffix(F.col("domain")))
     sites = stored(sites, "site-outcomes")
     total = sites.agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).first()
+    if not total["n"]:
+        sites = sites.where("false")
     overall = ((total["bad"] or 0) + 0.5) / ((total["n"] or 0) + 1.0)
     add_up = [F.sum("n").alias("n"), F.sum("bad").alias("bad")]
     mean = lambda k: (F.col("bad") + F.lit(k) * F.col("m")) / (F.col("n") + F.lit(k))
+    # 1 - variance / (m * (1 - m)) of what levels without labels leave open: k / (k + 1) a level.
+    left = lambda k, above: F.when(F.col("n") > 0, 1.0).otherwise(above * F.lit(k / (k + 1)))
 
     suffixes = sites.groupBy("suffix").agg(*add_up).withColumn("m", F.lit(overall))
-    suffixes = suffixes.select("suffix", mean(_strength(suffixes)).alias("m"))
+    k = _strength(suffixes)
+    suffixes = suffixes.select("suffix", mean(k).alias("m"), left(k, F.lit(1.0)).alias("left"))
     domains = sites.groupBy("domain", "suffix").agg(*add_up).join(suffixes, "suffix")
-    domains = domains.select("domain", mean(_strength(domains)).alias("m"))
+    k = _strength(domains)
+    domains = domains.select("domain", mean(k).alias("m"), left(k, F.col("left")).alias("left"))
     sites = sites.join(domains, "domain")
     k = _strength(sites)
-    a, b = F.col("bad") + F.lit(k) * F.col("m"), F.col("n") - F.col("bad") + F.lit(k) * (1 - F.col("m"))
+    both = F.col("left") * F.lit(k / (k + 1))
+    sites = sites.withColumn("k", F.when(F.col("left") == 1, F.lit(k)).otherwise(both / (1 - both)))
+    a, b = F.col("bad") + F.col("k") * F.col("m"), F.col("n") - F.col("bad") + F.col("k") * (1 - F.col("m"))
     sites = sites.select("site", "n", "bad", F.col("m").alias("prior_mean"), a.alias("a"), b.alias("b"))
     mean_, sd = F.col("a") / (F.col("a") + F.col("b")), F.sqrt(F.col("a") * F.col("b") / (F.col("a") + F.col("b") + 1)) / (F.col("a") + F.col("b"))
     return sites.select("site", "n", "bad", "prior_mean", mean_.alias("mean"), (mean_ - Z * sd).alias("lower"), (mean_ + Z * sd).alias("upper"))
 
 
 def judge_urls(pages: DataFrame, labels: DataFrame, rules: Sequence[tuple[str, str]] = RULES, max_bad: float = MAX_BAD) -> DataFrame:
-    """page_id, host, path, rule, verdict ('allow' or 'block'), site, bad_lower (the bound,
-    null for hosts without a labelled page).
+    """page_id, host, path, rule, verdict ('allow' or 'block'), site, bad_lower (the bound;
+    of the prior for hosts without a labelled page, null if no page at all is labelled).
 
     ``labels`` are (page_id, bad 0/1); rows with nulls don't count, several for a page count
     each.  The longest fitting rule decides; else a page is blocked if its host's lower
@@ -116,7 +130,7 @@ def judge_urls(pages: DataFrame, labels: DataFrame, rules: Sequence[tuple[str, s
     host, path = url_host(F.col("url")), url_path(F.col("url"))
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), host.alias("host"), path.alias("path")).withColumn("site", site(F.col("host")))
     known = labels.select(F.col("page_id").cast("long").alias("page_id"), F.col("bad").cast("long").alias("bad")).where("page_id IS NOT NULL AND bad IS NOT NULL")
-    reputation = host_reputation(p.select("page_id", "site").join(known, "page_id")).select("site", F.col("lower").alias("bad_lower"))
+    reputation = host_reputation(p.select("page_id", "site").join(known, "page_id", "left")).select("site", F.col("lower").alias("bad_lower"))
     judged = p.withColumn("hit", match_rule(F.col("host"), F.col("path"), rules)).join(reputation, "site", "left")
     own = F.when(F.col("bad_lower") > max_bad, "block").otherwise("allow")
     return judged.select("page_id", "host", "path", F.col("hit.rule").alias("rule"), F.coalesce("hit.verdict", own).alias("verdict"), "site", "bad_lower")

@@ -52,6 +52,25 @@ def test_reputation_shrinks_and_blocks(spark):
     assert rep["bad.evil.net"].n == 200 and rep["bad.evil.net"].bad == 180
 
 
+def test_hosts_without_labels_take_their_domains_prior(spark):
+    rows, labels, i = [], [], 0
+    for name, share in (("evil.net", 1.0), ("good.net", 0.0), ("fine.com", 0.05), ("calm.com", 0.05)):
+        for h in range(5):
+            for j in range(40):
+                rows.append((i, f"http://h{h}.{name}/p"))
+                labels.append((i, int(j < 40 * share)))
+                i += 1
+    fresh = ["new.evil.net", "new.good.net", "new.fine.com", "a.unseen.net", "a.unseen.xyz"]
+    rows += [(i + j, f"http://{h}/p") for j, h in enumerate(fresh)]
+    pages, lab = spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame(labels, "page_id long, bad long")
+    got = {r.host: r for r in U.judge_urls(pages, lab).collect()}
+    assert {h: got[h].verdict for h in fresh} == {h: "block" if h == "new.evil.net" else "allow" for h in fresh}
+    assert all(got[h].bad_lower is not None for h in fresh)
+    assert got["new.evil.net"].bad_lower < got["h0.evil.net"].bad_lower and got["a.unseen.net"].bad_lower < got["new.evil.net"].bad_lower
+    with_fresh = {r.host: r.bad_lower for r in U.judge_urls(pages.where(f"page_id < {i}"), lab).collect()}
+    assert all(abs(got[h].bad_lower - x) < 1e-12 for h, x in with_fresh.items())
+
+
 def test_no_python_on_the_executors(spark):
     p = spark.createDataFrame([(1, "http://a.b/")], "page_id long, url string")
     plan = U.judge_urls(p, spark.createDataFrame([(1, 1)], "page_id long, bad long"))._jdf.queryExecution().toString()
