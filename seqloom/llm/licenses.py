@@ -1,10 +1,13 @@
 """License scans: phrases, and an exact set-similarity join of text blocks with templates.
 
-Every block (a line or sentence) is a set of words.  A template is met if the block holds at
-least ``threshold`` of its words.  Template words are ordered by their frequency in the
+A block is a line, a sentence, or a window of the text's words, across lines and sentences,
+that is at most 1 / ``threshold`` times as long as a template.  Every block is a set of words.
+A template is met if the block holds at least ``threshold`` of its words.  Template words are ordered by their frequency in the
 whole corpus; a block can only meet a template if it holds one of the template's rarest
 words (prefix filter), enough words at all (length filter), and enough after the word they
-share (positional filter).  What passes is verified.  The templates are a fixed short list,
+share (positional filter).  Windows are looked at in texts that hold enough of a template's
+words in all, from those of its words on that as many more follow closely.  What passes is
+verified.  The templates are a fixed short list,
 so they travel in the plan and the texts are never shuffled.  DataFrame functions only.
 """
 
@@ -74,7 +77,7 @@ def scan_licenses(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLA
     for label, t in templates:
         words = sorted(set(t.split()), key=rank.__getitem__)
         need = math.ceil(threshold * len(words) - 1e-9)
-        wanted.append((label, words, need, words[: len(words) - need + 1]))
+        wanted.append((label, words, need, words[: len(words) - need + 1], math.ceil(len(t.split()) / threshold - 1e-9)))
 
     padded = F.concat(F.lit(" "), F.col("t"), F.lit(" "))
     d = base.withColumn("p", padded)
@@ -89,11 +92,29 @@ def scan_licenses(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLA
     base_set = F.array_compact(F.array(*found))
 
     # Blocks as sets of template words in the global order, for texts with a prefix word.
-    may = F.arrays_overlap(F.split("t", " "), _strings(sorted({w for *_, prefix in wanted for w in prefix})))
+    may = F.arrays_overlap(F.split("t", " "), _strings(sorted({w for *_, prefix, _ in wanted for w in prefix})))
     blocks = F.transform(F.split(F.coalesce("text", F.lit("")), BLOCK_END), lambda b: F.array_intersect(_strings(ordered), F.split(normal(b), " ")))
-    d = d.withColumn("blocks", F.when(may, blocks).otherwise(F.lit(None)))
-
-    def share(words: list[str], need: int, prefix: list[str]) -> Column:
+    d = d.withColumn("blocks", F.when(may, blocks).otherwise(F.lit(None))).withColumn("words", F.when(may, F.split("t", " ")))
+    d = d.withColumn("all_words", F.array_intersect(_strings(ordered), F.col("words")))
+
+    def in_windows(words: list[str], need: int, width: int) -> Column:
+        """The most words of a template in ``width`` words of the text, 0 if fewer than needed."""
+        def best(hits: Column) -> Column:  # the template's words in the text, with their places
+            def of(first: Column, j: Column) -> Column:
+                end = first["at"] + width
+                near = F.get(hits, j + (need - 1))["at"] < end
+                inside = F.filter(F.slice(hits, j + 1, F.lit(width)), lambda h: h["at"] < end)
+                return F.when(near, F.size(F.array_distinct(F.transform(inside, lambda h: h["word"])))).otherwise(0)
+
+            return F.array_max(F.transform(hits, of))
+
+        places = F.transform("words", lambda w, i: F.struct(w.alias("word"), i.alias("at")))
+        hits = F.filter(places, lambda p: p["word"].isin(words))
+        most = F.element_at(F.transform(F.array(hits), best), 1)  # an array of one: hits are found once
+        enough = F.size(F.array_intersect("all_words", _strings(words))) >= need
+        return F.when(enough, F.when(most >= need, most).otherwise(0)).otherwise(0)
+
+    def share(words: list[str], need: int, prefix: list[str], width: int) -> Column:
         """The largest containment of a template in a block, 0 if below the threshold."""
         def of(b: Column) -> Column:
             common = F.array_intersect(b, _strings(prefix))
@@ -103,7 +124,8 @@ def scan_licenses(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLA
             size = F.size(F.array_intersect(b, _strings(words)))
             return F.when(could, F.when(size >= need, size / F.lit(float(len(words)))).otherwise(0.0)).otherwise(0.0)
 
-        return F.coalesce(F.array_max(F.transform("blocks", of)), F.lit(0.0))
+        lines = F.coalesce(F.array_max(F.transform("blocks", of)), F.lit(0.0))
+        return F.greatest(lines, F.coalesce(in_windows(words, need, width), F.lit(0)) / F.lit(float(len(words))))
 
     d = d.withColumn("shares", F.when(F.col("blocks").isNotNull(), F.array(*[share(*w[1:]) for w in wanted])).otherwise(F.array(*[F.lit(0.0) for _ in wanted])))
     met = F.array_compact(F.array(*[F.when(F.element_at("shares", i + 1) > 0, F.lit(w[0])) for i, w in enumerate(wanted)]))

@@ -42,6 +42,38 @@ def test_matches_brute_force(spark, docs, corpus, empty):
     assert L.scan_licenses(docs).count() == len(corpus) and L.scan_licenses(empty).count() == 0
 
 
+WRAPPED = [
+    ("Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software", "mit"),
+    ("# Redistribution and use in source and binary forms, with or without\n# modification, are permitted provided that the following conditions\n# are met:\n", "bsd"),
+    ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL", "mpl-2"),
+    ("/* This Source Code Form is subject to the terms of the Mozilla Public\r\n * License, v. 2.0. If a copy */", "mpl-2"),
+    ("Text before.\n\nLicensed under CC\nBY-SA 4.0.\nText after.", "cc-by-sa"),
+    ("the of " * 3000 + "This work is licensed under\nthe GNU General Public License,\nversion 3.", "gpl-3"),
+    # All words of a template, but far apart; and its words in a window with too many others.
+    ("This source\ncode form is subject " + "word " * 50 + "\nto the terms of the Mozilla\nPublic License v. 2.0.", ""),
+    ("licensed under one two\ncc three by four sa 4. 0", ""),
+    ("licensed licensed under under\ncc cc by. by sa sa", ""),
+]
+
+
+def windows(text):
+    w, labels, score = WORD.findall(text.translate(LOWER)), set(), 0.0
+    for label, template in L.TEMPLATES:
+        m, n = set(template.split()), -(-len(template.split()) * 10 // 9)
+        share = max(len(set(w[i : i + n]) & m) for i in range(len(w))) / len(m)
+        if share >= L.THRESHOLD - 1e-9:
+            labels.add(label)
+            score = max(score, share)
+    return ",".join(sorted(labels)), score
+
+
+def test_notices_over_several_lines(spark):
+    rows = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(WRAPPED)], "doc_id long, text string")
+    got = {r.doc_id: (r.labels, r.score) for r in L.scan_licenses(rows).collect()}
+    for i, (t, label) in enumerate(WRAPPED):
+        assert got[i] == windows(t) and got[i][0] == label, t
+
+
 def test_no_python_on_the_executors(docs):
     plan = L.scan_licenses(docs)._jdf.queryExecution().toString()
     assert "MapInArrow" not in plan and "Python" not in plan
