@@ -278,6 +278,13 @@ def jaccard_components(docs: DataFrame, ngram: int = 3, percent: int = 90, subpa
     null doc_id have a null component and link nothing.  Repeated rows are copies: one set.
     An empty table gives an empty one; other columns are ignored.
     """
+    return _components(docs, ngram, percent, subparts).drop("root")
+
+
+def _components(docs: DataFrame, ngram: int, percent: int, subparts: int) -> DataFrame:
+    """The rows of ``jaccard_components`` with the root (a node) of each one's component, which
+    unlike component_id no two components share, also where rows with different texts have
+    one doc_id."""
     spark = prepare(docs.sparkSession)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -314,21 +321,21 @@ def jaccard_components(docs: DataFrame, ngram: int = 3, percent: int = 90, subpa
     member = nodes.join(roots, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"))
     least = member.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     ends = links.select("x").unionByName(links.select(F.col("y").alias("x"))).groupBy(F.col("x").alias("node")).agg(F.count(F.lit(1)).alias("links"))
-    found = member.join(least, "root").join(ends, "node", "left").select("node", "component_id", F.coalesce("links", F.lit(0)).alias("links"))
+    found = member.join(least, "root").join(ends, "node", "left").select("node", "root", "component_id", F.coalesce("links", F.lit(0)).alias("links"))
     linked = F.col("n_shingles") > 0
     made = sets.select("doc_id", "row_key", "n_shingles", F.when(linked, F.col("node")).alias("node")).join(found, "node", "left")
     own = F.when(linked & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.when(~linked, F.col("doc_id")))
-    return made.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce("links", F.lit(0)).alias("links"), "row_key")
+    return made.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce("links", F.lit(0)).alias("links"), "row_key", "root")
 
 
 def keep_one_of_each(docs: DataFrame, ngram: int = 5, percent: int = 80, subparts: int = 2) -> DataFrame:
     """``docs`` with one row of each group of near copies: the one with the smallest doc_id.
 
     Rows without words or doc_id are in no group and stay.  All columns stay; of rows with
-    equal doc_id and text any one does.
+    equal doc_id and text any one does.  Groups may share their smallest doc_id: each keeps a row.
     """
-    groups = jaccard_components(docs, ngram, percent, subparts)
-    first = groups.where("n_shingles > 0 AND doc_id = component_id").groupBy("component_id").agg(F.min("row_key").alias("__row"))
+    groups = _components(docs, ngram, percent, subparts)
+    first = groups.where("n_shingles > 0 AND doc_id = component_id").groupBy("root").agg(F.min("row_key").alias("__row"))
     single = F.col("doc_id").isNull() | ~F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]")
     keyed = docs.where(~single).withColumn("__row", F.xxhash64(F.col("doc_id").cast("long"), "text"))
     kept = keyed.join(first.select("__row"), "__row", "left_semi").dropDuplicates(["__row"]).drop("__row")

@@ -97,6 +97,13 @@ def test_keep_one_of_each(docs, corpus, empty):
     assert J.keep_one_of_each(empty).count() == 0 and J.jaccard_components(empty).count() == 0
 
 
+def test_groups_with_one_smallest_id_keep_a_row_each(spark):
+    a, b = [" ".join(f"{x}{i}" for i in range(60)) for x in "ab"]
+    rows = [(1, a), (1, b), (2, a + " more"), (3, b + " more"), (1, a)]
+    out = J.keep_one_of_each(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted((r.doc_id, r.text) for r in out.collect()) == [(1, a), (1, b)]
+
+
 def test_components_of_chains_and_stars(spark):
     rng = random.Random(9)
     names = rng.sample(range(1, 10**6), 400)
