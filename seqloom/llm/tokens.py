@@ -56,6 +56,16 @@ def units(t: K.Texts) -> K.Words:
     return K.Words(t, starts, ends, np.searchsorted(starts, t.offsets))
 
 
+def special_units(w: K.Words) -> np.ndarray:
+    """The units that hold ``<|``: special tokens are met in their exact case only."""
+    data = w.texts.data
+    at = np.flatnonzero((data[:-1] == 60) & (data[1:] == 124))
+    if not len(at):
+        return at
+    i = np.searchsorted(w.starts, at, side="right") - 1
+    return np.unique(i[at + 1 < w.ends[i]])
+
+
 class Table:
     """A hash table from non-zero 64-bit keys to row numbers, for arrays of keys."""
 
@@ -136,7 +146,11 @@ class WordEncoder:
         w = units(K.texts(column))
         if not len(w.starts):
             return np.empty(0, np.int32), np.zeros(len(w.first), np.int64)
-        keys = w.hashes(lower=True) | K.U64(1)
+        keys = w.hashes(lower=True)
+        special = special_units(w)
+        if len(special):
+            keys[special] = K.Words(w.texts, w.starts[special], w.ends[special], w.first).hashes()
+        keys |= K.U64(1)
         rows = self.table.find(keys)
         new = np.flatnonzero(rows < 0)
         if len(new):

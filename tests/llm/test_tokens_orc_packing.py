@@ -38,6 +38,16 @@ def test_encoder_equals_tokenizer(tokenizer, corpus, remembered):
             assert ids[a:b].tolist() == ids_of(tokenizer, t)
 
 
+@pytest.mark.parametrize("texts", [["<|ENDOFTEXT|> a", "b <|endoftext|>"], ["<|endoftext|>", "x<|EndOfText|>", "<|ENDOFTEXT|>", "X<|endoftext|>"]])
+def test_special_tokens_keep_their_case(tokenizer, texts):
+    for order in (texts, texts[::-1]):
+        e = WordEncoder(SPEC)
+        for part in (order[:1], order):
+            ids, bounds = e.encode(pa.array(part, pa.string()))
+            for t, a, b in zip(part, bounds, bounds[1:], strict=False):
+                assert ids[a:b].tolist() == ids_of(tokenizer, t)
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.text(st.characters(codec="utf-8"), max_size=60))
 def test_encoder_on_any_text(text):
