@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from seqloom.llm._spark import stored
 from seqloom.llm.jaccard_join import keep_one_of_each
-from seqloom.llm.mixing import mix_sources
+from seqloom.llm.mixing import take_mix
 from seqloom.llm.packing import pack_documents
 from seqloom.llm.queries import tokenizer_path
 from seqloom.llm.repetition import keep_good
@@ -37,8 +37,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it, up to three times."""
-    taken = mix_sources(docs, keep_columns=True)
-    return taken.withColumn("copies", F.explode(F.array_repeat(F.lit(1), F.col("copies")))).drop("copies")
+    return take_mix(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

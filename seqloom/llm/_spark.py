@@ -1,4 +1,4 @@
-"""Session helpers shared by the operators: code shipping, shared tables, Arrow batches."""
+"""Session helpers shared by the operators: code shipping, columns, shared tables."""
 
 from __future__ import annotations
 
@@ -38,12 +38,36 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def numbered(docs: DataFrame, *wanted: str) -> tuple[DataFrame, list[str]]:
+    """``docs`` with its columns renamed to c0, c1, ... by position, so that no name of the
+    user's can clash with an operator's, and the new names of the ``wanted`` columns.
+
+    A wanted column is the one of exactly that name, else the only one that differs in case.
+    """
+    names, found = docs.columns, []
+    for w in wanted:
+        at = [i for i, n in enumerate(names) if n == w] or [i for i, n in enumerate(names) if n.lower() == w.lower()]
+        if len(at) != 1:
+            raise ValueError(f"one column {w!r} is needed, of {names}")
+        found.append(f"c{at[0]}")
+    return docs.toDF(*[f"c{i}" for i in range(len(names))]), found
+
+
+def columns(docs: DataFrame, *wanted: str) -> DataFrame:
+    """Only the ``wanted`` columns, whatever else ``docs`` holds."""
+    d, found = numbered(docs, *wanted)
+    return d.select(*found).toDF(*wanted)
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or where that is unset
-    (tests on one machine) a new local folder."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The folder all executors share: ``spark.checkpoint.dir``, else the context's checkpoint
+    folder.  Where neither is set, a local folder serves a session on one machine; on a
+    cluster its executors would each write to their own disk, so that is refused."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if named:
         return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _local_dirs:
         _local_dirs[app] = tempfile.mkdtemp(prefix="seqloom-shared-")
@@ -52,14 +76,40 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
+    """A new path below the shared folder, which is deleted when the driver's JVM ends."""
+    path = os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return path
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read back: it is computed once,
-    its lineage is cut, and a lost executor takes nothing with it."""
-    path = new_path(df.sparkSession, name)
+class Stored:
+    """Tables that an operator needs only until its next steps are stored."""
+
+    def __init__(self) -> None:
+        self.held: list[tuple[SparkSession, str]] = []
+
+    def add(self, df: DataFrame, name: str) -> DataFrame:
+        path = new_path(df.sparkSession, name)
+        self.held.append((df.sparkSession, path))
+        return _write(df, path)
+
+    def release(self) -> None:
+        """Delete the tables.  Nothing that is still to be computed may read them."""
+        for spark, path in self.held:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        self.held = []
+
+
+def _write(df: DataFrame, path: str) -> DataFrame:
     # Hashes and texts gain nothing from dictionaries; small row groups keep writers small.
     options = {"compression": "zstd", "parquet.enable.dictionary": "false", "parquet.block.size": str(16 << 20)}
     df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as Parquet to the shared folder and read back: it is computed once,
+    its lineage is cut, and a lost executor takes nothing with it."""
+    return _write(df, new_path(df.sparkSession, name))

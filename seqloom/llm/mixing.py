@@ -1,12 +1,13 @@
 """Mixing sources to target weights by subset-sum budget fitting.
 
 Documents are counted by source and exact word length.  Every document is taken as often
-as the source's target holds the whole source; for the rest of the target each length gives
-its share, and a bounded-knapsack dynamic programme over the lengths that are left fills the
-remaining words exactly, where lengths allow it.  A document is repeated beyond that only if
-the others can't fill the target.  Which documents of a length are taken
-follows a seeded hash order, found by counting hash buckets, so no length, however common,
-is sorted in one task.
+as the source's target holds the whole source.  Of the rest of the target each stretch of
+lengths first gives its share: a systematic sample along the lengths, which stays below the
+target by less than the longest document, however large the source.  A bounded-knapsack
+dynamic programme over the documents that are left then fills the remaining words, exactly
+where lengths allow it.  A document is repeated beyond that only if the others can't fill
+the target.  Which documents of a length are taken follows a seeded hash order, found by
+counting hash buckets, so no length, however common, is sorted in one task.
 """
 
 from __future__ import annotations
@@ -18,11 +19,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._spark import prepare, stored
+from ._spark import numbered, prepare, stored
 
 WEIGHTS, MAX_REPEATS, SEED = (1, 2, 3), 3, 17
-#: Words that the dynamic programme fits exactly; more than that is first filled greedily.
-EXACT_WORDS = 16_384
+#: Starts that are tried for the systematic sample.
+STARTS = 64
+#: Samples that are tried, each with one longest length more left for the knapsack.
+SLACKS = 4
 BUCKETS = 256
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -46,63 +49,110 @@ def targets(sizes: Sequence[tuple[str | None, int]], weights: Sequence[int] = WE
     return out
 
 
-def _fill(lengths: np.ndarray, free: np.ndarray, left: int, exact: int) -> np.ndarray:
-    """Items of each length, at most ``free``, that come nearest to ``left`` words from below:
-    long ones first while more than ``exact`` is left, then an exact bounded knapsack."""
+def proportional(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
+    """Items of each length by a systematic sample, so that every stretch of lengths gives
+    its share and the words stay at or below ``budget``.
+
+    The expected number of items, summed up from the longest length down, is cut at whole
+    numbers shifted by a start.  From start 0 what is missing is less than the longest
+    length; of the other starts the one that comes nearest from below is taken.
+    """
+    total = int((lengths * counts).sum())
+    counts = np.where(lengths > 0, counts, 0)
+    if budget >= total:
+        return counts
+    down = np.argsort(-lengths, kind="stable")
+    size, have = lengths[down], counts[down]
+    expected = np.concatenate(([0.0], np.cumsum(have, dtype=np.float64) * (budget / total)))
+    best, most = np.zeros(len(size), np.int64), 0
+    for start in range(STARTS):
+        take = np.minimum(np.diff(np.floor(expected + start / STARTS)).astype(np.int64), have)
+        words = int((take * size).sum())
+        if most < words <= budget:
+            best, most = take, words
+    out = np.zeros(len(lengths), np.int64)
+    out[down] = best
+    return out
+
+
+def knapsack(lengths: np.ndarray, free: np.ndarray, left: int, seed: int = SEED) -> np.ndarray:
+    """Items of each length, at most ``free``, whose words come nearest to ``left`` from below.
+
+    The dynamic programme marks the sums that can be reached with the item groups offered so
+    far, and for each sum the first group that reached it.  Groups come in a seeded order
+    in which common lengths tend to be early: one item of each length, then two, four and so
+    on, until ``left`` is reached or all are offered.  Lengths that share a divisor are
+    counted in units of it.  Memory is four bytes for each unit of ``left``.
+    """
     take = np.zeros(len(lengths), np.int64)
-    usable = [i for i in np.argsort(-lengths, kind="stable").tolist() if lengths[i] > 0 and free[i] > 0]
-    for i in usable:
-        if left <= exact:
-            break
-        # Leave the knapsack something to choose from.
-        more = min(int(free[i]), (left - exact // 2) // int(lengths[i]))
-        take[i] += more
-        left -= more * int(lengths[i])
-    for i in usable:
-        if left <= exact:
-            break
-        more = min(int(free[i] - take[i]), left // int(lengths[i]))
-        take[i] += more
-        left -= more * int(lengths[i])
-    # Bit b of reach says that b words can be filled; counts go in powers of two.
-    bound = min(left, exact)
-    mask, reach, steps = (1 << (bound + 1)) - 1, 1, []
-    for i in reversed(usable):
-        room, k = min(int(free[i] - take[i]), bound // int(lengths[i])), 1
-        while room > 0 and not reach >> bound & 1:
-            m = min(k, room)
-            steps.append((i, m, reach))
-            reach |= reach << (int(lengths[i]) * m) & mask
-            room, k = room - m, 2 * k
-    at = reach.bit_length() - 1
-    for i, m, before in reversed(steps):
-        if not before >> at & 1:
-            take[i] += m
-            at -= m * int(lengths[i])
+    usable = np.flatnonzero((lengths > 0) & (lengths <= left) & (free > 0))
+    if left <= 0 or not len(usable):
+        return take
+    unit = int(np.gcd.reduce(lengths[usable]))
+    bound = left // unit
+    first = np.full(bound + 1, -1, np.int32)  # the group that first reached each sum
+    first[0] = 0
+    groups: list[tuple[int, int]] = [(-1, 0)]
+    order = usable[np.argsort(np.random.default_rng(seed).exponential(size=len(usable)) / free[usable], kind="stable")]
+    room, n, top = free.copy(), 1, 0
+    while first[bound] < 0 and len(order):
+        for i in order.tolist():
+            m = int(min(n, room[i]))
+            step = int(lengths[i]) // unit * m
+            room[i] -= m
+            if step > bound:
+                continue
+            until = min(bound, top + step)
+            new = np.flatnonzero((first[: until + 1 - step] >= 0) & (first[step : until + 1] < 0)) + step
+            if len(new):
+                groups.append((i, m))
+                first[new] = len(groups) - 1
+                top = max(top, int(new[-1]))
+                if first[bound] >= 0:
+                    break
+        n *= 2
+        order = order[(room[order] > 0) & (lengths[order] // unit * np.minimum(n, room[order]) <= bound)] if n > 1 else order
+    at = int(np.flatnonzero(first >= 0)[-1])
+    while at:
+        i, m = groups[first[at]]
+        take[i] += m
+        at -= int(lengths[i]) // unit * m
     return take
 
 
-def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int, passes: int = 1, exact: int = EXACT_WORDS) -> np.ndarray:
-    """How many items of each length to take so that the total comes near to ``budget``: the
-    share of every length, then what fits of the rest; items are taken a second time (up to
-    ``passes`` times) only for words that single ones can't fill."""
-    total = int((lengths * counts).sum())
-    if budget <= 0 or not total:
+def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int, passes: int = 1) -> np.ndarray:
+    """How many items of each length to take so that the total comes near to ``budget``: a
+    systematic sample, then the knapsack for all that is left; items are taken a second time
+    (up to ``passes`` times) only for words that single ones can't fill.
+
+    If what the sample leaves can't be filled to the word, samples that leave one longest
+    length more each are tried as well, and the nearest total is kept.
+    """
+    if budget <= 0 or not int((lengths * counts).sum()):
         return np.zeros(len(lengths), np.int64)
-    take = np.array([min(c, c * budget // total) for c in counts.tolist()], np.int64)
-    for k in range(1, passes + 1):
+    longest, best, miss = int(lengths[counts > 0].max()), None, budget + 1
+    for slack in range(SLACKS):
+        take = proportional(lengths, counts, max(0, budget - slack * longest))
+        for k in range(1, passes + 1):
+            take = take + knapsack(lengths, k * counts - take, budget - int((take * lengths).sum()))
         left = budget - int((take * lengths).sum())
-        take += _fill(lengths, k * counts - take, left, exact)
-    left = budget - int((take * lengths).sum())
-    # A single item more may come nearer from above.
-    over = [i for i in range(len(lengths)) if take[i] < passes * counts[i] and 0 < lengths[i] - left < left]
-    if over:
-        take[min(over, key=lambda i: lengths[i])] += 1
-    return take
+        # A single item more may come nearer from above.
+        over = [i for i in range(len(lengths)) if take[i] < passes * counts[i] and 0 < lengths[i] - left < left]
+        if over:
+            more = min(over, key=lambda i: lengths[i])
+            take[more] += 1
+            left = int(lengths[more]) - left
+        if left < miss:
+            best, miss = take, left
+        if not miss or slack * longest >= budget:
+            break
+    return best
 
 
 def _plan(group: pa.Table) -> pa.Table:
     """For each length: every document's copies (times), and how many get one more (extra)."""
+    order = np.argsort(group.column("size").to_numpy(), kind="stable")  # the same in every run
+    group = group.take(pa.array(order))
     size, n = group.column("size").to_numpy(), group.column("n").to_numpy()
     target = group.column("target")[0].as_py()
     whole = int((size * n).sum())
@@ -111,39 +161,55 @@ def _plan(group: pa.Table) -> pa.Table:
     return group.append_column("times", pa.array(times + take // n, pa.int32())).append_column("extra", pa.array(take % n, pa.int64()))
 
 
-def mix_sources(docs: DataFrame, weights: Sequence[int] = WEIGHTS, seed: int = SEED, keep_columns: bool = False) -> DataFrame:
+def mix_sources(docs: DataFrame, weights: Sequence[int] = WEIGHTS, seed: int = SEED) -> DataFrame:
     """How often the mix takes each document: doc_id, size, source_size, target, copies int,
-    taken (size times copies); with ``keep_columns`` all columns of ``docs`` and copies.
+    taken (size times copies).
 
     Size is the number of words ``[^\\x20\\x09-\\x0D]+`` of the whole text (null: 0).  No
     document is taken more than three times.  The choice depends on seed, doc_id and text
-    alone, so reruns agree.  Documents without words are taken as often as their source's
-    whole passes.  Repeated rows are documents of their own; null sources are one source,
-    the last; an empty table gives an empty one.
+    alone, so reruns agree; of equal rows the same number is taken in every run.  Documents
+    without words are taken as often as their source's whole passes.  Repeated rows are
+    documents of their own; null sources are one source, the last; very long texts count like
+    others; an empty table gives an empty one.  Other columns are ignored.
 
     The words of each source, one row a source, are summed up on the driver: sources and
     their weights are a setting of the mix.
     """
+    d, made = _mixed(docs, weights, seed)
+    return made.select(F.col(d[0]).cast("long").alias("doc_id"), "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+def take_mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, seed: int = SEED) -> DataFrame:
+    """The rows of ``docs``, each as often as the mix takes it, with all their columns, whatever
+    their names.  Cases are those of ``mix_sources``."""
+    _, made = _mixed(docs, weights, seed)
+    kept = [f"c{i}" for i in range(len(docs.columns))]
+    times = made.where("copies > 0").withColumn("time", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return times.select(*kept).toDF(*docs.columns)
+
+
+def _mixed(docs: DataFrame, weights: Sequence[int], seed: int) -> tuple[list[str], DataFrame]:
+    """The names of doc_id, text and source among numbered columns, and the numbered rows
+    with size, source_size, target and copies."""
     spark = prepare(docs.sparkSession)
-    sized = docs.select(
-        *([F.col(f"`{c}`") for c in docs.columns] if keep_columns else ["doc_id", "source"]),
-        F.expr(f"CAST(regexp_count(coalesce(text, ''), r'{WORD}') AS BIGINT)").alias("__size"),
-        F.xxhash64(F.lit(seed), "doc_id", "text").alias("__h"),
-    ).withColumns({"__no_source": F.col("source").isNull(), "__source": F.coalesce("source", F.lit("")), "__bucket": F.pmod("__h", F.lit(BUCKETS)).cast("int")})
-    keys = ["__no_source", "__source", "__size"]
-    counted = stored(sized.groupBy(*keys, "__bucket").agg(F.count(F.lit(1)).alias("m")), "mix-counts")
-    sums = counted.groupBy("__no_source", "__source").agg(F.sum(F.col("__size") * F.col("m")).alias("words")).collect()
-    words = {None if r["__no_source"] else r["__source"]: r["words"] for r in sums}
+    d, (doc_id, text, source) = numbered(docs, "doc_id", "text", "source")
+    sized = d.withColumns({
+        "size": F.expr(f"CAST(regexp_count(coalesce({text}, ''), r'{WORD}') AS BIGINT)"),
+        "h": F.xxhash64(F.lit(seed), doc_id, text),
+        "no_source": F.col(source).isNull(),
+        "source": F.coalesce(F.col(source), F.lit("")),
+    }).withColumn("bucket", F.pmod("h", F.lit(BUCKETS)).cast("int"))
+    keys = ["no_source", "source", "size"]
+    counted = stored(sized.groupBy(*keys, "bucket").agg(F.count(F.lit(1)).alias("m")), "mix-counts")
+    sums = counted.groupBy("no_source", "source").agg(F.sum(F.col("size") * F.col("m")).alias("words")).collect()
+    words = {None if r["no_source"] else r["source"]: r["words"] for r in sums}
     goal = targets(list(words.items()), weights)
-    goals = spark.createDataFrame([(s is None, s or "", n, float(goal[s])) for s, n in words.items()], "__no_source boolean, __source string, source_size long, target double")
-    lengths = counted.groupBy(*keys).agg(F.sum("m").alias("n")).join(goals, ["__no_source", "__source"])
-    lengths = lengths.select("__no_source", "__source", F.col("__size").alias("size"), "n", "source_size", "target")
-    plan = lengths.groupBy("__no_source", "__source").applyInArrow(_plan, "__no_source boolean, __source string, size long, n long, source_size long, target double, times int, extra long")
-    before = Window.partitionBy(*keys).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    goals = spark.createDataFrame([(s is None, s or "", n, float(goal[s])) for s, n in words.items()], "no_source boolean, source string, source_size long, target double")
+    lengths = counted.groupBy(*keys).agg(F.sum("m").alias("n")).join(goals, ["no_source", "source"]).select("no_source", "source", "size", "n", "source_size", "target")
+    plan = lengths.groupBy("no_source", "source").applyInArrow(_plan, "no_source boolean, source string, size long, n long, source_size long, target double, times int, extra long")
+    before = Window.partitionBy(*keys).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     counted = counted.withColumn("before", F.coalesce(F.sum("m").over(before), F.lit(0)))
-    parts = counted.join(plan.withColumnRenamed("size", "__size"), keys).select(*keys, "__bucket", "before", "source_size", "target", "times", "extra")
-    rank = F.row_number().over(Window.partitionBy(*keys, "__bucket").orderBy("__h", "doc_id"))
-    made = sized.join(parts, [*keys, "__bucket"]).withColumn("copies", F.col("times") + (F.col("before") + rank <= F.col("extra")).cast("int"))
-    if keep_columns:
-        return made.select(*[F.col(f"`{c}`") for c in docs.columns], "copies")
-    return made.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("__size").alias("size"), "source_size", "target", "copies", (F.col("__size") * F.col("copies")).alias("taken"))
+    parts = counted.join(plan, keys).select(*keys, "bucket", "before", "source_size", "target", "times", "extra")
+    rank = F.row_number().over(Window.partitionBy(*keys, "bucket").orderBy("h", doc_id, text))
+    made = sized.join(parts, [*keys, "bucket"]).withColumn("copies", F.col("times") + (F.col("before") + rank <= F.col("extra")).cast("int"))
+    return [doc_id, text, source], made

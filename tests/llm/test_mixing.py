@@ -6,7 +6,7 @@ import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from seqloom.llm.mixing import fit_budget, mix_sources, targets
+from seqloom.llm.mixing import fit_budget, knapsack, mix_sources, proportional, take_mix, targets
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -27,8 +27,9 @@ def test_small_budgets_are_fitted_as_near_as_possible(items, budget):
     take = fit_budget(lengths, counts, budget)
     assert (take >= 0).all() and (take <= counts).all()
     got = int((take * lengths).sum())
-    shares = [c * budget // max(1, int((lengths * counts).sum())) for c in counts]
-    start = [min(s, c) for s, c in zip(shares, counts, strict=True)] if budget < (lengths * counts).sum() else counts
+    start = proportional(lengths, counts, budget)
+    assert (start * lengths).sum() <= budget and budget - (start * lengths).sum() <= max(lengths) or (start == counts)[lengths > 0].all()
+    start = np.zeros(len(counts), int) if 3 * max(lengths) >= budget else start
     reach = {sum(int(length) * n for length, n in zip(lengths, pick, strict=True)) for pick in product(*[range(s, c + 1) for s, c in zip(start, counts, strict=True)])}
     below = max((x for x in reach if x <= budget), default=0)
     assert got == below or abs(got - budget) <= abs(below - budget)
@@ -43,6 +44,28 @@ def test_large_budget_is_exact():
         assert int((fit_budget(lengths, counts, budget) * lengths).sum()) == budget
 
 
+def test_samples_are_not_skewed():
+    """Words left for the knapsack may be many; long and short texts are taken alike."""
+    rng = np.random.default_rng(3)
+    lengths, counts = np.unique(np.minimum(rng.lognormal(5.5, 1.2, 20000).astype(int) + 1, 60000), return_counts=True)
+    pool = (lengths * counts).sum() / counts.sum()
+    for share in (0.003, 0.02, 0.3, 0.77, 0.98):
+        budget = int((lengths * counts).sum() * share)
+        take = fit_budget(lengths, counts, budget)
+        assert (take * lengths).sum() == budget and (take <= counts).all()
+        assert abs((take * lengths).sum() / take.sum() / pool - 1) < 0.05, share
+
+
+def test_knapsack_of_many_words():
+    rng = np.random.default_rng(5)
+    lengths = np.unique(rng.integers(1000, 90000, 300))
+    free = rng.integers(1, 4, len(lengths))
+    left = 1_234_567
+    take = knapsack(lengths, free, left)
+    assert (take * lengths).sum() == left and (take <= free).all() and (take >= 0).all()
+    assert (knapsack(np.array([6, 9, 15]), np.array([5, 5, 5]), 100) * [6, 9, 15]).sum() == 99
+
+
 def test_mix(docs, corpus, empty):
     rows = mix_sources(docs).collect()
     assert len(rows) == len(corpus)
@@ -70,8 +93,8 @@ def test_mix(docs, corpus, empty):
         assert abs(taken[k] - t) <= best + 1
     again = mix_sources(docs.repartition(7)).collect()
     assert sorted(map(str, again)) == sorted(map(str, rows))
-    whole = mix_sources(docs, keep_columns=True)
-    assert whole.columns == [*docs.columns, "copies"] and whole.count() == len(corpus)
+    whole = take_mix(docs)
+    assert whole.columns == docs.columns and whole.count() == sum(r.copies for r in rows)
     assert mix_sources(empty).count() == 0
 
 
