@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._spark import new_path, prepare
+from ._spark import columns, new_path, prepare
 from .tokens import encoded
 
 FILE_SCHEMA = "shard int, doc_id long, shard_start long, n_tokens long, tokens array<int>"
@@ -38,17 +38,20 @@ def _encode(spec, end_id: int | None):
 def write_token_orc(docs: DataFrame, path: str, tokenizer_path: str, end_id: int | None = None, shards: int | None = None, stripe_bytes: int = 32 << 20, row_index_stride: int = 1000) -> None:
     """Encode every whole text and write shards of ids in ascending doc_id order.
 
-    The order is by doc_id (null first), then text, so it is the same in every run.  A null
-    text has no ids but ``end_id``.  Repeated rows are written each.  An empty table gives
-    a folder without rows.  Further columns of ``docs`` are ignored.
+    The order is by doc_id (null first), a hash of the text, then text, so it is the same in
+    every run, and an id with very many rows takes several shards.  A null text has no ids
+    but ``end_id``; very long ones are one row.  Repeated rows are written each, in one
+    shard.  An empty table gives a folder without rows.  Other columns are ignored.
     """
     spark = prepare(docs.sparkSession)
     with open(tokenizer_path, encoding="utf-8") as f:
         spec = spark.sparkContext.broadcast(f.read())  # one tokenizer file, a few MB
     n = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
+    d = columns(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h"))
+    d = d.repartitionByRange(n, "doc_id", "h").sortWithinPartitions("doc_id", "h", "text")
     (
-        d.mapInArrow(_encode(spec, end_id), FILE_SCHEMA)
+        d.select("doc_id", "text")
+        .mapInArrow(_encode(spec, end_id), FILE_SCHEMA)
         .write.option("orc.bloom.filter.columns", "doc_id")
         .option("orc.bloom.filter.fpp", "0.01")
         .option("orc.row.index.stride", str(row_index_stride))

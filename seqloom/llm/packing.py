@@ -1,11 +1,14 @@
 """Best-fit packing with certified bin counts.
 
 Pieces are dealt into parts by their row number (never by a key of the data), so that each part holds
-a bounded number of pieces, and every part is packed by best-fit decreasing.  Lower bounds
-from dual-feasible functions certify a part whose number of bins none can beat.  Parts with
-a gap hand back the pieces of all bins that are not full.  Certified parts hand back those of
-their emptiest bin, or, where large pieces and not the sum of all set the bound, those of all
-bins that are not 99 % full.  What came back is dealt anew into larger parts and packed again.
+a bounded number of pieces, and every part, also a single one, is packed by best-fit
+decreasing.  Lower bounds from dual-feasible functions certify a part whose number of bins
+none can beat.  Parts with a gap hand back the pieces of all bins that are not full.
+Certified parts hand back those of their emptiest bin, or, where large pieces and not the
+sum of all set the bound, those of all bins that are not 99 % full.  What came back is dealt
+anew into larger parts and packed again; once larger parts no longer narrow the gap, only
+emptiest bins go on, until one part holds the rest.  Every row says whether its sequence is
+certified.
 """
 
 from __future__ import annotations
@@ -20,12 +23,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import prepare, stored
+from ._spark import columns, prepare, stored
 from .tokens import encoded
 
 CAPACITY = 4096
-#: Pieces of one part at most on average, and rounds of repacking at most.
-PART_PIECES, ROUNDS = 100_000, 4
+#: Pieces of one part on average in the first round, and how often parts double in size: a
+#: part is one task, so it can't grow with the table.
+PART_PIECES, DOUBLINGS = 25_000, 4
 
 
 def lower_bound(lengths: np.ndarray, capacity: int = CAPACITY) -> int:
@@ -52,8 +56,8 @@ def lower_bound(lengths: np.ndarray, capacity: int = CAPACITY) -> int:
 
 
 def best_fit_decreasing(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray, int]:
-    """Bin and offset of each item, and the number of bins.  Items of one length are placed
-    together: each open bin of the tightest room that fits takes as many as it can."""
+    """Bin and offset of each item, and the number of bins.  Items are placed one by one, the
+    longest first, each in the open bin with the least room that fits it."""
     order = np.argsort(-lengths, kind="stable")
     bins, offsets = np.empty(len(lengths), np.int64), np.empty(len(lengths), np.int64)
     rooms: list[list[int]] = [[] for _ in range(capacity + 1)]
@@ -111,63 +115,73 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, end_id: int | None = 1, c
     spark = prepare(docs.sparkSession)
     with open(tokenizer_path, encoding="utf-8") as f:
         spec = spark.sparkContext.broadcast(f.read())  # one tokenizer file, a few MB
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_cut(spec, end_id, capacity), _PIECES)
+    return columns(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_cut(spec, end_id, capacity), _PIECES)
 
 
-_PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, row long, part int, bin int, offset long, done boolean"
+_PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, row long, part int, bin int, offset long, done boolean, least boolean, certified boolean, gap int"
 
 
-def _pack(capacity: int, last: bool):
+def _pack(capacity: int, alone: bool):
     def run(group: pa.Table) -> pa.Table:
         lengths = group.column("length").to_numpy()
         bins, offsets, n = best_fit_decreasing(lengths, capacity)
         fill = np.bincount(bins, weights=lengths, minlength=n).astype(np.int64)
+        gap = n - lower_bound(lengths, capacity)
         done = np.ones(n, bool)
-        if not last:
-            if n > lower_bound(lengths, capacity):
+        if not alone:
+            if gap:
                 done = fill == capacity
             elif n > -(-int(lengths.sum()) // capacity):
                 # Certified for these pieces, but small ones of other parts may fill the gaps.
                 done = fill >= capacity - capacity // 100
             else:
                 done[np.argmin(fill)] = fill.min() == capacity
-        for name, values, kind in (("bin", bins, pa.int32()), ("offset", offsets, pa.int64()), ("done", done[bins], pa.bool_())):
+        certified, least = (fill == capacity) | (gap == 0), np.arange(n) == np.argmin(fill)
+        made = (("bin", bins, pa.int32()), ("offset", offsets, pa.int64()), ("done", done[bins], pa.bool_()), ("least", least[bins], pa.bool_()), ("certified", certified[bins], pa.bool_()), ("gap", np.full(len(bins), gap), pa.int32()))
+        for name, values, kind in made:
             group = group.append_column(name, pa.array(values, kind))
         return group
 
     return run
 
 
-def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, part_pieces: int = PART_PIECES, rounds: int = ROUNDS) -> DataFrame:
+def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, part_pieces: int = PART_PIECES, doublings: int = DOUBLINGS) -> DataFrame:
     """Pieces (with columns length and row, a number of their own) and their place:
-    sequence_id, offset.
-
-    A piece that fills a sequence is a certified bin of its own and is not packed.  In each
-    round the certified parts are done but for their emptiest bin; the rest goes to the next
-    round, in parts of twice as many pieces, until one part is left or the rounds are over.  sequence_id is the row of a full piece, else round, part and bin.
+    sequence_id, offset, and certified: the sequence is full, or its part of the pieces has
+    no more sequences than the lower bound.
+
+    A piece that fills a sequence is a bin of its own and is not packed.  Each round settles
+    the certified parts but for what they hand back; the rest goes to the next round, in
+    parts of twice as many pieces, up to ``doublings`` times.  When parts no longer grow and a
+    round narrows the sum of the gaps no further, its sequences are taken as they are, those
+    of parts with a gap with certified false, and only each part's emptiest goes on.  Rounds
+    end when one part holds all that is left.  sequence_id is the row of a full piece, else round, part and bin.
     """
-    columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
-    made = pieces.where(F.col("length") == capacity).select(*columns, F.col("row").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    names = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    made = pieces.where(F.col("length") == capacity).select(*names, F.col("row").alias("sequence_id"), F.lit(0).cast("long").alias("offset"), F.lit(True).alias("certified"))
     rest = pieces.where(F.col("length") < capacity)
-    n = rest.count()
-    for r in range(rounds):
-        if not n:
-            break
-        parts = max(1, math.ceil(n / (part_pieces << r)))
-        last = parts == 1 or r == rounds - 1
+    n, r, before = rest.count(), 0, math.inf
+    while n:
+        parts = max(1, math.ceil(n / (part_pieces << min(r, doublings))))
         dealt = rest.withColumn("part", F.pmod(F.xxhash64("row", F.lit(r)), F.lit(parts)).cast("int"))
-        packed = stored(dealt.groupBy("part").applyInArrow(_pack(capacity, last), _PACKED), f"packing-{r}")
-        sequence = F.shiftleft(F.lit(r + 1).cast("long"), 58) + F.shiftleft(F.col("part").cast("long"), 32) + F.col("bin")
-        made = made.unionByName(packed.where("done").select(*columns, sequence.alias("sequence_id"), "offset"))
-        rest = packed.where("not done").drop("part", "bin", "offset", "done")
-        n = 0 if last else rest.count()
+        packed = stored(dealt.groupBy("part").applyInArrow(_pack(capacity, parts == 1), _PACKED), f"packing-{r}")
+        count = lambda c: F.sum(F.when(F.col(c), 1).otherwise(0))
+        by_part = packed.groupBy("part").agg(F.first("gap").alias("gap"), (F.count(F.lit(1)) - count("done")).alias("back"), count("least").alias("least"))
+        sums = by_part.agg(F.sum("gap").alias("gap"), F.sum("back").alias("back"), F.sum("least").alias("least")).first()
+        settle = parts > 1 and r >= doublings and sums["gap"] >= before
+        stays = ~F.col("least") if settle else F.col("done")  # a part alone is done
+        sequence = F.shiftleft(F.lit(r + 1).cast("long"), 57) + F.shiftleft(F.col("part").cast("long"), 32) + F.col("bin")
+        made = made.unionByName(packed.where(stays).select(*names, sequence.alias("sequence_id"), "offset", "certified"))
+        rest = packed.where(~stays).drop("part", "bin", "offset", "done", "least", "certified", "gap")
+        n, r, before = sums["least" if settle else "back"], r + 1, math.inf if settle else sums["gap"]
     return made
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int | None = 1, capacity: int = CAPACITY) -> DataFrame:
     """Pack all texts into few sequences of at most ``capacity`` ids: one row for each piece,
-    with doc_id, piece, start, length, ids_crc32, sequence_id, offset.
+    with doc_id, piece, start, length, ids_crc32, sequence_id, offset, certified.
 
+    A null or empty text is one piece of ``end_id``; very long texts are cut into full pieces.
     Repeated rows and equal ids are documents of their own.  An empty table gives an empty
     one; other columns are ignored.
     """
