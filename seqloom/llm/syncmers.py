@@ -2,14 +2,20 @@
 
 A window of ``k`` words is a closed syncmer if the smallest hash among its inner grams of
 ``s`` words is that of the first or the last.  Whether it is chosen depends on its own words
-alone, so a passage keeps its anchors wherever it stands.  A fingerprint is the ``size``
-smallest distinct syncmer hashes of a text, each with the position of its first word.
+alone, so a passage keeps its anchors wherever it stands.  A fingerprint is the sequence of
+all anchors of a text, each with the position of its first word, so it grows with the text.
+
+Two fingerprints are matched by position: equal anchors are paired (the first with the first,
+and so on), and the longest chain of pairs that stand in the same order in both counts.
 """
 
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -17,9 +23,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from ._spark import prepare
+from ._spark import columns, prepare
 
-K_WORDS, S_WORDS, SIZE = 5, 2, 64
+K_WORDS, S_WORDS = 8, 2
 _INNER, _OUTER = 0x8F3F73B5CF1C9ADF, 0x6A5D39EAE12657A9
 
 
@@ -39,55 +45,90 @@ def closed_syncmers(w: K.Words, k: int = K_WORDS, s: int = S_WORDS) -> tuple[np.
     return starts[by], K.spans_hash(h, starts[by], ends[by], _OUTER)
 
 
-def sketches(w: K.Words, k: int, s: int, size: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each text the smallest ``size`` distinct syncmer hashes, ascending, and positions."""
-    at, h = closed_syncmers(w, k, s)
-    doc = np.searchsorted(w.first, at, side="right") - 1
-    order = np.lexsort((at, h, doc))
-    d, x, p = doc[order], h[order], at[order]
-    new = np.concatenate(([True], (d[1:] != d[:-1]) | (x[1:] != x[:-1]))) if len(d) else np.zeros(0, bool)
-    d, x, p = d[new], x[new], p[new]
-    bounds = np.searchsorted(d, np.arange(len(w.first)))
-    return [(x[a : min(b, a + size)], p[a : min(b, a + size)] - w.first[i]) for i, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True))]
-
-
-def likeness(a: np.ndarray, b: np.ndarray, size: int) -> float:
-    """Jaccard similarity as the two sketches tell it: the share of common hashes among the
-    ``size`` smallest of both.  Two empty sketches are alike, an empty and another not."""
-    if not len(a) or not len(b):
-        return float(len(a) == len(b))
-    both = np.union1d(a, b)[:size]
-    common = np.intersect1d(a, b, assume_unique=True)
-    return float(np.searchsorted(common, both[-1], side="right")) / len(both)
-
+class Sketch(NamedTuple):
+    """Anchors of a text in its order: 32-bit hashes and word positions."""
 
-def matches(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> list[tuple[int, int]]:
-    """Positional matching: the positions (in a, in b) of shared anchors, ordered by a."""
-    _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
-    return sorted(zip(a[1][i].tolist(), b[1][j].tolist(), strict=True))
+    hashes: np.ndarray
+    positions: np.ndarray
 
 
-def as_text(sketch: tuple[np.ndarray, np.ndarray]) -> str:
-    return ",".join(f"{h:016x}@{p}" for h, p in zip(sketch[0].tolist(), sketch[1].tolist(), strict=True))
-
-
-def fingerprints(docs: DataFrame, k: int = K_WORDS, s: int = S_WORDS, size: int = SIZE) -> DataFrame:
+def sketches(w: K.Words, k: int, s: int) -> list[Sketch]:
+    """All closed syncmers of each text."""
+    at, h = closed_syncmers(w, k, s)
+    h = (h >> K.U64(32)).astype(np.uint32)
+    bounds = np.searchsorted(at, w.first)
+    return [Sketch(h[a:b], at[a:b] - w.first[i]) for i, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True))]
+
+
+def _numbered(h: np.ndarray) -> np.ndarray:
+    """Hashes joined with which occurrence of its hash each is."""
+    order = np.argsort(h, kind="stable")
+    x = h[order]
+    new = np.concatenate(([True], x[1:] != x[:-1]))
+    at = np.arange(len(x))
+    out = np.empty(len(h), np.uint64)
+    out[order] = (x.astype(np.uint64) << np.uint64(32)) + (at - np.maximum.accumulate(np.where(new, at, 0))).astype(np.uint64)
+    return out
+
+
+def matches(a: Sketch, b: Sketch) -> list[tuple[int, int]]:
+    """Positional matching: the longest chain of equal anchors, as indices in a and in b,
+    that stand in the same order in both."""
+    if not len(a.hashes) or not len(b.hashes):
+        return []
+    _, i, j = np.intersect1d(_numbered(a.hashes), _numbered(b.hashes), assume_unique=True, return_indices=True)
+    by = np.argsort(i)
+    i, j = i[by], j[by].tolist()
+    if all(x < y for x, y in zip(j, j[1:])):
+        return list(zip(i.tolist(), j, strict=True))
+    # The longest increasing run of b's places: ends[n] is the least end of a chain of n + 1.
+    ends, which, before = [], [], []
+    for at, place in enumerate(j):
+        n = bisect_left(ends, place)
+        before.append(which[n - 1] if n else -1)
+        ends[n : n + 1] = [place]
+        which[n : n + 1] = [at]
+    chain, at = [], which[-1] if which else -1
+    while at >= 0:
+        chain.append((int(i[at]), j[at]))
+        at = before[at]
+    return chain[::-1]
+
+
+def likeness(a: Sketch, b: Sketch) -> float:
+    """Anchors in the chain of both, of all anchors of both.  Two empty sketches are alike, an
+    empty and another not."""
+    total = len(a.hashes) + len(b.hashes)
+    common = len(matches(a, b))
+    return common / (total - common) if total else 1.0
+
+
+def as_text(x: Sketch) -> str:
+    """``hash@position`` of each anchor in turn, comma-joined."""
+    return ",".join([f"{h:08x}@{p}" for h, p in zip(x.hashes.tolist(), x.positions.tolist(), strict=True)])
+
+
+def from_text(fingerprint: str) -> Sketch:
+    pairs = [x.split("@") for x in fingerprint.split(",") if x]
+    return Sketch(np.array([int(h, 16) for h, _ in pairs], np.uint32), np.array([int(p) for _, p in pairs], np.int64))
+
+
+def fingerprints(docs: DataFrame, k: int = K_WORDS, s: int = S_WORDS) -> DataFrame:
     """doc_id, n_anchors long (closed syncmers of the whole text), fingerprint string
-    (``hash@position`` of the sketch, comma-joined; equal texts have equal ones).
+    (``hash@position`` of each, comma-joined; equal texts have equal ones).
 
-    A null or wordless text has no anchors and the fingerprint ''.  Repeated rows are
-    fingerprinted each; an empty table gives an empty one; other columns are ignored.
+    A null or wordless text has no anchors and the fingerprint ''; a very long one has all of
+    its anchors.  Repeated rows are fingerprinted each; an empty table gives an empty one;
+    other columns are ignored.
     """
     prepare(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in K.pieces(batches):
-            w = K.words(K.texts(b.column("text")))
-            at, _ = closed_syncmers(w, k, s)
-            counts = np.diff(np.searchsorted(at, w.first))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(counts, pa.int64()), pa.array([as_text(x) for x in sketches(w, k, s, size)])], names=["doc_id", "n_anchors", "fingerprint"])
+            found = sketches(K.words(K.texts(b.column("text"))), k, s)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(x.hashes) for x in found], pa.int64()), pa.array([as_text(x) for x in found], pa.string())], names=["doc_id", "n_anchors", "fingerprint"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_anchors long, fingerprint string")
+    return columns(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_anchors long, fingerprint string")
 
 
 def _edit(text: str, following: str) -> str:
@@ -99,15 +140,15 @@ _SCHEMA = [("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa
 _SQL = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
-def _compare(k: int, s: int, size: int):
+def _compare(k: int, s: int):
     def sketch(texts: list[str]):
-        return sketches(K.words(K.texts(pa.array(texts, pa.large_string()))), k, s, size)
+        return sketches(K.words(K.texts(pa.array(texts, pa.large_string()))), k, s)
 
     def judge(ids: list, texts: list[str], following: list[str]) -> pa.RecordBatch:
         edited = [_edit(a, b) for a, b in zip(texts, following, strict=True)]
         own, other = sketch(texts), sketch(edited)
         nxt = [*own[1:], *sketch(following[-1:])]  # texts are in order, without a gap
-        rows = [ids, [len(t) for t in texts], [hashlib.sha256(t.encode()).hexdigest() for t in edited], [as_text(x) for x in own], [as_text(x) for x in other], [likeness(a[0], b[0], size) for a, b in zip(own, other, strict=True)], [likeness(a[0], b[0], size) for a, b in zip(own, nxt, strict=True)]]
+        rows = [ids, [len(t) for t in texts], [hashlib.sha256(t.encode()).hexdigest() for t in edited], [as_text(x) for x in own], [as_text(x) for x in other], [likeness(a, b) for a, b in zip(own, other, strict=True)], [likeness(a, b) for a, b in zip(own, nxt, strict=True)]]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(rows, _SCHEMA, strict=True)], names=[n for n, _ in _SCHEMA])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,54 +175,81 @@ def _compare(k: int, s: int, size: int):
     return run
 
 
-def edited_fingerprints(docs: DataFrame, k: int = K_WORDS, s: int = S_WORDS, size: int = SIZE, blocks: int | None = None) -> DataFrame:
+class Blocks:
+    """Blocks of neighbouring documents in descending order of doc_id, nulls last.
+
+    ``cuts`` are doc_ids at equal steps through the table.  An id that two cuts or more name
+    has a segment of its own, of as many blocks as it takes steps, and so have null ids; such
+    blocks share the segment's rows by the hash of their texts, in its order.
+    """
+
+    def __init__(self, cuts: list[int], null_blocks: int):
+        often = Counter(cuts)
+        edges = sorted(set(cuts) | {q + 1 for q, n in often.items() if n > 1 and q < np.iinfo(np.int64).max})
+        self.edges = np.array(edges, np.int64)
+        # Segment j of ascending ids holds those with j edges at or below them.
+        parts = np.array([1, *[max(1, often.get(e, 0)) for e in edges]])
+        self.parts = np.append(parts[::-1], max(1, null_blocks))
+        self.start = np.cumsum(self.parts) - self.parts
+        self.n = int(self.parts.sum())
+
+    def of(self, ids: pa.Array, h: np.ndarray) -> np.ndarray:
+        segment = len(self.edges) - np.searchsorted(self.edges, np.asarray(ids.fill_null(0)), side="right")
+        segment[np.asarray(ids.is_null())] = len(self.edges) + 1
+        step = (h.astype(np.int64).view(K.U64) ^ K.U64(1 << 63)) >> K.U64(32)  # in the order of signed hashes
+        return self.start[segment] + ((step * self.parts[segment].astype(K.U64)) >> K.U64(32)).astype(np.int64)
+
+
+def edited_fingerprints(docs: DataFrame, k: int = K_WORDS, s: int = S_WORDS, blocks: int | None = None) -> DataFrame:
     """Fingerprints of every whole text and of its edited text.
 
     The edited text has the last floor(n/2) of n code points replaced by the first as many
-    (or all) of the next document, in descending order of doc_id (null last; equal ids by
-    text), and after the last document the first comes again.  Returns doc_id, n_chars,
-    edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
-
-    Documents are dealt into blocks of neighbouring ids; each block gets as a guest one row
-    of the next block, its first.  So the texts are shuffled once, and no window runs over
-    the whole table.  A null text is empty.  A table of one row is its own next document; an
-    empty table gives an empty one; other columns are ignored.
+    (or all) of the next document, in descending order of doc_id (null last; equal ids by a
+    hash of their text, then by text), and after the last document the first comes again.
+    Returns doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited,
+    near_next.
+
+    Documents are dealt into blocks of neighbours, an id with very many rows into several;
+    each block gets as a guest one row of the next block, its first.  So the texts are
+    shuffled once, and no window runs over the whole table.  Rows that agree in doc_id and
+    text are in one block, which reads them as a stream.  A null text is empty; very long
+    ones are taken whole.  A table of one row is its own next document; an empty table gives
+    an empty one; other columns are ignored.
     """
     spark = prepare(docs.sparkSession)
     n = blocks or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    cuts = d.select(F.expr(f"approx_percentile(doc_id, array({', '.join(f'{i / n:.6f}D' for i in range(1, n))}), 10000)").alias("q")).first() if n > 1 else None
-    # n - 1 numbers at most.  Blocks count in descending order; that of null ids is the last.
-    edges = np.array(sorted(set((cuts and cuts["q"]) or [])), np.int64)
-
-    def block_of(ids: pa.Array) -> np.ndarray:
-        out = len(edges) - np.searchsorted(edges, np.asarray(ids.fill_null(0)), side="right")
-        out[np.asarray(ids.is_null())] = len(edges) + 1
-        return out
+    d = columns(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    steps = ", ".join(f"{i / n:.9f}D" for i in range(1, n)) or "0.5D"
+    seen = d.agg(F.expr(f"approx_percentile(doc_id, array({steps}), 10000)").alias("q"), F.count(F.lit(1)).alias("rows"), F.count("doc_id").alias("ids")).first()
+    if not seen["rows"]:
+        return spark.createDataFrame([], _SQL)
+    # n - 1 numbers at most go to the driver, and from it to the tasks.
+    dealt = Blocks(list(seen["q"] or []), -(-n * (seen["rows"] - seen["ids"]) // seen["rows"]))
 
-    def find_heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(block_of(b.column("doc_id")), pa.int32()), b.column("doc_id")], names=["block", "doc_id"])
+            yield pa.RecordBatch.from_arrays([pa.array(dealt.of(b.column("doc_id"), np.asarray(b.column("h"))), pa.int32()), b.column("doc_id"), b.column("h")], names=["block", "doc_id", "h"])
 
-    found = d.select("doc_id").mapInArrow(find_heads, "block int, doc_id long").groupBy("block").agg(F.max("doc_id").alias("doc_id")).collect()
-    if not found:
-        return spark.createDataFrame([], _SQL)
-    heads = sorted((r["block"], r["doc_id"]) for r in found)  # n + 1 blocks at most
-    head_of = np.full(len(edges) + 2, np.iinfo(np.int64).min)
-    host_of = np.full(len(edges) + 2, -1)
-    for i, (blk, doc) in enumerate(heads):
-        host_of[blk] = heads[i - 1][0]  # the block before it, for the first one the last
-        head_of[blk] = 0 if doc is None else doc
+    d = d.withColumn("h", F.xxhash64("text"))
+    # The first of a block has its largest id, and of that the least hash.
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), (-F.col("doc_id").cast("decimal(20,0)")).alias("down"), F.col("h").alias("h"))
+    heads = d.select("doc_id", "h").mapInArrow(place, "block int, doc_id long, h long").groupBy("block").agg(F.min(order).alias("m")).orderBy("block").collect()
+    named = [(r["block"], None if r["m"]["no_id"] else -int(r["m"]["down"]), r["m"]["h"]) for r in heads]  # one row a block: 2 n at most
+    first_id, first_hash, host = np.zeros(dealt.n, np.int64), np.zeros(dealt.n, np.int64), np.full(dealt.n, -1)
+    for i, (block, doc, h) in enumerate(named):
+        first_id[block], first_hash[block], host[block] = doc or 0, h, named[i - 1][0]
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            blk = block_of(b.column("doc_id"))
-            guest = np.flatnonzero(np.asarray(b.column("doc_id").fill_null(0)) == head_of[blk])
-            rows = pa.array(np.concatenate((np.arange(len(blk)), guest)))
+            h = np.asarray(b.column("h"))
+            block = dealt.of(b.column("doc_id"), h)
+            head = np.flatnonzero((np.asarray(b.column("doc_id").fill_null(0)) == first_id[block]) & (h == first_hash[block]))
+            guest = head[np.unique(block[head], return_index=True)[1]]  # of equal rows one is enough
+            rows = pa.array(np.concatenate((np.arange(len(block)), guest)))
             t = b.take(rows)
-            blocks = np.concatenate((blk, host_of[blk[guest]]))
-            yield pa.RecordBatch.from_arrays([t.column("doc_id"), t.column("text"), pa.array(blocks, pa.int32()), pa.array(np.arange(len(rows)) >= len(blk))], names=["doc_id", "text", "block", "guest"])
+            where = np.concatenate((block, host[block[guest]]))
+            yield pa.RecordBatch.from_arrays([t.column("doc_id"), t.column("text"), t.column("h"), pa.array(where, pa.int32()), pa.array(np.arange(len(rows)) >= len(block))], names=["doc_id", "text", "h", "block", "guest"])
 
-    d = d.mapInArrow(deal, "doc_id long, text string, block int, guest boolean").repartition(n, "block")
-    d = d.sortWithinPartitions("block", "guest", F.col("doc_id").desc_nulls_last(), F.col("text").asc())
-    return d.mapInArrow(_compare(k, s, size), _SQL)
+    d = d.mapInArrow(deal, "doc_id long, text string, h long, block int, guest boolean").repartitionById(dealt.n, "block")
+    d = d.sortWithinPartitions("block", "guest", F.col("doc_id").desc_nulls_last(), F.col("h").asc(), F.col("text").asc())
+    return d.mapInArrow(_compare(k, s), _SQL)
