@@ -15,21 +15,15 @@ TEXTS = [
 def brute(text):
     t = (text or "").translate(LOWER)
     w = WORD.findall(t)
-    starts, base, labels, score = [], set(), set(), 0.0
+    starts, base = [], set()
     for label, phrase in L.PHRASES:
         p = phrase.split()
         at = [i for i in range(len(w) - len(p) + 1) if w[i : i + len(p)] == p]
         starts += at
         if at:
             base.add(label)
-    for block in re.split(L.BLOCK_END, t):
-        b = set(WORD.findall(block))
-        for label, template in L.TEMPLATES:
-            m = set(template.split())
-            share = len(b & m) / len(m)
-            if share >= L.THRESHOLD - 1e-9:
-                labels.add(label)
-                score = max(score, share)
+    more, score = windows(text or "")
+    labels = set(filter(None, more.split(",")))
     join = lambda s: ",".join(sorted(s))
     return (len(w), len(starts), min(starts, default=None), max(starts, default=None), join(base), join(base | labels), 1.0 if starts else score)
 
@@ -60,7 +54,7 @@ def windows(text):
     w, labels, score = WORD.findall(text.translate(LOWER)), set(), 0.0
     for label, template in L.TEMPLATES:
         m, n = set(template.split()), -(-len(template.split()) * 10 // 9)
-        share = max(len(set(w[i : i + n]) & m) for i in range(len(w))) / len(m)
+        share = max((len(set(w[i : i + n]) & m) for i in range(len(w))), default=0) / len(m)
         if share >= L.THRESHOLD - 1e-9:
             labels.add(label)
             score = max(score, share)
