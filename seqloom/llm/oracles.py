@@ -34,27 +34,32 @@ def _rules() -> tuple[str, str]:
 
 
 def _op4() -> str:
-    from .url_reputation import MAX_BAD, STRENGTHS, Z
+    """Levels without labelled pages have n = 0: their mean is their parent's, and ``open`` is
+    the product of k / (k + 1) over such levels, 1 where the domain has labels."""
+    from .url_reputation import MAX_BAD, STRENGTHS, SUFFIXES, Z
 
     low, high = STRENGTHS
     rule, verdict = _rules()
     strength = f"(SELECT CASE WHEN coalesce(w, 0) = 0 OR e <= 0 THEN {high} ELSE least({high}, greatest({low}, 1 / (e / w) - 1)) END FROM (SELECT sum((bad - n * m) * (bad - n * m) - n * m * (1 - m)) AS e, sum(n * (n - 1) * m * (1 - m)) AS w FROM %s))"
+    known = ", ".join(f"'{x}'" for x in SUFFIXES)
+    two = r"regexp_extract(%s, '([^.]*\.)?[^.]*$', 0)"
     return rf"""
 WITH u AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
 h AS (SELECT page_id, translate(regexp_extract(coalesce(rest, ''), '^[^/?#]*', 0), '{_UPPER}', '{_LOWER}') AS host, regexp_extract(coalesce(rest, ''), '^[^/?#]*([^?#]*)', 1) AS path FROM u),
-p AS (SELECT *, regexp_replace(regexp_replace(host, '^.*@', ''), '\.?(:[0-9]*)?$', '') AS site FROM h),
-o AS (SELECT p.site, count(*) AS n, sum(CASE WHEN l.quality = 0 OR l.toxic = 1 THEN 1 ELSE 0 END)::DOUBLE AS bad
-      FROM p JOIN labels l ON l.doc_id = p.page_id WHERE l.quality IS NOT NULL AND l.toxic IS NOT NULL GROUP BY p.site),
-s AS (SELECT *, CASE WHEN regexp_matches(site, '^[0-9.]+$') THEN site ELSE regexp_extract(site, '([^.]*\.)?[^.]*$', 0) END AS dom FROM o),
-t AS (SELECT *, CASE WHEN regexp_matches(dom, '^[0-9.]+$') THEN '' ELSE regexp_extract(dom, '[^.]*$', 0) END AS suf FROM s),
+p AS (SELECT *, regexp_replace(regexp_replace(host, '^.*@', ''), '\.?(:[0-9]*)?$', '') AS site, CASE {rule} END AS rule, CASE {verdict} END AS ruled FROM h),
+o AS (SELECT site, count(ruled) AS n, coalesce(sum(CASE WHEN ruled = 'block' THEN 1 WHEN ruled = 'allow' THEN 0 END), 0)::DOUBLE AS bad FROM p GROUP BY site),
+s AS (SELECT *, CASE WHEN regexp_matches(site, '^[0-9.]+$') THEN site WHEN {two % 'site'} IN ({known}) THEN regexp_extract(site, '([^.]*\.)?[^.]*\.[^.]*$', 0) ELSE {two % 'site'} END AS dom FROM o),
+t AS (SELECT *, CASE WHEN regexp_matches(dom, '^[0-9.]+$') THEN '' WHEN {two % 'dom'} IN ({known}) THEN {two % 'dom'} ELSE regexp_extract(dom, '[^.]*$', 0) END AS suf FROM s),
 a0 AS (SELECT suf, sum(n) AS n, sum(bad) AS bad, (SELECT (coalesce(sum(bad), 0) + 0.5::DOUBLE) / (coalesce(sum(n), 0) + 1.0::DOUBLE) FROM t) AS m FROM t GROUP BY suf),
-a AS (SELECT suf, (bad + k * m) / (n + k) AS m FROM (SELECT *, {strength % 'a0'} AS k FROM a0)),
-b0 AS (SELECT t.dom, a.m, sum(t.n) AS n, sum(t.bad) AS bad FROM t JOIN a ON t.suf = a.suf GROUP BY t.dom, a.m),
-b AS (SELECT dom, (bad + k * m) / (n + k) AS m FROM (SELECT *, {strength % 'b0'} AS k FROM b0)),
-c0 AS (SELECT t.site, t.n, t.bad, b.m FROM t JOIN b ON t.dom = b.dom),
-c AS (SELECT site, bad + k * m AS x, n - bad + k * (1 - m) AS y FROM (SELECT *, {strength % 'c0'} AS k FROM c0)),
+a AS (SELECT suf, (bad + k * m) / (n + k) AS m, CASE WHEN n > 0 THEN 1.0::DOUBLE ELSE k / (k + 1) END AS open FROM (SELECT *, {strength % 'a0'}::DOUBLE AS k FROM a0)),
+b0 AS (SELECT t.dom, a.m, a.open, sum(t.n) AS n, sum(t.bad) AS bad FROM t JOIN a ON t.suf = a.suf GROUP BY t.dom, a.m, a.open),
+b AS (SELECT dom, (bad + k * m) / (n + k) AS m, CASE WHEN n > 0 THEN 1.0::DOUBLE ELSE open * (k / (k + 1)) END AS open FROM (SELECT *, {strength % 'b0'}::DOUBLE AS k FROM b0)),
+c0 AS (SELECT t.site, t.n, t.bad, b.m, b.open FROM t JOIN b ON t.dom = b.dom),
+c1 AS (SELECT *, {strength % 'c0'}::DOUBLE AS k FROM c0),
+c2 AS (SELECT * REPLACE (CASE WHEN open = 1 THEN k ELSE open * (k / (k + 1)) / (1 - open * (k / (k + 1))) END AS k) FROM c1),
+c AS (SELECT site, bad + k * m AS x, n - bad + k * (1 - m) AS y FROM c2 WHERE (SELECT sum(n) FROM t) > 0),
 r AS (SELECT site, x / (x + y) - {Z} * sqrt(x * y / (x + y + 1)) / (x + y) AS lower FROM c)
-SELECT page_id, host, path, CASE {rule} END AS rule, CASE {verdict} WHEN r.lower > {MAX_BAD} THEN 'block' ELSE 'allow' END AS verdict
+SELECT page_id, host, path, rule, CASE WHEN ruled IS NOT NULL THEN ruled WHEN r.lower > {MAX_BAD} THEN 'block' ELSE 'allow' END AS verdict
 FROM p LEFT JOIN r ON p.site = r.site
 """
 
@@ -73,27 +78,26 @@ FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN (SELECT x, min(y) AS y FROM
 
 
 def _op10() -> str:
-    import math
-
-    from .licenses import PHRASES, TEMPLATES, THRESHOLD
-
-    def words(x: str) -> str:
-        return rf"regexp_extract_all({x}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+    """A block is any stretch of words up to the width; one that holds the most of a template's
+    words can start at one of them."""
+    from .licenses import PHRASES, TEMPLATES, THRESHOLD, needed, width
 
     def listed(t: str) -> str:
         return "[" + ", ".join(f"'{w}'" for w in t.split()) + "]"
 
-    places, names, met, shares = [], [], [], []
+    places, names, best, met, shares = [], [], [], [], []
     for label, phrase in PHRASES:
         k = len(phrase.split())
         places.append(f"list_transform(list_filter(range(1, len(w) - {k} + 2), lambda i: w[i:i + {k - 1}] = {listed(phrase)}), lambda i: i - 1)")
         names.append(label)
-    for label, t in TEMPLATES:
+    for j, (label, t) in enumerate(TEMPLATES):
         size = len(set(t.split()))
-        need = math.ceil(THRESHOLD * size - 1e-9)
-        best = f"coalesce(list_max(list_transform(blocks, lambda b: len(list_distinct(list_intersect(b, {listed(t)}))))), 0)"
-        met.append(f"CASE WHEN {best} >= {need} THEN '{label}' END")
-        shares.append(f"CASE WHEN {best} >= {need} THEN {best} / {size}::DOUBLE ELSE 0 END")
+        need, wide = needed(size, THRESHOLD), width(len(t.split()), THRESHOLD)
+        inside = f"len(list_distinct(list_intersect(w[i:i + {wide - 1}], {listed(t)})))"
+        most = f"list_max(list_transform(list_filter(range(1, len(w) + 1), lambda i: list_contains({listed(t)}, w[i])), lambda i: {inside}))"
+        best.append(f"CASE WHEN len(list_distinct(list_intersect(w, {listed(t)}))) >= {need} THEN {most} ELSE 0 END AS b{j}")
+        met.append(f"CASE WHEN b{j} >= {need} THEN '{label}' END")
+        shares.append(f"CASE WHEN b{j} >= {need} THEN b{j} / {size}::DOUBLE ELSE 0 END")
     base = ", ".join(f"CASE WHEN len(p{i}) > 0 THEN '{n}' END" for i, n in enumerate(names))
     count = " + ".join(f"len(p{i})" for i in range(len(names)))
     low = ", ".join(f"list_min(p{i})" for i in range(len(names)))
@@ -101,8 +105,8 @@ def _op10() -> str:
     joined = lambda x: f"array_to_string(list_sort(list_distinct(list_filter([{x}], lambda v: v IS NOT NULL))), ',')"
     return rf"""
 WITH t AS (SELECT doc_id, translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}') AS t FROM documents),
-d AS (SELECT doc_id, {words('t')} AS w, list_transform(regexp_split_to_array(t, '\n|[.!?][ \t\r]'), lambda b: list_distinct({words('b')})) AS blocks FROM t),
-p AS (SELECT doc_id, w, blocks, {', '.join(f'{x} AS p{i}' for i, x in enumerate(places))} FROM d)
+d AS (SELECT doc_id, regexp_extract_all(t, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM t),
+p AS (SELECT doc_id, w, {', '.join(f'{x} AS p{i}' for i, x in enumerate(places))}, {', '.join(best)} FROM d)
 SELECT doc_id, len(w)::BIGINT AS n_words, ({count})::BIGINT AS n_base, least({low})::BIGINT AS first_word, greatest({high})::BIGINT AS last_word,
   {joined(base)} AS base_labels, {joined(base + ', ' + ', '.join(met))} AS labels,
   CASE WHEN {count} > 0 THEN 1.0::DOUBLE ELSE greatest({', '.join(shares)})::DOUBLE END AS score

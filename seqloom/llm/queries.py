@@ -42,15 +42,12 @@ def op3_orc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labelled outcomes of pages are the rows of ``labels`` with the page's number: a page is
-    bad if its quality is 0 or it is toxic."""
-    bad = F.col("quality").isNotNull() & F.col("toxic").isNotNull()
-    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), F.when(bad, ((F.col("quality") == 0) | (F.col("toxic") == 1)).cast("long")).alias("bad"))
-    return judge_urls(table(spark, sf_dir, "pages"), labels).select("page_id", "host", "path", "rule", "verdict")
+    """The tables label no page, so the pages that a rule decides are the labelled ones."""
+    return judge_urls(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_components(table(spark, sf_dir, "documents"), ngram=3, percent=90).drop("links", "row_key")
+    return jaccard_components(table(spark, sf_dir, "documents"), ngram=3, percent=90).drop("links")
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

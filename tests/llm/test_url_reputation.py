@@ -71,6 +71,22 @@ def test_hosts_without_labels_take_their_domains_prior(spark):
     assert all(abs(got[h].bad_lower - x) < 1e-12 for h, x in with_fresh.items())
 
 
+def test_pages_that_rules_decide_are_labels(spark):
+    """Without labels: of two.com every page is blocked by rule, so its other pages go too."""
+    rows = [(i, f"http://a{i % 3}.two.com/de/{i}") for i in range(60)] + [(100 + i, f"http://b.fine.com/fr/{i}") for i in range(60)]
+    rows += [(900, "http://a0.two.com/en/1"), (901, "http://new.two.com/en/1"), (902, "http://b.fine.com/en/1"), (903, "http://x.y.net/en/1")]
+    got = {r.page_id: r.verdict for r in U.judge_urls(spark.createDataFrame(rows, "page_id long, url string")).where("rule IS NULL").collect()}
+    assert got == {900: "block", 901: "block", 902: "allow", 903: "allow"}
+
+
+def test_suffixes_of_two_labels(spark):
+    d = spark.createDataFrame([("a.b.shop.co.uk",), ("shop.co.uk",), ("co.uk",), ("uk",), ("x.com.au",), ("a.b.com",)], "h string")
+    got = [(r.d, r.x) for r in d.select(U.domain(F.col("h")).alias("d")).select("d", U.suffix(F.col("d")).alias("x")).collect()]
+    assert got == [("shop.co.uk", "co.uk"), ("shop.co.uk", "co.uk"), ("co.uk", "co.uk"), ("uk", "uk"), ("x.com.au", "com.au"), ("b.com", "com")]
+    one = d.select(U.domain(F.col("h"), ["b.com"]).alias("d")).collect()[-1].d
+    assert one == "a.b.com"
+
+
 def test_no_python_on_the_executors(spark):
     p = spark.createDataFrame([(1, "http://a.b/")], "page_id long, url string")
     plan = U.judge_urls(p, spark.createDataFrame([(1, 1)], "page_id long, bad long"))._jdf.queryExecution().toString()
