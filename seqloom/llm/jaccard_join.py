@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from ._spark import prepare, stored
+from ._spark import columns, numbered, prepare, stored
 from .components import connected_components
 
 _SHINGLE, _PART, _SUB, _SECOND = 0xC2B2AE3D27D4EB4F, K.U64(0x27D4EB2F165667C5), K.U64(0x85EBCA77C2B2AE63), K.U64(0x165667B19E3779F9)
@@ -66,10 +66,19 @@ def _sums(x: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return total[bounds[1:]] - total[bounds[:-1]]
 
 
-def set_names(g: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """A 64-bit name of each set, from two sums over its elements and its size."""
-    a, b = _sums(K.mix(g), bounds), _sums(K.mix(g ^ _SECOND), bounds)
-    return K.mix(K.mix(a + np.diff(bounds).astype(K.U64)) ^ b)
+def set_hashes(g: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of each set, each from a sum of its own over the elements."""
+    n = np.diff(bounds).astype(K.U64)
+    return K.mix(_sums(K.mix(g), bounds) + n), K.mix(_sums(K.mix(g ^ _SECOND), bounds) ^ n)
+
+
+def set_names(g: np.ndarray, bounds: np.ndarray, shared: np.ndarray | None = None) -> np.ndarray:
+    """A 64-bit name of each set: its first hash, or one of both hashes where the first is
+    among the ``shared`` ones, which different sets have."""
+    a, b = set_hashes(g, bounds)
+    if shared is not None and len(shared):
+        a = np.where(np.isin(a, shared), K.mix(K.mix(a) + b), a)
+    return a
 
 
 def max_difference(total: int, percent: int) -> int:
@@ -151,10 +160,10 @@ def _batch(**columns: tuple) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in columns.values()], names=list(columns))
 
 
-_SETS = "doc_id long, row_key long, n_shingles long, node long, " + ", ".join(f"b{i} long" for i in range(SKETCH_WORDS))
+_SETS = "doc_id long, row_key long, row_sub int, n_shingles long, name long, second long, " + ", ".join(f"b{i} long" for i in range(SKETCH_WORDS))
 
 
-def _describe(ngram: int):
+def _describe(ngram: int, clashes: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in K.pieces(batches):
             g, bounds = shingle_sets(b.column("text"), ngram)
@@ -164,17 +173,18 @@ def _describe(ngram: int):
             cell = np.repeat(np.arange(len(n)), n) * SKETCH_WORDS + (bit >> K.U64(6)).astype(np.int64)
             np.bitwise_xor.at(sketch, cell, K.U64(1) << (bit & K.U64(63)))
             sketch = K.signed(sketch).reshape(-1, SKETCH_WORDS)
-            yield _batch(doc_id=(b.column("doc_id"), pa.int64()), row_key=(b.column("row_key"), pa.int64()), n_shingles=(n, pa.int64()), node=(K.signed(set_names(g, bounds)), pa.int64()), **{f"b{i}": (sketch[:, i], pa.int64()) for i in range(SKETCH_WORDS)})
+            name, (_, second) = set_names(g, bounds, clashes), set_hashes(g, bounds)
+            yield _batch(doc_id=(b.column("doc_id"), pa.int64()), row_key=(b.column("row_key"), pa.int64()), row_sub=(b.column("row_sub"), pa.int32()), n_shingles=(n, pa.int64()), name=(K.signed(name), pa.int64()), second=(K.signed(second), pa.int64()), **{f"b{i}": (sketch[:, i], pa.int64()) for i in range(SKETCH_WORDS)})
 
     return run
 
 
-def _sign(ngram: int, percent: int, subparts: int):
+def _sign(ngram: int, percent: int, subparts: int, clashes: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands, seen = Bands(percent), np.zeros(0, K.U64)
         for b in K.pieces(batches):
             g, bounds = shingle_sets(b.column("text"), ngram)
-            names = set_names(g, bounds)
+            names = set_names(g, bounds, clashes)
             # Copies of one set in one task sign once.
             _, first = np.unique(names, return_index=True)
             fresh = np.zeros(len(names), bool)
@@ -210,10 +220,10 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _batch(sig=(held[0], pa.int64()), node=(held[1], pa.int64()))
 
 
-def _named(ngram: int):
+def _named(ngram: int, clashes: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in K.pieces(batches):
-            names = K.signed(set_names(*shingle_sets(b.column("text"), ngram)))
+            names = K.signed(set_names(*shingle_sets(b.column("text"), ngram), clashes))
             same = pa.array(names == b.column("node").to_numpy())
             yield pa.RecordBatch.from_arrays([b.column("node").filter(same), b.column("text").filter(same)], names=["node", "text"])
 
@@ -267,38 +277,65 @@ def plausible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
 
 def jaccard_components(docs: DataFrame, ngram: int = 3, percent: int = 90, subparts: int = 3) -> DataFrame:
     """Per row of ``docs``: doc_id, n_shingles (distinct), component_id (smallest doc_id that
-    links reach), links long (verified links between its set and different ones), row_key
-    (xxhash64 of doc_id and text).
+    links reach), links long (verified links between its set and different ones).
 
     A link is 100 * intersection >= percent * union of the lower-cased word shingle sets.
-    Components are exact; ``links`` counts the links that were verified to find them, which
-    in groups of near copies are fewer than there are.
+    Components are exact, but for sets that agree in 128 bits of hashes; ``links`` counts the
+    links that were verified to find them, which in groups of near copies are fewer than
+    there are.
 
     Texts without words (or null) have an empty set and are linked with nothing.  Rows with a
     null doc_id have a null component and link nothing.  Repeated rows are copies: one set.
-    An empty table gives an empty one; other columns are ignored.
+    Very long texts are taken whole.  An empty table gives an empty one; other columns are
+    ignored.
     """
-    return _components(docs, ngram, percent, subparts).drop("root")
+    return _components(columns(docs, "doc_id", "text"), ngram, percent, subparts).drop("root", "row_key", "row_sub")
+
+
+def _row_keys(doc_id: str, text: str) -> dict[str, Column]:
+    """96 bits that tell rows apart by doc_id and text."""
+    return {"row_key": F.xxhash64(doc_id, text), "row_sub": F.hash(text, doc_id)}
+
+
+#: Names of sets that may turn out to be shared by different sets; at 64 bits a table of
+#: 10**11 sets has a few hundred.
+MOST_CLASHES = 1 << 20
 
 
 def _components(docs: DataFrame, ngram: int, percent: int, subparts: int) -> DataFrame:
-    """The rows of ``jaccard_components`` with the root (a node) of each one's component, which
-    unlike component_id no two components share, also where rows with different texts have
-    one doc_id."""
+    """The rows of ``jaccard_components`` with row_key, row_sub, and the root (a node) of each
+    one's component, which unlike component_id no two components share, also where rows
+    with different texts have one doc_id."""
     spark = prepare(docs.sparkSession)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sets = stored(d.select("doc_id", F.xxhash64("doc_id", "text").alias("row_key"), "text").mapInArrow(_describe(ngram), _SETS), "shingle-sets")
-    real = sets.where("doc_id IS NOT NULL AND n_shingles > 0")
-    signed = d.where("doc_id IS NOT NULL").mapInArrow(_sign(ngram, percent, subparts), "sig long, node long")
+    sketch = [F.first(f"b{i}").alias(f"b{i}") for i in range(SKETCH_WORDS)]
+
+    def describe(clashes: np.ndarray) -> tuple[DataFrame, DataFrame]:
+        sets = stored(d.withColumns(_row_keys("doc_id", "text")).mapInArrow(_describe(ngram, clashes), _SETS), "shingle-sets")
+        by_name = sets.where("doc_id IS NOT NULL AND n_shingles > 0").groupBy("name")
+        return sets, stored(by_name.agg(F.min("second").alias("low"), F.max("second").alias("high"), F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), *sketch), "set-names")
+
+    clashes = np.zeros(0, K.U64)
+    sets, named = describe(clashes)
+    clash = named.where("low <> high").select("name").limit(MOST_CLASHES + 1).collect()  # next to none
+    if len(clash) > MOST_CLASHES:
+        raise RuntimeError("names of sets clash far more often than hashes do")
+    if clash:
+        clashes = np.array([r["name"] for r in clash], np.int64).view(K.U64)
+        sets, named = describe(clashes)
+    sets = sets.withColumnRenamed("name", "node")
+    nodes = named.withColumnRenamed("name", "node").drop("low", "high")
+    signed = d.where("doc_id IS NOT NULL").mapInArrow(_sign(ngram, percent, subparts, clashes), "sig long, node long")
     shared = signed.repartition(n, "sig").sortWithinPartitions("sig", "node").mapInArrow(_shared, "sig long, node long")
     shared = stored(shared, "signatures")
 
-    nodes = stored(real.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), *[F.first(f"b{i}").alias(f"b{i}") for i in range(SKETCH_WORDS)]), "set-nodes")
     degree = shared.groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
     asked = degree.join(nodes, "node").select("node", "doc_id")
-    # The first row of a node stands for it; an equal id with another text is sorted out.
-    texts = stored(d.join(asked, "doc_id").mapInArrow(_named(ngram), "node long, text string"), "node-texts")
+    # The row of the smallest id stands for a node; an equal id with another text is sorted
+    # out, and of repeated rows one is kept.
+    texts = d.join(asked, "doc_id").mapInArrow(_named(ngram, clashes), "node long, text string")
+    texts = stored(texts.groupBy("node").agg(F.min("text").alias("text")), "node-texts")
 
     hubs = shared.join(degree, "node").groupBy("sig").agg(F.max(F.struct("degree", "node")).alias("m")).select("sig", F.col("m.node").alias("x"))
     stars = stored(shared.join(hubs, "sig").where("node <> x").select("x", F.col("node").alias("y")).distinct(), "star-pairs")
@@ -323,20 +360,22 @@ def _components(docs: DataFrame, ngram: int, percent: int, subparts: int) -> Dat
     ends = links.select("x").unionByName(links.select(F.col("y").alias("x"))).groupBy(F.col("x").alias("node")).agg(F.count(F.lit(1)).alias("links"))
     found = member.join(least, "root").join(ends, "node", "left").select("node", "root", "component_id", F.coalesce("links", F.lit(0)).alias("links"))
     linked = F.col("n_shingles") > 0
-    made = sets.select("doc_id", "row_key", "n_shingles", F.when(linked, F.col("node")).alias("node")).join(found, "node", "left")
+    made = sets.select("doc_id", "row_key", "row_sub", "n_shingles", F.when(linked, F.col("node")).alias("node")).join(found, "node", "left")
     own = F.when(linked & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.when(~linked, F.col("doc_id")))
-    return made.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce("links", F.lit(0)).alias("links"), "row_key", "root")
+    return made.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce("links", F.lit(0)).alias("links"), "row_key", "row_sub", "root")
 
 
 def keep_one_of_each(docs: DataFrame, ngram: int = 5, percent: int = 80, subparts: int = 2) -> DataFrame:
     """``docs`` with one row of each group of near copies: the one with the smallest doc_id.
 
-    Rows without words or doc_id are in no group and stay.  All columns stay; of rows with
-    equal doc_id and text any one does.  Groups may share their smallest doc_id: each keeps a row.
+    Rows without words or doc_id are in no group and stay.  All columns stay, whatever their
+    names; of rows with equal doc_id and text any one does.  Groups may share their smallest
+    doc_id: each keeps a row.  An empty table gives an empty one.
     """
-    groups = _components(docs, ngram, percent, subparts)
-    first = groups.where("n_shingles > 0 AND doc_id = component_id").groupBy("root").agg(F.min("row_key").alias("__row"))
-    single = F.col("doc_id").isNull() | ~F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    keyed = docs.where(~single).withColumn("__row", F.xxhash64(F.col("doc_id").cast("long"), "text"))
-    kept = keyed.join(first.select("__row"), "__row", "left_semi").dropDuplicates(["__row"]).drop("__row")
-    return kept.unionByName(docs.where(single))
+    d, (doc_id, text) = numbered(docs, "doc_id", "text")
+    groups = _components(columns(docs, "doc_id", "text"), ngram, percent, subparts)
+    first = groups.where("n_shingles > 0 AND doc_id = component_id").groupBy("root").agg(F.min(F.struct("row_key", "row_sub")).alias("row"))
+    single = F.col(doc_id).isNull() | ~F.coalesce(text, F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    keyed = d.where(~single).withColumn("id", F.col(doc_id).cast("long")).withColumns(_row_keys("id", text))
+    kept = keyed.join(first.select("row.*"), ["row_key", "row_sub"], "left_semi").dropDuplicates(["row_key", "row_sub"]).select(d.columns)
+    return kept.unionByName(d.where(single)).toDF(*docs.columns)

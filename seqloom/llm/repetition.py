@@ -12,11 +12,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from . import kernel as K
-from ._spark import prepare
+from ._spark import columns, numbered, prepare
 
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
@@ -38,14 +39,15 @@ def longest_repeats(ids: np.ndarray, first: np.ndarray) -> np.ndarray:
     n = len(ids)
     if n < 2:
         return np.zeros(n, np.int64)
-    doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    end = first[1:][doc]
-    _, rank = np.unique(ids, return_inverse=True)
+    # A rank array for each doubling is kept: places take four bytes where they can.
+    kind = np.int32 if n < 1 << 30 else np.int64
+    doc = np.repeat(np.arange(len(first) - 1, dtype=kind), np.diff(first))
+    end = first[1:].astype(kind)[doc]
     # Rank of a suffix: the place of its group's first member in the array.
-    order = np.lexsort((rank, doc))
-    key_new = np.concatenate(([True], (doc[order][1:] != doc[order][:-1]) | (rank[order][1:] != rank[order][:-1])))
-    rank = np.empty(n, np.int64)
-    rank[order] = np.maximum.accumulate(np.where(key_new, np.arange(n), 0))
+    order = np.lexsort((ids, doc)).astype(kind)
+    key_new = np.concatenate(([True], (doc[order][1:] != doc[order][:-1]) | (ids[order][1:] != ids[order][:-1])))
+    rank = np.empty(n, kind)
+    rank[order] = np.maximum.accumulate(np.where(key_new, np.arange(n, dtype=kind), 0))
     levels, h = [(1, rank)], 1
     head = np.flatnonzero(key_new)
     size = np.diff(np.append(head, n))
@@ -53,14 +55,14 @@ def longest_repeats(ids: np.ndarray, first: np.ndarray) -> np.ndarray:
     while open_.any():
         slots = np.flatnonzero(open_)
         suffix = order[slots]
-        nxt = suffix + h
+        nxt = suffix + kind(min(h, n))
         second = np.where(nxt < end[suffix], rank[np.minimum(nxt, n - 1)] + 1, 0)
         group = rank[suffix]
         by = np.lexsort((second, group))
         suffix, second, group = suffix[by], second[by], group[by]
         order[slots] = suffix
         new = np.concatenate(([True], (group[1:] != group[:-1]) | (second[1:] != second[:-1])))
-        place = np.maximum.accumulate(np.where(new, slots, 0))
+        place = np.maximum.accumulate(np.where(new, slots, 0)).astype(kind)
         rank = rank.copy()
         rank[suffix] = place
         h *= 2
@@ -73,9 +75,10 @@ def longest_repeats(ids: np.ndarray, first: np.ndarray) -> np.ndarray:
     left, right = order[:-1], order[1:]
     near = doc[left] == doc[right]
     left, right = left[near].copy(), right[near].copy()
-    length = np.zeros(len(left), np.int64)
+    length = np.zeros(len(left), kind)
     a, b = left.copy(), right.copy()
-    for h, r in reversed(levels):
+    while levels:
+        h, r = levels.pop()
         live = np.flatnonzero((a + h <= end[left]) & (b + h <= end[right]))
         same = live[r[a[live]] == r[b[live]]]
         length[same] += h
@@ -130,22 +133,34 @@ SPACE_OR_TAIL = K.SPACE.copy()
 SPACE_OR_TAIL[0x80:0xC0] = True  # the later bytes of a code point
 
 
-def _measure(min_repeat: int):
+def _measure(min_repeat: int, text: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in K.pieces(batches):
-            made = [pa.array(x, t) for x, (_, t) in zip(measures(b.column("text"), min_repeat), _SCHEMA, strict=True)]
-            names = [n for n in b.schema.names]
-            yield pa.RecordBatch.from_arrays([*b.columns, *made], names=[*names, *(f"__{n}" for n, _ in _SCHEMA)])
+        for b in K.pieces(batches, text):
+            made = [pa.array(x, t) for x, (_, t) in zip(measures(b.column(text), min_repeat), _SCHEMA, strict=True)]
+            yield pa.RecordBatch.from_arrays([*b.columns, *made], names=[*b.schema.names, *(n for n, _ in _SCHEMA)])
 
     return run
 
 
+def _judged(d: DataFrame, text: str, min_repeat: int, max_covered: float, max_longest: float) -> tuple[DataFrame, Column, Column]:
+    """``d`` with the counts of each text, whether the base rules fail it, and the verdict."""
+    schema = StructType([*d.schema.fields, *[StructField(n, LongType()) for n, _ in _SCHEMA]])
+    m, n = d.mapInArrow(_measure(min_repeat, text), schema), F.col("n_words")
+    failed = (n < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * n)
+    longest = F.when(F.col("longest_repeat") >= min_repeat, F.col("longest_repeat")).otherwise(0)
+    return m, failed, ~failed & (F.col("covered_words") <= max_covered * n) & (longest <= max_longest * n)
+
+
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that the rules keep, with all their columns."""
-    return quality_rules(docs, keep_columns=True).where("__kept").drop("__kept")
+    """The rows of ``docs`` that the rules keep, with all their columns, whatever their names.
+    Cases are those of ``quality_rules``."""
+    prepare(docs.sparkSession)
+    d, (text,) = numbered(docs, "text")
+    m, _, kept = _judged(d, text, MIN_REPEAT, MAX_COVERED, MAX_LONGEST)
+    return m.where(kept).select(d.columns).toDF(*docs.columns)
 
 
-def quality_rules(docs: DataFrame, min_repeat: int = MIN_REPEAT, max_covered: float = MAX_COVERED, max_longest: float = MAX_LONGEST, keep_columns: bool = False) -> DataFrame:
+def quality_rules(docs: DataFrame, min_repeat: int = MIN_REPEAT, max_covered: float = MAX_COVERED, max_longest: float = MAX_LONGEST) -> DataFrame:
     """Counts and verdict for every whole text; no shuffle.
 
     Base rules fail a text of fewer than 50 words, or with more than half of its words in
@@ -154,19 +169,13 @@ def quality_rules(docs: DataFrame, min_repeat: int = MIN_REPEAT, max_covered: fl
     longest is more than ``max_longest`` of them.
 
     Returns doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
-    covered_words, longest_repeat (long), base_failed, kept (boolean); with
-    ``keep_columns`` all columns of ``docs`` and ``__kept``.
+    covered_words, longest_repeat (long), base_failed, kept (boolean).
 
     A null text has no words, so it fails; repeated rows are judged each; an empty table
-    gives an empty one.  Columns of ``docs`` may have any names that don't start with ``__``.
+    gives an empty one; other columns are ignored.  A text is worked on whole, in one task: a
+    very long one takes about 150 bytes of memory a word at most, whatever it repeats.
     """
     prepare(docs.sparkSession)
-    d = docs if keep_columns else docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in d.schema.fields)
-    m = d.mapInArrow(_measure(min_repeat), f"{fields}, " + ", ".join(f"__{n} long" for n, _ in _SCHEMA))
-    n = F.col("__n_words")
-    failed = (n < MIN_WORDS) | (100 * F.col("__n_repeat_words") > MAX_REPEAT_PERCENT * n)
-    kept = ~failed & (F.col("__covered_words") <= max_covered * n) & (F.when(F.col("__longest_repeat") >= min_repeat, F.col("__longest_repeat")).otherwise(0) <= max_longest * n)
-    if keep_columns:
-        return m.select(*[F.col(f"`{c}`") for c in docs.columns], kept.alias("__kept"))
-    return m.select("doc_id", *[F.col(f"__{n}").alias(n) for n, _ in _SCHEMA], failed.alias("base_failed"), kept.alias("kept"))
+    d = columns(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    m, failed, kept = _judged(d, "text", min_repeat, max_covered, max_longest)
+    return m.select("doc_id", *[n for n, _ in _SCHEMA], failed.alias("base_failed"), kept.alias("kept"))

@@ -8,12 +8,13 @@ two rounds that together decide each window exactly:
    run (about 15 windows), so the rows that are shuffled by anchor are a fifteenth of the
    windows.  An anchor met once settles its windows as unique; runs that are equal as a
    whole settle theirs as repeated.
-2. For what is left (runs that share an anchor but differ somewhere) the hash of each
-   window is counted.  A row's key joins anchor and window hash, so two different windows
-   meet only if two independent 64-bit hashes collide.
+2. For what is left (runs that share an anchor but differ somewhere) each window is
+   counted by anchor and hash, so two different windows meet only if two independent
+   64-bit hashes collide.
 
 The first round reads runs sorted by hash as a stream with one row of state, so no group is
 held in memory.  Windows in a row with equal hashes travel as one row with a length.
+Repeated rows share a key of 96 bits, and what is found for it is kept once.
 """
 
 from __future__ import annotations
@@ -28,12 +29,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from ._spark import prepare, stored
+from ._spark import columns, numbered, prepare, stored
 
 _GRAM_BASE, _RUN_BASE, _WINDOW_BASE = 0x2545F4914F6CDD1D, 0xD1342543DE82EF95, 0xAF251AF3B0F025B5
-_RUNS = "anchor long, run_hash long, row_key long, start int, n int, twice boolean"
-_FOUND = "row_key long, start int, n int, anchor long, settled boolean"
-_HITS = "h long, row_key long, start int, n int"
+_RUNS = "anchor long, run_hash long, row_key long, row_sub int, start int, n int, twice boolean"
+_FOUND = "row_key long, row_sub int, start int, n int, anchor long, settled boolean"
+_HITS = "h long, anchor long, row_key long, row_sub int, start int, n int"
+_KEY = ["row_key", "row_sub"]
 
 
 def _table(schema: list[tuple[str, pa.DataType]], columns: list) -> pa.RecordBatch:
@@ -42,7 +44,7 @@ def _table(schema: list[tuple[str, pa.DataType]], columns: list) -> pa.RecordBat
 
 def _emit_runs(window: int, gram: int):
     grams = window - gram + 1
-    schema = [("anchor", pa.int64()), ("run_hash", pa.int64()), ("row_key", pa.int64()), ("start", pa.int32()), ("n", pa.int32()), ("twice", pa.bool_())]
+    schema = [("anchor", pa.int64()), ("run_hash", pa.int64()), ("row_key", pa.int64()), ("row_sub", pa.int32()), ("start", pa.int32()), ("n", pa.int32()), ("twice", pa.bool_())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in K.pieces(batches):
@@ -64,8 +66,8 @@ def _emit_runs(window: int, gram: int):
             again = (x[by][1:] == x[by][:-1]) & (of[by][1:] == of[by][:-1])
             twice = np.zeros(len(first), bool)
             twice[of[by][1:][again]] = True
-            keys = b.column("row_key").to_numpy()
-            yield _table(schema, [K.signed(anchor[first]), K.signed(whole), keys[doc[first]], (at[first] - w.first[doc[first]]), last - first + 1, twice])
+            keys, subs = b.column("row_key").to_numpy(), b.column("row_sub").to_numpy()
+            yield _table(schema, [K.signed(anchor[first]), K.signed(whole), keys[doc[first]], subs[doc[first]], (at[first] - w.first[doc[first]]), last - first + 1, twice])
 
     return run
 
@@ -73,20 +75,20 @@ def _emit_runs(window: int, gram: int):
 def _settle_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From runs sorted by (anchor, run_hash): those that repeat as a whole (settled), and
     those, or one of equal ones, whose windows must be compared with other runs of the anchor."""
-    schema = [("row_key", pa.int64()), ("start", pa.int32()), ("n", pa.int32()), ("anchor", pa.int64()), ("settled", pa.bool_())]
+    schema = [("row_key", pa.int64()), ("row_sub", pa.int32()), ("start", pa.int32()), ("n", pa.int32()), ("anchor", pa.int64()), ("settled", pa.bool_())]
     held, was_same, was_anchor, was_varied = None, False, False, False
 
     def judge(rows, same_before, anchor_before, varied, same_after, anchor_after):
-        a, _, key, start, n, twice = rows
+        a, _, key, sub, start, n, twice = rows
         settled = same_before | same_after
         ask = ~settled & (anchor_before | anchor_after | twice)
         # Of equal runs the last speaks for all, if the anchor has other runs as well.
         ask |= settled & ~same_after & (varied | anchor_after)
-        out = [np.concatenate((x[settled], x[ask])) for x in (key, start, n, a)]
+        out = [np.concatenate((x[settled], x[ask])) for x in (key, sub, start, n, a)]
         return _table(schema, [*out, np.concatenate((np.ones(settled.sum(), bool), np.zeros(ask.sum(), bool)))])
 
     for b in batches:
-        rows = [b.column(i).to_numpy(zero_copy_only=False) for i in range(6)]
+        rows = [b.column(i).to_numpy(zero_copy_only=False) for i in range(7)]
         if not len(rows[0]):
             continue
         if held is not None:
@@ -117,7 +119,7 @@ def _flat(b: pa.RecordBatch, name: str) -> tuple[np.ndarray, dict[str, np.ndarra
 
 
 def _emit_windows(window: int):
-    schema = [("h", pa.int64()), ("row_key", pa.int64()), ("start", pa.int32()), ("n", pa.int32())]
+    schema = [("h", pa.int64()), ("anchor", pa.int64()), ("row_key", pa.int64()), ("row_sub", pa.int32()), ("start", pa.int32()), ("n", pa.int32())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in K.pieces(batches):
@@ -133,14 +135,13 @@ def _emit_windows(window: int):
             total = np.cumsum(n)
             inside = np.arange(total[-1]) - np.repeat(total - n, n)
             at = np.repeat(w.first[row] + ask["start"], n) + inside
-            anchor = np.repeat(ask["anchor"].view(K.U64), n)
-            x = K.mix(K.spans_hash(h, at, at + window, _WINDOW_BASE) ^ anchor)
+            x = K.spans_hash(h, at, at + window, _WINDOW_BASE)
             which = np.repeat(np.arange(len(n)), n)
             new = np.concatenate(([True], (x[1:] != x[:-1]) | (which[1:] != which[:-1])))
             first = np.flatnonzero(new)
             length = np.diff(np.append(first, len(x)))
             doc = row[which[first]]
-            yield _table(schema, [K.signed(x[first]), part.column("row_key").to_numpy()[doc], at[first] - w.first[doc], length])
+            yield _table(schema, [K.signed(x[first]), ask["anchor"][which[first]], part.column("row_key").to_numpy()[doc], part.column("row_sub").to_numpy()[doc], at[first] - w.first[doc], length])
 
     return run
 
@@ -174,37 +175,41 @@ def _digest(window: int):
     return run
 
 
-def _strip(window: int):
+def _strip(window: int, names: list[str], text: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in K.pieces(batches):
             old = b.column("text").to_pylist()
-            new = [text.decode() if gone else was for was, (text, *_, gone) in zip(old, _kept_texts(b, window), strict=True)]
-            columns = {name: b.column(name) for name in b.schema.names if name not in ("row_key", "hits")}
-            columns["text"] = pa.array(new, pa.string())
-            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+            new = [kept.decode() if gone else was for was, (kept, *_, gone) in zip(old, _kept_texts(b, window), strict=True)]
+            made = {name: pa.array(new, pa.string()) if name == text else b.column(name) for name in names}
+            yield pa.RecordBatch.from_arrays(list(made.values()), names=names)
 
     return run
 
 
 def _with_hits(d: DataFrame, window: int, gram: int) -> DataFrame:
-    """``d`` (with text and row_key) and, for each row, its repeated windows."""
+    """``d`` (with text, row_key and row_sub) and, for each row, its repeated windows."""
     if not 1 <= gram <= window:
         raise ValueError("gram must be between 1 and window")
     n = int(d.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    runs = d.select("row_key", "text").mapInArrow(_emit_runs(window, gram), _RUNS)
+    runs = d.select(*_KEY, "text").mapInArrow(_emit_runs(window, gram), _RUNS)
     found = runs.repartition(n, "anchor").sortWithinPartitions("anchor", "run_hash").mapInArrow(_settle_runs, _FOUND)
     found = stored(found, "substring-runs")
-    asks = found.where("not settled").groupBy("row_key").agg(F.collect_list(F.struct("start", "n", "anchor")).alias("asks"))
+    # Sets, not lists: what the copies of a row are found to hold is the same for all of them.
+    asks = found.where("not settled").groupBy(*_KEY).agg(F.collect_set(F.struct("start", "n", "anchor")).alias("asks"))
     # All joins deal the rows out by the same key and columns, so Spark shuffles them once.
-    windows = d.join(asks, "row_key", "left").mapInArrow(_emit_windows(window), _HITS)
-    # Counts are added up before the shuffle.  The second key keeps the few repeated windows
+    windows = d.join(asks, _KEY, "left").mapInArrow(_emit_windows(window), _HITS)
+    # Counts are added up before the shuffle.  The third key keeps the few repeated windows
     # from standing where the sums were made, so that both sides of the join are dealt out
     # anew and Spark may split a window that has very many places.
-    often = windows.groupBy("h", F.pmod("h", F.lit(2)).alias("half")).agg(F.sum("n").alias("times")).where("times > 1").select("h")
-    repeated = windows.join(often, "h").select("row_key", "start", "n")
-    hits = repeated.unionByName(found.where("settled").select("row_key", "start", "n"))
-    hits = hits.groupBy("row_key").agg(F.collect_list(F.struct("start", "n")).alias("hits"))
-    return d.join(hits, "row_key", "left")
+    often = windows.groupBy("h", "anchor", F.pmod("h", F.lit(2)).alias("half")).agg(F.sum("n").alias("times")).where("times > 1").select("h", "anchor")
+    repeated = windows.join(often, ["h", "anchor"]).select(*_KEY, "start", "n")
+    hits = repeated.unionByName(found.where("settled").select(*_KEY, "start", "n"))
+    hits = hits.groupBy(*_KEY).agg(F.collect_set(F.struct("start", "n")).alias("hits"))
+    return d.join(hits, _KEY, "left")
+
+
+def _keyed(d: DataFrame, doc_id: str, text: str) -> DataFrame:
+    return d.withColumns({"row_key": F.xxhash64(doc_id, text), "row_sub": F.hash(text, doc_id)})
 
 
 def remove_repeated_substrings(docs: DataFrame, window: int = 35, gram: int = 8) -> DataFrame:
@@ -217,24 +222,27 @@ def remove_repeated_substrings(docs: DataFrame, window: int = 35, gram: int = 8)
     joined by one space), removed (maximal intervals of word positions, half open).
 
     Nulls: a null text has no words; a null doc_id is kept as null.  Texts of fewer than
-    ``window`` words lose nothing.  Repeated rows are documents like any other, so a row
-    that is there twice loses all its windows in both.  Rows are told apart by a hash of
-    doc_id and text, so equal ids with different texts don't mix.  An empty table gives an
-    empty table; further columns of ``docs`` are ignored.
+    ``window`` words lose nothing; very long ones are taken whole.  Repeated rows are
+    documents like any other, so a row that is there twice loses all its windows in both.
+    Rows are told apart by 96 bits of hashes of doc_id and text, so equal ids with different
+    texts don't mix.  An empty table gives an empty table; other columns are ignored.
     """
     prepare(docs.sparkSession)
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("doc_id", "text").alias("row_key"))
-    return _with_hits(d, window, gram).mapInArrow(_digest(window), "doc_id long, n_words long, n_removed long, kept_sha256 string, removed array<struct<start:int,end:int>>")
+    d = columns(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return _with_hits(_keyed(d, "doc_id", "text"), window, gram).mapInArrow(_digest(window), "doc_id long, n_words long, n_removed long, kept_sha256 string, removed array<struct<start:int,end:int>>")
 
 
 def strip_repeated_substrings(docs: DataFrame, window: int = 35, gram: int = 8) -> DataFrame:
-    """``docs`` with the texts that are left: same rows and columns.  A text that loses words
-    becomes its kept words joined by one space; others stay as they are.  n_chars, if there,
-    is set to the new length.  Columns must not be named row_key or hits."""
+    """``docs`` with the texts that are left: same rows and columns, whatever their names and
+    types.  A text that loses words becomes its kept words joined by one space; others stay
+    as they are.  A column n_chars, if there, is set to the new length.  Other cases are
+    those of ``remove_repeated_substrings``."""
     prepare(docs.sparkSession)
-    d = docs.withColumn("row_key", F.xxhash64("doc_id", "text"))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    out = _with_hits(d, window, gram).mapInArrow(_strip(window), fields).select(*[F.col(f"`{c}`") for c in docs.columns])
+    d, (doc_id, text) = numbered(docs, "doc_id", "text")
+    names = d.columns
+    hits = _with_hits(_keyed(d, doc_id, text).withColumnRenamed(text, "text"), window, gram).drop(*_KEY)
+    out = hits.mapInArrow(_strip(window, names, text), d.schema)
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType))
-    return out
+        i = docs.columns.index("n_chars")
+        out = out.withColumn(names[i], F.coalesce(F.length(text), F.lit(0)).cast(d.schema[names[i]].dataType))
+    return out.toDF(*docs.columns)

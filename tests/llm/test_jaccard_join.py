@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from seqloom.llm import jaccard_join as J
@@ -85,6 +86,25 @@ def test_difference_bound_is_exact():
             assert ok(k) and not ok(k + 1)
 
 
+def test_copies_of_rows_are_one_set(spark):
+    """A link between two sets is one, however many copies of their rows there are."""
+    a = [f"w{i}" for i in range(200)]
+    b = a[:100] + ["new"] + a[101:]
+    rows = [(1, " ".join(a))] * 40 + [(2, " ".join(b))] * 30
+    got = J.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == 70 and all(r.links == 1 and r.component_id == 1 for r in got)
+
+
+def test_sets_that_share_a_name_are_told_apart(spark, monkeypatch):
+    """As if first hashes were short: names then clash, and second hashes tell sets apart."""
+    real = J.set_hashes
+    g, bounds = J.shingle_sets(pa.array(["a b c d", "x y z u", "a b c d"]), 3)
+    first, second = real(g, bounds)
+    assert first[0] == first[2] != first[1] and second[0] == second[2] != second[1]
+    names = J.set_names(g, bounds, first[:1])
+    assert names[0] == names[2] and names[0] not in (first[0], names[1]) and names[1] == first[1]
+
+
 def test_keep_one_of_each(docs, corpus, empty):
     out = J.keep_one_of_each(docs)
     assert out.columns == docs.columns

@@ -102,6 +102,26 @@ def test_every_stage(spark, rows, tmp_path):
     assert len(fill) == lower_bound(np.array([r.length for r in packed]))
 
 
+def test_stages_keep_columns_of_any_name_and_type(spark):
+    """Names that operators use, names that differ in case only, nested fields with odd names."""
+    rng = random.Random(9)
+    make = lambda n: " ".join(f"w{rng.randrange(3000)}" for _ in range(n))
+    names = ["row_key", "ROW_KEY", "row_sub", "hits", "asks", "copies", "__row", "__size", "size", "h", "bucket", "times", "time", "node", "name", "sig", "root", "n_words", "kept", "c0", "C1", "id", "part", "a.b", "a`b"]
+    passage, long = make(60), make(120_000)
+    texts = [make(80) + " " + passage for _ in range(4)] + [make(90) for _ in range(6)] + [long]
+    rows = [(*[f"{n}{i}" for n in names], i, "s", t, {"x y": i, "z-1": [i, None]}, {"k": i}) for i, t in enumerate(texts)]
+    nested = "struct<`x y`:bigint,`z-1`:array<bigint>>, map<string,bigint>".split(", ")
+    quoted = ["`" + n.replace("`", "``") + "`" for n in names]
+    d = spark.createDataFrame(rows, ", ".join(f"{q} string" for q in quoted) + f", doc_id long, source string, text string, nest {nested[0]}, pairs {nested[1]}")
+    for name, stage in C.STAGES[:-1]:
+        out = stage(spark, d, "")
+        assert out.columns == d.columns and [f.dataType for f in out.schema] == [f.dataType for f in d.schema], name
+        for r in out.collect():
+            i = r.doc_id
+            assert tuple(r)[: len(names)] == rows[i][: len(names)] and r.nest["x y"] == i and r.nest["z-1"] == [i, None] and r.pairs == {"k": i}, name
+    assert C.STAGES[-1][1](spark, d, "").where("piece = 0").count() == len(rows)
+
+
 def test_run_on_tables(spark, sf):
     assert C.run(spark, sf).count() > 0 and C.ORACLE_SQL is None
 

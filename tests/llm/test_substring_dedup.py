@@ -1,9 +1,11 @@
 import hashlib
+import random
 import re
 from collections import Counter
 
 import pytest
 
+from seqloom.llm import substring_dedup as S
 from seqloom.llm.substring_dedup import remove_repeated_substrings, strip_repeated_substrings
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -59,3 +61,16 @@ def test_strip_keeps_rows_and_columns(docs, corpus):
 def test_empty_table(empty):
     assert remove_repeated_substrings(empty).count() == 0
     assert strip_repeated_substrings(empty).count() == 0
+
+
+def test_many_copies_of_a_row_stay_linear(spark):
+    """Each copy gets the row's repeated windows once, not once for every copy."""
+    rng = random.Random(6)
+    text = " ".join(f"w{rng.randrange(9**6)}" for _ in range(120))
+    other = text[: len(text) // 2] + " " + " ".join(f"v{rng.randrange(9**6)}" for _ in range(80))
+    rows = [(1, text)] * 1000 + [(2, other)]
+    d = S._keyed(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text")
+    sizes = [r.n for r in S._with_hits(d, 35, 8).where("doc_id = 1").selectExpr("size(hits) AS n").collect()]
+    assert len(sizes) == 1000 and max(sizes) <= 86
+    out = S.remove_repeated_substrings(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert all(r.n_removed == 120 for r in out if r.doc_id == 1) and {r.n_removed for r in out if r.doc_id == 2} <= set(range(40, 70))
