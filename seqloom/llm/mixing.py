@@ -175,30 +175,33 @@ def mix_sources(docs: DataFrame, weights: Sequence[int] = WEIGHTS, seed: int = S
     The words of each source, one row a source, are summed up on the driver: sources and
     their weights are a setting of the mix.
     """
-    d, made = _mixed(docs, weights, seed)
+    d, made = _mixed(docs, weights, seed, whole=False)
     return made.select(F.col(d[0]).cast("long").alias("doc_id"), "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 def take_mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, seed: int = SEED) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it, with all their columns, whatever
     their names.  Cases are those of ``mix_sources``."""
-    _, made = _mixed(docs, weights, seed)
+    _, made = _mixed(docs, weights, seed, whole=True)
     kept = [f"c{i}" for i in range(len(docs.columns))]
     times = made.where("copies > 0").withColumn("time", F.explode(F.sequence(F.lit(1), F.col("copies"))))
     return times.select(*kept).toDF(*docs.columns)
 
 
-def _mixed(docs: DataFrame, weights: Sequence[int], seed: int) -> tuple[list[str], DataFrame]:
-    """The names of doc_id, text and source among numbered columns, and the numbered rows
-    with size, source_size, target and copies."""
+def _mixed(docs: DataFrame, weights: Sequence[int], seed: int, whole: bool) -> tuple[list[str], DataFrame]:
+    """The names of doc_id, text and source among numbered columns, and the numbered rows, or
+    of them only doc_id, with size, source_size, target and copies."""
     spark = prepare(docs.sparkSession)
     d, (doc_id, text, source) = numbered(docs, "doc_id", "text", "source")
     sized = d.withColumns({
         "size": F.expr(f"CAST(regexp_count(coalesce({text}, ''), r'{WORD}') AS BIGINT)"),
         "h": F.xxhash64(F.lit(seed), doc_id, text),
+        "h2": F.hash(text, doc_id),
         "no_source": F.col(source).isNull(),
         "source": F.coalesce(F.col(source), F.lit("")),
     }).withColumn("bucket", F.pmod("h", F.lit(BUCKETS)).cast("int"))
+    if not whole:
+        sized = sized.select(doc_id, "size", "h", "h2", "no_source", "source", "bucket")
     keys = ["no_source", "source", "size"]
     counted = stored(sized.groupBy(*keys, "bucket").agg(F.count(F.lit(1)).alias("m")), "mix-counts")
     sums = counted.groupBy("no_source", "source").agg(F.sum(F.col("size") * F.col("m")).alias("words")).collect()
@@ -210,6 +213,6 @@ def _mixed(docs: DataFrame, weights: Sequence[int], seed: int) -> tuple[list[str
     before = Window.partitionBy(*keys).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     counted = counted.withColumn("before", F.coalesce(F.sum("m").over(before), F.lit(0)))
     parts = counted.join(plan, keys).select(*keys, "bucket", "before", "source_size", "target", "times", "extra")
-    rank = F.row_number().over(Window.partitionBy(*keys, "bucket").orderBy("h", doc_id, text))
+    rank = F.row_number().over(Window.partitionBy(*keys, "bucket").orderBy("h", "h2"))
     made = sized.join(parts, [*keys, "bucket"]).withColumn("copies", F.col("times") + (F.col("before") + rank <= F.col("extra")).cast("int"))
     return [doc_id, text, source], made
