@@ -2,14 +2,17 @@
 
 P(word | context) = P(class | context) * P(word | class, context).  The most frequent words
 of the training documents, and the end of a text, are the vocabulary, in classes of equal
-size by frequency; all other words are one more class, the tail, in which a word has its
-smoothed unigram probability, so the model is a distribution over all words.  Features of a
-context are the previous word, the one before it (a skip), and both (an n-gram), hashed into
-fixed tables of weights; tail words of a context count by hash bucket.
-
-Training runs in rounds of distributed gradient updates: every task takes AdaGrad steps on
-its own documents, from the weights of the last round, and the weights are averaged over the
-tasks by how often each feature was met.  Batches are sparse: equal contexts are one row.
+size by frequency.  Every other word belongs to a tail class by its hash, in which it has
+its smoothed share of the class's training tokens, so the model is a distribution over all
+words.  Features of a context are the hash of the previous word, of the one before it (a
+skip), whichever words they are; with the word or class they predict they are the model's
+bigram and skip features.  They are rows of hashed weight tables, whose number follows the
+training tokens up to a bound that keeps the tables broadcastable.
+
+Training runs in rounds of distributed gradient updates: training documents are dealt into
+parts of a set size by a hash, so reruns agree however files are split; every task takes
+AdaGrad steps (one rate a row of weights) on its part from the weights of the last round, and
+the weights are averaged over the tasks by how often each feature was met.
 
 Word counts cover all training documents.  Frequent words, a bounded number, are looked up
 in memory; a text's other words are joined with their counts.
@@ -28,33 +31,41 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from ._spark import prepare, stored
+from ._spark import columns, prepare, stored
 
-#: Words in the vocabulary (one is the end), classes, tail buckets of contexts, rows of the
-#: two hashed weight tables, words whose counts are kept in memory.
-VOCABULARY, CLASSES, TAIL_BUCKETS = 256, 16, 16
-CLASS_ROWS, WORD_ROWS, KEPT_WORDS = 1 << 14, 1 << 16, 1 << 16
-IN_CLASS = VOCABULARY // CLASSES
+#: Classes of the vocabulary and words in each (the last word is the end), tail classes, and
+#: words whose counts are kept in memory.
+CLASSES, IN_CLASS, TAILS = 128, 128, 32
+VOCABULARY, WIDTH, KEPT_WORDS = CLASSES * IN_CLASS, CLASSES + TAILS, 1 << 16
 END = VOCABULARY - 1
-BOS = VOCABULARY + TAIL_BUCKETS
-CONTEXTS = BOS + 1
-#: Rounds of training; each takes its own share of the training documents, every document once.
-ROUNDS, RATES, DAMPING = 2, (0.5, 0.25), 100.0
-SLAB = 1024
+#: Rows of each weight table: one for so many training tokens, within the two bounds (a model
+#: of the upper one has 38 MB).
+TOKENS_A_ROW, LEAST_ROWS, MOST_ROWS = 256, 1 << 12, 1 << 15
+#: Rounds of training, each on its own share of the training documents; tokens of one part.
+ROUNDS, RATES, PART_TOKENS = 2, (0.5, 0.25), 8_000_000
+#: A row's rate is that of the round over sqrt(sum of its squared gradients / SPREAD + 1);
+#: weights stay within LIMIT, so no exponential runs over.
+SPREAD, LIMIT = 16.0, 20.0
+#: Tokens of one gradient step, and rows of a weight table that travel together.
+STEP, SLAB = 2048, 1024
 ADD = 0.1
+#: Stand for the end of a text and for what is before its start.
+END_HASH, START_HASH = K.U64(0x51ED270B4D2B6F17), K.U64(0x2545F4914F6CDD1D)
+_KEYS = (K.U64(0x9E3779B97F4A7C15), K.U64(0xC2B2AE3D27D4EB4F), K.U64(0x27D4EB2F165667C5))
 
 
 class Model(NamedTuple):
     vocabulary: np.ndarray  # sorted hashes of the vocabulary's words
     ids: np.ndarray  # their ids, by frequency
-    class_bias: np.ndarray
-    word_bias: np.ndarray
-    class_weights: np.ndarray
-    word_weights: np.ndarray
+    class_bias: np.ndarray  # WIDTH
+    word_bias: np.ndarray  # CLASSES x IN_CLASS
+    class_weights: np.ndarray  # rows x WIDTH
+    word_weights: np.ndarray  # rows x IN_CLASS
+    tail_mass: np.ndarray  # smoothed tokens of each tail class
 
 
 class Counts(NamedTuple):
-    """Training counts: total tokens, distinct ones, and the kept words with theirs."""
+    """Training counts: total tokens, distinct ones, ends, and the kept words with theirs."""
 
     n: int
     distinct: int
@@ -63,125 +74,126 @@ class Counts(NamedTuple):
     counts: np.ndarray
 
 
-def _feature(kind: int, *parts: np.ndarray) -> np.ndarray:
-    x = np.full(len(parts[0]), kind, K.U64)
-    for p in parts:
-        x = K.mix(x * K.U64(0x100000001B3) + p.astype(K.U64))
-    return x
+class Coded(NamedTuple):
+    """The tokens of a batch, with an end after each text."""
+
+    a: np.ndarray  # hash of the previous token as a feature
+    b: np.ndarray  # of the one before it
+    cls: np.ndarray  # class of the token
+    word: np.ndarray  # its place within a class of the vocabulary
+    of: np.ndarray  # its text
+    h: np.ndarray  # its hash
+
+
+def tail_class(h: np.ndarray) -> np.ndarray:
+    return CLASSES + ((h >> K.U64(7)) % K.U64(TAILS)).astype(np.int64)
 
 
-def _codes(w: K.Words, m: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Tokens of a batch with an end after each text: previous and the one before as context
-    ids, target id (VOCABULARY: tail), the text of each token, and hashes (0: end)."""
-    h = w.hashes(lower=True)
+def coded(w: K.Words, m: Model) -> Coded:
     n_docs = len(w.first) - 1
-    n = len(h) + n_docs
-    doc = w.doc()
-    at = np.arange(len(h)) + doc
-    if len(m.vocabulary):
-        pos = np.minimum(np.searchsorted(m.vocabulary, h), len(m.vocabulary) - 1)
-        known = m.vocabulary[pos] == h
-        target = np.where(known, m.ids[pos], VOCABULARY)
-    else:
-        known, target = np.zeros(len(h), bool), np.full(len(h), VOCABULARY)
-    y = np.full(n, END)
-    y[at] = target
-    ctx = np.full(n, END)
-    ctx[at] = np.where(known, target, VOCABULARY + ((h >> K.U64(7)) % K.U64(TAIL_BUCKETS)).astype(np.int64))
-    hashes = np.zeros(n, K.U64)
-    hashes[at] = h
+    words = w.hashes(lower=True)
+    h = np.full(len(words) + n_docs, END_HASH, K.U64)
+    h[np.arange(len(words)) + w.doc()] = words
     of = np.repeat(np.arange(n_docs), w.counts + 1)
     first = w.first[:-1] + np.arange(n_docs)
-    p1, p2 = np.full(n, BOS), np.full(n, BOS)
-    p1[1:] = ctx[:-1]
-    p2[2:] = ctx[:-2]
-    p1[first] = BOS
-    p2[first] = BOS
-    second = first[w.counts > 0] + 1
-    p2[second] = BOS
-    return p1, p2, y, of, hashes
-
-
-class Sparse(NamedTuple):
-    """A batch by distinct contexts (row of each token) and distinct contexts with a class."""
-
-    row: np.ndarray
-    rows: np.ndarray  # features of each context, as rows of class weights
-    pair: np.ndarray  # of each token outside the tail
-    pairs: np.ndarray  # features of each context with a class, as rows of word weights
-    pair_class: np.ndarray
-    cls: np.ndarray
-    inside: np.ndarray
-
-
-def sparse(p1: np.ndarray, p2: np.ndarray, y: np.ndarray) -> Sparse:
-    code = p2 * CONTEXTS + p1
-    number = np.zeros(CONTEXTS * CONTEXTS, np.int64)
-    number[code] = 1
-    used = np.flatnonzero(number)
-    number[used] = np.arange(len(used))
-    row = number[code]
-    a, b = used % CONTEXTS, used // CONTEXTS
-    rows = np.stack([_feature(1, a), _feature(2, b), _feature(3, a, b)], 1)
-    cls = np.where(y == VOCABULARY, CLASSES, y // IN_CLASS)
-    inside = np.flatnonzero(cls < CLASSES)
-    both = row[inside] * CLASSES + cls[inside]
-    number = np.zeros(len(used) * CLASSES, np.int64)
-    number[both] = 1
-    pair_used = np.flatnonzero(number)
-    number[pair_used] = np.arange(len(pair_used))
-    c = pair_used % CLASSES
-    pairs = np.stack([_feature(4 + j, rows[pair_used // CLASSES, j], c) for j in range(3)], 1)
-    return Sparse(row, (rows % K.U64(CLASS_ROWS)).astype(np.int64), number[both], (pairs % K.U64(WORD_ROWS)).astype(np.int64), c, cls, inside)
-
-
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
-
-
-def log_probs(s: Sparse, m: Model) -> tuple[np.ndarray, np.ndarray]:
-    """Natural logs of P(class) for each context and of P(word) for each context and class."""
-    return _log_softmax(m.class_bias + m.class_weights[s.rows].sum(1)), _log_softmax(m.word_bias[s.pair_class] + m.word_weights[s.pairs].sum(1))
-
-
-def _add_rows(index: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct indices and the sums of their rows."""
-    order = np.argsort(index, kind="stable")
-    index = index[order]
-    at = np.flatnonzero(np.concatenate(([True], index[1:] != index[:-1])))
-    return index[at], np.add.reduceat(values[order], at, axis=0)
+    p1, p2 = np.full(len(h), START_HASH), np.full(len(h), START_HASH)
+    p1[1:], p2[2:] = h[:-1], h[:-2]
+    p1[first] = START_HASH
+    p2[first] = START_HASH
+    p2[first[w.counts > 0] + 1] = START_HASH
+    target = np.full(len(h), -1)
+    if len(m.vocabulary):
+        pos = np.minimum(np.searchsorted(m.vocabulary, h), len(m.vocabulary) - 1)
+        target = np.where(m.vocabulary[pos] == h, m.ids[pos], -1)
+    target[h == END_HASH] = END
+    return Coded(K.mix(p1 ^ _KEYS[0]), K.mix(p2 ^ _KEYS[1]), np.where(target < 0, tail_class(h), target // IN_CLASS), target % IN_CLASS, of, h)
+
+
+def _class_rows(x: Coded, at: slice, m: Model) -> list[np.ndarray]:
+    """Rows of class weights, as numbers of 16 bits, which sort fastest."""
+    mask = K.U64(len(m.class_weights) - 1)
+    return [(f[at] & mask).astype(np.uint16) for f in (x.a, x.b)]
+
+
+def _word_rows(x: Coded, at: np.ndarray, m: Model) -> list[np.ndarray]:
+    mask, cls = K.U64(len(m.word_weights) - 1), x.cls[at].astype(K.U64) * _KEYS[2]
+    return [(K.mix(f[at] + cls) & mask).astype(np.uint16) for f in (x.a, x.b)]
+
+
+def _logits(bias: np.ndarray, weights: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
+    """A bias and one row of weights for each feature, added up."""
+    z = np.take(weights, rows[0], axis=0)
+    for r in rows[1:]:
+        z += np.take(weights, r, axis=0)
+    z += bias
+    return z
+
+
+def log_probs(x: Coded, m: Model) -> np.ndarray:
+    """Natural log of each token's probability; of a tail class's words only the class's."""
+
+    def of(z: np.ndarray, target: np.ndarray) -> np.ndarray:
+        own = z[np.arange(len(z)), target]
+        return own - np.log(np.exp(z, out=z).sum(axis=1))
+
+    out = np.empty(len(x.h))
+    for lo in range(0, len(x.h), STEP):
+        at = slice(lo, min(lo + STEP, len(x.h)))
+        out[at] = of(_logits(m.class_bias, m.class_weights, _class_rows(x, at, m)), x.cls[at])
+        inside = np.flatnonzero(x.cls[at] < CLASSES) + lo
+        if len(inside):
+            out[inside] += of(_logits(m.word_bias[x.cls[inside]], m.word_weights, _word_rows(x, inside, m)), x.word[inside])
+    return out
+
+
+def add_up(g: np.ndarray, r: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For rows ``g`` in the order of ``r``: the distinct values of r, their rows' sums (added
+    pair by pair; g is overwritten) and counts."""
+    start = np.flatnonzero(np.concatenate(([True], r[1:] != r[:-1])))
+    n = np.diff(np.append(start, len(r)))
+    place, at = np.arange(len(r)) - np.repeat(start, n), r[start]
+    while len(g) > len(at):
+        odd = np.flatnonzero(place & 1)
+        g[odd - 1] += g[odd]
+        even = np.flatnonzero(~place & 1)
+        g, place = g[even], place[even] >> 1
+    return at, g, n
 
 
 class Trainer:
     """AdaGrad on a copy of the model's hashed weights."""
 
     def __init__(self, m: Model, rate: float):
-        self.rate = rate
+        self.rate = np.float32(rate)
         self.m = m._replace(class_weights=m.class_weights.copy(), word_weights=m.word_weights.copy())
-        self.squares = [np.zeros_like(m.class_weights), np.zeros_like(m.word_weights)]
-        self.met = [np.zeros(CLASS_ROWS, np.float32), np.zeros(WORD_ROWS, np.float32)]
-
-    def _step(self, which: int, weights: np.ndarray, rows: np.ndarray, gradient: np.ndarray, count: np.ndarray) -> None:
-        flat = rows.reshape(-1)
-        repeated = np.repeat(np.concatenate((gradient, count[:, None]), 1), rows.shape[1], axis=0)
-        at, g = _add_rows(flat, repeated)
-        self.met[which][at] += g[:, -1]
-        g = g[:, :-1]
-        self.squares[which][at] += g * g
-        weights[at] -= self.rate * g / np.sqrt(self.squares[which][at] + DAMPING)
-
-    def learn(self, p1: np.ndarray, p2: np.ndarray, y: np.ndarray) -> None:
-        s = sparse(p1, p2, y)
-        pc, pw = log_probs(s, self.m)
-        width = CLASSES + 1
-        seen = np.bincount(s.row * width + s.cls, minlength=len(s.rows) * width).reshape(-1, width).astype(np.float32)
-        total = seen.sum(1)
-        self._step(0, self.m.class_weights, s.rows, (total[:, None] * np.exp(pc) - seen).astype(np.float32), total)
-        if len(s.inside):
-            seen = np.bincount(s.pair * IN_CLASS + y[s.inside] % IN_CLASS, minlength=len(s.pairs) * IN_CLASS).reshape(-1, IN_CLASS).astype(np.float32)
-            total = seen.sum(1)
-            self._step(1, self.m.word_weights, s.pairs, (total[:, None] * np.exp(pw) - seen).astype(np.float32), total)
+        self.squares = [np.zeros(len(m.class_weights), np.float32), np.zeros(len(m.word_weights), np.float32)]
+        self.met = [np.zeros(len(m.class_weights), np.float32), np.zeros(len(m.word_weights), np.float32)]
+
+    def _step(self, which: int, weights: np.ndarray, rows: list[np.ndarray], gradient: np.ndarray) -> None:
+        for r in rows:
+            order = np.argsort(r, kind="stable")
+            at, g, n = add_up(np.take(gradient, order, axis=0), r[order])
+            self.met[which][at] += n
+            self.squares[which][at] += np.einsum("ij,ij->i", g, g)
+            g *= (self.rate / np.sqrt(self.squares[which][at] / np.float32(SPREAD) + np.float32(1)))[:, None]
+            weights[at] = np.clip(np.take(weights, at, axis=0) - g, -LIMIT, LIMIT)
+
+    def learn(self, x: Coded) -> None:
+        def gradient(z: np.ndarray, target: np.ndarray) -> np.ndarray:
+            p = np.exp(z, out=z)
+            p /= p.sum(axis=1, keepdims=True)
+            p[np.arange(len(p)), target] -= 1
+            return p
+
+        m = self.m
+        for lo in range(0, len(x.h), STEP):
+            at = slice(lo, min(lo + STEP, len(x.h)))
+            rows = _class_rows(x, at, m)
+            self._step(0, m.class_weights, rows, gradient(_logits(m.class_bias, m.class_weights, rows), x.cls[at]))
+            inside = np.flatnonzero(x.cls[at] < CLASSES) + lo
+            if len(inside):
+                rows = _word_rows(x, inside, m)
+                self._step(1, m.word_weights, rows, gradient(_logits(m.word_bias[x.cls[inside]], m.word_weights, rows), x.word[inside]))
 
 
 def _batch(**columns: tuple) -> pa.RecordBatch:
@@ -225,13 +237,13 @@ _WEIGHTS = "slab int, task int, met binary, weighted binary"
 
 def _train(shared, rate: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = Trainer(shared.value, rate)
+        t, any_ = Trainer(shared.value, rate), False
         for b in K.pieces(batches):
             if b.num_rows:
-                p1, p2, y, _, _ = _codes(K.words(K.texts(b.column("text"))), t.m)
-                t.learn(p1, p2, y)
+                any_ = True
+                t.learn(coded(K.words(K.texts(b.column("text"))), t.m))
         task, slab = TaskContext.get().partitionId(), 0
-        for met, weights in zip(t.met, (t.m.class_weights, t.m.word_weights), strict=True):
+        for met, weights in zip(t.met, (t.m.class_weights, t.m.word_weights), strict=True) if any_ else ():
             for i in range(0, len(met), SLAB):
                 n, x = met[i : i + SLAB], weights[i : i + SLAB]
                 if n.any():
@@ -242,19 +254,22 @@ def _train(shared, rate: float):
 
 
 def _sum_slabs(group: pa.Table) -> pa.Table:
+    group = group.sort_by("task")  # sums of floats depend on the order
     add = lambda name: np.sum([np.frombuffer(x, np.float32) for x in group.column(name).to_pylist()], axis=0, dtype=np.float64).astype(np.float32).tobytes()
-    return pa.table({"slab": pa.array([group.column("slab")[0].as_py()], pa.int32()), "task": pa.array([group.column("task")[0].as_py()], pa.int32()), "met": pa.array([add("met")], pa.binary()), "weighted": pa.array([add("weighted")], pa.binary())})
+    return pa.table({"slab": pa.array([group.column("slab")[0].as_py()], pa.int32()), "task": pa.array([group.column("part")[0].as_py()], pa.int32()), "met": pa.array([add("met")], pa.binary()), "weighted": pa.array([add("weighted")], pa.binary())})
 
 
-def _averaged(m: Model, made: DataFrame) -> Model:
-    """Weights averaged over tasks; a slab's sums are added up 64 tasks at a time."""
-    for step in (64, 64 * 64, None):
-        key = F.lit(0) if step is None else F.floor(F.col("task") / step).cast("int")
-        made = made.withColumn("task", key).groupBy("slab", "task").applyInArrow(_sum_slabs, _WEIGHTS)
+def _averaged(m: Model, made: DataFrame, parts: int) -> Model:
+    """Weights averaged over ``parts`` tasks; a slab's sums are added up 64 tasks at a time."""
+    while True:
+        made = made.withColumn("part", F.floor(F.col("task") / 64).cast("int")).groupBy("slab", "part").applyInArrow(_sum_slabs, _WEIGHTS)
+        parts = -(-parts // 64)
+        if parts <= 1:
+            break
     tables = [m.class_weights.copy(), m.word_weights.copy()]
-    edges = CLASS_ROWS // SLAB
-    for r in made.collect():  # CLASS_ROWS + WORD_ROWS rows of weights at most
-        which, slab = (0, r["slab"]) if r["slab"] < edges else (1, r["slab"] - edges)
+    edge = len(tables[0]) // SLAB
+    for r in made.toLocalIterator():  # at most two tables of MOST_ROWS rows
+        which, slab = (0, r["slab"]) if r["slab"] < edge else (1, r["slab"] - edge)
         n = np.frombuffer(r["met"], np.float32)
         x = np.frombuffer(r["weighted"], np.float32).reshape(SLAB, -1)
         part = tables[which][slab * SLAB : (slab + 1) * SLAB]
@@ -262,16 +277,27 @@ def _averaged(m: Model, made: DataFrame) -> Model:
     return m._replace(class_weights=tables[0], word_weights=tables[1])
 
 
-def unigram_model(words: np.ndarray, counts: np.ndarray, ends: int, total: int) -> Model:
-    """The model without features: classes and words by their training counts."""
+def rows_for(tokens: int) -> int:
+    """Rows of each weight table for so many training tokens: a power of two."""
+    wanted = 1 << max(0, (max(1, tokens) - 1) // TOKENS_A_ROW).bit_length()
+    return min(MOST_ROWS, max(LEAST_ROWS, wanted))
+
+
+def unigram_model(words: np.ndarray, counts: np.ndarray, ends: int, tails: list[tuple[int, int, int]], rows: int = LEAST_ROWS) -> Model:
+    """The model without features: classes and words by their training counts.  ``tails`` are
+    (tail class from 0, tokens, distinct words) of all words but the vocabulary's.  Each tail
+    class has room for one unseen word."""
     c = np.zeros(VOCABULARY)
     c[: len(counts)] = counts
     c[END] = ends
-    tail = max(0.0, total - c.sum())
-    by_class = np.append(c.reshape(CLASSES, IN_CLASS).sum(1), tail) + ADD
+    mass = np.full(TAILS, ADD)
+    for t, tokens, distinct in tails:
+        mass[t] += tokens + ADD * distinct
     inside = c.reshape(CLASSES, IN_CLASS) + ADD
+    by_class = np.concatenate((inside.sum(1), mass))
     order = np.argsort(words)
-    return Model(words[order], np.arange(len(words))[order], np.log(by_class / by_class.sum()).astype(np.float32), np.log(inside / inside.sum(1, keepdims=True)).astype(np.float32), np.zeros((CLASS_ROWS, CLASSES + 1), np.float32), np.zeros((WORD_ROWS, IN_CLASS), np.float32))
+    log = lambda x: np.log(x).astype(np.float32)
+    return Model(words[order], np.arange(len(words))[order], log(by_class / by_class.sum()), log(inside / inside.sum(1, keepdims=True)), np.zeros((rows, WIDTH), np.float32), np.zeros((rows, IN_CLASS), np.float32), mass)
 
 
 def _kept(h: np.ndarray, c: Counts) -> tuple[np.ndarray, np.ndarray]:
@@ -283,8 +309,8 @@ def _kept(h: np.ndarray, c: Counts) -> tuple[np.ndarray, np.ndarray]:
     return there, np.where(there, c.counts[pos], 0)
 
 
-_SCORES = "doc_id long, row_key long, held_out boolean, n_tokens long, known long, log_counts double, model double, tail_known double, n_tail long"
-_RARE = "row_key long, word long, times long"
+_SCORES = "doc_id long, row_key long, row_sub int, held_out boolean, n_tokens long, known long, log_counts double, model double"
+_RARE = "row_key long, row_sub int, word long, times long"
 
 
 def _score(shared):
@@ -293,22 +319,18 @@ def _score(shared):
         for b in K.pieces(batches):
             if not b.num_rows:
                 continue
-            p1, p2, y, of, h = _codes(K.words(K.texts(b.column("text"))), m)
-            s = sparse(p1, p2, y)
-            pc, pw = log_probs(s, m)
-            lp = pc[s.row, s.cls].astype(np.float64)
-            lp[s.inside] += pw[s.pair, y[s.inside] % IN_CLASS]
-            there, count = _kept(h, c)
-            end = h == 0
+            x = coded(K.words(K.texts(b.column("text"))), m)
+            there, count = _kept(x.h, c)
+            end = x.h == END_HASH
             there |= end
-            count = np.where(end, c.ends, count)
-            logs = np.where(there, np.log10(count + ADD), 0.0)
-            tail = y == VOCABULARY
-            add = lambda v: np.bincount(of, weights=v, minlength=b.num_rows)
+            logs = np.where(there, np.log10(np.where(end, c.ends, count) + ADD), 0.0)
+            tail = x.cls >= CLASSES
+            # A tail word's count is among the kept ones, or comes with the join.
+            lp = log_probs(x, m) / math.log(10) + np.where(tail, logs - np.log10(m.tail_mass)[np.where(tail, x.cls - CLASSES, 0)], 0.0)
+            add = lambda v: np.bincount(x.of, weights=v, minlength=b.num_rows)
             yield _batch(
-                doc_id=(b.column("doc_id"), pa.int64()), row_key=(b.column("row_key"), pa.int64()), held_out=(b.column("held_out"), pa.bool_()),
-                n_tokens=(np.bincount(of, minlength=b.num_rows), pa.int64()), known=(add(there & (count > 0)).astype(np.int64), pa.int64()), log_counts=(add(logs), pa.float64()),
-                model=(add(lp) / math.log(10), pa.float64()), tail_known=(add(np.where(tail, logs, 0.0)), pa.float64()), n_tail=(add(tail).astype(np.int64), pa.int64()),
+                doc_id=(b.column("doc_id"), pa.int64()), row_key=(b.column("row_key"), pa.int64()), row_sub=(b.column("row_sub"), pa.int32()), held_out=(b.column("held_out"), pa.bool_()),
+                n_tokens=(np.bincount(x.of, minlength=b.num_rows), pa.int64()), known=(add(there & (np.where(end, c.ends, count) > 0)).astype(np.int64), pa.int64()), log_counts=(add(logs), pa.float64()), model=(add(lp), pa.float64()),
             )
 
     return run
@@ -325,14 +347,15 @@ def _rare(shared):
             order = np.lexsort((h, doc))
             h, doc = h[order], doc[order]
             at = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])))) if len(h) else np.zeros(0, np.int64)
-            yield _batch(row_key=(np.asarray(b.column("row_key"))[doc[at]], pa.int64()), word=(K.signed(h[at]), pa.int64()), times=(np.diff(np.append(at, len(h))), pa.int64()))
+            yield _batch(row_key=(np.asarray(b.column("row_key"))[doc[at]], pa.int64()), row_sub=(np.asarray(b.column("row_sub"))[doc[at]], pa.int32()), word=(K.signed(h[at]), pa.int64()), times=(np.diff(np.append(at, len(h))), pa.int64()))
 
     return run
 
 
 def _most_frequent(counts: DataFrame):
     """Words by falling count, at most KEPT_WORDS: all whose count is above a limit that a
-    histogram of the counts gives, but the vocabulary's at least."""
+    histogram of the counts gives, but the vocabulary's at least.  Words of equal count come
+    by their hash."""
     level = F.floor(F.log2(F.col("c").cast("double")) * 16).cast("int")
     sizes = {r["level"]: r["count"] for r in counts.groupBy(level.alias("level")).count().collect()}  # 16 rows a doubling
     total, low, enough = 0, None, None
@@ -345,14 +368,15 @@ def _most_frequent(counts: DataFrame):
     if low is not None and (enough is None or enough >= low):
         return counts.where(level >= low).toPandas().sort_values(["c", "word"], ascending=[False, True])
     # So many words share a count that the vocabulary must be cut among them.
-    return counts.where(level >= (enough or 0)).orderBy(F.desc("c"), "word").limit(VOCABULARY - 1).toPandas()
+    top = counts if enough is None else counts.where(level >= enough)
+    return top.orderBy(F.desc("c"), "word").limit(VOCABULARY - 1).toPandas()
 
 
 def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 10 == 0
 
 
-def score_documents(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def score_documents(docs: DataFrame, rounds: int = ROUNDS, part_tokens: int = PART_TOKENS) -> DataFrame:
     """Train on the documents that are not held out, score all: doc_id, held_out, n_tokens,
     n_known, train_tokens, base_score, score.
 
@@ -360,11 +384,18 @@ def score_documents(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     Words are lower-cased (A-Z); every text, also a null or empty one, has an end token.
     base_score is the smoothed unigram log10 probability, score the model's.
 
-    Repeated rows count and are scored each.  Without training documents every token is
-    unknown.  An empty table gives an empty one; other columns are ignored.
+    Ties: of words with equal counts those with smaller hashes come first into the
+    vocabulary.  Repeated rows count and are scored each; a very long text is one part's
+    work.  Without training documents every token is unknown.  An empty table gives an empty
+    one; other columns are ignored.
     """
+    return _scored(docs, rounds, part_tokens)[0]
+
+
+def _scored(docs: DataFrame, rounds: int, part_tokens: int) -> tuple[DataFrame, Model, Counts]:
     spark = prepare(docs.sparkSession)
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("doc_id", "text").alias("row_key"), held_out(F.col("doc_id")).alias("held_out"))
+    d = columns(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    d = d.withColumns({"row_key": F.xxhash64("doc_id", "text"), "row_sub": F.hash("text", "doc_id"), "held_out": held_out(F.col("doc_id"))})
     train = d.where("not held_out")
     counts = stored(train.select("text").mapInArrow(_count_words(), "word long, c long").groupBy("word").agg(F.sum("c").alias("c")), "word-counts")
     ends = train.count()
@@ -374,31 +405,41 @@ def score_documents(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     words, often = top["word"].to_numpy(np.int64).view(K.U64), top["c"].to_numpy(np.int64)
     order = np.argsort(words)
     c = Counts(n, v, ends, words[order], often[order])
-    m = unigram_model(words[: VOCABULARY - 1], often[: VOCABULARY - 1], ends, n)
+    # Tail classes: all words by hash, less the vocabulary's.
+    by_tail = counts.groupBy(F.pmod(F.shiftrightunsigned("word", 7), F.lit(TAILS)).cast("int").alias("t")).agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v"))
+    tails = {r["t"]: [r["n"], r["v"]] for r in by_tail.collect()}  # TAILS rows
+    for t, k in zip((tail_class(words[: VOCABULARY - 1]) - CLASSES).tolist(), often[: VOCABULARY - 1].tolist(), strict=True):
+        tails[t][0] -= k
+        tails[t][1] -= 1
+    m = unigram_model(words[: VOCABULARY - 1], often[: VOCABULARY - 1], ends, [(t, *x) for t, x in tails.items()], rows_for(n))
     for r in range(rounds if n else 0):
-        share = train.where(F.pmod(F.xxhash64("row_key"), F.lit(rounds)) == r).select("text")
-        shared = spark.sparkContext.broadcast(m)  # the hashed tables, a few MB whatever the input
-        m = _averaged(m, share.mapInArrow(_train(shared, RATES[min(r, len(RATES) - 1)]), _WEIGHTS))
+        # Parts of equal size by a hash, in the order of another: the same in every run.
+        parts = max(1, -(-n // (rounds * part_tokens)))
+        share = train.where(F.pmod(F.xxhash64("row_key"), F.lit(rounds)) == r).select("row_key", "row_sub", "text")
+        share = share.repartition(parts, F.xxhash64("row_sub", "row_key")).sortWithinPartitions("row_key", "row_sub", "text").select("text")
+        shared = spark.sparkContext.broadcast(m)  # the hashed tables, 38 MB at most
+        m = _averaged(m, share.mapInArrow(_train(shared, RATES[min(r, len(RATES) - 1)]), _WEIGHTS), parts)
         shared.unpersist()
 
     shared = spark.sparkContext.broadcast((m, c))
+    key = ["row_key", "row_sub"]
     scores = stored(d.mapInArrow(_score(shared), _SCORES), "lm-scores")
-    rare = d.select("row_key", "text").mapInArrow(_rare(shared), _RARE)
-    rare = rare.join(counts, "word", "left").select("row_key", "times", F.coalesce("c", F.lit(0)).alias("c"))
+    rare = d.select(*key, "text").mapInArrow(_rare(shared), _RARE)
+    rare = rare.join(counts, "word", "left").select(*key, "times", F.coalesce("c", F.lit(0)).alias("c"))
     # None of these words is in the vocabulary: each is a tail token as well.
-    rare = rare.groupBy("row_key").agg(F.sum(F.col("times") * F.log10(F.col("c") + ADD)).alias("rare_logs"), F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("rare_known"))
+    rare = rare.groupBy(*key).agg(F.sum(F.col("times") * F.log10(F.col("c") + ADD)).alias("rare_logs"), F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("rare_known"))
     # Equal rows share a key, and what was summed over all of them.
-    copies = scores.groupBy("row_key").agg(F.count(F.lit(1)).alias("copies"))
-    all_ = scores.join(copies, "row_key").join(rare, "row_key", "left")
+    copies = scores.groupBy(*key).agg(F.count(F.lit(1)).alias("copies"))
+    all_ = scores.join(copies, key).join(rare, key, "left")
     logs = F.coalesce(F.col("rare_logs") / F.col("copies"), F.lit(0.0))
     whole = n + ADD * (v + 1)
-    in_tail = max(whole - float(often[: VOCABULARY - 1].sum() + ADD * min(len(often), VOCABULARY - 1)) - (ends + ADD if ends else 0.0), ADD)
-    return all_.select(
+    scored = all_.select(
         "doc_id",
         "held_out",
         "n_tokens",
         (F.col("known") + F.coalesce((F.col("rare_known") / F.col("copies")).cast("long"), F.lit(0))).alias("n_known"),
         F.lit(n).cast("long").alias("train_tokens"),
         (F.col("log_counts") + logs - F.col("n_tokens") * math.log10(whole)).alias("base_score"),
-        (F.col("model") + F.col("tail_known") + logs - F.col("n_tail") * math.log10(in_tail)).alias("score"),
+        (F.col("model") + logs).alias("score"),
     )
+    return scored, m, c

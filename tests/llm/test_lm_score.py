@@ -37,31 +37,100 @@ def test_counts_without_kept_words(docs, corpus, monkeypatch):
     assert np.allclose(got, sorted(r[5] for r in base(corpus)), rtol=1e-8)
 
 
+def hashed(words):
+    return K.words(K.texts(pa.array(words, pa.string()))).hashes(lower=True)
+
+
+def batch(texts, m):
+    return L.coded(K.words(K.texts(pa.array(texts, pa.string()))), m)
+
+
+def small_model(train):
+    """The unigram model of some texts with eight words in the vocabulary besides the end."""
+    counts = Counter(w for t in train for w in t.split())
+    names = [w for w, _ in counts.most_common(8)]
+    rest = [w for w in counts if w not in names]
+    tails = Counter()
+    for w, t in zip(rest, (L.tail_class(hashed(rest)) - L.CLASSES).tolist(), strict=True):
+        tails[t] += counts[w]
+    distinct = Counter((L.tail_class(hashed(rest)) - L.CLASSES).tolist())
+    return L.unigram_model(hashed(names), np.array([counts[w] for w in names]), len(train), [(t, n, distinct[t]) for t, n in tails.items()]), counts
+
+
+def brute_score(text, m, counts):
+    """log10 of a text's probability, token by token in plain Python."""
+    ids = dict(zip(m.vocabulary.tolist(), m.ids.tolist(), strict=True))
+    mix = lambda x: int(K.mix(np.array([x & K.MASK], np.uint64))[0])
+    words = WORD.findall((text or "").translate(LOWER))
+    h = [int(x) for x in hashed(words)] + [int(L.END_HASH)] if words else [int(L.END_HASH)]
+    total = 0.0
+    for i, x in enumerate(h):
+        p1, p2 = (h[i - 1] if i else int(L.START_HASH)), (h[i - 2] if i > 1 else int(L.START_HASH))
+        a, b = mix(p1 ^ int(L._KEYS[0])), mix(p2 ^ int(L._KEYS[1]))
+        target = L.END if i == len(h) - 1 else ids.get(x)
+        cls = L.CLASSES + (x >> 7) % L.TAILS if target is None else target // L.IN_CLASS
+        z = [float(m.class_bias[c]) + sum(float(m.class_weights[f % len(m.class_weights)][c]) for f in (a, b)) for c in range(L.WIDTH)]
+        total += z[cls] - math.log(sum(map(math.exp, z)))
+        if target is None:
+            total += math.log((counts[words[i]] + L.ADD) / m.tail_mass[cls - L.CLASSES])
+        else:
+            rows = [mix(f + cls * int(L._KEYS[2])) % len(m.word_weights) for f in (a, b)]
+            z = [float(m.word_bias[cls][j]) + sum(float(m.word_weights[r][j]) for r in rows) for j in range(L.IN_CLASS)]
+            total += z[target % L.IN_CLASS] - math.log(sum(map(math.exp, z)))
+    return total / math.log(10)
+
+
+def test_scores_match_brute_force(docs, corpus, monkeypatch):
+    """The whole query's score on the small corpus, from the model it trained."""
+    monkeypatch.setattr(L, "KEPT_WORDS", 40)
+    scored, m, _ = L._scored(docs, 2, 3000)
+    assert m.class_weights.any() and m.word_weights.any()
+    held = lambda d: zlib.crc32(("" if d is None else str(d)).encode()) % 10 == 0
+    counts = Counter(x for r in corpus if not held(r[0]) for x in WORD.findall((r[1] or "").translate(LOWER)))
+    short = [r for r in corpus if len(r[1] or "") < 3000]
+    got = {(r.doc_id, r.n_tokens): r.score for r in scored.collect()}
+    for r in short[::4] + short[-8:]:
+        want = brute_score(r[1], m, counts)
+        assert abs(got[r[0], len(WORD.findall(r[1] or "")) + 1] - want) <= 1e-4 * abs(want)
+
+
+def test_reruns_agree_however_files_are_split(docs):
+    a, b = (sorted((r.doc_id or -1, r.score) for r in L.score_documents(d, part_tokens=4000).collect()) for d in (docs, docs.repartition(7)))
+    assert np.allclose([x[1] for x in a], [x[1] for x in b], rtol=1e-9)
+
+
 def test_model_is_a_distribution_and_learns():
     rng = random.Random(2)
     text = lambda n: " ".join(("den", "hut", "den", "rot")[i % 4] if rng.random() < 0.9 else f"r{rng.randrange(300)}" for i in range(n))
     train = [text(400) for _ in range(60)]
-    counts = Counter(w for t in train for w in t.split())
-    names = [w for w, _ in counts.most_common(L.VOCABULARY - 1)]
-    h = {w: int(K.words(K.texts(pa.array([w], pa.string()))).hashes(lower=True)[0]) for w in names}
-    m = L.unigram_model(np.array([h[w] for w in names], np.uint64), np.array([counts[w] for w in names]), len(train), sum(counts.values()) + len(train))
+    m, counts = small_model(train)
     t = L.Trainer(m, 0.5)
-    batch = lambda x: L._codes(K.words(K.texts(pa.array(x, pa.string()))), m)[:3]
-
-    def mean(model, x):
-        p1, p2, y = batch(x)
-        s = L.sparse(p1, p2, y)
-        pc, pw = L.log_probs(s, model)
-        assert np.allclose(np.exp(pc).sum(1), 1, atol=1e-4) and np.allclose(np.exp(pw).sum(1), 1, atol=1e-4)
-        lp = pc[s.row, s.cls]
-        lp[s.inside] += pw[s.pair, y[s.inside] % L.IN_CLASS]
-        return float(lp.mean())
-
     test = [text(400) for _ in range(5)]
-    before = mean(m, test)
-    for i in range(0, 60, 10):
-        t.learn(*batch(train[i : i + 10]))
-    assert mean(t.m, test) > before + 0.3
+    before = L.log_probs(batch(test, m), m).mean()
+    for _ in range(3):
+        t.learn(batch(train, m))
+    assert L.log_probs(batch(test, m), t.m).mean() > before + 0.3
+    # Over all words and one unseen one of each tail class, probabilities add up to one.
+    for model in (m, t.m):
+        seen = {w: 10 ** (brute_score(f"den hut {w}", model, counts) - brute_score("den hut", model, counts)) for w in ("den", "hut")}
+        x = batch(["den hut q"], model)
+        z = L._logits(model.class_bias, model.class_weights, L._class_rows(x, slice(2, 3), model))[0].astype(float)
+        assert np.isclose((np.exp(z) / np.exp(z).sum()).sum(), 1) and all(v > 0 for v in seen.values())
+    mass = np.full(L.TAILS, L.ADD)
+    for w, n in counts.items():
+        if int(hashed([w])[0]) not in m.vocabulary.tolist():
+            mass[int(L.tail_class(hashed([w]))[0]) - L.CLASSES] += n + L.ADD
+    assert np.allclose(mass, m.tail_mass)
+
+
+def test_sums_of_rows():
+    rng = np.random.default_rng(1)
+    for n in (1, 2, 7, 300):
+        r = np.sort(rng.integers(0, max(1, n // 3) + 1, n))
+        g = rng.normal(size=(n, 4))
+        at, s, count = L.add_up(g.copy(), r)
+        assert at.tolist() == sorted(set(r.tolist())) and count.tolist() == [int((r == a).sum()) for a in at]
+        assert np.allclose(s, [g[r == a].sum(axis=0) for a in at])
 
 
 def test_whole_model_beats_unigrams_on_held_out_text(spark):
@@ -75,11 +144,35 @@ def test_whole_model_beats_unigrams_on_held_out_text(spark):
 
 
 def test_context_codes():
-    m = L.unigram_model(np.array([int(K.words(K.texts(pa.array(["a"], pa.string()))).hashes(lower=True)[0])], np.uint64), np.array([5]), 1, 6)
-    p1, p2, y, of, _ = L._codes(K.words(K.texts(pa.array(["A a", "", "a"], pa.string()))), m)
-    assert y.tolist() == [0, 0, L.END, L.END, 0, L.END]
-    assert p1.tolist() == [L.BOS, 0, 0, L.BOS, L.BOS, 0] and p2.tolist() == [L.BOS, L.BOS, 0, L.BOS, L.BOS, L.BOS]
-    assert of.tolist() == [0, 0, 0, 1, 2, 2]
+    a = hashed(["a"])
+    m = L.unigram_model(a, np.array([5]), 1, [])
+    x = batch(["A a", "", "a"], m)
+    assert (x.cls * L.IN_CLASS + x.word).tolist() == [0, 0, L.END, L.END, 0, L.END] and x.of.tolist() == [0, 0, 0, 1, 2, 2]
+    one, two = K.mix(a ^ L._KEYS[0])[0], K.mix(a ^ L._KEYS[1])[0]
+    none = [K.mix(np.array([L.START_HASH]) ^ L._KEYS[i])[0] for i in (0, 1)]
+    assert x.a.tolist() == [none[0], one, one, none[0], none[0], one] and x.b.tolist() == [none[1], none[1], two, none[1], none[1], none[1]]
+    assert L.rows_for(1) == L.LEAST_ROWS and L.rows_for(10**12) == L.MOST_ROWS and L.rows_for(L.TOKENS_A_ROW * 10_000) == 1 << 14
+
+
+def test_base_columns_match_sql(spark, sf):
+    import duckdb
+
+    word = r"[^\x20\x09-\x0D]+"
+    sql = f"""WITH d AS (SELECT doc_id, crc, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{word}') AS w FROM documents JOIN k USING (doc_id)),
+    t AS (SELECT doc_id, crc % 10 = 0 AS held, unnest(list_append(w, '')) AS x FROM d), c AS (SELECT x, count(*) AS c FROM t WHERE NOT held GROUP BY x), s AS (SELECT sum(c) AS n, count(*) AS v FROM c)
+    SELECT doc_id, any_value(held) AS held_out, count(*) AS n_tokens, count(c.c) AS n_known, any_value(n)::BIGINT AS train_tokens, sum(log10((coalesce(c.c, 0) + 0.1::DOUBLE) / (n + 0.1::DOUBLE * (v + 1)))) AS base_score FROM t LEFT JOIN c USING (x), s GROUP BY doc_id"""
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{sf}/documents.parquet')")
+    import pandas as pd
+
+    ids = [r[0] for r in db.execute("SELECT doc_id FROM documents").fetchall()]
+    k = pd.DataFrame({"doc_id": ids, "crc": [zlib.crc32(str(i).encode()) for i in ids]})
+    db.register("k", k)
+    want = db.execute(sql).df().sort_values("doc_id").reset_index(drop=True)
+    got = L.score_documents(spark.read.parquet(f"{sf}/documents.parquet")).toPandas().sort_values("doc_id").reset_index(drop=True)
+    for c in ("doc_id", "held_out", "n_tokens", "n_known", "train_tokens"):
+        assert (got[c] == want[c]).all(), c
+    assert np.allclose(got["base_score"], want["base_score"], rtol=1e-9)
 
 
 def test_nothing_to_train_on(spark):
