@@ -35,14 +35,14 @@ from ._spark import columns, prepare, stored
 
 #: Classes of the vocabulary and words in each (the last word is the end), tail classes, and
 #: words whose counts are kept in memory.
-CLASSES, IN_CLASS, TAILS = 128, 128, 32
+CLASSES, IN_CLASS, TAILS = 64, 128, 32
 VOCABULARY, WIDTH, KEPT_WORDS = CLASSES * IN_CLASS, CLASSES + TAILS, 1 << 16
 END = VOCABULARY - 1
 #: Rows of each weight table: one for so many training tokens, within the two bounds (a model
-#: of the upper one has 38 MB).
+#: of the upper one has 29 MB).
 TOKENS_A_ROW, LEAST_ROWS, MOST_ROWS = 256, 1 << 12, 1 << 15
 #: Rounds of training, each on its own share of the training documents; tokens of one part.
-ROUNDS, RATES, PART_TOKENS = 2, (0.5, 0.25), 8_000_000
+ROUNDS, RATES, PART_TOKENS = 2, (0.5, 0.25), 4_000_000
 #: A row's rate is that of the round over sqrt(sum of its squared gradients / SPREAD + 1);
 #: weights stay within LIMIT, so no exponential runs over.
 SPREAD, LIMIT = 16.0, 20.0
@@ -232,6 +232,8 @@ def _count_words(limit: int = 4_000_000):
     return run
 
 
+#: What tasks send of a slab: how often each row was met, and its weights (16 bits each); sums
+#: of several tasks have the weights times that (32 bits each).
 _WEIGHTS = "slab int, task int, met binary, weighted binary"
 
 
@@ -247,25 +249,31 @@ def _train(shared, rate: float):
             for i in range(0, len(met), SLAB):
                 n, x = met[i : i + SLAB], weights[i : i + SLAB]
                 if n.any():
-                    yield _batch(slab=([slab], pa.int32()), task=([task], pa.int32()), met=([n.tobytes()], pa.binary()), weighted=([(x * n[:, None]).tobytes()], pa.binary()))
+                    yield _batch(slab=([slab], pa.int32()), task=([task], pa.int32()), met=([n.tobytes()], pa.binary()), weighted=([x.astype(np.float16).tobytes()], pa.binary()))
                 slab += 1
 
     return run
 
 
-def _sum_slabs(group: pa.Table) -> pa.Table:
-    group = group.sort_by("task")  # sums of floats depend on the order
-    add = lambda name: np.sum([np.frombuffer(x, np.float32) for x in group.column(name).to_pylist()], axis=0, dtype=np.float64).astype(np.float32).tobytes()
-    return pa.table({"slab": pa.array([group.column("slab")[0].as_py()], pa.int32()), "task": pa.array([group.column("part")[0].as_py()], pa.int32()), "met": pa.array([add("met")], pa.binary()), "weighted": pa.array([add("weighted")], pa.binary())})
+def _sum_slabs(first: bool):
+    def run(group: pa.Table) -> pa.Table:
+        met = weighted = 0.0
+        for r in group.sort_by("task").to_pylist():  # sums of floats depend on the order
+            n = np.frombuffer(r["met"], np.float32).astype(np.float64)
+            x = np.frombuffer(r["weighted"], np.float16 if first else np.float32).reshape(len(n), -1)
+            met, weighted = met + n, weighted + (x * n[:, None] if first else x)
+        raw = lambda v: pa.array([v.astype(np.float32).tobytes()], pa.binary())
+        return pa.table({"slab": group.column("slab").slice(0, 1), "task": group.column("part").slice(0, 1), "met": raw(met), "weighted": raw(weighted)})
+
+    return run
 
 
 def _averaged(m: Model, made: DataFrame, parts: int) -> Model:
     """Weights averaged over ``parts`` tasks; a slab's sums are added up 64 tasks at a time."""
-    while True:
-        made = made.withColumn("part", F.floor(F.col("task") / 64).cast("int")).groupBy("slab", "part").applyInArrow(_sum_slabs, _WEIGHTS)
-        parts = -(-parts // 64)
-        if parts <= 1:
-            break
+    first = True
+    while first or parts > 1:
+        made = made.withColumn("part", F.floor(F.col("task") / 64).cast("int")).groupBy("slab", "part").applyInArrow(_sum_slabs(first), _WEIGHTS)
+        first, parts = False, -(-parts // 64)
     tables = [m.class_weights.copy(), m.word_weights.copy()]
     edge = len(tables[0]) // SLAB
     for r in made.toLocalIterator():  # at most two tables of MOST_ROWS rows
@@ -416,8 +424,8 @@ def _scored(docs: DataFrame, rounds: int, part_tokens: int) -> tuple[DataFrame,
         # Parts of equal size by a hash, in the order of another: the same in every run.
         parts = max(1, -(-n // (rounds * part_tokens)))
         share = train.where(F.pmod(F.xxhash64("row_key"), F.lit(rounds)) == r).select("row_key", "row_sub", "text")
-        share = share.repartition(parts, F.xxhash64("row_sub", "row_key")).sortWithinPartitions("row_key", "row_sub", "text").select("text")
-        shared = spark.sparkContext.broadcast(m)  # the hashed tables, 38 MB at most
+        share = share.repartitionById(parts, F.pmod(F.xxhash64("row_sub", "row_key"), F.lit(parts)).cast("int")).sortWithinPartitions("row_key", "row_sub", "text").select("text")
+        shared = spark.sparkContext.broadcast(m)  # the hashed tables, 29 MB at most
         m = _averaged(m, share.mapInArrow(_train(shared, RATES[min(r, len(RATES) - 1)]), _WEIGHTS), parts)
         shared.unpersist()
 
