@@ -138,3 +138,34 @@ def mean_point_distance(a: Column, b: Column, b_box: Column) -> Column:
     each = F.zip_with(a, b, distance)
     total = F.aggregate(each, F.lit(0.0), lambda s, x: s + x)
     return F.try_divide(total, F.size(a).cast("double")) / F.greatest(F.sqrt(area(b_box).cast("double")), F.lit(1.0))
+
+
+def valid_geometry(b: Column, points: Column, w: Column, h: Column, ear: Column, mar: Column, pose_valid: Column, tolerance: float, least_side: int, ear_range: tuple[float, float], mar_range: tuple[float, float]) -> Column:
+    """Structural validity of a face: face_valid, landmark_valid, valid, suspicious (any), and the
+    reasons in a fixed order.  ``points`` are 68 (x, y); ear and mar are null where they are
+    invalid.  A point outside the frame by more than the tolerance is a failure, one outside
+    the box only suspicious."""
+    face = is_valid(b) & (b["x1"] < w) & (b["y1"] < h)
+    finite_ = lambda v: ~F.isnan(v) & (F.abs(v) < float("inf"))
+    shaped = F.coalesce((F.size(points) == 68) & F.forall(points, lambda p: finite_(p["x"]) & finite_(p["y"])), F.lit(False))
+    beyond = F.exists(points, lambda p: (p["x"] < -w * tolerance) | (p["x"] > w * (1 + tolerance)) | (p["y"] < -h * tolerance) | (p["y"] > h * (1 + tolerance)))
+    off_box = F.exists(points, lambda p: (p["x"] < b["x1"]) | (p["x"] > b["x2"]) | (p["y"] < b["y1"]) | (p["y"] > b["y2"]))
+    beyond, off_box = shaped & beyond, shaped & off_box
+    landmark = shaped & ~beyond
+    odd = lambda v, r: v.isNotNull() & ~v.between(*r)
+    named = lambda *pairs: F.array_compact(F.array(*[F.when(c, F.lit(n)) for c, n in pairs]))
+    suspicious = named((beyond, "LANDMARK_OUTSIDE_FRAME"), (off_box, "LANDMARK_OUTSIDE_BBOX"), (F.least(width(b), height(b)) < least_side, "SUSPICIOUS_BBOX"), (odd(ear, ear_range), "SUSPICIOUS_EAR_EXTREME"), (odd(mar, mar_range), "SUSPICIOUS_MAR_EXTREME"))
+    failures = named((~face, "INVALID_BBOX"), (~shaped, "INVALID_LANDMARKS"), (beyond, "LANDMARK_OUTSIDE_FRAME_TOLERANCE"), (ear.isNull(), "EAR_INVALID"), (mar.isNull(), "MAR_INVALID"), (~pose_valid, "HEAD_POSE_INVALID"))
+    valid = face & landmark & ear.isNotNull() & mar.isNotNull() & pose_valid
+    return F.struct(face.alias("face_valid"), landmark.alias("landmark_valid"), valid.alias("valid"), (F.size(suspicious) > 0).alias("suspicious"), suspicious.alias("suspicious_reasons"), failures.alias("failure_reasons"))
+
+
+def padding_color(rgb_mean: tuple[float, float, float] = (0.485, 0.456, 0.406)) -> tuple[int, int, int]:
+    """A mean color as 8-bit values (halves to even) in BGR order."""
+    r, g, b = (round(x * 255) for x in rgb_mean)
+    return b, g, r
+
+
+def resize_rule(w: Column, h: Column, size: int) -> Column:
+    """AREA if both sides shrink (or stay), LINEAR if one grows."""
+    return F.when((w >= size) & (h >= size), "AREA").otherwise("LINEAR")

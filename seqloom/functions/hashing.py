@@ -5,10 +5,14 @@ from __future__ import annotations
 import hashlib
 import json
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Rows that are hashed together in ``ordered_hash``.
+BLOCK = 4096
+
+
 def stable_hash(value: object) -> str:
     """SHA-256 of a JSON value with sorted keys, without spaces, characters unescaped."""
     return hashlib.sha256(json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False).encode()).hexdigest()
@@ -26,7 +30,28 @@ def relation_hash(order: Column, *columns: str) -> Column:
     return F.sha2(F.array_join(F.transform(rows, lambda r: r["h"]), "\n"), 256)
 
 
+def flagged(*columns: str) -> list[Column]:
+    """The columns as JSON text of one field each, which tells nulls, also nested ones, from
+    one another and from empty values."""
+    return [F.to_json(F.struct(F.col(f"`{c}`").alias("v")), {"ignoreNullFields": "false"}) for c in columns]
+
+
 def bag_hash(*columns: str) -> Column:
-    """An aggregate: a hash of any number of rows that does not depend on their order."""
-    h = F.xxhash64(*columns)
-    return F.concat_ws("-", F.count(F.lit(1)), F.sum(h.cast("decimal(38,0)")), F.bit_xor(h))
+    """An aggregate: a hash of any number of rows that does not depend on their order.  Two
+    64-bit hashes a row are summed up and combined bit by bit."""
+    values = flagged(*columns)
+    one, two = F.xxhash64(*values), F.xxhash64(F.lit("second"), *reversed(values))
+    parts = [x for h in (one, two) for x in (F.coalesce(F.sum(h.cast("decimal(38,0)")), F.lit(0)), F.coalesce(F.bit_xor(h), F.lit(0)))]
+    return F.concat_ws("-", F.count(F.lit(1)), *parts)
+
+
+def ordered_hash(df: DataFrame, order: str, *columns: str) -> DataFrame:
+    """h and n: a hash of a relation of any size in the order of a dense number from 0.
+
+    Rows are hashed with their numbers in blocks of ``BLOCK`` neighbours, and the blocks'
+    hashes, one row each, once more; no task holds more than a block or all blocks' hashes.
+    """
+    rows = df.select(F.col(order).cast("long").alias("o"), F.sha2(F.concat_ws("\n", *flagged(*columns)), 256).alias("h"))
+    joined = lambda o: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(o, "h"))), lambda r: F.concat(r["o"].cast("string"), F.lit(":"), r["h"])), "\n"), 256)
+    blocks = rows.groupBy(F.floor(F.col("o") / BLOCK).alias("b")).agg(joined("o").alias("h"), F.count(F.lit(1)).alias("n"))
+    return blocks.select(F.col("b").alias("o"), "h", "n").agg(joined("o").alias("h"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"))

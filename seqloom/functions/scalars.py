@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -78,3 +80,48 @@ def batch_position(i: Column, total: Column, size: int) -> Column:
 def labels(*pairs: tuple[Column, str]) -> Column:
     """The labels whose condition holds, in the given order."""
     return F.array_compact(F.array(*[F.when(c, F.lit(t)) for c, t in pairs]))
+
+
+def sample_id(split: Column, video: Column, time: Column) -> Column:
+    """``split_video_t1p5``: a sample's name from its split, video and time."""
+    return F.concat(split, F.lit("_"), video.cast("string"), F.lit("_t"), F.replace(time.cast("string"), F.lit("."), F.lit("p")))
+
+
+def crop_path(slot: Column, index: Column) -> Column:
+    """A crop's place in its bundle, with zero-padded numbers."""
+    return F.format_string("context_crops/ctx_%02d_k%03d.jpg", slot, index)
+
+
+def fitted(text: Column, width: int = 180) -> Column:
+    """The text, or its beginning with ``...`` where it is longer than ``width``."""
+    return F.when(F.length(text) <= width, text).otherwise(F.concat(F.substring(text, 1, max(0, width - 3)), F.lit("...")))
+
+
+def shown(value: Column, digits: int = 3) -> Column:
+    """A number with fixed digits; ``NA`` for null."""
+    return F.when(value.isNull(), "NA").otherwise(F.format_string(f"%.{digits}f", value))
+
+
+def percent(value: Column) -> Column:
+    """A rate as a percentage with four digits."""
+    return F.concat(F.format_string("%.4f", value * 100.0), F.lit("%"))
+
+
+def overridden(name: str, configured, override, run_tag: str | None, allowed=lambda v: True):
+    """A setting's value for one run: the override if there is one.  One that differs from the
+    configured value needs a run tag, so that a baseline's results aren't written over."""
+    if override is None:
+        return configured
+    if type(configured) is bool and type(override) is not bool or not allowed(override):
+        raise ValueError(f"{name}: {override!r} is not allowed")
+    if override != configured and not run_tag:
+        raise ValueError(f"{name}: a value other than {configured!r} needs a run tag")
+    return override
+
+
+def run_names(model: str, seed: int, run_tag: str | None) -> tuple[str, str]:
+    """A run's folder and its name."""
+    if run_tag is not None and not re.fullmatch("[A-Za-z0-9][A-Za-z0-9_-]*", run_tag):
+        raise ValueError("a run tag starts with a letter or digit and has letters, digits, _ and -")
+    tail = f"_{run_tag}" if run_tag else ""
+    return f"seed_{seed}{tail}", f"{model}_seed{seed}{tail}"

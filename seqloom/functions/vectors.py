@@ -84,3 +84,13 @@ def longest_true(mask: Column) -> Column:
         return F.struct(run.alias("run"), F.greatest(s["best"], run).alias("best"))
 
     return F.aggregate(mask, zero, step, lambda s: s["best"])
+
+
+def spatial_mean(a: Column) -> Column:
+    """The mean of each channel of a (channels, height, width) array."""
+    return F.transform(a, lambda c: mean(F.flatten(c)))
+
+
+def channels(a: Column, n: int) -> Column:
+    """A vector of n values; null for another size (a classifier's output, a flattened map)."""
+    return F.when(F.size(a) == n, a)

@@ -8,6 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordering import percentiles, same
+
 PERCENTS = (1, 5, 50, 75, 90, 95, 99)
 
 
@@ -19,17 +21,32 @@ def usable(c: Column) -> Column:
 
 def summary_columns(value: Column, percents: Sequence[int] = PERCENTS, prefix: str = "") -> list[Column]:
     """Aggregates: n, min, mean, std (population), exact percentiles, max, over finite values;
-    all but n are null without any."""
+    all but n are null without any.  For groups of bounded size (a clip, a run): a group's
+    distinct values meet in one map.  ``summarize`` is for groups of any size."""
     v = usable(value)
-    name = lambda p: f"{prefix}median" if p == 50 else f"{prefix}p{p:02d}"
+    all_ = F.percentile(v, F.array(*[F.lit(p / 100) for p in percents]))
     return [
-        F.count(v).alias(f"{prefix}n"), F.min(v).alias(f"{prefix}min"), F.avg(v).alias(f"{prefix}mean"), F.stddev_pop(v).alias(f"{prefix}std"),
-        *[F.percentile(v, p / 100).alias(name(p)) for p in percents], F.max(v).alias(f"{prefix}max"),
+        *_moments(v, prefix), *[F.get(all_, F.lit(i)).alias(f"{prefix}{_name(p)}") for i, p in enumerate(percents)], F.max(v).alias(f"{prefix}max"),
     ]
 
 
+def _name(p: int) -> str:
+    return "median" if p == 50 else f"p{p:02d}"
+
+
+def _moments(v: Column, prefix: str = "") -> list[Column]:
+    return [F.count(v).alias(f"{prefix}n"), F.min(v).alias(f"{prefix}min"), F.avg(v).alias(f"{prefix}mean"), F.stddev_pop(v).alias(f"{prefix}std")]
+
+
 def summarize(df: DataFrame, groups: Sequence[str], value: Column, percents: Sequence[int] = PERCENTS) -> DataFrame:
-    return df.groupBy(*groups).agg(*summary_columns(value, percents))
+    """Per group of any size: n, min, mean, std (population), exact percentiles, max, over finite
+    values; all but n are null without any."""
+    v = usable(value)
+    base = df.groupBy(*groups).agg(*_moments(v), F.max(v).alias("max"))
+    found = percentiles(df, groups, v, [(_name(p), p / 100) for p in percents])
+    found = found.select(*[F.col(g).alias(f"of_{g}") for g in groups], *[_name(p) for p in percents])
+    both = base.join(found, same(groups, [f"of_{g}" for g in groups]), "left")
+    return both.select(*groups, "n", "min", "mean", "std", *[_name(p) for p in percents], "max")
 
 
 def long_form(df: DataFrame, keys: Sequence[str], values: Sequence[str], name: str = "metric") -> DataFrame:

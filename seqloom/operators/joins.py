@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordering import numbered
+
 
 class Unmatched(ValueError):
     """A checked join met keys without a match, or twice."""
@@ -60,19 +62,11 @@ def reconcile(left: DataFrame, right: DataFrame, keys: Sequence[str], names: tup
 def dictionary_encode(df: DataFrame, column: str, out: str = "code") -> tuple[DataFrame, DataFrame]:
     """The rows with a dense code for ``column`` in ascending order, and the dictionary.
 
-    Codes come from range-partitioned distinct values: partition sizes first, then a number
-    within each, so there is no window over all rows.
+    Codes number the distinct values range by range (``ordering.numbered``), so there is no
+    window over all of them, and they are the same whenever they are computed.
     """
     distinct = df.select(column).where(F.col(column).isNotNull()).distinct()
-    n = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    placed = distinct.repartitionByRange(n, column).sortWithinPartitions(column)
-    placed = placed.select(column, F.spark_partition_id().alias("__p"), (F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("long"), 33)).alias("__i")).cache()
-    sizes = {r["__p"]: r["count"] for r in placed.groupBy("__p").count().collect()}  # one a partition
-    start, total = {}, 0
-    for p in sorted(sizes):
-        start[p], total = total, total + sizes[p]
-    offset = F.element_at(F.create_map(*[x for p, s in start.items() for x in (F.lit(p), F.lit(s))]), F.col("__p")) if start else F.lit(0)
-    codes = placed.select(column, (offset + F.col("__i")).cast("long").alias(out))
+    codes = numbered(distinct, [], [column], out).select(column, out)
     return df.join(codes, column, "left"), codes
 
 
@@ -90,6 +84,15 @@ def same_rows(a: DataFrame, b: DataFrame) -> DataFrame:
     return left.join(right).withColumn("equal", (F.col("only_left") == 0) & (F.col("only_right") == 0))
 
 
+def same_sequence(a: DataFrame, b: DataFrame, position: str) -> DataFrame:
+    """Whether two relations hold the same rows in the same order, which a dense position in
+    each gives: positions, differing (places where they differ or one has none), equal."""
+    row = lambda d, name: d.select(F.col(position).alias("at"), F.struct(*[c for c in d.columns if c != position]).alias(name))
+    j = row(a, "left_row").join(row(b, "right_row"), "at", "full")
+    out = j.agg(F.count(F.lit(1)).alias("positions"), F.count_if(~F.col("left_row").eqNullSafe(F.col("right_row"))).alias("differing"))
+    return out.withColumn("equal", F.col("differing") == 0)
+
+
 def pivot_complete(df: DataFrame, key: str, by: str, values: Sequence[str], columns: Sequence[str]) -> DataFrame:
     """One row for each key with ``column_value`` columns; complete says whether all are there."""
     aggs = [F.first(F.when(F.col(by) == v, F.col(c)), ignorenulls=True).alias(f"{c}_{v}") for v in values for c in columns]

@@ -8,6 +8,8 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordering import numbered
+
 
 def top_k(df: DataFrame, order: Sequence[Column], k: int, groups: Sequence[str] = ()) -> DataFrame:
     """The first k rows by a total order, in each group; rank from 1.  Without groups Spark
@@ -43,21 +45,15 @@ def round_robin(df: DataFrame, strata: Sequence[str], order: Sequence[Column], n
     return dealt.orderBy("turn", *strata).limit(n)
 
 
-def evenly_spaced(df: DataFrame, strata: Sequence[str], order: Sequence[Column], k: int) -> DataFrame:
-    """k rows of each stratum, spread over its order with both ends included."""
-    w = Window.partitionBy(*strata)
-    d = df.withColumns({"__i": F.row_number().over(w.orderBy(*order)) - 1, "__n": F.count(F.lit(1)).over(w)})
-    at = F.floor(F.col("__n") / 2) if k == 1 else None
-    if at is not None:
-        return d.where(F.col("__i") == at).drop("__i", "__n")
-    # Row i is taken if it is the rounded place of one of the k positions.
-    near = F.floor(F.col("__i") * float(k - 1) / F.greatest(F.col("__n") - 1, F.lit(1)) + 0.5)
-    hit = F.lit(False)
-    for step in (-1, 0, 1):
-        j = near + step
-        place = F.floor(j * (F.col("__n") - 1).cast("double") / float(k - 1) + 0.5)
-        hit = hit | ((j >= 0) & (j <= k - 1) & (place == F.col("__i")))
-    return d.where(hit).drop("__i", "__n")
+def evenly_spaced(df: DataFrame, strata: Sequence[str], order: Sequence[str], k: int) -> DataFrame:
+    """k rows of each stratum, spread over its ascending order with both ends included, the
+    middle one for k = 1.  Only the ranges that hold one of the places are ordered."""
+    places = lambda n: [F.floor(n / 2)] if k == 1 else [F.floor(j * (n - 1).cast("double") / float(k - 1) + 0.5) for j in range(k)]
+    keep, hit = F.lit(False), F.lit(False)
+    for at in places(F.col("total")):
+        keep = keep | ((at >= F.col("first")) & (at < F.col("first") + F.col("held")))
+        hit = hit | (F.col("place_in_stratum") == at)
+    return numbered(df, strata, order, "place_in_stratum", keep).where(hit).select(*df.columns)
 
 
 def without_reuse(df: DataFrame, key: str, reasons: Sequence[tuple[str, Column, Sequence[Column], int]], strata: Sequence[str] = ()) -> DataFrame:

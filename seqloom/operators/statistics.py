@@ -7,12 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def average_rank(value: str, groups: Sequence[str] = (), base: int = 1) -> Column:
-    """Rank with ties averaged, from ``base``, within each group."""
-    w = Window.partitionBy(*groups).orderBy(value)
-    same = Window.partitionBy(*groups, value)
-    return F.rank().over(w) + (F.count(F.lit(1)).over(same) - 1) / F.lit(2.0) + F.lit(float(base - 1))
+from .ordering import same, with_average_rank
 
 
 def pearson(a: Column, b: Column) -> Column:
@@ -25,8 +20,9 @@ def pearson(a: Column, b: Column) -> Column:
 
 def correlations(df: DataFrame, a: str, b: str, groups: Sequence[str] = ()) -> DataFrame:
     """Per group over complete pairs: n, pearson, spearman (ties averaged)."""
-    d = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).withColumns({"__a": average_rank(a, groups), "__b": average_rank(b, groups)})
-    return d.groupBy(*groups).agg(F.count(F.lit(1)).alias("n"), pearson(F.col(a), F.col(b)).alias("pearson"), pearson(F.col("__a"), F.col("__b")).alias("spearman"))
+    d = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(*groups, a, b)
+    d = with_average_rank(with_average_rank(d, a, groups, "rank_a"), b, groups, "rank_b")
+    return d.groupBy(*groups).agg(F.count(F.lit(1)).alias("n"), pearson(F.col(a), F.col(b)).alias("pearson"), pearson(F.col("rank_a"), F.col("rank_b")).alias("spearman"))
 
 
 def confusion(df: DataFrame, label: Column, prediction: Column, groups: Sequence[str] = ()) -> DataFrame:
@@ -66,11 +62,13 @@ def mean_vector_comparison(shift: DataFrame) -> DataFrame:
     return shift.agg(F.try_divide(ab, F.sqrt(aa) * F.sqrt(bb)).alias("cosine"), F.sqrt(F.sum(d * d)).alias("l2"))
 
 
-def min_max(value: str, groups: Sequence[str] = ()) -> Column:
-    """The value scaled to [0, 1] within its group; 0 for a constant group."""
-    w = Window.partitionBy(*groups) if groups else Window.partitionBy(F.lit(0))
-    low, high = F.min(value).over(w), F.max(value).over(w)
-    return F.coalesce(F.try_divide((F.col(value) - low).cast("double"), (high - low).cast("double")), F.lit(0.0))
+def min_max(df: DataFrame, value: str, groups: Sequence[str], out: str) -> DataFrame:
+    """Rows with their value scaled to [0, 1] within its group; 0 for a constant group.  Bounds
+    are one row a group, joined to the rows."""
+    bounds = df.groupBy(*[F.col(g).alias(f"of_{g}") for g in groups]).agg(F.min(value).alias("of_low"), F.max(value).alias("of_high"))
+    d = df.join(bounds, same(groups, [f"of_{g}" for g in groups]))
+    scaled = F.try_divide((F.col(value) - F.col("of_low")).cast("double"), (F.col("of_high") - F.col("of_low")).cast("double"))
+    return d.withColumn(out, F.coalesce(scaled, F.lit(0.0))).drop("of_low", "of_high", *[f"of_{g}" for g in groups])
 
 
 def weighted_mean(value: Column, weight: Column) -> Column:

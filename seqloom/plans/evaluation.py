@@ -10,6 +10,7 @@ from seqloom.operators import distribution as D
 from seqloom.operators import sampling as M
 from seqloom.operators import statistics as C
 from seqloom.operators.joins import first_by
+from seqloom.operators.ordering import with_average_rank
 from seqloom.operators.rollup import ratio, value_counts
 from seqloom.operators.sets import pairwise_overlap
 from seqloom.sources.readers import table
@@ -62,7 +63,7 @@ def constant_correlation(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""SELECT s_suppkey, {_rank_sql('s_nationkey', 's_nationkey % 2')} AS rank_1, {_rank_sql('s_nationkey', 's_nationkey % 2')} - 1 AS rank_0 FROM supplier""")
 def average_ranks(spark: SparkSession, d: str) -> DataFrame:
     s = table(spark, d, "supplier").withColumn("g", F.pmod("s_nationkey", F.lit(2)))
-    return s.select("s_suppkey", C.average_rank("s_nationkey", ["g"]).alias("rank_1"), C.average_rank("s_nationkey", ["g"], base=0).alias("rank_0"))
+    return with_average_rank(with_average_rank(s, "s_nationkey", ["g"], "rank_1"), "s_nationkey", ["g"], "rank_0", base=0).select("s_suppkey", "rank_1", "rank_0")
 
 
 _CONFUSION = """c AS (SELECT g, count(*) FILTER (y = 0 AND p = 0) AS tn, count(*) FILTER (y = 0 AND p = 1) AS fp, count(*) FILTER (y = 1 AND p = 0) AS fn, count(*) FILTER (y = 1 AND p = 1) AS tp FROM x GROUP BY g)
@@ -129,8 +130,8 @@ SELECT relation, grp, count(*) AS n, round(avg(loss), 6) AS mean, round(quantile
 def loss_relations(spark: SparkSession, d: str) -> DataFrame:
     x = losses(spark, d)
     pairs = F.array(F.struct(F.lit("correct").alias("relation"), F.when(F.col("correct"), "yes").otherwise("no").alias("grp")), F.struct(F.lit("label").alias("relation"), F.col("label").cast("string").alias("grp")))
-    g = x.select(F.explode(pairs).alias("p"), "loss").groupBy("p.relation", "p.grp").agg(F.count(F.lit(1)).alias("n"), F.avg("loss").alias("mean"), F.percentile("loss", 0.5).alias("median"))
-    return _rounded(g, "mean", "median")
+    g = D.summarize(x.select(F.explode(pairs).alias("p"), "loss").select("p.*", "loss"), ["relation", "grp"], F.col("loss"), (50,))
+    return _rounded(g.select("relation", "grp", "n", "mean", "median"), "mean", "median")
 
 
 _EPOCHS = """e AS (SELECT event_type AS run, dayofmonth(ts)::BIGINT AS epoch, round(avg(value), 6) AS loss FROM events WHERE month(ts) = 1 GROUP BY 1, 2)"""
@@ -169,7 +170,7 @@ def paired_differences(spark: SparkSession, d: str) -> DataFrame:
 @query("""WITH w AS (SELECT p_brand, p_partkey, p_retailprice AS v, min(p_retailprice) OVER b AS lo, max(p_retailprice) OVER b AS hi FROM part WINDOW b AS (PARTITION BY p_brand))
 SELECT p_partkey, round(coalesce((v - lo) / nullif(hi - lo, 0), 0), 9) AS score FROM w""")
 def min_max_scores(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "part").select("p_partkey", F.round(C.min_max("p_retailprice", ["p_brand"]), 9).alias("score"))
+    return C.min_max(table(spark, d, "part"), "p_retailprice", ["p_brand"], "score").select("p_partkey", F.round("score", 9).alias("score"))
 
 
 @query("""WITH f AS (SELECT o_custkey, arg_min(o_orderpriority, o_orderkey) AS label, count(DISTINCT o_orderpriority) > 1 AS conflicting FROM orders GROUP BY o_custkey)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import evaluation, geometry, integrity, policies, quality, relations, selection, vectors  # noqa: F401  they register
+from . import canonical, evaluation, geometry, integrity, policies, quality, relations, reviews, selection, vectors  # noqa: F401  they register
 from ._register import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from seqloom.functions.scalars import labels
 from seqloom.operators import sampling as M
+from seqloom.operators.ordering import percentiles
 from seqloom.sources.readers import batches, table
 
 from . import twins as T
@@ -23,7 +24,7 @@ def round_robin_sample(spark: SparkSession, d: str) -> DataFrame:
 @query("""WITH r AS (SELECT o_orderpriority, o_orderkey, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) - 1 AS i, count(*) OVER (PARTITION BY o_orderpriority) AS n FROM orders)
 SELECT o_orderpriority, o_orderkey FROM r WHERE list_contains(list_transform(range(0, 5), lambda j: CAST(floor(j * (n - 1) / 4.0::DOUBLE + 0.5) AS BIGINT)), i)""")
 def evenly_spaced_sample(spark: SparkSession, d: str) -> DataFrame:
-    return M.evenly_spaced(table(spark, d, "orders"), ["o_orderpriority"], [F.col("o_orderkey")], 5).select("o_orderpriority", "o_orderkey")
+    return M.evenly_spaced(table(spark, d, "orders"), ["o_orderpriority"], ["o_orderkey"], 5).select("o_orderpriority", "o_orderkey")
 
 
 @query("""SELECT o_orderpriority, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_orderpriority, o_orderstatus ORDER BY o_orderkey) AS rn FROM orders) WHERE rn <= 3""")
@@ -87,5 +88,5 @@ SELECT video_id, missing, run FROM state, m WHERE missing <= a AND run <= b""")
 def normal_candidates(spark: SparkSession, d: str) -> DataFrame:
     """Units at or below every metric's median."""
     s = T.state(T.frames(spark, d, 100))
-    m = s.agg(F.percentile("missing", 0.5).alias("a"), F.percentile("run", 0.5).alias("b")).first()  # two numbers
-    return s.where((F.col("missing") <= m["a"]) & (F.col("run") <= m["b"])).select("video_id", "missing", "run")
+    a, b = (percentiles(s, [], F.col(c), [("median", 0.5)]).first()["median"] for c in ("missing", "run"))  # two numbers
+    return s.where((F.col("missing") <= a) & (F.col("run") <= b)).select("video_id", "missing", "run")

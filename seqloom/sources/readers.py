@@ -2,19 +2,30 @@
 
 from __future__ import annotations
 
+import csv
+import re
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from seqloom.functions.scalars import normal_reference
 from seqloom.operators.integrity import seal
+from seqloom.operators.ordering import numbered
 
-#: Preferred column names of each role, best first, and parts of names.
+#: Preferred column names of each role, best first.
 ROLES = {
-    "id": (("video_id", "sample_id", "id", "name"), ("id",)),
-    "label": (("label", "class", "target", "category"), ("label", "class")),
-    "path": (("path", "file_path", "video_path", "filename", "file"), ("path", "file")),
+    "video_id": ("video_id", "source_video", "filename", "file_name"),
+    "label": ("label", "class", "target", "status"),
+    "source_path": ("video_path", "source_path", "path", "filepath", "file_path"),
+}
+#: What else a column's normal name may hold to fill a role.
+HINTS = {
+    "video_id": lambda n: ("video" in n and "id" in n) or "filename" in n or n.endswith("file_name"),
+    "label": lambda n: any(t in n for t in ("label", "class", "target")),
+    "source_path": lambda n: any(t in n for t in ("path", "source", "filename")),
 }
 
 
@@ -50,13 +61,51 @@ def sealed_table(spark: SparkSession, directory: str, name: str, split: str, for
 
 
 def role_candidates(columns: Sequence[str]) -> dict[str, list[str]]:
-    """For each role the columns that may fill it: preferred names first, then parts of names."""
-    normal = {c: "_".join(c.strip().lower().replace("-", "_").split()) for c in columns}
-    out = {}
-    for role, (names, parts) in ROLES.items():
-        exact = [c for n in names for c in columns if normal[c] == n]
-        out[role] = exact + [c for c in columns if c not in exact and any(p in normal[c] for p in parts)]
-    return out
+    """For each role the columns that may fill it: preferred names by preference, then hints."""
+    normal = {c: re.sub(r"\s+", "_", c.strip().lower().replace("-", "_")) for c in columns}
+    rank = lambda role, c: ROLES[role].index(normal[c]) if normal[c] in ROLES[role] else len(ROLES[role])
+    fits = lambda role: [c for c in columns if normal[c] in ROLES[role] or HINTS[role](normal[c])]
+    return {role: sorted(fits(role), key=lambda c: rank(role, c)) for role in ROLES}
+
+
+class BadTable(ValueError):
+    """A text table whose header or rows can't be read."""
+
+
+def strict_csv(spark: SparkSession, path: str) -> DataFrame:
+    """A CSV as trimmed text columns.  A missing header, an empty or repeated name, and rows with
+    more values than names are refused; short rows are filled up with blanks."""
+    lines = spark.read.option("wholetext", False).text(path)
+    if lines.isEmpty():
+        raise BadTable(f"{path}: no header")
+    names = next(csv.reader([lines.first()[0].lstrip("\ufeff")]), [])
+    names = [n.strip() for n in names]
+    if not names or not all(names):
+        raise BadTable(f"{path}: an empty column name")
+    if len(set(names)) != len(names):
+        raise BadTable(f"{path}: a column name is there twice")
+    # One more column than there are names takes what is too much.
+    wide = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names) + 1)])
+    rows = spark.read.schema(wide).option("header", True).option("enforceSchema", True).option("multiLine", True).csv(path)
+    if not rows.where(F.col(f"c{len(names)}").isNotNull()).isEmpty():
+        raise BadTable(f"{path}: a row has more values than the header")
+    return rows.select(*[F.trim(F.coalesce(f"c{i}", F.lit(""))).alias(n) for i, n in enumerate(names)])
+
+
+def metadata_tables(spark: SparkSession, directory: str, names: Sequence[str]) -> tuple[dict[str, DataFrame], list[str]]:
+    """The named CSV files of a folder that are there, and what is wrong with those that can't
+    be read: an error in one keeps no other from being read."""
+    read, errors = {}, []
+    for name in names:
+        path = f"{directory}/{name}"
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        if not p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
+            continue
+        try:
+            read[name] = strict_csv(spark, path)
+        except (BadTable, AnalysisException) as e:
+            errors.append(f"{name}: {e}")
+    return read, errors
 
 
 def profile(df: DataFrame) -> DataFrame:
@@ -80,6 +129,29 @@ def file_inventory(spark: SparkSession, path: str, extensions: Sequence[str]) ->
     return d.where(F.col("extension").isin([e.lower() for e in extensions]))
 
 
+def lookup_keys(files: DataFrame, project: str, raw: str) -> DataFrame:
+    """path and key: four names under which a file of ``file_inventory`` is found, its path below
+    the project's folder, below the raw folder, its name and its stem, all in normal form."""
+    below = lambda root: normal_reference(F.regexp_replace(F.col("path"), f"^(file:)?/*{re.escape(root.strip('/'))}/", ""))
+    keys = F.array(F.concat(F.lit("project:"), below(project)), F.concat(F.lit("raw:"), below(raw)), F.concat(F.lit("name:"), F.lower("name")), F.concat(F.lit("stem:"), F.lower("stem")))
+    return files.select("path", F.explode(keys).alias("key"))
+
+
+def source_fingerprints(spark: SparkSession, path: str) -> DataFrame:
+    """path and fingerprint (SHA-256 of path, size and time of change), without reading files.
+    Spark passes over empty files."""
+    d = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length", "modificationTime")
+    return d.select("path", F.sha2(F.concat_ws("|", "path", "length", F.unix_micros("modificationTime")), 256).alias("fingerprint"))
+
+
+def ordered_mapping(df: DataFrame, order: Sequence[str]) -> DataFrame:
+    """Rows in manifest order, with a dense ``position``; a place that is there twice is an error."""
+    twice = df.groupBy(*order).count().where("count > 1").limit(1).collect()
+    if twice:
+        raise ValueError(f"place {tuple(twice[0])[:-1]} is there more than once")
+    return numbered(df, [], list(order), "position").drop("total")
+
+
 def file_digests(spark: SparkSession, path: str) -> DataFrame:
     """path, length, sha256 of every file below a folder."""
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length", F.sha2("content", 256).alias("sha256"))

@@ -47,6 +47,10 @@ def test_sets(spark):
     assert sorted((r.a, r.b, r.n) for r in U.pairwise_overlap(d, "g", "k").collect()) == [("a", "b", 1), ("a", "c", 1), ("b", "c", 2)]
     x, y = d.where("g = 'a'").select("k"), d.where("g = 'b'").select("k")
     assert sorted(r.k for r in U.symmetric_difference(x, y).collect()) == [1, 3]
+    p = spark.createDataFrame([(0, "a"), (1, "b")], "at int, v string")
+    assert J.same_sequence(p, p.repartition(2), "at").first().equal
+    other = J.same_sequence(p, spark.createDataFrame([(0, "b"), (1, "a"), (2, "c")], "at int, v string"), "at").first()
+    assert (other.positions, other.differing, other.equal) == (3, 3, False)
     s = J.same_rows(x, y).first()
     assert (s.only_left, s.only_right, s.equal) == (1, 1, False)
     whole, twice = U.union_checked("k", x, y)
@@ -67,9 +71,9 @@ def test_round_robin_even_and_without_reuse(spark):
     d = spark.createDataFrame([("a", i) for i in range(5)] + [("b", i) for i in range(5, 7)], "g string, i int")
     assert [(r.g, r.i) for r in M.round_robin(d, ["g"], [F.col("i")], 5).collect()] == [("a", 0), ("b", 5), ("a", 1), ("b", 6), ("a", 2)]
     even = spark.createDataFrame([("a", i) for i in range(10)] + [("b", i) for i in range(3)], "g string, i int")
-    got = [(r.g, r.i) for r in M.evenly_spaced(even, ["g"], [F.col("i")], 5).orderBy("g", "i").collect()]
+    got = [(r.g, r.i) for r in M.evenly_spaced(even, ["g"], ["i"], 5).orderBy("g", "i").collect()]
     assert got == [("a", 0), ("a", 2), ("a", 5), ("a", 7), ("a", 9), ("b", 0), ("b", 1), ("b", 2)]
-    assert M.evenly_spaced(even.where("g = 'b'"), ["g"], [F.col("i")], 1).first().i == 1
+    assert M.evenly_spaced(even.where("g = 'b'"), ["g"], ["i"], 1).first().i == 1
     picked = M.without_reuse(d, "i", [("low", F.lit(True), [F.col("i")], 2), ("any", F.col("i") < 4, [F.col("i")], 2)]).collect()
     assert [(r.i, r.reason, r.place) for r in picked] == [(0, "low", 1), (1, "low", 2), (2, "any", 1), (3, "any", 2)]
 

@@ -32,8 +32,8 @@ def test_split_rows(spark):
 
 
 def test_roles_profile_inventory(spark, tmp_path):
-    r = R.role_candidates(["Name", "video-id", "class", "file_path", "grid"])
-    assert r["id"][0] == "video-id" and r["label"] == ["class"] and r["path"] == ["file_path"]
+    r = R.role_candidates(["Name", "video-id", "class", "file_path", "grid", "width", "status", "source video", "my_file_name"])
+    assert r == {"video_id": ["video-id", "source video", "my_file_name"], "label": ["class", "status"], "source_path": ["file_path", "source video"]}
     d = spark.createDataFrame([("a", " "), ("a", " "), (None, "x")], "k string, v string")
     got = {x.column: (x.n_rows, x.n_blank, x.n_distinct) for x in R.profile(d).collect()}
     assert got == {"k": (3, 1, 1), "v": (3, 2, 2)}
@@ -88,11 +88,68 @@ def test_csv_columns_and_manifest(spark, tmp_path):
         K.write_csv(d, str(tmp_path / "c"), ["k"])
     K.write_csv(d, str(tmp_path / "c"), ["v", "k"])
     assert spark.read.option("header", True).csv(str(tmp_path / "c")).columns == ["v", "k"]
-    K.write_once(d, str(tmp_path / "m/a"))
-    K.write_once(d, str(tmp_path / "m/b"))
+    K.write_csv(d.limit(0), str(tmp_path / "e"), ["v", "k"])
+    assert spark.read.option("header", True).csv(str(tmp_path / "e")).columns == ["v", "k"]
+    K.write_report(d.limit(0), str(tmp_path / "r.csv"), ["v", "k"])
+    assert (tmp_path / "r.csv").read_bytes() == "\ufeffv,k\n".encode()
+    with pytest.raises(K.Exists):
+        K.write_report(d, str(tmp_path / "r.csv"), ["v"])
+    for name in "ab":
+        K.publish(d, str(tmp_path / "m" / name), {}, "s")
+    K.publish(d.withColumn("v", F.lit("z")), str(tmp_path / "m/c"), {}, "s", partition_by=["v"])
+    # What is being staged and what has no marker isn't published.
+    K.write_once(d, str(tmp_path / f"m/d{K.STAGING}1"))
+    K.write_once(d, str(tmp_path / "m/bare"))
     whole, twice = K.global_manifest(spark, str(tmp_path / "m"), "k")
-    assert whole.count() == 2 and twice.first().n == 2
+    assert sorted(r.v for r in whole.collect()) == ["a", "a", "z"] and twice.first().n == 3
+    assert sorted(r.id for r in K.bundle_ids(spark, str(tmp_path / "m")).collect()) == ["a", "b", "c"]
     assert K.unchanged(d, d) and not K.unchanged(d, whole)
+    left, right = (spark.createDataFrame([x], "a string, b string") for x in ((None, "a"), ("a", None)))
+    assert not K.unchanged(left, right) and not K.unchanged(d, d.withColumn("k", F.col("k").cast("long")))
+
+
+def test_sets_of_tables_and_races(spark, tmp_path):
+    d = spark.range(3)
+    path = str(tmp_path / "set")
+    marker = K.publish_set({"one": d, "two": d.limit(1)}, path, {}, "s", file_hashes=True)
+    assert marker["rows"] == 4 and set(marker["tables"]) == {"one", "two"} and all(len(h) == 64 for h in marker["files"].values())
+    assert K.bundle_status(spark, path, {}, "s") == "SKIP"
+    d.write.parquet(path + "/three")
+    assert K.bundle_status(spark, path, {}, "s") == "CONFLICT_INVALID_BUNDLE"
+    # Another publisher holds the lock, or was faster: nothing is moved into its bundle.
+    (tmp_path / "busy.lock").write_text("")
+    with pytest.raises(K.Exists):
+        K.publish(d, str(tmp_path / "busy"), {}, "s")
+
+    def meanwhile(_):
+        (tmp_path / "late").mkdir()
+
+    with pytest.raises(K.Exists):
+        K.publish(d, str(tmp_path / "late"), {}, "s", meanwhile)
+    assert list((tmp_path / "late").iterdir()) == [] and not [p for p in tmp_path.iterdir() if K.STAGING in p.name]
+    s = spark.createDataFrame([("a", "SKIP"), ("b", "SKIP")], "id string, status string")
+    assert K.finished(s, {"n": 2}) == {"n": 2, "resumed": True} and K.finished(s.withColumn("status", F.lit("PROCESS")), {}) is None
+
+
+def test_strict_csv_and_metadata(spark, tmp_path):
+    write = lambda name, text: (tmp_path / name).write_text(text, encoding="utf-8")
+    write("a.csv", "\ufeff id , n\n a ,1\nb\n")
+    write("b.csv", "id,id\n1,2\n")
+    write("c.csv", "id,\n1,2\n")
+    write("d.csv", "id,n\n1,2,3\n")
+    write("e.csv", "")
+    read, errors = R.metadata_tables(spark, str(tmp_path), ["a.csv", "b.csv", "c.csv", "d.csv", "e.csv", "none.csv"])
+    assert list(read) == ["a.csv"] and [tuple(r) for r in read["a.csv"].collect()] == [("a", "1"), ("b", "")]
+    assert [e.split(":")[0] for e in errors] == ["b.csv", "c.csv", "d.csv", "e.csv"]
+    files = R.file_inventory(spark, str(tmp_path), [".csv"])
+    keys = {r.key for r in R.lookup_keys(files, str(tmp_path.parent), str(tmp_path)).where("path LIKE '%a.csv'").collect()}
+    assert keys == {f"project:{tmp_path.name.lower()}/a.csv", "raw:a.csv", "name:a.csv", "stem:a"}
+    prints = R.source_fingerprints(spark, str(tmp_path))
+    assert prints.count() == 4 and prints.select("fingerprint").distinct().count() == 4
+    d = spark.createDataFrame([("b", 1), ("a", 2), ("a", 1)], "v string, slot int")
+    assert [(r.v, r.slot) for r in R.ordered_mapping(d, ["v", "slot"]).orderBy("position").collect()] == [("a", 1), ("a", 2), ("b", 1)]
+    with pytest.raises(ValueError):
+        R.ordered_mapping(d, ["v"])
 
 
 def test_streaming_windows_equal_the_batch_form(spark, tmp_path):

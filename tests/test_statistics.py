@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from seqloom.operators import distribution as D
 from seqloom.operators import rollup as R
 from seqloom.operators import statistics as C
+from seqloom.operators.ordering import cuts, numbered, percentiles, value_counts_before, with_average_rank
 
 
 def column(spark, values, name="x", kind="double"):
@@ -35,7 +36,7 @@ def test_histogram_cumulative_concentration(spark):
 
 
 def test_ranks_and_correlations(spark):
-    r = column(spark, [1.0, 2.0, 2.0, 3.0]).withColumn("r", C.average_rank("x")).orderBy("i").collect()
+    r = with_average_rank(column(spark, [1.0, 2.0, 2.0, 3.0]), "x", [], "r").orderBy("i").collect()
     assert [x.r for x in r] == [1.0, 2.5, 2.5, 4.0]
     d = spark.createDataFrame([(1.0, 2.0, 5.0), (2.0, 4.0, 5.0), (3.0, 7.0, 5.0), (None, 1.0, 5.0)], "a double, b double, k double")
     c = C.correlations(d, "a", "b").first()
@@ -46,6 +47,27 @@ def test_ranks_and_correlations(spark):
     assert C.correlations(same, "a", "b").first().spearman == pytest.approx(1)
 
 
+def test_order_of_large_groups(spark):
+    """Many ranges, hot values, null groups: the same as numpy, without a window over a group."""
+    rng = np.random.default_rng(3)
+    rows = [("a", float(x)) for x in rng.integers(0, 40, 900)] + [(None, float(x)) for x in rng.normal(size=700)] + [("b", 1.5)] + [("c", None)] * 3
+    d = spark.createDataFrame(rows, "g string, x double").repartition(5)
+    by = {g: np.array([x for k, x in rows if k == g and x is not None]) for g in ("a", None, "b")}
+    got = {r.g: r for r in percentiles(d, ["g"], F.col("x"), [("low", 0.01), ("mid", 0.5), ("high", 0.97), ("top", 1.0)]).collect()}
+    assert set(got) == set(by)
+    for g, v in by.items():
+        assert np.allclose([got[g].low, got[g].mid, got[g].high, got[g].top], np.quantile(v, [0.01, 0.5, 0.97, 1.0]))
+    for r in value_counts_before(d, ["g"], "x").collect():
+        assert r.before == (by[r.g] < r.x).sum() and r.n == (by[r.g] == r.x).sum() and r.total == len(by[r.g])
+    ranks = with_average_rank(d, "x", ["g"], "r").collect()
+    assert len(ranks) == len(rows) and all(r.r is None if r.x is None else r.r == (by[r.g] < r.x).sum() + ((by[r.g] == r.x).sum() + 1) / 2 for r in ranks)
+    n = numbered(d.where("x IS NOT NULL").withColumn("id", F.monotonically_increasing_id()), [], ["x", "id"], "i").orderBy("i").collect()
+    assert [r.i for r in n] == list(range(len(rows) - 3)) and [r.x for r in n] == sorted(r.x for r in n)
+    assert len(cuts(d.select("x").distinct(), "x")) >= 2 and percentiles(d.limit(0), [], F.col("x"), [("m", 0.5)]).first()[0] is None
+    plan = percentiles(d, ["g"], F.col("x"), [("m", 0.5)])._jdf.queryExecution().optimizedPlan().toString()
+    assert "percentile" not in plan
+
+
 def test_two_class_and_confusion(spark):
     d = spark.createDataFrame([(2.0, 0.0, 0), (0.0, 1.0, 0), (1.0, 1.0, 0)], "l0 double, l1 double, y int")
     r = d.withColumn("r", C.two_class(F.col("l0"), F.col("l1"), F.col("y"))).select("y", "r.*").collect()
