@@ -75,3 +75,17 @@ def explained(mismatches: DataFrame, allowed: DataFrame, keys: Sequence[str]) ->
 def decision(failed: Column, warned: Column) -> Column:
     """FAILED before WARNINGS before READY."""
     return F.when(failed > 0, "FAILED").when(warned > 0, "WARNINGS").otherwise("READY")
+
+
+def artifact_differences(recorded: DataFrame, there: DataFrame, name: str, digest: str) -> DataFrame:
+    """name and difference: ABSENT or NOT_RECORDED files, and files of another HASH."""
+    a = recorded.select(name, F.col(digest).alias("recorded_digest"), F.lit(True).alias("is_recorded"))
+    b = there.select(name, F.col(digest).alias("own_digest"), F.lit(True).alias("is_there"))
+    kind = F.when(F.col("is_recorded").isNull(), "NOT_RECORDED").when(F.col("is_there").isNull(), "ABSENT").when(~F.col("recorded_digest").eqNullSafe(F.col("own_digest")), "HASH")
+    return a.join(b, name, "full").select(name, kind.alias("difference")).where("difference IS NOT NULL")
+
+
+def anomaly_total(counters: DataFrame, ignored: Sequence[str] = ()) -> DataFrame:
+    """From (name, value) counters: anomalies (the sum but for ignored names) and PASS or REVIEW."""
+    total = F.coalesce(F.sum(F.when(~F.col("name").isin(list(ignored)), F.col("value"))), F.lit(0))
+    return counters.agg(total.cast("long").alias("anomalies"), F.when(total == 0, "PASS").otherwise("REVIEW").alias("decision"))
