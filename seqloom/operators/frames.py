@@ -346,3 +346,15 @@ def representative_slots(frames: DataFrame, reasons: DataFrame, slots: int = 100
         .when(has("zero_missing_reference") & (missing == 0), fixed(0, slots // 2, slots - 1))
     )
     return d.select("video_id", F.slice(F.array_sort(F.array_distinct(F.array_compact(chosen))), 1, most).alias("slots"))
+
+
+def sequence_errors(df: DataFrame, key: str, slot: str, vector: str, original: str, imputed: str, slots: int, size: int) -> DataFrame:
+    """key and rule for each fault of packed sequences, given as a row a slot: dense slots, vectors
+    of one size with finite values, masks that are each other's complement."""
+    good = lambda x: ~F.isnan(x) & (F.abs(x) < float("inf"))
+    g = df.groupBy(key).agg(
+        F.count(F.lit(1)).alias("n"), F.min(slot).alias("low"), F.max(slot).alias("high"), F.count_distinct(slot).alias("distinct"), F.count_if(F.size(vector) != size).alias("shape"),
+        F.count_if(~F.forall(vector, good)).alias("bad"), F.count_if(F.col(original) == F.col(imputed)).alias("masks"),
+    )
+    dense = (F.col("n") == slots) & (F.col("low") == 0) & (F.col("high") == slots - 1) & (F.col("distinct") == slots)
+    return violations(g, [key], [("SLOTS", ~dense), ("SHAPE", F.col("shape") > 0), ("NOT_FINITE", F.col("bad") > 0), ("MASKS", F.col("masks") > 0)])

@@ -89,3 +89,16 @@ def anomaly_total(counters: DataFrame, ignored: Sequence[str] = ()) -> DataFrame
     """From (name, value) counters: anomalies (the sum but for ignored names) and PASS or REVIEW."""
     total = F.coalesce(F.sum(F.when(~F.col("name").isin(list(ignored)), F.col("value"))), F.lit(0))
     return counters.agg(total.cast("long").alias("anomalies"), F.when(total == 0, "PASS").otherwise("REVIEW").alias("decision"))
+
+
+def source_index_audit(rows: DataFrame, key: str, path: str, expected: int, sealed: str) -> DataFrame:
+    """Faults of a list of sources whose ids should be 0..expected-1 in order: one row of counts.
+    The order holds if no id differs from the number of ids below it."""
+    from .ordering import numbered
+
+    d = numbered(rows.select(key, path), [], [key, path], "position")
+    n = F.count(F.lit(1))
+    return d.agg(
+        n.alias("rows_found"), (n != expected).cast("int").alias("row_count_mismatch"), (n - F.count_distinct(key)).alias("duplicate_source_ids"), F.count_if((F.col(key) < 0) | (F.col(key) >= expected)).alias("invalid_source_ids"),
+        (F.count_if(F.col(key) != F.col("position")) > 0).cast("int").alias("source_id_order_mismatch"), (n - F.count_distinct(path)).alias("duplicate_source_paths"), F.count_if(F.array_contains(F.split(path, "/"), sealed)).alias("test_source_references"),
+    )

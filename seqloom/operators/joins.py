@@ -103,3 +103,59 @@ def first_by(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> Dat
     """The first row of each key in the given order."""
     rn = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
     return df.withColumn("__rn", rn).where("__rn = 1").drop("__rn")
+
+
+def version_differences(a: DataFrame, b: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """Keys that two versions of a table don't agree on, and which columns differ ('absent': the
+    key stands on one side only)."""
+    left = a.select(*keys, F.struct(*columns).alias("left_row"))
+    right = b.select(*keys, F.struct(*columns).alias("right_row"))
+    j = left.join(right, list(keys), "full")
+    both = F.col("left_row").isNotNull() & F.col("right_row").isNotNull()
+    found = [F.when(~both, "absent"), *[F.when(both & ~F.col(f"left_row.{c}").eqNullSafe(F.col(f"right_row.{c}")), c) for c in columns]]
+    return j.select(*keys, F.array_join(F.array_compact(F.array(*found)), ",").alias("differs")).where("differs <> ''")
+
+
+def count_differences(stored: DataFrame, own: DataFrame, key: str, names: Sequence[str]) -> DataFrame:
+    """key, name, stored, own for each stored count that isn't the computed one."""
+    s = stored.select(key, *[F.col(n).alias(f"stored_{n}") for n in names])
+    cells = F.array(*[F.struct(F.lit(n).alias("name"), F.col(f"stored_{n}").cast("long").alias("stored"), F.col(n).cast("long").alias("own")) for n in names])
+    j = own.join(s, key, "full").select(key, F.explode(cells).alias("c")).select(key, "c.*")
+    return j.where(~F.col("stored").eqNullSafe(F.col("own")))
+
+
+def reconcile_branches(canonical: DataFrame, frozen: DataFrame, context: DataFrame, behavior: DataFrame, key: str) -> DataFrame:
+    """Four universes side by side: key, status of the two branches, whether the plan has it, and
+    whether a branch has what the plan doesn't.  Keys outside the canonical ones are kept."""
+    sides = {"canonical": canonical, "frozen": frozen, "context": context, "behavior": behavior}
+    rows = None
+    for name, side in sides.items():
+        d = side.select(key, F.lit(name).alias("side"))
+        rows = d if rows is None else rows.unionByName(d)
+    has = {n: F.max((F.col("side") == n).cast("int")) == 1 for n in sides}
+    g = rows.groupBy(key).agg(*[has[n].alias(n) for n in sides])
+    status = F.when(F.col("context") & F.col("behavior"), "BOTH").when(F.col("context"), "CONTEXT_ONLY").when(F.col("behavior"), "BEHAVIOR_ONLY").otherwise("NEITHER")
+    return g.select(key, status.alias("status"), "frozen", ((F.col("context") | F.col("behavior")) & ~F.col("frozen")).alias("unplanned"))
+
+
+def plan_parts(frozen: DataFrame, made: DataFrame, key: str) -> DataFrame:
+    """Each key of a frozen plan or of what was made: PLANNED (both), EXCLUDED (only frozen),
+    UNKNOWN (only made)."""
+    return reconcile(frozen, made, [key], ("PLANNED", "EXCLUDED", "UNKNOWN", "")).withColumnRenamed("status", "part")
+
+
+def labelled(left: DataFrame, metadata: DataFrame, key: str, label: str, path: str, folder: str) -> DataFrame:
+    """The left rows with state: NO_METADATA, LABEL (they disagree), PATH (outside the folder), OK."""
+    m = metadata.select(key, F.col(label).alias("metadata_label"), F.lit(True).alias("has_metadata"))
+    outside = ~F.col(path).startswith(folder) | F.col(path).rlike(r"(^|/)\.\.(/|$)")
+    state = F.when(F.col("has_metadata").isNull(), "NO_METADATA").when(~F.col(label).eqNullSafe(F.col("metadata_label")), "LABEL").when(outside, "PATH").otherwise("OK")
+    return left.join(m, key, "left").withColumn("state", state).drop("metadata_label", "has_metadata")
+
+
+def gather_audit(targets: DataFrame, sources: DataFrame, key: str, value: str) -> DataFrame:
+    """name and value: targets, those without a source, those that differ from the source they
+    name, and sources that no target names."""
+    j = targets.select(key, F.col(value).alias("target_value")).join(sources.select(key, F.col(value).alias("source_value"), F.lit(True).alias("there")), key, "left")
+    a = j.agg(F.count(F.lit(1)).alias("targets"), F.count_if(F.col("there").isNull()).alias("without_source"), F.count_if(F.col("there").isNotNull() & ~F.col("target_value").eqNullSafe(F.col("source_value"))).alias("differing"))
+    unused = sources.join(targets.select(key), key, "left_anti").agg(F.count(F.lit(1)).alias("unused_sources"))
+    return a.join(unused).unpivot([], ["targets", "without_source", "differing", "unused_sources"], "name", "value")
