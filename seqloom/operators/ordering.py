@@ -18,13 +18,13 @@ SAMPLED, MOST_RANGES = 20, 400
 
 
 def cuts(values: DataFrame, column: str) -> list:
-    """Values that cut those of a column (one row each, nulls aside) into about as many ranges
-    as there are shuffle partitions.  Some twenty values a range go through the driver."""
+    """Values that cut those of a column (nulls aside) into about as many ranges as there are
+    shuffle partitions.  Some twenty values a range go through the driver."""
     ranges = min(MOST_RANGES, int(values.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    there = values.select(column).where(F.col(column).isNotNull())
-    every = max(1, there.count() // (SAMPLED * ranges))
-    chosen = there.where(F.pmod(F.xxhash64(column), F.lit(every)) == 0).distinct().orderBy(column).collect()
-    found = [r[0] for r in chosen]
+    # The values of the smallest hashes: the top rows of each task, whatever the input's size.
+    h = F.xxhash64(column)
+    chosen = values.where(F.col(column).isNotNull()).select(column).distinct().orderBy(h, column).limit(SAMPLED * ranges).collect()
+    found = sorted({r[0] for r in chosen})
     return sorted({found[len(found) * i // ranges] for i in range(1, ranges)}) if len(found) > 1 else []
 
 
