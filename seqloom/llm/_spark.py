@@ -83,25 +83,6 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-class Stored:
-    """Tables that an operator needs only until its next steps are stored."""
-
-    def __init__(self) -> None:
-        self.held: list[tuple[SparkSession, str]] = []
-
-    def add(self, df: DataFrame, name: str) -> DataFrame:
-        path = new_path(df.sparkSession, name)
-        self.held.append((df.sparkSession, path))
-        return _write(df, path)
-
-    def release(self) -> None:
-        """Delete the tables.  Nothing that is still to be computed may read them."""
-        for spark, path in self.held:
-            at = spark._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-        self.held = []
-
-
 def _write(df: DataFrame, path: str) -> DataFrame:
     # Hashes and texts gain nothing from dictionaries; small row groups keep writers small.
     options = {"compression": "zstd", "parquet.enable.dictionary": "false", "parquet.block.size": str(16 << 20)}
