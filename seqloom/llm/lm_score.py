@@ -44,7 +44,7 @@ TOKENS_A_ROW, LEAST_ROWS, MOST_ROWS = 256, 1 << 12, 1 << 15
 #: Rounds of training, each on its own share of the training documents; tokens of one part.
 ROUNDS, RATES, PART_TOKENS = 2, (0.5, 0.25), 4_000_000
 #: A row's rate is that of the round over sqrt(sum of its squared gradients / SPREAD + 1);
-#: weights stay within LIMIT, so no exponential runs over.
+#: weights are kept within LIMIT after each batch, so no exponential runs over.
 SPREAD, LIMIT = 16.0, 20.0
 #: Tokens of one gradient step, and rows of a weight table that travel together.
 STEP, SLAB = 2048, 1024
@@ -176,7 +176,7 @@ class Trainer:
             self.met[which][at] += n
             self.squares[which][at] += np.einsum("ij,ij->i", g, g)
             g *= (self.rate / np.sqrt(self.squares[which][at] / np.float32(SPREAD) + np.float32(1)))[:, None]
-            weights[at] = np.clip(np.take(weights, at, axis=0) - g, -LIMIT, LIMIT)
+            weights[at] -= g
 
     def learn(self, x: Coded) -> None:
         def gradient(z: np.ndarray, target: np.ndarray) -> np.ndarray:
@@ -194,6 +194,8 @@ class Trainer:
             if len(inside):
                 rows = _word_rows(x, inside, m)
                 self._step(1, m.word_weights, rows, gradient(_logits(m.word_bias[x.cls[inside]], m.word_weights, rows), x.word[inside]))
+        for weights in (m.class_weights, m.word_weights):
+            np.clip(weights, -LIMIT, LIMIT, out=weights)
 
 
 def _batch(**columns: tuple) -> pa.RecordBatch:
