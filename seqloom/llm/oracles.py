@@ -114,4 +114,54 @@ FROM p
 """
 
 
-ORACLES: dict[str, str] = {"op1_substring_dedup": OP1, "op4_url_reputation": _op4(), "op5_jaccard_join": OP5, "op10_license_scan": _op10()}
+#: CRC-32 of a decimal, bit by bit: a character is added (its code), then eight shifts (-1).
+_CRC32 = """xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split({x}::VARCHAR, ''), lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+  lambda a, b: CASE WHEN b >= 0 THEN xor(a, b) ELSE xor(a // 2, CASE WHEN a % 2 = 1 THEN 3988292384 ELSE 0 END) END), 4294967295::BIGINT)"""
+
+OP11 = f"""
+WITH t AS (SELECT conv_id, coalesce(role, '') AS r, coalesce(text, '') AS x, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS p
+  FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT DISTINCT conv_id AS c, conv_id - conv_id % 100 AS b, {_CRC32.format(x="conv_id")} % 6 AS h FROM t),
+u AS (SELECT c, md5(r) || md5(x) AS k, length(x) AS n, 0 AS own, p FROM c JOIN t ON t.conv_id = b AND p <= h
+  UNION ALL SELECT c, md5(r) || md5(x), length(x), 1, p FROM c JOIN t ON t.conv_id = c AND p > h),
+l AS (SELECT c.c, coalesce(list(k ORDER BY own, p) FILTER (k IS NOT NULL), []) AS k, coalesce(list(n ORDER BY own, p) FILTER (k IS NOT NULL), []) AS n FROM c LEFT JOIN u ON u.c = c.c GROUP BY c.c),
+e AS (SELECT c, d, len(k) = d AS ends, md5(array_to_string(k[1:d], '')) AS node, md5(array_to_string(k[1:d - 1], '')) AS above, CASE WHEN d = 0 THEN 0 ELSE n[d] END AS chars
+  FROM (SELECT *, unnest(range(0, len(k) + 1)) AS d FROM l)),
+g AS (SELECT d, node, min(above) AS above, min(c) AS conv_id, count(*) AS members, (count(*) - 1) * min(chars) AS saved, sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (ends), '')) AS ends FROM e GROUP BY d, node),
+k AS (SELECT d - 1 AS d, above AS node, count(*) AS children FROM g WHERE d > 0 GROUP BY ALL),
+s AS (SELECT e.d, e.node, count(*) FILTER (k.children IS NULL) AS leaves, sum(g.saved) AS saved
+  FROM g LEFT JOIN k ON k.d = g.d AND k.node = g.node JOIN e ON e.c = g.conv_id AND e.d <= g.d GROUP BY e.d, e.node)
+SELECT g.conv_id, g.d::BIGINT AS depth, q.conv_id AS parent_conv_id, g.members::BIGINT AS n_convs, coalesce(k.children, 0)::BIGINT AS n_children, s.leaves::BIGINT AS n_leaves, s.saved::BIGINT AS saved_tokens, g.ends AS ends_sha256
+FROM g JOIN s ON s.d = g.d AND s.node = g.node LEFT JOIN k ON k.d = g.d AND k.node = g.node LEFT JOIN g q ON q.d = g.d - 1 AND q.node = g.above
+"""
+
+
+def _op13() -> str:
+    """Every order's steps are counted from the documents' failures one by one."""
+    fails = {
+        "a": "n < 100",
+        "b": "100 * len(list_distinct(w)) < 80 * n",
+        "c": "100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 10 * length(t)",
+        "d": "regexp_matches(t, '[#$%&*|]')",
+        "e": "doc_id IS NOT NULL AND doc_id > min(doc_id) OVER (PARTITION BY t)",
+    }
+    flags = ", ".join(f"coalesce({c}, false)" for c in fails.values())
+    return rf"""
+WITH m AS (SELECT doc_id, max(coalesce(quality = 1, false)) AS good, max(coalesce(toxic = 1, false)) AS bad FROM labels GROUP BY doc_id),
+d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w, len(w) AS n FROM documents),
+f AS (SELECT doc_id, part, [{flags}] AS f FROM d),
+g AS (SELECT part, f, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (bad) AS bad FROM f LEFT JOIN m USING (doc_id) GROUP BY part, f),
+l AS (SELECT unnest(range(1, 6)) AS x),
+o AS (SELECT [a.x, b.x, c.x, d.x, e.x] AS o FROM l a, l b, l c, l d, l e WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+s AS (SELECT o, array_to_string(list_transform(o, lambda i: chr(64 + i::INT)), '') AS filter_order, x AS step, o[x] AS own, o[1:x - 1] AS earlier FROM o, l),
+r AS (SELECT part, filter_order, step, own, n, good, bad, f[own] AS hit, len(list_filter(earlier, lambda i: f[i])) > 0 AS gone, len(list_filter(f, lambda v: v)) AS fails FROM g, s),
+z AS (SELECT part, filter_order, step, own,
+    coalesce(sum(n) FILTER (NOT gone AND NOT hit), 0) AS kept, coalesce(sum(n) FILTER (NOT gone AND hit), 0) AS removed, coalesce(sum(n) FILTER (gone AND hit), 0) AS redundant,
+    coalesce(sum(n) FILTER (hit AND fails = 1), 0) AS unique_fails, coalesce(sum(good) FILTER (NOT gone AND hit), 0) AS good_lost, coalesce(sum(bad) FILTER (NOT gone AND hit), 0) AS toxic_lost
+  FROM r GROUP BY part, filter_order, step, own)
+SELECT part, filter_order, step::INTEGER AS step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails,
+  good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost, (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley FROM z
+"""
+
+
+ORACLES: dict[str, str] = {"op1_substring_dedup": OP1, "op4_url_reputation": _op4(), "op5_jaccard_join": OP5, "op10_license_scan": _op10(), "op11_prefix_trie": OP11, "op13_filter_audit": _op13()}

@@ -7,13 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .filter_audit import audit_filters
 from .jaccard_join import jaccard_components
 from .licenses import scan_licenses
 from .lm_score import score_documents
 from .mixing import mix_sources
 from .orc_tokens import token_orc_round_trip
 from .packing import pack_documents
+from .prefix_trie import shared_prefix_trie
 from .repetition import quality_rules
+from .secret_scan import find_secrets, secret_digest
 from .substring_dedup import remove_repeated_substrings
 from .syncmers import edited_fingerprints
 from .url_reputation import judge_urls
@@ -70,6 +73,18 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shared_prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_digest(find_secrets(table(spark, sf_dir, "documents")))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_lm_scoring": op2_lm_scoring,
@@ -81,4 +96,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_fingerprints": op8_fingerprints,
     "op9_packing": op9_packing,
     "op10_license_scan": op10_license_scan,
+    "op11_prefix_trie": op11_prefix_trie,
+    "op12_secret_scan": op12_secret_scan,
+    "op13_filter_audit": op13_filter_audit,
 }
