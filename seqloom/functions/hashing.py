@@ -45,13 +45,24 @@ def bag_hash(*columns: str) -> Column:
     return F.concat_ws("-", F.count(F.lit(1)), *parts)
 
 
-def ordered_hash(df: DataFrame, order: str, *columns: str) -> DataFrame:
+def joined_hashes(order: str, h: str) -> Column:
+    """An aggregate: the hash of a group's numbered hashes in their order; for bounded groups."""
+    rows = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(h).alias("h"))))
+    return F.sha2(F.array_join(F.transform(rows, lambda r: F.concat(r["o"].cast("string"), F.lit(":"), r["h"])), "\n"), 256)
+
+
+def ordered_hash(df: DataFrame, order: str, *columns: str, fan_out: int = BLOCK) -> DataFrame:
     """h and n: a hash of a relation of any size in the order of a dense number from 0.
 
-    Rows are hashed with their numbers in blocks of ``BLOCK`` neighbours, and the blocks'
-    hashes, one row each, once more; no task holds more than a block or all blocks' hashes.
+    Rows are hashed with their numbers in blocks of ``fan_out`` neighbours, the blocks' hashes
+    likewise, and so on, until as many levels (two at least) as the largest number needs are
+    one hash: no task holds more than ``fan_out`` of them.
     """
-    rows = df.select(F.col(order).cast("long").alias("o"), F.sha2(F.concat_ws("\n", *flagged(*columns)), 256).alias("h"))
-    joined = lambda o: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(o, "h"))), lambda r: F.concat(r["o"].cast("string"), F.lit(":"), r["h"])), "\n"), 256)
-    blocks = rows.groupBy(F.floor(F.col("o") / BLOCK).alias("b")).agg(joined("o").alias("h"), F.count(F.lit(1)).alias("n"))
-    return blocks.select(F.col("b").alias("o"), "h", "n").agg(joined("o").alias("h"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+    top = df.agg(F.max(F.col(order).cast("long"))).first()[0] or 0
+    levels = 2
+    while fan_out**levels <= top:
+        levels += 1
+    rows = df.select(F.col(order).cast("long").alias("o"), F.sha2(F.concat_ws("\n", *flagged(*columns)), 256).alias("h"), F.lit(1).cast("long").alias("n"))
+    for _ in range(levels - 1):
+        rows = rows.groupBy(F.floor(F.col("o") / fan_out).cast("long").alias("b")).agg(joined_hashes("o", "h").alias("h"), F.sum("n").alias("n")).withColumnRenamed("b", "o")
+    return rows.agg(joined_hashes("o", "h").alias("h"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -47,19 +49,44 @@ def bad_counts(a: Column) -> Column:
     return F.struct(count(F.isnan).alias("nan"), count(lambda x: F.abs(x) == float("inf")).alias("inf"), count(lambda x: x == 0).alias("zero"))
 
 
-def difference_stats(a: Column, b: Column, rtol: float = 1e-5, atol: float = 1e-6) -> Column:
-    """How far two arrays of one length are apart: max_abs, mean_abs, median_abs, rmse,
-    max_relative (against b, where that is not 0), nonzero, exact, close."""
-    d = F.zip_with(a, b, lambda x, y: F.abs(x.cast("double") - y.cast("double")))
+#: The smallest normal 32-bit float, below which a value counts as that much, and
+#: the pairs of tolerances (relative, absolute) that are tried.
+FLOAT_TINY = 1.1754943508222875e-38
+TOLERANCES = ((1e-6, 1e-7), (1e-5, 1e-6), (1e-4, 1e-5))
+
+
+def difference_stats(a: Column, b: Column, rtol: float = 1e-5, atol: float = 1e-6, tolerances: Sequence[tuple[float, float]] = TOLERANCES) -> Column:
+    """How far two arrays are apart, element by element: max_abs, mean_abs, median_abs, rmse,
+    max_relative (against a, floored at FLOAT_TINY), nonzero, exact, close and failed (elements
+    beyond atol + rtol * |b|), and for each of ``tolerances`` whether all elements keep it.
+
+    Arrays of different lengths are refused, nothing is padded; of an empty pair the maxima are
+    0 and the means null.  As for floats elsewhere, NaN is close to nothing, and an infinity
+    only to itself.
+    """
+    double = lambda x: x.cast("double")
+    d = F.zip_with(a, b, lambda x, y: F.abs(double(x) - double(y)))
     n = F.size(a)
     s = F.array_sort(d)
     median = (F.get(s, F.floor((n - 1) / 2).cast("int")) + F.get(s, F.floor(n / 2).cast("int"))) / 2.0
-    relative = F.zip_with(a, b, lambda x, y: F.try_divide(F.abs(x.cast("double") - y.cast("double")), F.abs(y.cast("double"))))
-    close = F.zip_with(a, b, lambda x, y: F.abs(x.cast("double") - y.cast("double")) <= atol + rtol * F.abs(y.cast("double")))
-    return F.struct(
-        F.array_max(d).alias("max_abs"), mean(d).alias("mean_abs"), median.alias("median_abs"), F.sqrt(F.try_divide(dot(d, d), n.cast("double"))).alias("rmse"),
-        F.array_max(relative).alias("max_relative"), F.size(F.filter(d, lambda x: x > 0)).cast("long").alias("nonzero"), F.forall(d, lambda x: x == 0).alias("exact"), F.forall(close, lambda x: x).alias("close"),
+    relative = F.zip_with(a, b, lambda x, y: F.abs(double(x) - double(y)) / F.greatest(F.abs(double(x)), F.lit(FLOAT_TINY)))
+    finite = lambda x: ~F.isnan(double(x)) & (F.abs(double(x)) < float("inf"))
+
+    def near(x: Column, y: Column, r: float, t: float) -> Column:
+        within = F.abs(double(x) - double(y)) <= t + r * F.abs(double(y))
+        return F.when(finite(x) & finite(y), within).otherwise((double(x) == double(y)) & ~F.isnan(double(x)))
+
+    kept = lambda r, t: F.zip_with(a, b, lambda x, y: near(x, y, r, t))
+    tried = F.array(*[F.struct(F.lit(r).alias("rtol"), F.lit(t).alias("atol"), F.forall(kept(r, t), lambda x: x).alias("pass")) for r, t in tolerances])
+    failed = F.size(F.filter(kept(rtol, atol), lambda x: ~x)).cast("long")
+    most = lambda x: F.coalesce(F.array_max(x), F.lit(0.0))
+    stats = F.struct(
+        most(d).alias("max_abs"), mean(d).alias("mean_abs"), median.alias("median_abs"), F.sqrt(F.try_divide(dot(d, d), n.cast("double"))).alias("rmse"),
+        most(relative).alias("max_relative"), F.size(F.filter(d, lambda x: x != 0)).cast("long").alias("nonzero"), F.forall(F.zip_with(a, b, lambda x, y: (x == y) & ~F.isnan(double(x))), lambda x: x).alias("exact"), (failed == 0).alias("close"),
+        failed.alias("failed"), tried.alias("tolerances"),
     )
+    refused = F.raise_error(F.concat(F.lit("arrays of "), F.size(a).cast("string"), F.lit(" and "), F.size(b).cast("string"), F.lit(" elements")))
+    return F.when(F.size(a) != F.size(b), refused).otherwise(stats)
 
 
 def scaled(a: Column, mean_: float, std: float) -> Column:

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordering import percentiles, same
+from .ordering import percentiles, same, top_mass
 
 PERCENTS = (1, 5, 50, 75, 90, 95, 99)
 
@@ -70,23 +69,13 @@ def cumulative_counts(df: DataFrame, value: Column, high: int) -> DataFrame:
     return h.withColumn("at_most", running).join(total).select(F.col("value").alias("limit"), "at_most", F.coalesce(F.try_divide(F.col("at_most").cast("double"), F.col("total").cast("double")), F.lit(0.0)).alias("share"))
 
 
-def concentration(df: DataFrame, value: Column, key: Column, percents: Sequence[int] = (1, 5, 10)) -> DataFrame:
-    """The share of the total that the top ceil(n p %) rows hold; 0 if the total is 0.
-
-    The threshold row of each percentage comes from an exact distributed sort, so no window
-    runs over all rows.
-    """
-    v = df.select(value.cast("double").alias("v"), key.alias("k"))
-    total = v.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("v"), F.lit(0.0)).alias("s")).first()
-    rows = []
-    for p in percents:
-        top = math.ceil(total["n"] * p / 100)
-        kept = v.orderBy(F.desc("v"), "k").limit(top).agg(F.lit(p).alias("percent"), F.count(F.lit(1)).alias("n_top"), F.coalesce(F.sum("v"), F.lit(0.0)).alias("top"))
-        rows.append(kept.select("percent", "n_top", F.coalesce(F.try_divide(F.col("top"), F.lit(total["s"])), F.lit(0.0)).alias("share")))
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.unionByName(r)
-    return out
+def concentration(df: DataFrame, value: Column, percents: Sequence[int] = (1, 5, 10)) -> DataFrame:
+    """For each percentage the ``ceil(n p %)`` largest values and their share of the total; 0 if
+    the total is 0.  Only the range of values in which a top ends is ordered."""
+    found = top_mass(df.select(value.cast("double").alias("v")), "v", [(str(p), (p, 100)) for p in percents])
+    spine = df.sparkSession.createDataFrame([(p, str(p)) for p in percents], "percent int, name string")
+    share = F.coalesce(F.try_divide("mass", "total"), F.lit(0.0))
+    return spine.join(found, "name", "left").select("percent", F.coalesce("rows", F.lit(0)).alias("n_top"), share.alias("share"))
 
 
 def buckets(value: Column, bounds: Sequence[tuple[str, int, int | None]]) -> list[Column]:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from seqloom.functions.scalars import finite, is_infinite, safe_path
 
-from .integrity import violations
+from .integrity import scattered_groups, violations
 from .resample import nearest_valid
 from .runs import runs
 
@@ -130,10 +130,11 @@ def bundle_errors(frames: DataFrame, markers: DataFrame | None = None, points: s
 
 def scan_errors(frames: DataFrame, videos: DataFrame, policy: str | None = None, slots: int = 100, context: int = 32) -> DataFrame:
     """video_id and error where frames and video metadata (video_id, label, policy_hash) don't
-    agree.  A group that is scattered over the file is no fault here: rows carry their key."""
+    agree.  Frames with the columns of ``scan_order`` are also checked for videos whose rows
+    do not stand together in their files (SCATTERED)."""
     v = _per_video(frames, slots, context).withColumn("scanned", F.lit(True))
     m = videos.select("video_id", F.col("label").alias("known_label"), *(["policy_hash"] if policy else []), F.lit(True).alias("known"))
-    return _codes(v.join(m, "video_id", "full"), "video_id", [
+    out = _codes(v.join(m, "video_id", "full"), "video_id", [
         ("UNKNOWN_VIDEO", F.col("known").isNull()),
         ("NO_FRAMES", F.col("scanned").isNull()),
         ("ROW_COUNT", F.col("n") != slots),
@@ -143,6 +144,9 @@ def scan_errors(frames: DataFrame, videos: DataFrame, policy: str | None = None,
         ("ORDER", F.col("falls") > 0),
         *([("POLICY", F.col("policy_hash") != policy)] if policy else []),
     ])
+    if {"scan_file", "scan_row"} <= set(frames.columns):
+        out = out.unionByName(scattered_groups(frames, "video_id").select("video_id", F.lit("SCATTERED").alias("error")).distinct())
+    return out
 
 
 def video_counters(frames: DataFrame) -> DataFrame:

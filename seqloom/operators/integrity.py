@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqloom.functions.hashing import bag_hash
@@ -39,6 +39,29 @@ def dense_order(df: DataFrame, index: str) -> DataFrame:
     return a.withColumn("dense", (F.col("low") == 0) & (F.col("high") == F.col("n") - 1) & (F.col("distinct") == F.col("n")))
 
 
+def scattered_groups(rows: DataFrame, key: str, file: str = "scan_file", place: str = "scan_row") -> DataFrame:
+    """key and fault of groups whose rows do not stand together in the order they were read:
+    IN_FILE, other rows stand between them in a file; ACROSS_FILES, they are in several files
+    that are not neighbours by name, or do not run on from a file's end to the next one's start.
+
+    A group stands together in a file if its last place is as far from its first as it has
+    rows, so counts and bounds of each file and group decide, and no file is read in order.
+    """
+    pieces = rows.groupBy(file, key).agg(F.min(place).alias("low"), F.max(place).alias("high"), F.count(F.lit(1)).alias("n"))
+    apart = F.max(F.col("high") - F.col("low") + 1 != F.col("n")).alias("apart")
+    # One row a file.
+    files = pieces.groupBy(file).agg(F.min("low").alias("start"), F.max("high").alias("end"))
+    files = files.withColumn("number", F.row_number().over(Window.orderBy(file)))
+    several = pieces.groupBy(key).agg(apart, F.count(F.lit(1)).alias("files"))
+    on = Window.partitionBy(key).orderBy("number")
+    parts = pieces.join(several.where("files > 1").select(key), key, "left_semi").join(files, file)
+    last = lambda c: F.lag(c).over(on)
+    broken = F.col("before").isNotNull() & ((F.col("number") != F.col("before") + 1) | ~F.col("to_end") | (F.col("low") != F.col("start")))
+    parts = parts.withColumns({"before": last("number"), "to_end": last(F.col("high") == F.col("end"))})
+    across = parts.groupBy(key).agg(F.max(broken).alias("across")).where("across").select(key, F.lit("ACROSS_FILES").alias("fault"))
+    return several.where("apart").select(key, F.lit("IN_FILE").alias("fault")).unionByName(across)
+
+
 def table_fingerprint(df: DataFrame) -> str:
     """A content hash of a table that does not depend on the order of its rows."""
     return df.agg(bag_hash(*df.columns).alias("h")).first()["h"]

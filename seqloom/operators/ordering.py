@@ -88,6 +88,38 @@ def percentiles(df: DataFrame, groups: Sequence[str], value: Column, wanted: Seq
     return c.groupBy(*groups).agg(*out)
 
 
+def top_mass(df: DataFrame, value: str, sizes: Sequence[tuple[str, int | float | tuple[int, int]]], groups: Sequence[str] = ()) -> DataFrame:
+    """Per group and named size (a count of rows, or a fraction of them as one number or as
+    numerator and denominator, rounded up): ``rows`` in
+    the top by value, their ``mass`` (sum of values), and the ``total`` mass of the group.
+
+    Ranges of values are summed up as a whole, rows and mass; only the range in which a top
+    ends is ordered, value by value, and rows of that value count as far as they reach.  No
+    task holds more than a range, however large the top is.  Nulls are no rows.
+    """
+    d = df.select(*groups, F.col(value).cast("double").alias("v")).where("v IS NOT NULL")
+    counts = d.groupBy(*groups, "v").agg(F.count(F.lit(1)).alias("n"))
+    counts = counts.withColumn("part", range_of(F.col("v"), cuts(counts, "v")))
+    sums = counts.groupBy(*groups, "part").agg(F.sum("n").alias("held"), F.sum(F.col("n") * F.col("v")).alias("mass"))
+    whole = Window.partitionBy(*groups) if groups else Window.partitionBy(F.lit(0))
+    down = whole.orderBy(F.desc("part")).rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.withColumns({"first": F.coalesce(F.sum("held").over(down), F.lit(0)), "above": F.coalesce(F.sum("mass").over(down), F.lit(0.0)), "all": F.sum("held").over(whole), "total": F.sum("mass").over(whole)})
+
+    def size(k: int | float | tuple[int, int]) -> Column:
+        if isinstance(k, tuple):
+            return F.least(F.floor((F.col("all") * k[0] + (k[1] - 1)) / k[1]), F.col("all"))
+        return F.ceil(F.col("all").cast("double") * k) if isinstance(k, float) else F.least(F.lit(k), F.col("all"))
+
+    named = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), size(k).cast("long").alias("rows")) for name, k in sizes])).alias("top")
+    sums = sums.select("*", named).where((F.col("top.rows") > F.col("first")) & (F.col("top.rows") <= F.col("first") + F.col("held")))
+    ends = sums.select(*[F.col(g).alias(f"of_{g}") for g in groups], F.col("part").alias("of_part"), F.col("top.name").alias("name"), F.col("top.rows").alias("rows"), "first", "above", "total")
+    both = counts.join(ends, same([*groups, "part"], [f"of_{g}" for g in [*groups, "part"]]))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy(*groups, "part", "name").orderBy(F.desc("v")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    reach = F.greatest(F.lit(0), F.least(F.col("n"), F.col("rows") - F.col("first") - before))
+    both = both.select(*groups, "name", "rows", "above", "total", (reach * F.col("v")).alias("part_mass"))
+    return both.groupBy(*groups, "name", "rows", "above", "total").agg((F.col("above") + F.sum("part_mass")).alias("mass")).select(*groups, "name", "rows", "mass", "total")
+
+
 def with_average_rank(df: DataFrame, value: str, groups: Sequence[str], out: str, base: int = 1) -> DataFrame:
     """Rows with the rank of their value in its group, ties averaged, from ``base``; null for
     null values."""

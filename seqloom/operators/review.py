@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqloom.functions.geometry import circular_difference
@@ -66,6 +66,20 @@ def choose_candidates(videos: DataFrame, target: int = 36, strata: Sequence[str]
     return videos.sparkSession.createDataFrame([(i, v, r) for i, (v, r) in enumerate(taken)], f"review_order int, video_id {kind}, reason string")
 
 
+def with_review_frames(chosen: DataFrame, runs: DataFrame, last: int = 99) -> DataFrame:
+    """Chosen videos with their representative run (the longest, the first of equal ones; start
+    and end null without any) and the frames to look at: its ends, its middle and their
+    neighbours in 0..last, else the clip's ends and middle.  ``runs`` are (video_id, start,
+    end, length)."""
+    mine = runs.join(chosen.select("video_id"), "video_id", "left_semi")
+    best = mine.groupBy("video_id").agg(F.min_by(F.struct("start", "end"), F.struct(-F.col("length"), "start")).alias("run"))
+    d = chosen.join(best, "video_id", "left").withColumns({"representative_start": F.col("run.start"), "representative_end": F.col("run.end")}).drop("run")
+    start, end = F.col("representative_start"), F.col("representative_end")
+    near = F.array(F.greatest(F.lit(0), start - 1), start, F.floor((start + end) / 2).cast("int"), end, F.least(F.lit(last), end + 1))
+    frames = F.when(start.isNull(), F.array(F.lit(0), F.lit((last + 1) // 2), F.lit(last)).cast("array<long>")).otherwise(F.array_sort(F.array_distinct(near)).cast("array<long>"))
+    return d.withColumn("recommended_frames", F.array_join(frames, ";"))
+
+
 def select_review_samples(samples: DataFrame, outcome: Column, top: int = 8, most: int = 45, normal: int = 10) -> DataFrame:
     """sample_id, review_group, reasons (sorted): every sample whose outcome isn't BOTH_SUCCESS,
     then the extremes of each metric in turn (rank by rank) until ``most - normal`` are chosen,
@@ -144,12 +158,14 @@ def fill_selection(preferred: DataFrame, usable: DataFrame, key: str, order: str
 def pilot(videos: DataFrame, count: int, imputed: bool, strata: Sequence[str] = ("split", "label")) -> DataFrame:
     """video_id and place: one video of each stratum (the most imputed one, then the first), then
     others in that order up to ``count``, among those with imputed slots or those without."""
-    d = videos.where((F.col("imputed_slots") > 0) == F.lit(imputed))
+    d = videos.where((F.col("imputed_slots") > 0) == F.lit(imputed)).select("video_id", "imputed_slots", *strata)
     high = [F.desc("imputed_slots")] if imputed else []
-    first = F.row_number().over(Window.partitionBy(*strata).orderBy(*high, "video_id")) == 1
-    heads = d.withColumn("head", first)
-    order = [F.desc("head"), F.when(F.col("head"), F.concat_ws("/", *strata)), *high, *[F.col(s) for s in strata], F.col("video_id")]
-    return top_k(heads, order, count).select("video_id", F.col("rank").alias("place"))
+    heads = top_k(d, [*high, F.col("video_id")], 1, strata).drop("rank").withColumn("head", F.lit(True))
+    others = d.join(heads.select("video_id"), "video_id", "left_anti")
+    order = [*high, *[F.col(s) for s in strata], F.col("video_id")]
+    rest = top_k(others, order, count).drop("rank").withColumn("head", F.lit(False))
+    whole = [F.desc("head"), F.when(F.col("head"), F.concat_ws("/", *strata)), *order]
+    return top_k(heads.unionByName(rest), whole, count).select("video_id", F.col("rank").alias("place"))
 
 
 def review_slots(videos: DataFrame, slots: DataFrame, strata: Sequence[str] = ("split", "label")) -> DataFrame:
@@ -158,10 +174,11 @@ def review_slots(videos: DataFrame, slots: DataFrame, strata: Sequence[str] = ("
     ``slots`` are (video_id, slot, score)."""
     s = slots.groupBy("video_id").agg(F.max("score").alias("best"), F.array_sort(F.collect_list(F.struct("slot", "score"))).alias("s"))
     d = videos.join(s, "video_id")
-    w = Window.partitionBy(*strata)
-    d = d.withColumn("high", F.row_number().over(w.orderBy(F.desc("best"), "video_id")))
-    low = F.row_number().over(Window.partitionBy(*strata, F.col("high") > 2).orderBy("best", "video_id"))
-    d = d.withColumn("low", low).where((F.col("high") <= 2) | (F.col("low") == 1))
+    # From both ends: the lowest of the others is among the three lowest.
+    high = top_k(d, [F.desc("best"), F.col("video_id")], 2, strata).withColumn("end", F.lit("high"))
+    low = top_k(d, [F.col("best"), F.col("video_id")], 3, strata).withColumn("end", F.lit("low"))
+    other = low.join(high.select("video_id"), "video_id", "left_anti")
+    d = high.drop("rank").unionByName(top_k(other.drop("rank"), [F.col("best"), F.col("video_id")], 1, strata).drop("rank"))
     middle = F.slice("s", 2, F.size("s") - 2)
     best = F.array_max(F.transform(middle, lambda x: F.struct(x["score"].alias("score"), (-F.abs(x["slot"] - 15)).alias("near"), (-x["slot"]).alias("back"))))
     roles = F.array(F.struct(F.lit("first").alias("role"), F.element_at("s", 1)["slot"].alias("slot")), F.struct(F.lit("middle").alias("role"), (-best["back"]).alias("slot")), F.struct(F.lit("last").alias("role"), F.element_at("s", -1)["slot"].alias("slot")))

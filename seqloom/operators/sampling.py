@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordering import numbered
+from .ordering import numbered, top_mass
 
 
 def top_k(df: DataFrame, order: Sequence[Column], k: int, groups: Sequence[str] = ()) -> DataFrame:
-    """The first k rows by a total order, in each group; rank from 1.  Without groups Spark
-    keeps k rows a task, so nothing is sorted as a whole."""
+    """The first k rows by a total order, in each group; rank from 1.  Spark keeps k rows a group
+    and task before it shuffles, so no group is sorted as a whole."""
     if groups:
         rn = F.row_number().over(Window.partitionBy(*groups).orderBy(*order))
         return df.withColumn("rank", rn).where(F.col("rank") <= k)
@@ -21,15 +20,13 @@ def top_k(df: DataFrame, order: Sequence[Column], k: int, groups: Sequence[str]
     return first.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
 
 
-def concentration_of_top(df: DataFrame, loss: str, order: Sequence[Column], tops: Sequence[tuple[str, int | float]]) -> DataFrame:
-    """For each named top (a count, or a fraction of the rows, rounded up): rows and their
-    share of the total loss."""
-    total = df.agg(F.count(F.lit(1)).alias("n"), F.sum(loss).alias("s")).first()
-    sizes = {name: math.ceil(total["n"] * k) if isinstance(k, float) else min(k, total["n"]) for name, k in tops}
-    ranked = top_k(df, order, max(sizes.values(), default=0))
-    aggs = F.array(*[F.struct(F.lit(name).alias("top"), F.lit(n).cast("long").alias("rows"), F.sum(F.when(F.col("rank") <= n, F.col(loss))).alias("loss")) for name, n in sizes.items()])
-    out = ranked.agg(aggs.alias("a")).select(F.explode("a").alias("x")).select("x.*")
-    return out.select("top", "rows", "loss", F.coalesce(F.try_divide("loss", F.lit(total["s"])), F.lit(0.0)).alias("share"))
+def concentration_of_top(df: DataFrame, loss: str, tops: Sequence[tuple[str, int | float]]) -> DataFrame:
+    """For each named top by loss (a count, or a fraction of the rows, rounded up): rows, their
+    loss and its share of the total; zeros without rows."""
+    spine = df.sparkSession.createDataFrame([(name,) for name, _ in tops], "top string")
+    found = top_mass(df, loss, tops).withColumnRenamed("name", "top")
+    zero = F.lit(0.0)
+    return spine.join(found, "top", "left").select("top", F.coalesce("rows", F.lit(0)).alias("rows"), F.coalesce("mass", zero).alias("loss"), F.coalesce(F.try_divide("mass", "total"), zero).alias("share"))
 
 
 def seeded_order(seed: int, *columns: str) -> Column:
@@ -71,16 +68,3 @@ def without_reuse(df: DataFrame, key: str, reasons: Sequence[tuple[str, Column,
             taken.append(r[0])
             rows.append((r[0], name, i + 1))
     return df.sparkSession.createDataFrame(rows, f"{key} {df.schema[key].dataType.simpleString()}, reason string, place int")
-
-
-def balanced_groups(scores: Iterable[tuple[str, float]], groups: int, capacity: int) -> dict[str, int]:
-    """Items by falling score, each to the group with room whose scores sum lowest (the first
-    of equal ones).  For review lists of a few dozen items."""
-    sums, sizes, out = [0.0] * groups, [0] * groups, {}
-    for item, score in sorted(scores, key=lambda x: (-x[1], x[0])):
-        open_ = [g for g in range(groups) if sizes[g] < capacity]
-        if not open_:
-            raise ValueError("more items than room")
-        g = min(open_, key=lambda g: (sums[g], g))
-        out[item], sums[g], sizes[g] = g, sums[g] + score, sizes[g] + 1
-    return out

@@ -100,7 +100,7 @@ t AS (SELECT * FROM (VALUES ('top_5', 5.0, 0.0), ('top_10', 10.0, 0.0), ('top_20
 SELECT top, CAST(CASE WHEN any_value(f) > 0 THEN ceil(any_value(n) * any_value(f)) ELSE any_value(k) END AS BIGINT) AS "rows", round(sum(loss) FILTER (rn <= CASE WHEN f > 0 THEN ceil(n * f) ELSE k END), 4) AS loss,
   round(sum(loss) FILTER (rn <= CASE WHEN f > 0 THEN ceil(n * f) ELSE k END) / any_value(s), 6) AS share FROM r CROSS JOIN t GROUP BY top""")
 def loss_concentration(spark: SparkSession, d: str) -> DataFrame:
-    c = M.concentration_of_top(losses(spark, d), "loss", [F.round("loss", 9).desc(), F.col("sample")], (("top_5", 5), ("top_10", 10), ("top_20", 20), ("top_10_percent", 0.1), ("top_20_percent", 0.2)))
+    c = M.concentration_of_top(losses(spark, d), "loss", (("top_5", 5), ("top_10", 10), ("top_20", 20), ("top_10_percent", 0.1), ("top_20_percent", 0.2)))
     return _rounded(_rounded(c, "loss", digits=4), "share")
 
 

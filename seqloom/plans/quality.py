@@ -90,7 +90,7 @@ r AS (SELECT missing, row_number() OVER (ORDER BY missing DESC, video_id) AS rn,
 SELECT p AS percent, count(*) FILTER (rn <= ceil(n * p / 100.0)) AS n_top, round(coalesce(sum(missing) FILTER (rn <= ceil(n * p / 100.0)), 0) / sum(missing)::DOUBLE, 9) AS share
 FROM r CROSS JOIN (SELECT unnest([1, 5, 10]) AS p) GROUP BY p""")
 def missing_concentration(spark: SparkSession, d: str) -> DataFrame:
-    return D.concentration(T.state(T.frames(spark, d, 32)), F.col("missing"), F.col("video_id")).withColumn("share", F.round("share", 9))
+    return D.concentration(T.state(T.frames(spark, d, 32)), F.col("missing")).withColumn("share", F.round("share", 9))
 
 
 @query(f"""WITH {T.USERS}, {_F32}, {T.runs_sql('NOT available')} SELECT v.value, count(r.video_id) AS n FROM (SELECT unnest(range(1, 33)) AS value) v LEFT JOIN runs r ON r.length = v.value GROUP BY v.value""")

@@ -161,6 +161,37 @@ def review_scores(spark: SparkSession, d: str) -> DataFrame:
     return _rois(spark, d).select("l_orderkey", "l_linenumber", *[F.round(x, 6).alias(n) for n, x in O.review_scores().items()])
 
 
+_GROUPS = ("eye", "mouth", "pose", "difficult")
+_FOUR = ("eye_score", "mouth_score", "pose_score", "difficult_score")
+_FIRST_LINE = ("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag")
+_REVIEWED = f"""li AS (SELECT * FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY {', '.join(_FIRST_LINE)}) = 1),
+own AS (SELECT l_orderkey, l_returnflag, {', '.join(f'{C._duck(e)} AS {c}' for c, e in _ROI.items())} FROM li),
+sc AS (SELECT l_orderkey AS sample_id, CASE WHEN l_orderkey % 5 = 0 THEN 'val' ELSE 'train' END AS split, l_returnflag AS label, round({_mostabs('ear')} + {_LM}, 6) AS eye_score, round({_mostabs('mar')} + {_LM}, 6) AS mouth_score,
+  round(greatest({', '.join(_wrap(f'raw_{f} - {c}_{f}') for c in _M for f in ('pitch_raw', 'yaw', 'roll'))}) + 20 * {_LM}, 6) AS pose_score, round({' + '.join(f'{c}_roi_clipped::INTEGER' for c in _M)} + 20 * greatest({', '.join(f'{c}_clipped_fraction' for c in _M)}) + abs(raw_yaw) / 45 + greatest(0, 1 - yunet_confidence), 6) AS difficult_score
+  FROM own QUALIFY row_number() OVER (ORDER BY l_orderkey % 83, l_orderkey) <= 35)"""
+_SCALED = ", ".join(f"coalesce(({c} - min({c}) OVER ()) / nullif(max({c}) OVER () - min({c}) OVER (), 0), 0) AS n{i}" for i, c in enumerate(_FOUR, 1))
+_TAKES = "r.room[p.k] > 0 AND NOT list_contains(r.taken, p.sample_id)"
+
+
+@query(f"""WITH RECURSIVE {_REVIEWED}, n AS (SELECT *, {_SCALED} FROM sc),
+ref AS (SELECT sample_id FROM (SELECT sample_id, split, label, row_number() OVER (PARTITION BY split, label ORDER BY n1 + n2 + n3 + n4, sample_id) AS turn FROM n) ORDER BY turn, split, label LIMIT 7),
+p AS (SELECT *, row_number() OVER (ORDER BY score DESC, sample_id DESC, g DESC) AS i FROM ({' UNION ALL '.join(f"SELECT n{k} AS score, sample_id, '{g}' AS g, {k} AS k FROM n WHERE sample_id NOT IN (SELECT sample_id FROM ref)" for k, g in enumerate(_GROUPS, 1))})),
+r(i, room, taken, sample_id, g) AS (SELECT 0::BIGINT, [7, 7, 7, 7], []::BIGINT[], NULL::BIGINT, NULL::VARCHAR
+  UNION ALL SELECT p.i, CASE WHEN {_TAKES} THEN list_transform(r.room, lambda x, j: CASE WHEN j = p.k THEN x - 1 ELSE x END) ELSE r.room END, CASE WHEN {_TAKES} THEN list_append(r.taken, p.sample_id) ELSE r.taken END, CASE WHEN {_TAKES} THEN p.sample_id END, p.g FROM r JOIN p ON p.i = r.i + 1),
+a AS (SELECT sample_id, 'overview' AS g, 0 AS sheet, 0.0::DOUBLE AS own FROM ref UNION ALL SELECT r.sample_id, g, list_position(['eye', 'mouth', 'pose', 'difficult'], g), CASE g WHEN 'eye' THEN eye_score WHEN 'mouth' THEN mouth_score WHEN 'pose' THEN pose_score ELSE difficult_score END::DOUBLE FROM r JOIN n USING (sample_id))
+SELECT sample_id, g AS review_group, row_number() OVER (ORDER BY sheet, own DESC, sample_id)::INTEGER AS review_order,
+  CASE g WHEN 'overview' THEN 'LOW_MULTI_METRIC_CHANGE;BALANCED_NORMAL_REFERENCE' ELSE CASE g WHEN 'eye' THEN 'EAR_CHANGE' WHEN 'mouth' THEN 'MAR_CHANGE' WHEN 'pose' THEN 'POSE_OR_LANDMARK_CHANGE' ELSE 'ROI_EDGE_OR_DIFFICULT' END || printf(';score=%.6f;STEP2C_EXISTING_SELECTION', own::DOUBLE) END AS reason FROM a""")
+def review_groups(spark: SparkSession, d: str) -> DataFrame:
+    """35 samples: seven calm references, the others by their highest score that has room."""
+    from seqloom.operators.assignment import assign_review_groups
+    from seqloom.operators.sampling import top_k
+
+    li = top_k(table(spark, d, "lineitem"), [F.col(c) for c in _FIRST_LINE], 1, ["l_orderkey"]).drop("rank")
+    own = li.select("l_orderkey", "l_returnflag", *[F.expr(e).alias(c) for c, e in _ROI.items()])
+    s = own.selectExpr("*", "CASE WHEN l_orderkey % 5 = 0 THEN 'val' ELSE 'train' END AS split").select(F.col("l_orderkey").alias("sample_id"), "split", F.col("l_returnflag").alias("label"), *[F.round(x, 6).alias(n) for n, x in O.review_scores().items()])
+    return assign_review_groups(top_k(s, [F.col("sample_id") % 83, F.col("sample_id")], 35).drop("rank"))
+
+
 _DIFF = " UNION ALL ".join(f"SELECT '{a}_{b}' AS pair, '{f}' AS feature, {_wrap(f'{a}_{f} - {b}_{f}') if f in ('pitch_raw', 'yaw', 'roll') else f'abs({a}_{f} - {b}_{f})'} AS d FROM roi" for a, b in (("raw", "m05"), ("raw", "m10"), ("raw", "m15"), ("m05", "m10"), ("m10", "m15")) for f in ("ear", "mar", "pitch_raw", "yaw", "roll"))
 
 

@@ -137,7 +137,7 @@ def loss_result(spark: SparkSession, d: str) -> DataFrame:
     a, b = ~F.col("correct_a"), ~F.col("correct_b")
     k = p.agg(F.count_if(a & b).alias("both"), F.count_if(a & ~b).alias("only_a"), F.count_if(~a & b).alias("only_b"))
     top = lambda c, n: top_k(p, [F.desc(c), F.col("video_id")], n)
-    share = lambda c: concentration_of_top(p, c, [F.desc(c), F.col("video_id")], (("t", 0.1),)).first()["share"]
+    share = lambda c: concentration_of_top(p, c, (("t", 0.1),)).first()["share"]
     shared = top("loss_a", 20).select("video_id").join(top("loss_b", 20).select("video_id"), "video_id").agg(F.count(F.lit(1)).alias("shared"))
     k = k.join(shared).withColumn("share", F.lit(max(share("loss_a"), share("loss_b"))))
     return k.select("both", "only_a", "only_b", "shared", F.round("share", 9).alias("share"), H.loss_result(*[F.col(c) for c in ("share", "shared", "only_a", "only_b", "both")]).alias("result"))

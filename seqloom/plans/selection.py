@@ -44,19 +44,17 @@ def review_candidates(spark: SparkSession, d: str) -> DataFrame:
     return picked.select("video_id", "reason")
 
 
-_PICK = "list_min(list_transform(range(0, 4), lambda i: CASE WHEN r.sizes[i + 1] < 7 THEN r.sums[i + 1] * 10 + i ELSE 1000000000 END)) % 10"
-
-
-@query(f"""WITH RECURSIVE {T.USERS}, {_F100}, {T.state_sql(100)}, s AS (SELECT video_id, missing, row_number() OVER (ORDER BY missing DESC, video_id) AS rn FROM state QUALIFY rn <= 28),
-r(rn, sums, sizes, video_id, g) AS (SELECT 0::BIGINT, [0, 0, 0, 0]::BIGINT[], [0, 0, 0, 0]::BIGINT[], NULL::BIGINT, NULL::BIGINT
-UNION ALL SELECT s.rn, list_transform(range(0, 4), lambda j: r.sums[j + 1] + CASE WHEN j = {_PICK} THEN s.missing ELSE 0 END), list_transform(range(0, 4), lambda j: r.sizes[j + 1] + CASE WHEN j = {_PICK} THEN 1 ELSE 0 END), s.video_id, {_PICK} FROM r JOIN s ON s.rn = r.rn + 1)
-SELECT video_id, g::INTEGER AS group_no FROM r WHERE video_id IS NOT NULL""")
-def review_groups(spark: SparkSession, d: str) -> DataFrame:
-    """28 candidates in four groups of seven with scores as equal as they come, one by one."""
-    top = M.top_k(T.state(T.frames(spark, d, 100)), [F.desc("missing"), F.col("video_id")], 28)
-    scores = [(r["video_id"], float(r["missing"])) for r in top.select("video_id", "missing").collect()]
-    groups = M.balanced_groups(scores, 4, 7)
-    return spark.createDataFrame([(k, g) for k, g in groups.items()], "video_id long, group_no int")
+@query(f"""WITH {T.USERS}, {_F100}, {T.state_sql(100)}, {T.runs_sql('NOT available')}, c AS (SELECT video_id FROM state ORDER BY missing DESC, video_id LIMIT 12), z AS (SELECT * FROM c UNION ALL SELECT -1),
+b AS (SELECT video_id, arg_min(start, (-length, start)) AS s, arg_min("end", (-length, start)) AS e FROM runs GROUP BY video_id)
+SELECT z.video_id, s AS representative_start, e AS representative_end, CASE WHEN s IS NULL THEN '0;50;99' ELSE array_to_string(list_sort(list_distinct([greatest(0, s - 1), s, (s + e) // 2, e, least(99, e + 1)])), ';') END AS recommended_frames FROM z LEFT JOIN b ON b.video_id = z.video_id""")
+def review_frames(spark: SparkSession, d: str) -> DataFrame:
+    """Chosen videos with the run that stands for them and the frames to look at."""
+    from seqloom.operators.review import with_review_frames
+    from seqloom.operators.runs import runs
+
+    f = T.frames(spark, d, 100)
+    chosen = M.top_k(T.state(f), [F.desc("missing"), F.col("video_id")], 12).select("video_id").unionByName(spark.sql("SELECT -1L AS video_id"))
+    return with_review_frames(chosen, runs(f, ["video_id"], "slot", ~F.col("available")))
 
 
 _PRIORITY = "CASE WHEN l_quantity > 40 THEN 100 ELSE 0 END + CASE WHEN l_discount >= 0.08 THEN 40 ELSE 0 END + CASE WHEN l_tax = 0 THEN 30 ELSE 0 END + CASE WHEN l_returnflag = 'R' THEN 15 ELSE 0 END"

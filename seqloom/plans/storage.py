@@ -11,6 +11,7 @@ from seqloom.functions import scalars as S
 from seqloom.operators.integrity import seal
 from seqloom.operators.joins import same_sequence
 from seqloom.operators.ordering import numbered
+from seqloom.sources import commits as G
 from seqloom.sources import readers as R
 from seqloom.sources import sinks as K
 from seqloom.sources.readers import table
@@ -94,6 +95,43 @@ def global_manifest(spark: SparkSession, d: str) -> DataFrame:
     return whole.select(F.col("n_regionkey").cast("int").alias("n_regionkey"), "n_nationkey", "n_name", "bundle")
 
 
+@query("""WITH b AS (SELECT o_orderpriority || '/' || o_orderstatus AS bundle_id, o_orderkey, o_totalprice, o_orderdate FROM orders), k AS (SELECT * FROM b WHERE bundle_id <> '2-HIGH/F')
+SELECT bundle_id, count(*) AS n, round(sum(o_totalprice), 2) AS price, CASE WHEN bundle_id LIKE '1%' THEN 0 ELSE 1 END::BIGINT AS version, CASE WHEN bundle_id LIKE '1%' THEN 'SKIP' ELSE 'CONFLICT_PROVENANCE' END AS status FROM k GROUP BY bundle_id
+UNION ALL SELECT '2-HIGH/F', 0, NULL, NULL, 'PROCESS'""")
+def committed_bundles(spark: SparkSession, d: str) -> DataFrame:
+    """Orders published in many bundles by two commits, one bundle taken back, read as one table."""
+    root = K.scratch(spark, "store")
+    o = table(spark, d, "orders").select("o_orderkey", "o_totalprice", "o_orderdate", F.concat_ws("/", "o_orderpriority", "o_orderstatus").alias("of"))
+    first = F.col("of").startswith("1")
+    G.publish(o.where(first).withColumnRenamed("of", "name"), root, F.col("name"), {"v": 1}, "s")
+    G.publish(o.where(~first).withColumnRenamed("of", "name"), root, F.col("name"), {"v": 2}, "s")
+    G.retract(spark, root, spark.createDataFrame([("2-HIGH/F",)], "bundle_id string"))
+    wanted = o.select(F.col("of").alias("bundle_id"), F.lit(H.stable_hash({"v": 1})).alias("policy_hash"), F.lit("s").alias("source_hash")).unionByName(spark.createDataFrame([("2-HIGH/F", H.stable_hash({"v": 1}), "s")], "bundle_id string, policy_hash string, source_hash string")).distinct()
+    held = G.rows(spark, root).groupBy("bundle_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 2).alias("price"))
+    return G.states(spark, root, wanted).join(held, "bundle_id", "left").join(G.committed(spark, root).select("bundle_id", "version"), "bundle_id", "left").select("bundle_id", F.coalesce("n", F.lit(0)).alias("n"), "price", "version", "status")
+
+
+@query("""WITH a AS (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS number, o_totalprice AS p, o_orderstatus AS s FROM orders), b AS (SELECT number, CASE WHEN number % 997 = 5 THEN p + 1 ELSE p END AS p, s FROM a WHERE number < (SELECT count(*) FROM a) - 3)
+SELECT coalesce(a.number, b.number) AS number, CASE WHEN b.number IS NULL THEN 'REMOVED' ELSE 'CHANGED' END AS difference FROM a LEFT JOIN b ON a.number = b.number WHERE b.number IS NULL OR a.p <> b.p OR a.s <> b.s""")
+def fingerprint_differences(spark: SparkSession, d: str) -> DataFrame:
+    """Rows that two versions of a table do not share, found down a tree of hashes."""
+    from seqloom.operators.fingerprints import differing_rows
+
+    a = numbered(table(spark, d, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus"), [], ["o_orderkey"], "number")
+    b = a.where("number < total - 3").withColumn("o_totalprice", F.when(F.col("number") % 997 == 5, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice")))
+    return differing_rows(a, b, "number", "o_totalprice", "o_orderstatus", fan_out=64)
+
+
+@query("""WITH o AS (SELECT row_number() OVER () AS i, CASE WHEN l_orderkey % 97 = 0 THEN l_orderkey // 97 ELSE l_orderkey END AS k FROM lineitem)
+SELECT k, 'IN_FILE' AS fault FROM o GROUP BY k HAVING max(i) - min(i) + 1 <> count(*)""")
+def scattered_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Orders whose lines do not stand together in their file, where some lines were filed wrongly."""
+    from seqloom.operators.integrity import scattered_groups as scattered
+
+    s = R.scan_order(table(spark, d, "lineitem")).select("scan_file", "scan_row", F.when(F.col("l_orderkey") % 97 == 0, F.expr("l_orderkey div 97")).otherwise(F.col("l_orderkey")).alias("k"))
+    return scattered(s, "k")
+
+
 @query("SELECT * FROM (VALUES ('before', 'PROCESS'), ('after', 'SKIP'), ('other policy', 'CONFLICT_PROVENANCE'), ('no marker', 'CONFLICT_INCOMPLETE'), ('one more table', 'CONFLICT_INVALID_BUNDLE'), ('again', 'refused'), ('once more', 'refused'), ('resumed', 'nothing to do'), ('left over', 'work')) AS t(step, status)")
 def bundle_states(spark: SparkSession, d: str) -> DataFrame:
     """What becomes of a bundle of two tables, step by step."""

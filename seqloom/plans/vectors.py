@@ -95,13 +95,16 @@ def array_checks(spark: SparkSession, d: str) -> DataFrame:
     return e.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.sum("b.nan").alias("nan"), F.sum("b.inf").alias("inf"), F.sum("b.zero").alias("zero"), F.count_if(V.all_zero(F.col("embedding"))).alias("all_zero"), F.count_if(F.size("embedding") != 64).alias("wrong_size"))
 
 
-@query("""WITH e AS (SELECT vec_id, embedding[1:32]::DOUBLE[] AS a, embedding[33:64]::DOUBLE[] AS b FROM embeddings), d AS (SELECT vec_id, a, b, list_transform(list_zip(a, b), lambda z: abs(z[1] - z[2])) AS d FROM e)
+@query("""WITH h AS (SELECT vec_id, embedding[1:32]::DOUBLE[] AS a, embedding[33:64]::DOUBLE[] AS b FROM embeddings), e AS (SELECT vec_id, a, CASE WHEN vec_id % 3 = 0 THEN list_transform(a, lambda v, i: CASE WHEN i = 6 THEN v + 0.0000005::DOUBLE ELSE v END) ELSE b END AS b FROM h), d AS (SELECT vec_id, a, b, list_transform(list_zip(a, b), lambda z: abs(z[1] - z[2])) AS d FROM e)
 SELECT vec_id, round(list_max(d), 6) AS max_abs, round(list_sum(d) / 32, 6) AS mean_abs, round((list_sort(d)[16] + list_sort(d)[17]) / 2, 6) AS median_abs, round(sqrt(list_sum(list_transform(d, lambda x: x * x)) / 32), 6) AS rmse,
-  round(list_max(list_transform(list_filter(list_zip(a, b), lambda z: z[2] <> 0), lambda z: abs(z[1] - z[2]) / abs(z[2]))), 4) AS max_relative, len(list_filter(d, lambda x: x > 0))::BIGINT AS nonzero, list_max(d) = 0 AS exact, len(list_filter(list_zip(a, b), lambda z: abs(z[1] - z[2]) > 1e-6 + 1e-5 * abs(z[2]))) = 0 AS close FROM d""")
+  round(list_max(list_transform(list_zip(a, b), lambda z: abs(z[1] - z[2]) / greatest(abs(z[1]), 1.1754943508222875e-38::DOUBLE))), 4) AS max_relative, len(list_filter(d, lambda x: x > 0))::BIGINT AS nonzero, list_max(d) = 0 AS exact, len(list_filter(list_zip(a, b), lambda z: abs(z[1] - z[2]) > 1e-6 + 1e-5 * abs(z[2]))) = 0 AS close,
+  len(list_filter(list_zip(a, b), lambda z: abs(z[1] - z[2]) > 1e-6 + 1e-5 * abs(z[2])))::BIGINT AS failed, array_to_string(list_transform([1e-6::DOUBLE, 1e-5::DOUBLE, 1e-4::DOUBLE], lambda r: CASE WHEN len(list_filter(list_zip(a, b), lambda z: abs(z[1] - z[2]) > r / 10 + r * abs(z[2]))) = 0 THEN 'pass' ELSE 'fail' END), ',') AS tolerances FROM d""")
 def version_differences(spark: SparkSession, d: str) -> DataFrame:
     """Two versions of a vector (here the two halves) compared element by element."""
     e = table(spark, d, "embeddings").select("vec_id", F.slice("embedding", 1, 32).alias("a"), F.slice("embedding", 33, 32).alias("b"))
-    x = e.select("vec_id", V.difference_stats(F.col("a"), F.col("b")).alias("s")).select("vec_id", "s.*")
+    e = e.withColumn("b", F.when(F.col("vec_id") % 3 == 0, F.transform("a", lambda v, i: F.when(i == 5, v + F.lit(0.0000005)).otherwise(v))).otherwise(F.col("b").cast("array<double>")))
+    x = e.select("vec_id", V.difference_stats(F.col("a").cast("array<double>"), F.col("b")).alias("s")).select("vec_id", "s.*")
+    x = x.withColumn("tolerances", F.array_join(F.transform("tolerances", lambda t: F.when(t["pass"], "pass").otherwise("fail")), ","))
     return _r(_r(x, "max_relative", digits=4), "max_abs", "mean_abs", "median_abs", "rmse")
 
 

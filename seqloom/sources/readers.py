@@ -144,6 +144,12 @@ def source_fingerprints(spark: SparkSession, path: str) -> DataFrame:
     return d.select("path", F.sha2(F.concat_ws("|", "path", "length", F.unix_micros("modificationTime")), 256).alias("fingerprint"))
 
 
+def scan_order(scan: DataFrame) -> DataFrame:
+    """A scan of Parquet files with the file (scan_file) and the place in it (scan_row) of each
+    row, which the reader knows; to be taken before anything else is done to the scan."""
+    return scan.select("*", F.col("_metadata.file_path").alias("scan_file"), F.col("_metadata.row_index").alias("scan_row"))
+
+
 def ordered_mapping(df: DataFrame, order: Sequence[str]) -> DataFrame:
     """Rows in manifest order, with a dense ``position``; a place that is there twice is an error."""
     twice = df.groupBy(*order).count().where("count > 1").limit(1).collect()

@@ -74,6 +74,17 @@ def test_vectors(at):
     arr = lambda *v: F.array(*[F.lit(float(x)) for x in v])
     assert at(V.cosine(arr(1, 0), arr(0, 0))) is None and at(V.cosine(arr(1, 1), arr(2, 2))) == pytest.approx(1)
     d = at(V.difference_stats(arr(1, 2, 3), arr(1, 2, 3.0002)))
+    assert d.failed == 1 and [t["pass"] for t in d.tolerances] == [False, False, True]
+    u = at(V.difference_stats(arr(0, 4, -2), arr(1e-38, 4, -1)))
+    assert u.max_relative == pytest.approx(1e-38 / 1.1754943508222875e-38) and u.nonzero == 2 and u.failed == 1
+    left = at(V.difference_stats(arr(100, 1), arr(50, 1)))
+    assert left.max_relative == pytest.approx(0.5) and left.max_abs == 50 and left.mean_abs == 25 and left.median_abs == 25
+    odd = at(V.difference_stats(arr("nan", "inf", "inf"), arr("nan", "inf", 1)))
+    assert odd.failed == 2 and not odd.exact and not odd.close
+    none = at(V.difference_stats(F.array().cast("array<double>"), F.array().cast("array<double>")))
+    assert none.max_abs == 0 and none.mean_abs is None and none.exact and none.close and none.failed == 0
+    with pytest.raises(Exception, match="arrays of 2 and 3 elements"):
+        at(V.difference_stats(arr(1, 2), arr(1, 2, 3)))
     assert d.nonzero == 1 and not d.close and not d.exact and d.max_abs == pytest.approx(2e-4)
     assert at(V.longest_true(F.array(*[F.lit(bool(x)) for x in (1, 1, 0, 1)]))) == 2
     assert at(V.pop_std(arr(1, 2, 3))) == pytest.approx(np.std([1, 2, 3]))

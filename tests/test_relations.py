@@ -1,12 +1,21 @@
+import math
+import random
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
 from seqloom.operators import integrity as I
 from seqloom.operators import joins as J
 from seqloom.operators import policy as P
+from seqloom.operators import review as V
 from seqloom.operators import sampling as M
 from seqloom.operators import sets as U
 from seqloom.operators import text as X
+from seqloom.operators.assignment import assign_review_groups
+from seqloom.operators.integrity import scattered_groups
+from seqloom.operators.ordering import top_mass
+from seqloom.sources.readers import scan_order
 
 
 def test_checked_join(spark):
@@ -61,7 +70,7 @@ def test_top_k_and_concentration(spark):
     d = spark.createDataFrame([(f"v{i:03d}", float(i)) for i in range(1, 31)], "id string, loss double")
     order = [F.desc("loss"), F.col("id")]
     assert [r.id for r in M.top_k(d, order, 3).orderBy("rank").collect()] == ["v030", "v029", "v028"]
-    got = {r.top: (r.rows, r.share) for r in M.concentration_of_top(d, "loss", order, (("top_5", 5), ("top_10_percent", 0.1))).collect()}
+    got = {r.top: (r.rows, r.share) for r in M.concentration_of_top(d, "loss", (("top_5", 5), ("top_10_percent", 0.1))).collect()}
     assert got["top_5"] == (5, pytest.approx(sum(range(26, 31)) / 465)) and got["top_10_percent"][0] == 3
     ties = spark.createDataFrame([("b", 1.0), ("a", 1.0)], "id string, loss double")
     assert [r.id for r in M.top_k(ties, order, 2).orderBy("rank").collect()] == ["a", "b"]
@@ -78,11 +87,92 @@ def test_round_robin_even_and_without_reuse(spark):
     assert [(r.i, r.reason, r.place) for r in picked] == [(0, "low", 1), (1, "low", 2), (2, "any", 1), (3, "any", 2)]
 
 
-def test_balanced_groups():
-    g = M.balanced_groups([("a", 9), ("b", 7), ("c", 6), ("d", 1)], 2, 2)
-    assert g == {"a": 0, "b": 1, "c": 1, "d": 0}
-    with pytest.raises(ValueError):
-        M.balanced_groups([("a", 1), ("b", 1)], 1, 1)
+SCORES = "sample_id string, split string, label string, eye_score double, mouth_score double, pose_score double, difficult_score double"
+
+
+def reviewed(rows):
+    """The rule, pair by pair, in memory."""
+    names = ("eye", "mouth", "pose", "difficult")
+    low, high = ([f(r[3 + i] for r in rows) for i in range(4)] for f in (min, max))
+    scaled = {r[0]: [(r[3 + i] - low[i]) / (high[i] - low[i]) if high[i] > low[i] else 0.0 for i in range(4)] for r in rows}
+    queues = {}
+    for r in sorted(rows, key=lambda r: (scaled[r[0]][0] + scaled[r[0]][1] + scaled[r[0]][2] + scaled[r[0]][3], r[0])):
+        queues.setdefault(r[1:3], []).append(r[0])
+    out, turn = {}, 0
+    while len(out) < 7:
+        for k in sorted(queues):
+            if turn < len(queues[k]) and len(out) < 7:
+                out[queues[k][turn]] = "overview"
+        turn += 1
+    room = dict.fromkeys(names, 7)
+    for _, item, g in sorted(((scaled[r[0]][i], r[0], g) for r in rows if r[0] not in out for i, g in enumerate(names)), reverse=True):
+        if item not in out and room[g]:
+            out[item] = g
+            room[g] -= 1
+    raw = {r[0]: dict(zip(names, r[3:], strict=True)) for r in rows}
+    order = sorted(out, key=lambda s: (["overview", *names].index(out[s]), -raw[s].get(out[s], 0.0), s))
+    return {s: (out[s], i) for i, s in enumerate(order, 1)}
+
+
+@pytest.mark.parametrize("kind", ["random", "ties", "equal"])
+def test_review_groups(spark, kind):
+    rng = random.Random(7)
+    value = {"random": rng.random, "ties": lambda: float(rng.randrange(3)), "equal": lambda: 1.0}[kind]
+    rows = [(f"s{i:02d}", rng.choice(["train", "val"]), rng.choice("ab"), *(value() for _ in range(4))) for i in range(35)]
+    got = assign_review_groups(spark.createDataFrame(rows, SCORES)).collect()
+    assert {r["sample_id"]: (r["review_group"], r["review_order"]) for r in got} == reviewed(rows)
+    assert Counter(r["review_group"] for r in got) == dict.fromkeys(("overview", "eye", "mouth", "pose", "difficult"), 7)
+    first = {r["review_group"]: r["reason"] for r in got}
+    assert first["overview"] == "LOW_MULTI_METRIC_CHANGE;BALANCED_NORMAL_REFERENCE" and first["eye"].startswith("EAR_CHANGE;score=") and first["pose"].endswith(";STEP2C_EXISTING_SELECTION")
+    for wrong in (rows[:-1], [*rows, rows[0]], [*rows[:-1], rows[0]]):
+        with pytest.raises(ValueError, match="35 different samples"):
+            assign_review_groups(spark.createDataFrame(wrong, SCORES))
+
+
+def test_picks_send_few_rows(spark):
+    """Only k rows a group and task are shuffled, whatever the group's size."""
+    d = spark.range(100_000).withColumns({"g": F.when(F.col("id") >= 0, "all"), "v": F.col("id") % 1000}).repartition(4)
+    plan = M.top_k(d, [F.desc("v"), F.col("id")], 2, ["g"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("WindowGroupLimit") == 2
+    v = spark.range(1000).select(F.col("id").alias("video_id"), (F.col("id") % 17).alias("imputed_slots"), F.when(F.col("id") >= 0, "train").alias("split"), F.when(F.col("id") >= 0, "x").alias("label"))
+    slots = v.select("video_id", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("slot")).withColumn("score", F.col("video_id") % 91 + F.col("slot"))
+    for picked in (V.pilot(v, 8, True), V.review_slots(v, slots)):
+        plan = picked._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("WindowGroupLimit") >= 2
+    assert [r["video_id"] for r in V.pilot(v, 3, True).orderBy("place").collect()] == [16, 33, 50]
+    got = {r["video_id"] for r in V.review_slots(v, slots).collect()}
+    assert got == {90, 181, 0}
+
+
+def test_top_mass(spark):
+    rng = random.Random(1)
+    rows = [(g, float(rng.randrange(1, 40))) for g in "ab" for _ in range(rng.randrange(50, 90))] + [("c", 2.0)] * 30 + [("a", None)]
+    d = spark.createDataFrame(rows, "g string, x double")
+    sizes = (("one", 1), ("ten", 10), ("many", 1000), ("tenth", 0.1), ("third", (1, 3)), ("all", 1.0))
+    got = {(r["g"], r["name"]): (r["rows"], r["mass"], r["total"]) for r in top_mass(d, "x", sizes, ["g"]).collect()}
+    for g in "abc":
+        x = sorted((v for k, v in rows if k == g and v is not None), reverse=True)
+        for name, k in sizes:
+            n = math.ceil(len(x) * k) if isinstance(k, float) else -(-len(x) * k[0] // k[1]) if isinstance(k, tuple) else min(k, len(x))
+            assert got[g, name] == (n, pytest.approx(sum(x[:n])), pytest.approx(sum(x)))
+    plan = M.concentration_of_top(d, "x", (("half", 0.5),))._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrdered" not in plan and "GlobalLimit" not in plan
+    assert [tuple(r) for r in M.concentration_of_top(d.limit(0), "x", (("half", 0.5),)).collect()] == [("half", 0, 0.0, 0.0)]
+
+
+def test_scattered_groups(spark, tmp_path):
+    files = {"a": [1, 1, 2, 2, 3], "b": [3, 4, 5, 4], "c": [6, 2, 7], "d": [7, 8], "e": [8, 9], "f": [8]}
+    for name, keys in files.items():
+        spark.createDataFrame([(k,) for k in keys], "k int").coalesce(1).write.parquet(f"{tmp_path}/t/{name}")
+    d = scan_order(spark.read.option("recursiveFileLookup", "true").parquet(f"{tmp_path}/t"))
+    assert {tuple(r) for r in scattered_groups(d, "k").collect()} == {(4, "IN_FILE"), (2, "ACROSS_FILES"), (8, "ACROSS_FILES")}
+
+
+def test_review_frames(spark):
+    chosen = spark.createDataFrame([(1,), (2,), (3,)], "video_id long")
+    runs = spark.createDataFrame([(1, 0, 3, 4), (1, 50, 53, 4), (2, 90, 99, 10), (2, 5, 5, 1), (9, 1, 2, 2)], "video_id long, start int, end int, length long")
+    got = {r["video_id"]: (r["representative_start"], r["representative_end"], r["recommended_frames"]) for r in V.with_review_frames(chosen, runs).collect()}
+    assert got == {1: (0, 3, "0;1;3;4"), 2: (90, 99, "89;90;94;99"), 3: (None, None, "0;50;99")}
 
 
 CONTEXT = [(set(), "TTTTT"), ({5, 10}, "FTTTT"), ({5, 6}, "FFTTT"), ({5, 6, 7, 8, 9}, "FFFFT"), (set(range(32)), "FFFFF")]

@@ -28,9 +28,9 @@ def test_histogram_cumulative_concentration(spark):
     d = column(spark, [0, 1, 2], kind="int")
     assert [(r.value, r.n) for r in D.dense_histogram(d, F.col("x"), 0, 3).orderBy("value").collect()] == [(0, 1), (1, 1), (2, 1), (3, 0)]
     assert np.allclose([r.share for r in D.cumulative_counts(d, F.col("x"), 2).orderBy("limit").collect()], [1 / 3, 2 / 3, 1])
-    c = {r.percent: r.share for r in D.concentration(column(spark, [9, 1, 0], kind="int"), F.col("x"), F.col("i")).collect()}
+    c = {r.percent: r.share for r in D.concentration(column(spark, [9, 1, 0], kind="int"), F.col("x")).collect()}
     assert c[1] == pytest.approx(0.9)
-    assert {r.share for r in D.concentration(column(spark, [0, 0], kind="int"), F.col("x"), F.col("i")).collect()} == {0.0}
+    assert {r.share for r in D.concentration(column(spark, [0, 0], kind="int"), F.col("x")).collect()} == {0.0}
     b = d.agg(*D.buckets(F.col("x"), (("none", 0, 0), ("more", 1, None)))).first()
     assert (b.none, b.more) == (1, 2)
 
