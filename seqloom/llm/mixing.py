@@ -5,8 +5,8 @@ as the source's target holds the whole source.  Of the rest of the target each s
 lengths first gives its share: a systematic sample along the lengths, which stays below the
 target by less than the longest document, however large the source.  A bounded-knapsack
 dynamic programme over the documents that are left then fills the remaining words, exactly
-where lengths allow it.  A document is repeated beyond that only if the others can't fill
-the target.  Which documents of a length are taken follows a seeded hash order, found by
+where lengths allow it, else as near as they allow, which may be above the target.  A document
+is repeated beyond that only if the others can't fill the target.  Which documents of a length are taken follows a seeded hash order, found by
 counting hash buckets, so no length, however common, is sorted in one task.
 """
 
@@ -26,7 +26,8 @@ WEIGHTS, MAX_REPEATS, SEED = (1, 2, 3), 3, 17
 STARTS = 64
 #: Samples that are tried, each with one longest length more left for the knapsack.
 SLACKS = 4
-BUCKETS = 256
+#: Hash buckets of the documents of a length: at least so many, and one for so many documents.
+LEAST_BUCKETS, DOCS_A_BUCKET = 256, 1 << 20
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -75,75 +76,125 @@ def proportional(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.nda
     return out
 
 
+def _reach(steps: Sequence[int], cap: int) -> int:
+    """The sums of some of the steps, up to ``cap``, as the bits of a number."""
+    bits, mask = 1, (1 << (cap + 1)) - 1
+    for s in steps:
+        bits |= (bits << s) & mask
+    return bits
+
+
+def _flags(bits: int, n: int) -> np.ndarray:
+    """The lowest n bits, one by one."""
+    return np.unpackbits(np.frombuffer(bits.to_bytes(n // 8 + 1, "little"), np.uint8), bitorder="little")[:n].view(bool)
+
+
+def _chosen(steps: Sequence[int], goal: int) -> list[int]:
+    """Indices of steps that sum up to ``goal``, which some of them do.  Halves are tried against
+    each other, so nothing is kept of the way there: one bit and one byte for each sum."""
+    out, left = [], [(0, len(steps), goal)]
+    while left:
+        lo, hi, g = left.pop()
+        if not g:
+            continue
+        if hi - lo == 1:
+            out.append(lo)
+            continue
+        mid = (lo + hi) // 2
+        first, second = (_flags(_reach(steps[x:y], g), g + 1) for x, y in ((lo, mid), (mid, hi)))
+        at = int(np.argmax(first & second[::-1]))
+        left += [(lo, mid, at), (mid, hi, g - at)]
+    return out
+
+
 def knapsack(lengths: np.ndarray, free: np.ndarray, left: int, seed: int = SEED) -> np.ndarray:
-    """Items of each length, at most ``free``, whose words come nearest to ``left`` from below.
+    """Items of each length, at most ``free``, whose words come nearest to ``left``, from either
+    side (of two equally near totals the lower one).
 
-    The dynamic programme marks the sums that can be reached with the item groups offered so
-    far, and for each sum the first group that reached it.  Groups come in a seeded order
-    in which common lengths tend to be early: one item of each length, then two, four and so
-    on, until ``left`` is reached or all are offered.  Lengths that share a divisor are
-    counted in units of it.  Memory is four bytes for each unit of ``left``.
+    The dynamic programme is a set of sums, one bit each, to which item groups are offered:
+    in a seeded order, in which common lengths tend to be early, one item of each length, then
+    two, four and so on, until ``left`` is reached or all are offered.  If it is missed from
+    below, sums above it that are nearer are looked for in the same way.  Lengths that share
+    a divisor are counted in units of it.
     """
     take = np.zeros(len(lengths), np.int64)
-    usable = np.flatnonzero((lengths > 0) & (lengths <= left) & (free > 0))
-    if left <= 0 or not len(usable):
+    if left <= 0:
         return take
+    below, best = _filled(lengths, free, left, left, seed)
+    miss = left - best
+    if miss:
+        above, total = _filled(lengths, free, left, left + miss - 1, seed)
+        if total > left:
+            return above
+    return below
+
+
+def _filled(lengths: np.ndarray, free: np.ndarray, left: int, cap: int, seed: int) -> tuple[np.ndarray, int]:
+    """Items whose words are ``left``, else the smallest sum above it and up to ``cap``, else the
+    largest below; and that sum."""
+    take = np.zeros(len(lengths), np.int64)
+    usable = np.flatnonzero((lengths > 0) & (lengths <= cap) & (free > 0))
+    if not len(usable):
+        return take, 0
     unit = int(np.gcd.reduce(lengths[usable]))
-    bound = left // unit
-    first = np.full(bound + 1, -1, np.int32)  # the group that first reached each sum
-    first[0] = 0
-    groups: list[tuple[int, int]] = [(-1, 0)]
+    bound, goal = cap // unit, left // unit if left % unit == 0 else -1
     order = usable[np.argsort(np.random.default_rng(seed).exponential(size=len(usable)) / free[usable], kind="stable")]
-    room, n, top = free.copy(), 1, 0
-    while first[bound] < 0 and len(order):
+    groups: list[tuple[int, int]] = []
+    steps: list[int] = []
+    bits, mask, room, n = 1, (1 << (bound + 1)) - 1, free.copy(), 1
+    done = False
+    while len(order) and not done:
         for i in order.tolist():
             m = int(min(n, room[i]))
             step = int(lengths[i]) // unit * m
             room[i] -= m
             if step > bound:
                 continue
-            until = min(bound, top + step)
-            new = np.flatnonzero((first[: until + 1 - step] >= 0) & (first[step : until + 1] < 0)) + step
-            if len(new):
+            grown = bits | (bits << step) & mask
+            if grown != bits:
+                bits = grown
                 groups.append((i, m))
-                first[new] = len(groups) - 1
-                top = max(top, int(new[-1]))
-                if first[bound] >= 0:
+                steps.append(step)
+                if goal >= 0 and bits >> goal & 1:
+                    done = True
                     break
         n *= 2
-        order = order[(room[order] > 0) & (lengths[order] // unit * np.minimum(n, room[order]) <= bound)] if n > 1 else order
-    at = int(np.flatnonzero(first >= 0)[-1])
-    while at:
-        i, m = groups[first[at]]
+        order = order[(room[order] > 0) & (lengths[order] // unit * np.minimum(n, room[order]) <= bound)]
+    over = bits >> (left // unit + 1)
+    if done:
+        at = goal
+    elif over:
+        at = left // unit + (over & -over).bit_length()
+    else:
+        at = bits.bit_length() - 1
+    for k in _chosen(steps, at):
+        i, m = groups[k]
         take[i] += m
-        at -= int(lengths[i]) // unit * m
-    return take
+    return take, at * unit
 
 
 def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int, passes: int = 1) -> np.ndarray:
     """How many items of each length to take so that the total comes near to ``budget``: a
     systematic sample, then the knapsack for all that is left; items are taken a second time
-    (up to ``passes`` times) only for words that single ones can't fill.
+    (up to ``passes`` times) only where single ones miss the budget.
 
     If what the sample leaves can't be filled to the word, samples that leave one longest
-    length more each are tried as well, and the nearest total is kept.
+    length more each are tried as well, down to none, and the nearest total is kept: the
+    nearest of all where the knapsack had the whole budget.
     """
     if budget <= 0 or not int((lengths * counts).sum()):
         return np.zeros(len(lengths), np.int64)
-    longest, best, miss = int(lengths[counts > 0].max()), None, budget + 1
+    longest, best, miss = int(lengths[counts > 0].max()), None, None
     for slack in range(SLACKS):
-        take = proportional(lengths, counts, max(0, budget - slack * longest))
+        sample = proportional(lengths, counts, max(0, budget - slack * longest))
+        left = budget - int((sample * lengths).sum())
         for k in range(1, passes + 1):
-            take = take + knapsack(lengths, k * counts - take, budget - int((take * lengths).sum()))
-        left = budget - int((take * lengths).sum())
-        # A single item more may come nearer from above.
-        over = [i for i in range(len(lengths)) if take[i] < passes * counts[i] and 0 < lengths[i] - left < left]
-        if over:
-            more = min(over, key=lambda i: lengths[i])
-            take[more] += 1
-            left = int(lengths[more]) - left
-        if left < miss:
-            best, miss = take, left
+            take = sample + knapsack(lengths, k * counts - sample, left)
+            off = abs(budget - int((take * lengths).sum()))
+            if miss is None or off < miss:
+                best, miss = take, off
+            if not miss:
+                break
         if not miss or slack * longest >= budget:
             break
     return best
@@ -199,7 +250,7 @@ def _mixed(docs: DataFrame, weights: Sequence[int], seed: int, whole: bool) -> t
         "h2": F.hash(text, doc_id),
         "no_source": F.col(source).isNull(),
         "source": F.coalesce(F.col(source), F.lit("")),
-    }).withColumn("bucket", F.pmod("h", F.lit(BUCKETS)).cast("int"))
+    }).withColumn("bucket", F.pmod("h", F.lit(max(LEAST_BUCKETS, d.count() // DOCS_A_BUCKET))).cast("int"))
     if not whole:
         sized = sized.select(doc_id, "size", "h", "h2", "no_source", "source", "bucket")
     keys = ["no_source", "source", "size"]

@@ -31,8 +31,7 @@ def test_small_budgets_are_fitted_as_near_as_possible(items, budget):
     assert (start * lengths).sum() <= budget and budget - (start * lengths).sum() <= max(lengths) or (start == counts)[lengths > 0].all()
     start = np.zeros(len(counts), int) if 3 * max(lengths) >= budget else start
     reach = {sum(int(length) * n for length, n in zip(lengths, pick, strict=True)) for pick in product(*[range(s, c + 1) for s, c in zip(start, counts, strict=True)])}
-    below = max((x for x in reach if x <= budget), default=0)
-    assert got == below or abs(got - budget) <= abs(below - budget)
+    assert abs(got - budget) <= min(abs(x - budget) for x in reach)
 
 
 def test_large_budget_is_exact():
@@ -66,6 +65,37 @@ def test_knapsack_of_many_words():
     assert (knapsack(np.array([6, 9, 15]), np.array([5, 5, 5]), 100) * [6, 9, 15]).sum() == 99
 
 
+def test_nearest_total_from_above():
+    lengths, counts = np.array([120, 180_000]), np.array([2, 1])
+    take = fit_budget(lengths, counts, 178_994)
+    assert take.tolist() == [0, 1]
+    assert fit_budget(np.array([120]), np.array([5]), 170).tolist() == [1] and fit_budget(np.array([120]), np.array([5]), 190).tolist() == [2]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.integers(1, 30), st.integers(1, 4)), min_size=1, max_size=4, unique_by=lambda x: x[0]), st.integers(1, 200))
+def test_knapsack_is_nearest(items, left):
+    lengths, free = np.array([x[0] for x in items]), np.array([x[1] for x in items])
+    take = knapsack(lengths, free, left)
+    assert (take >= 0).all() and (take <= free).all()
+    reach = {sum(int(length) * n for length, n in zip(lengths, pick, strict=True)) for pick in product(*[range(c + 1) for c in free])}
+    assert abs(int((take * lengths).sum()) - left) == min(abs(x - left) for x in reach)
+
+
+def test_one_text_of_ten_million_words():
+    import tracemalloc
+
+    rng = np.random.default_rng(2)
+    lengths = np.unique(np.concatenate((rng.integers(1, 20_000, 400) * 2, [10_000_000])))
+    counts = rng.integers(1, 9, len(lengths))
+    budget = int((lengths * counts).sum() * 0.6) // 2 * 2
+    tracemalloc.start()
+    take = fit_budget(lengths, counts, budget)
+    assert tracemalloc.get_traced_memory()[1] < 300 << 20
+    tracemalloc.stop()
+    assert int((take * lengths).sum()) == budget and (take <= counts).all()
+
+
 def test_mix(docs, corpus, empty):
     rows = mix_sources(docs).collect()
     assert len(rows) == len(corpus)
