@@ -119,6 +119,18 @@ def overridden(name: str, configured, override, run_tag: str | None, allowed=lam
     return override
 
 
+def resolved(configured: Column, override: Column, run_tag: Column, allowed: Column) -> Column:
+    """``overridden`` for a table of runs: the value of each, null where it is refused."""
+    refused = ~F.coalesce(allowed, F.lit(False)) | ((override != configured) & run_tag.isNull())
+    return F.when(override.isNull(), configured).when(~refused, override)
+
+
+def run_folder(seed: Column, run_tag: Column) -> Column:
+    """The folder of each run of a table; null for a tag that is not allowed."""
+    base = F.concat(F.lit("seed_"), seed.cast("string"))
+    return F.when(run_tag.isNull(), base).when(run_tag.rlike("^[A-Za-z0-9][A-Za-z0-9_-]*$"), F.concat(base, F.lit("_"), run_tag))
+
+
 def run_names(model: str, seed: int, run_tag: str | None) -> tuple[str, str]:
     """A run's folder and its name."""
     if run_tag is not None and not re.fullmatch("[A-Za-z0-9][A-Za-z0-9_-]*", run_tag):

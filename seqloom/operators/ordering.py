@@ -17,17 +17,39 @@ from pyspark.sql import functions as F
 SAMPLED, MOST_RANGES = 20, 400
 
 
-def cuts(values: DataFrame, column: str) -> list:
-    """Values that cut those of a column (nulls aside) into about as many ranges as there are
-    shuffle partitions.  Some twenty values a range go through the driver."""
+def sampled(values: DataFrame, column: str) -> tuple[list, int, bool]:
+    """Some values of a column (nulls aside) in order, about twenty for each range; how many
+    ranges, about as many as there are shuffle partitions; and whether these are all values."""
     ranges = min(MOST_RANGES, int(values.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     # The values of the smallest hashes: the top rows of each task, whatever the input's size.
     h = F.xxhash64(column)
     chosen = values.where(F.col(column).isNotNull()).select(column).distinct().orderBy(h, column).limit(SAMPLED * ranges).collect()
-    found = sorted({r[0] for r in chosen})
+    return sorted({r[0] for r in chosen}), ranges, len(chosen) < SAMPLED * ranges
+
+
+def cuts(values: DataFrame, column: str) -> list:
+    """Values that cut those of a column (nulls aside) into ranges."""
+    found, ranges, _ = sampled(values, column)
+    return _cut(found, ranges)
+
+
+def _cut(found: list, ranges: int) -> list:
     return sorted({found[len(found) * i // ranges] for i in range(1, ranges)}) if len(found) > 1 else []
 
 
+def row_cuts(rows: DataFrame, order: Sequence[str]) -> list[Column]:
+    """Places in an order of several columns (nulls first) that cut the rows into about as many
+    ranges as there are shuffle partitions, as literals for ``range_of``.  A hot first column
+    is cut by the next ones.  Rows are sampled by a hash of all of them: some twenty a range
+    go through the driver."""
+    ranges = min(MOST_RANGES, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    every = max(1, rows.count() // (SAMPLED * ranges))
+    chosen = rows.where(F.pmod(F.xxhash64(*order), F.lit(every)) == 0).select(*order).distinct().orderBy(*order).collect()
+    kinds = [rows.schema[c].dataType for c in order]
+    at = sorted({len(chosen) * i // ranges for i in range(1, ranges)} - {0}) if len(chosen) > 1 else []
+    return [F.struct(*[F.lit(v).cast(t).alias(c) for v, t, c in zip(chosen[i], kinds, order, strict=True)]) for i in at]
+
+
 def range_of(value: Column, at: list) -> Column:
     """How many of the sorted cuts are at or below the value, found by halving."""
 
@@ -56,9 +78,15 @@ def value_counts_before(df: DataFrame, groups: Sequence[str], value: str, keep:
     total, so that only the ranges that matter are ordered.
     """
     counts = df.where(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.count(F.lit(1)).alias("n"))
-    counts = counts.withColumn("part", range_of(F.col(value), cuts(counts, value)))
-    sums = counts.groupBy(*groups, "part").agg(F.sum("n").alias("held"))
+    found, ranges, complete = sampled(counts, value)
     whole = Window.partitionBy(*groups) if groups else Window.partitionBy(F.lit(0))
+    if complete:  # as few values as a sample holds: each is a range, and a group has no more rows
+        before = F.coalesce(F.sum("n").over(whole.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        few = counts.withColumns({"first": before, "held": F.col("n"), "total": F.sum("n").over(whole)})
+        few = few if keep is None else few.where(keep)
+        return few.select(*groups, value, "n", F.col("first").alias("before"), "total")
+    counts = counts.withColumn("part", range_of(F.col(value), _cut(found, ranges)))
+    sums = counts.groupBy(*groups, "part").agg(F.sum("n").alias("held"))
     up = whole.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumns({"first": F.coalesce(F.sum("held").over(up), F.lit(0)), "total": F.sum("held").over(whole)})
     if keep is not None:
@@ -130,11 +158,9 @@ def with_average_rank(df: DataFrame, value: str, groups: Sequence[str], out: str
 
 
 def numbered(df: DataFrame, groups: Sequence[str], order: Sequence[str], out: str, keep: Column | None = None) -> DataFrame:
-    """Rows with their number in the group, from 0, ascending by ``order`` (first column without
-    nulls), and ``total``.  ``keep`` as in ``value_counts_before``: other ranges' rows go."""
-    key = order[0]
-    at = cuts(df.groupBy(key).agg(F.lit(1)), key)
-    placed = df.withColumn("of_range", range_of(F.col(key), at))
+    """Rows with their number in the group, from 0, ascending by ``order`` (nulls first), and
+    ``total``.  ``keep`` as in ``value_counts_before``: other ranges' rows go."""
+    placed = df.withColumn("of_range", range_of(F.struct(*order), row_cuts(df, order)))
     sums = placed.groupBy(*groups, "of_range").agg(F.count(F.lit(1)).alias("held"))
     whole = Window.partitionBy(*groups) if groups else Window.partitionBy(F.lit(0))
     up = whole.orderBy("of_range").rowsBetween(Window.unboundedPreceding, -1)

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .moments import vector_moments
 from .ordering import same, with_average_rank
 
 
@@ -49,9 +50,11 @@ def two_class(l0: Column, l1: Column, label: Column) -> Column:
 def dimension_shift(df: DataFrame, vector: str, split: str, a: str, b: str, eps: float = 1e-12) -> DataFrame:
     """Per dimension of a vector column: means in two splits and |difference| over the first
     split's population deviation (plus eps)."""
-    d = df.select(split, F.posexplode(vector).alias("dim", "x"))
-    of = lambda s: F.when(F.col(split) == s, F.col("x").cast("double"))
-    g = d.groupBy("dim").agg(F.avg(of(a)).alias("mean_a"), F.stddev_pop(of(a)).alias("std_a"), F.avg(of(b)).alias("mean_b"), F.stddev_pop(of(b)).alias("std_b"))
+    m = vector_moments(df.where(F.col(split).isin(a, b)), [split], vector)
+    # One row a split from here on.
+    d = m.select(split, F.posexplode(F.arrays_zip("mean", "std")).alias("dim", "x"))
+    of = lambda s, c: F.max(F.when(F.col(split) == s, F.col(f"x.{c}")))
+    g = d.groupBy("dim").agg(of(a, "mean").alias("mean_a"), of(a, "std").alias("std_a"), of(b, "mean").alias("mean_b"), of(b, "std").alias("std_b"))
     return g.withColumn("shift", F.abs(F.col("mean_b") - F.col("mean_a")) / (F.col("std_a") + F.lit(eps)))
 
 

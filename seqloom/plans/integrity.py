@@ -102,12 +102,16 @@ def normal_names(spark: SparkSession, d: str) -> DataFrame:
     return p.select("p_partkey", S.normal_name(F.concat(F.lit("  "), "p_brand", F.lit("-"), "p_type")).alias("name"), S.normal_reference(F.concat(F.lit(" ./A\\"), "p_name")).alias("reference"), S.safe_path(path).alias("safe"))
 
 
-_REVIEW = "REVIEW 01~03\nverdict:\nTRUE\nnote: two\nwords\n\nREVIEW 07\nverdict: N.A.\nnote:\n\nREVIEW 09~10\nverdict: FALSE\nnote: x\n"
-
-
-@query("SELECT * FROM (VALUES ('01', true, 'two\nwords'), ('02', true, 'two\nwords'), ('03', true, 'two\nwords'), ('07', NULL, ''), ('09', false, 'x'), ('10', false, 'x')) AS t(review_id, verdict, note)")
+@query("""WITH c AS (SELECT c_custkey AS k, c_name FROM customer), i AS (SELECT k, c_name, unnest(range(k * 3, k * 3 + 1 + k % 3)) AS n FROM c)
+SELECT lpad(n::VARCHAR, greatest(2, length(n::VARCHAR))::INTEGER, '0') AS review_id, CASE k % 4 WHEN 0 THEN true WHEN 1 THEN false END AS verdict, CASE WHEN k % 4 = 3 THEN '' ELSE c_name || chr(10) || 'more words' END AS note FROM i""")
 def review_sheet(spark: SparkSession, d: str) -> DataFrame:
-    b = X.review_blocks(spark.createDataFrame([(_REVIEW,)], "text string"), F.col("text"))
+    """Sheets of one block a customer, read back: an id or a range of ids, a verdict, a note of
+    two lines."""
+    k = F.col("c_custkey")
+    head = F.concat(F.lit("some title\n\nREVIEW "), k * 3, F.when(k % 3 > 0, F.concat(F.lit("~"), k * 3 + k % 3)).otherwise(""), F.lit("\n"))
+    verdict = F.when(k % 4 == 0, "verdict:\nTRUE\n").when(k % 4 == 1, "verdict: FALSE\n").otherwise("verdict: N.A.\n")
+    note = F.when(k % 4 == 3, "note:\n\n").otherwise(F.concat(F.lit("note: "), "c_name", F.lit("\nmore words\n\n")))
+    b = X.review_blocks(table(spark, d, "customer").select(F.concat(head, verdict, note).alias("sheet")), F.col("sheet"))
     return b.select("review_id", S.review_flag(F.col("fields")["verdict"]).alias("verdict"), F.col("fields")["note"].alias("note"))
 
 

@@ -9,6 +9,7 @@ from seqloom.operators import distribution as D
 from seqloom.operators import policy as P
 from seqloom.operators import resample as S
 from seqloom.operators import rollup as R
+from seqloom.sources.readers import table
 
 from . import twins as T
 from ._register import query
@@ -148,13 +149,18 @@ def imputed_count_histogram(spark: SparkSession, d: str) -> DataFrame:
     return D.dense_histogram(kept, F.col("missing"), 0, 8)
 
 
-@query("""WITH g AS (SELECT unnest(range(0, 100)) AS slot) SELECT slot::INTEGER AS slot, slot / 10.0::DOUBLE AS target, CAST(floor(slot / 10.0::DOUBLE * 29.97::DOUBLE + 0.5::DOUBLE) AS BIGINT) AS source_index,
-  list_contains(list_transform(range(0, 32), lambda i: CAST(floor(i * 99 / 31.0::DOUBLE + 0.5::DOUBLE) AS INTEGER)), slot) AS selected FROM g""")
+@query(f"""WITH {T.USERS}, n AS (SELECT user_id AS video_id, count(*) AS n FROM events GROUP BY 1), g AS (SELECT video_id, n, (20 + video_id % 11)::DOUBLE AS fps, unnest(range(0, 40)) AS slot FROM users JOIN n USING (video_id))
+SELECT video_id, slot::INTEGER AS slot, slot / 4.0::DOUBLE AS target, CAST(floor(slot / 4.0::DOUBLE * fps + 0.5::DOUBLE) AS BIGINT) AS source_index,
+  list_contains(list_transform(range(0, 8), lambda i: CAST(floor(i * (n - 1) / 7.0::DOUBLE + 0.5::DOUBLE) AS INTEGER)), slot) AS selected, slot = n // 2 AS middle FROM g""")
 def canonical_grid(spark: SparkSession, d: str) -> DataFrame:
-    """Slots, target seconds, nearest source row at 29.97 a second, and the 32 picked slots."""
-    g = S.slot_grid(spark, 100, 10.0)
-    picked = S.even_positions(F.lit(100), 32)
-    return g.select("slot", "target", S.source_index(F.col("target"), F.lit(29.97)).alias("source_index"), F.array_contains(picked, F.col("slot")).alias("selected"))
+    """For every video of the table the slots, target seconds, nearest source row at its own rate,
+    and which slots are picked evenly from as many as it has events."""
+    n = table(spark, d, "events").groupBy(F.col("user_id").alias("video_id")).agg(F.count(F.lit(1)).alias("n"))
+    v = T.users(spark, d).join(n, "video_id").withColumn("fps", (20 + F.col("video_id") % 11).cast("double"))
+    g = v.select("video_id", "n", "fps", F.explode(F.sequence(F.lit(0), F.lit(39))).alias("slot"))
+    g = g.join(F.broadcast(S.slot_grid(spark, 40, 4.0)), "slot")  # 40 rows
+    picked, middle = S.even_positions(F.col("n"), 8), S.even_positions(F.col("n"), 1)
+    return g.select("video_id", "slot", "target", S.source_index(F.col("target"), F.col("fps")).alias("source_index"), F.array_contains(picked, F.col("slot")).alias("selected"), F.array_contains(middle, F.col("slot")).alias("middle"))
 
 
 @query(f"""WITH {T.USERS}, {_F32}, {_NEAREST} SELECT video_id, slot, CASE WHEN abs(slot - source_slot) <= 2 THEN source_slot END AS hint FROM near WHERE NOT available""")

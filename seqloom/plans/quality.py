@@ -10,6 +10,8 @@ from seqloom.operators import rollup as R
 from seqloom.operators import runs as W
 from seqloom.operators.sampling import top_k
 
+from seqloom.sources.readers import table
+
 from . import twins as T
 from ._register import query
 
@@ -149,6 +151,23 @@ def order_violations(spark: SparkSession, d: str) -> DataFrame:
     return W.monotone(T.frames(spark, d, 32).where("available"), ["video_id"], "slot", "max_value")
 
 
+@query("""WITH o AS (SELECT o_orderstatus, o_orderkey AS slot, o_totalprice FROM orders), i AS (SELECT *, slot - row_number() OVER (PARTITION BY o_orderstatus ORDER BY slot) AS island FROM o),
+r AS (SELECT o_orderstatus, min(slot) AS start, max(slot) AS "end", count(*) AS length, round(sum(o_totalprice), 2) AS price FROM i GROUP BY o_orderstatus, island) SELECT *, row_number() OVER (PARTITION BY o_orderstatus ORDER BY start) AS run_id FROM r""")
+def long_key_runs(spark: SparkSession, d: str) -> DataFrame:
+    """Runs of neighbouring order keys of one status: a few keys that hold the whole table."""
+    from seqloom.operators.long_runs import long_runs
+
+    o = table(spark, d, "orders").select("o_orderstatus", "o_orderkey", "o_totalprice")
+    return long_runs(o, ["o_orderstatus"], "o_orderkey", F.lit(True), {"price": F.col("o_totalprice")}, 64).withColumn("price", F.round("price", 2))
+
+
+@query("""WITH l AS (SELECT o_orderstatus, o_totalprice < lag(o_totalprice) OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) AS bad FROM orders) SELECT o_orderstatus, count(*) FILTER (bad) AS violations FROM l GROUP BY o_orderstatus""")
+def long_key_order(spark: SparkSession, d: str) -> DataFrame:
+    from seqloom.operators.long_runs import long_monotone
+
+    return long_monotone(table(spark, d, "orders"), ["o_orderstatus"], "o_orderkey", "o_totalprice", block=64)
+
+
 @query(f"""WITH {T.USERS}, {_F100} SELECT video_id, sum(n_events - 1)::BIGINT AS excess, count(*) FILTER (n_events > 1) AS shared_slots FROM frames WHERE available GROUP BY video_id""")
 def shared_slot_excess(spark: SparkSession, d: str) -> DataFrame:
     return T.frames(spark, d, 100).where("available").groupBy("video_id").agg(F.sum(F.col("n_events") - 1).alias("excess"), F.count_if(F.col("n_events") > 1).alias("shared_slots"))

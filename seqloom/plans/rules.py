@@ -16,6 +16,7 @@ from seqloom.operators.ordering import numbered
 from seqloom.operators.rollup import cube, ratio
 from seqloom.operators.runs import transitions
 from seqloom.operators.statistics import correlations
+from seqloom.operators.moments import element_moments
 from seqloom.sources.readers import table
 
 from . import canonical as C
@@ -225,9 +226,10 @@ FROM x JOIN (SELECT label, count(*) FILTER (zero) AS zeros, round(avg(l2), 6) AS
 def vector_summary(spark: SparkSession, d: str) -> DataFrame:
     """Values and lengths of vectors by label, with counts of all that is not finite or zero."""
     e = table(spark, d, "embeddings").select("label", F.col("embedding").cast("array<double>").alias("v"))
-    x = e.select("label", F.explode("v").alias("x"))
-    inf = F.abs("x") == float("inf")
-    a = x.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.isnan("x") & ~inf).alias("finite"), F.count_if(F.isnan("x")).alias("nan"), F.count_if(inf).alias("inf"), F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"), F.min("x").alias("min"), F.max("x").alias("max"))
+    bad = V.bad_counts(F.col("v"))
+    counts = e.select("label", F.size("v").alias("k"), bad.alias("b")).groupBy("label").agg(F.sum("k").alias("all"), F.sum("b.nan").alias("nan"), F.sum("b.inf").alias("inf"))
+    m = element_moments(e, ["label"], "v").select("label", "mean", F.sqrt("variance").alias("std"), "min", "max")
+    a = counts.join(m, "label").select("label", F.col("all").alias("n"), (F.col("all") - F.col("nan") - F.col("inf")).alias("finite"), "nan", "inf", "mean", "std", "min", "max")
     s = summarize(e.select("label", V.l2(F.col("v")).alias("l2")), ["label"], F.col("l2"), (50,)).select("label", *[F.col(c).alias(f"l2_{c}") for c in ("mean", "median", "min", "max")])
     z = e.groupBy("label").agg(F.count_if(V.all_zero(F.col("v"))).alias("all_zero"))
     j = a.join(s, "label").join(z, "label")

@@ -53,10 +53,19 @@ def metadata_tables(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame(rows, "name string, n_rows long, error string")
 
 
-@query("SELECT * FROM (VALUES ('video_id', 1, 'video-id'), ('video_id', 2, 'source video'), ('video_id', 3, 'my_file_name'), ('label', 1, 'class'), ('label', 2, 'status'), ('source_path', 1, 'file_path'), ('source_path', 2, 'source video')) AS t(role, place, name)")
+_NAMES = {"c_name": "Name", "c_custkey": "video-id", "c_mktsegment": "class", "c_acctbal": "file_path", "c_nationkey": "status"}
+
+
+@query("""WITH r AS (SELECT * FROM (VALUES ('video_id', 1, 'video-id'), ('label', 1, 'class'), ('label', 2, 'status'), ('source_path', 1, 'file_path')) AS t(role, place, name)),
+n AS (SELECT 'video-id' AS name, count(*) AS n_rows, count(DISTINCT c_custkey) AS n_distinct FROM customer UNION ALL SELECT 'class', count(*), count(DISTINCT c_mktsegment) FROM customer UNION ALL SELECT 'status', count(*), count(DISTINCT c_nationkey) FROM customer UNION ALL SELECT 'file_path', count(*), count(DISTINCT c_acctbal) FROM customer)
+SELECT role, place, name, n_rows, n_distinct FROM r JOIN n USING (name)""")
 def role_columns(spark: SparkSession, d: str) -> DataFrame:
-    found = R.role_candidates(["Name", "video-id", "class", "file_path", "grid", "width", "status", "source video", "my_file_name"])
-    return spark.createDataFrame([(r, i + 1, c) for r, cs in found.items() for i, c in enumerate(cs)], "role string, place int, name string")
+    """The columns of a table that may fill each role, and what each of them holds."""
+    c = table(spark, d, "customer").select(*[F.col(k).alias(v) for k, v in _NAMES.items()])
+    found = [(role, i + 1, name) for role, names in R.role_candidates(c.columns).items() for i, name in enumerate(names)]
+    held = c.agg(F.count(F.lit(1)).alias("n_rows"), *[F.count_distinct(f"`{n}`").alias(n) for n in {x[2] for x in found}])
+    each = F.explode(F.array(*[F.struct(F.lit(r).alias("role"), F.lit(i).alias("place"), F.lit(n).alias("name"), F.col("n_rows"), F.col(f"`{n}`").alias("n_distinct")) for r, i, n in found])).alias("x")
+    return held.select(each).select("x.*")
 
 
 @query(f"WITH {T.USERS} SELECT video_id, 'train' AS split FROM users WHERE split = 'train'")
@@ -167,18 +176,19 @@ def bundle_ids(spark: SparkSession, d: str) -> DataFrame:
     return K.bundle_ids(spark, root)
 
 
-@query("""SELECT sha256('one') AS one, sha256('zwei') AS two, sha256('{"k":[1,2],"name":"é"}') AS policy, 2::BIGINT AS files, 2::BIGINT AS prints""")
+@query("""SELECT s_nationkey, count(*) AS n, sha256(string_agg(s_name, chr(10) ORDER BY s_name) || chr(10)) AS content, sha256('{"files":1,"nation":' || s_nationkey || '}') AS policy, 1::BIGINT AS prints FROM supplier GROUP BY s_nationkey""")
 def digests(spark: SparkSession, d: str) -> DataFrame:
-    """Content of files, meaning-bearing keys of a setting, and files' fingerprints."""
+    """Digests of written files' content, of the settings they stand for, and fingerprints of path,
+    size and time."""
     root = K.scratch(spark, "files")
-    K.write_text(spark, f"{root}/a.txt", "one")
-    K.write_text(spark, f"{root}/b.txt", "zwei")
-    f = R.file_digests(spark, root).withColumn("name", F.regexp_extract("path", "[^/]+$", 0))
-    config = {"name": "é", "k": [1, 2], "threads": 8}
-    policy = H.stable_hash({k: config[k] for k in ("name", "k")})
-    prints = R.source_fingerprints(spark, root).select(F.count_distinct("fingerprint").alias("prints"))
-    pick = lambda n: F.max(F.when(F.col("name") == n, F.col("sha256")))
-    return f.agg(pick("a.txt").alias("one"), pick("b.txt").alias("two"), F.lit(policy).alias("policy"), F.count(F.lit(1)).alias("files")).join(prints)
+    s = table(spark, d, "supplier").select("s_nationkey", F.col("s_name").alias("value"))
+    s.repartition("s_nationkey").sortWithinPartitions("s_nationkey", "value").write.partitionBy("s_nationkey").text(root)
+    of = F.regexp_extract("path", "s_nationkey=([0-9]+)/", 1).cast("int").alias("s_nationkey")
+    files = R.file_digests(spark, root).select(of, F.col("sha256").alias("content"))
+    prints = R.source_fingerprints(spark, root).select(of, "fingerprint").groupBy("s_nationkey").agg(F.count_distinct("fingerprint").alias("prints"))
+    n = s.groupBy("s_nationkey").agg(F.count(F.lit(1)).alias("n"))
+    policy = n.select("s_nationkey", "n", F.lit(1).alias("files"), F.col("s_nationkey").alias("nation")).select("s_nationkey", "n", H.row_hash("nation", "files").alias("policy"))
+    return policy.join(files, "s_nationkey").join(prints, "s_nationkey").select("s_nationkey", "n", "content", "policy", "prints")
 
 
 @query("""WITH r AS (SELECT n_nationkey AS o, sha256('{"v":' || n_nationkey || '}' || chr(10) || '{"v":"' || n_name || '"}') AS h FROM nation), b AS (SELECT o // 4096 AS b, sha256(string_agg(o || ':' || h, chr(10) ORDER BY o)) AS h, count(*) AS n FROM r GROUP BY 1)
@@ -214,15 +224,15 @@ def artifact_differences(spark: SparkSession, d: str) -> DataFrame:
     return differences(n.where("n_nationkey < 20"), there, "name", "hash")
 
 
-@query("SELECT * FROM (VALUES ('as configured', '32'), ('with a tag', '64'), ('without', 'refused'), ('not allowed', 'refused'), ('names', 'seed_7_wide net_seed7_wide')) AS t(given, outcome)")
-def run_settings(spark: SparkSession, d: str) -> DataFrame:
-    """Settings of a run: another value than the configured one needs a run tag."""
+_RUN = ("o_orderkey % 5 AS seed", "CASE WHEN o_custkey % 3 = 0 THEN o_custkey % 70 - 2 END AS given", "CASE WHEN o_orderkey % 4 = 0 THEN 'wide' WHEN o_orderkey % 4 = 1 THEN '-no' END AS tag")
 
-    def given(*a, **k) -> str:
-        try:
-            return str(S.overridden("batch", 32, *a, **k))
-        except ValueError:
-            return "refused"
 
-    rows = [("as configured", given(None, None)), ("with a tag", given(64, "wide")), ("without", given(64, None)), ("not allowed", given(-1, "wide", allowed=lambda v: v > 0)), ("names", " ".join(S.run_names("net", 7, "wide")))]
-    return spark.createDataFrame(rows, "given string, outcome string")
+@query(f"""WITH r AS (SELECT {', '.join(_RUN)} FROM orders),
+v AS (SELECT seed, tag, CASE WHEN given IS NULL THEN '32' WHEN given <= 0 OR (given <> 32 AND tag IS NULL) THEN 'refused' ELSE given::VARCHAR END AS batch, CASE WHEN tag IS NULL THEN 'seed_' || seed WHEN regexp_full_match(tag, '[A-Za-z0-9][A-Za-z0-9_-]*') THEN 'seed_' || seed || '_' || tag ELSE 'refused' END AS folder FROM r)
+SELECT batch, folder, count(*) AS n FROM v GROUP BY batch, folder""")
+def run_settings(spark: SparkSession, d: str) -> DataFrame:
+    """Settings of many runs: another value than the configured one needs a run tag."""
+    r = table(spark, d, "orders").selectExpr(*_RUN)
+    batch = S.resolved(F.lit(32), F.col("given"), F.col("tag"), F.col("given") > 0)
+    d = r.select(F.coalesce(batch.cast("string"), F.lit("refused")).alias("batch"), F.coalesce(S.run_folder(F.col("seed"), F.col("tag")), F.lit("refused")).alias("folder"))
+    return d.groupBy("batch", "folder").agg(F.count(F.lit(1)).alias("n"))

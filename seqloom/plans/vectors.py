@@ -9,6 +9,7 @@ from seqloom.functions import vectors as V
 from seqloom.operators import classify as L
 from seqloom.operators import statistics as C
 from seqloom.operators.distribution import share
+from seqloom.operators.moments import element_moments
 from seqloom.sources.readers import packed, table
 
 from . import twins as T
@@ -112,9 +113,7 @@ def version_differences(spark: SparkSession, d: str) -> DataFrame:
 def moment_state(spark: SparkSession, d: str) -> DataFrame:
     """Moments whose partial states of any number of tasks merge, without sums of squares, which
     lose all digits of a small variance around a large mean."""
-    x = F.col("x").cast("double")
-    e = table(spark, d, "embeddings").select("label", F.explode("embedding").alias("x"))
-    g = e.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.sum(x).alias("total"), F.min(x).alias("min"), F.max(x).alias("max"), F.avg(x).alias("mean"), F.var_pop(x).alias("variance"))
+    g = element_moments(table(spark, d, "embeddings").select("label", "embedding"), ["label"], "embedding")
     return _r(_r(g, "total", digits=4), "min", "max", "mean", "variance")
 
 
