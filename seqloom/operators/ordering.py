@@ -37,17 +37,33 @@ def _cut(found: list, ranges: int) -> list:
     return sorted({found[len(found) * i // ranges] for i in range(1, ranges)}) if len(found) > 1 else []
 
 
-def row_cuts(rows: DataFrame, order: Sequence[str]) -> list[Column]:
+def row_cuts(rows: DataFrame, order: Sequence[str]) -> list[tuple[int, Column]]:
     """Places in an order of several columns (nulls first) that cut the rows into about as many
-    ranges as there are shuffle partitions, as literals for ``range_of``.  A hot first column
-    is cut by the next ones.  Rows are sampled by a hash of all of them: some twenty a range
-    go through the driver."""
+    ranges as there are shuffle partitions, for ``row_range``: how many columns a cut looks at,
+    and their values.  A cut looks at the first column alone unless one value of it fills
+    more than a range; then the next columns cut it.  Rows are sampled by a hash of all of
+    them: some twenty a range go through the driver."""
     ranges = min(MOST_RANGES, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     every = max(1, rows.count() // (SAMPLED * ranges))
     chosen = rows.where(F.pmod(F.xxhash64(*order), F.lit(every)) == 0).select(*order).distinct().orderBy(*order).collect()
     kinds = [rows.schema[c].dataType for c in order]
     at = sorted({len(chosen) * i // ranges for i in range(1, ranges)} - {0}) if len(chosen) > 1 else []
-    return [F.struct(*[F.lit(v).cast(t).alias(c) for v, t, c in zip(chosen[i], kinds, order, strict=True)]) for i in at]
+    first = [chosen[i][0] for i in at]
+    depth = [len(order) if first.count(v) > 1 else 1 for v in first]
+    return [(k, F.struct(*[F.lit(v).cast(t).alias(c) for v, t, c in list(zip(chosen[i], kinds, order, strict=True))[:k]])) for i, k in zip(at, depth, strict=True)]
+
+
+def row_range(order: Sequence[str], at: list[tuple[int, Column]]) -> Column:
+    """How many of the cuts are at or below a row, found by halving."""
+
+    def within(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        middle = (low + high) // 2
+        k, cut = at[middle]
+        return F.when(F.struct(*order[:k]) < cut, within(low, middle)).otherwise(within(middle + 1, high))
+
+    return within(0, len(at))
 
 
 def range_of(value: Column, at: list) -> Column:
@@ -159,8 +175,9 @@ def with_average_rank(df: DataFrame, value: str, groups: Sequence[str], out: str
 
 def numbered(df: DataFrame, groups: Sequence[str], order: Sequence[str], out: str, keep: Column | None = None) -> DataFrame:
     """Rows with their number in the group, from 0, ascending by ``order`` (nulls first), and
-    ``total``.  ``keep`` as in ``value_counts_before``: other ranges' rows go."""
-    placed = df.withColumn("of_range", range_of(F.struct(*order), row_cuts(df, order)))
+    ``total``.  ``keep`` as in ``value_counts_before``: other ranges' rows go.  The columns of
+    the order have to be the same whenever the rows are computed again."""
+    placed = df.withColumn("of_range", row_range(order, row_cuts(df, order)))
     sums = placed.groupBy(*groups, "of_range").agg(F.count(F.lit(1)).alias("held"))
     whole = Window.partitionBy(*groups) if groups else Window.partitionBy(F.lit(0))
     up = whole.orderBy("of_range").rowsBetween(Window.unboundedPreceding, -1)

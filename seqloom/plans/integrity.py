@@ -146,3 +146,17 @@ def ordered_fingerprint(spark: SparkSession, d: str) -> DataFrame:
     """The order-sensitive hash of a small relation."""
     rows = F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name")))
     return table(spark, d, "nation").agg(F.md5(F.array_join(F.transform(rows, lambda r: F.concat(r["n_nationkey"].cast("string"), F.lit(":"), r["n_name"])), "|")).alias("h"), F.count(F.lit(1)).alias("n"))
+
+
+@query("""WITH e AS (SELECT user_id, epoch_us(ts) AS "at", r.rule, r.least, coalesce(CASE r.rule WHEN 'high' THEN value > 40 ELSE event_type = 'click' END, false) AS is_on FROM events, (VALUES ('high', 3600), ('clicks', 0)) AS r(rule, least)),
+b AS (SELECT *, coalesce((NOT lag(is_on) OVER w) OR ("at" - lag("at") OVER w) > 86400000000, true) AS is_new FROM e WINDOW w AS (PARTITION BY user_id, rule ORDER BY "at", is_on)),
+i AS (SELECT *, sum(is_new::INTEGER) OVER (PARTITION BY user_id, rule ORDER BY "at", is_on ROWS UNBOUNDED PRECEDING) AS island FROM b)
+SELECT user_id, rule, min("at") AS start_us, max("at") AS end_us, count(*) AS frames FROM i WHERE is_on GROUP BY user_id, rule, island, least HAVING max("at") - min("at") >= least::BIGINT * 1000000""")
+def lasting_events(spark: SparkSession, d: str) -> DataFrame:
+    """Conditions that hold from event to event for long enough (an extension)."""
+    from seqloom.streaming.events import Rule
+    from seqloom.streaming.events import lasting_events as lasting
+
+    e = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    found = lasting(e, "user_id", "ts", [Rule("high", "value > 40", 3600.0), Rule("clicks", "event_type = 'click'", 0.0)], gap=86400.0)
+    return found.select("user_id", "rule", F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), "frames")

@@ -7,6 +7,7 @@ import io
 import json
 import os
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Mapping, Sequence
 
@@ -21,6 +22,8 @@ from seqloom.sources.readers import file_digests
 MARKER = "_COMPLETE.json"
 STAGING, LOCK = ".staging-", ".lock"
 BOM = "\ufeff"
+#: Rows of a report, and milliseconds after which a lock is left over from a publisher that died.
+REPORT_ROWS, STALE_MS = 50_000, 24 * 3600 * 1000
 
 
 class Exists(FileExistsError):
@@ -83,9 +86,12 @@ def write_csv(df: DataFrame, path: str, columns: Sequence[str], strict: bool = T
     d.write.mode("errorifexists").option("header", True).csv(path)
 
 
-def write_report(df: DataFrame, path: str, columns: Sequence[str]) -> None:
-    """A report of a few thousand rows at most as one CSV file, with a byte-order mark and a
-    header, also without rows; written once.  Rows pass the driver one by one."""
+def write_report(df: DataFrame, path: str, columns: Sequence[str], most: int = REPORT_ROWS) -> None:
+    """A report for people as one CSV file, with a byte-order mark and a header, also without
+    rows; written once.  Rows pass the driver, so more than ``most`` are refused before any
+    does; ``write_csv`` has no such bound."""
+    if df.limit(most + 1).count() > most:
+        raise ValueError(f"a report has {most} rows at most")
     out = io.StringIO()
     sheet = csv.writer(out, lineterminator="\n")
     sheet.writerow(columns)
@@ -103,11 +109,15 @@ def write_once(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> No
 
 def _move(spark: SparkSession, staging: str, path: str) -> None:
     """Rename a staging folder to its target.  A lock file, created exclusively, keeps other
-    publishers out meanwhile, and a target that is there already is left alone."""
+    publishers out meanwhile, and a target that is there already is left alone.  The lock is
+    held for one rename: one older than ``STALE_MS`` was left by a publisher that died and is
+    taken away.  ``seqloom.sources.commits`` does without locks."""
     fs, tmp = _fs(spark, staging)
     _, target = _fs(spark, path)
     _, lock = _fs(spark, path + LOCK)
     try:
+        if fs.exists(lock) and fs.getFileStatus(lock).getModificationTime() < time.time() * 1000 - STALE_MS:
+            fs.delete(lock, False)
         fs.create(lock, False).close()
     except Exception as e:
         raise Exists(f"{path} is being published ({LOCK} is there)") from e

@@ -56,7 +56,7 @@ def test_cuts_of_whole_orders_split_a_hot_first_key(spark):
     n = 40_000
     d = spark.range(n).select(F.when(F.col("id") % 100 == 0, F.col("id")).otherwise(7).alias("a"), (n - F.col("id")).alias("b")).repartition(5)
     at = O.row_cuts(d, ["a", "b"])
-    sizes = [r["count"] for r in d.groupBy(O.range_of(F.struct("a", "b"), at).alias("r")).count().collect()]
+    sizes = [r["count"] for r in d.groupBy(O.row_range(["a", "b"], at).alias("r")).count().collect()]
     assert len(sizes) == len(at) + 1 and max(sizes) < 2 * n / len(sizes)
     got = O.numbered(d, [], ["a", "b"], "no")
     want = sorted((i if i % 100 == 0 else 7, n - i) for i in range(n))

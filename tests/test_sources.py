@@ -1,3 +1,5 @@
+import os
+
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -165,3 +167,16 @@ def test_streaming_windows_equal_the_batch_form(spark, tmp_path):
         want = {tuple(r) for r in op(d).collect()}
         assert got == want if name == "w" else got <= want
     assert len(want) == 2
+
+
+def test_reports_are_bounded_and_old_locks_go(spark, tmp_path):
+    d = spark.range(5)
+    with pytest.raises(ValueError, match="4 rows at most"):
+        K.write_report(d, f"file://{tmp_path}/r.csv", ["id"], most=4)
+    K.write_report(d, f"file://{tmp_path}/r.csv", ["id"], most=5)
+    lock = tmp_path / "b.lock"
+    lock.write_text("")
+    with pytest.raises(K.Exists, match="being published"):
+        K.publish(d, f"file://{tmp_path}/b", {}, "s")
+    os.utime(lock, (1, 1))
+    assert K.publish(d, f"file://{tmp_path}/b", {}, "s")["rows"] == 5 and not lock.exists()
