@@ -136,6 +136,52 @@ FROM g JOIN s ON s.d = g.d AND s.node = g.node LEFT JOIN k ON k.d = g.d AND k.no
 """
 
 
+def _op12() -> str:
+    """Places of matches follow from the lengths of the matches and of what stands between them;
+    entropy is that of each window of each candidate by itself."""
+    from .secret_scan import ALLOWED_WHOLE, CLASSES, LEAST_ACCESS, LEAST_VALUE, WINDOW
+
+    either = lambda word: "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in word)
+    names = "|".join(either(w) for w in ("password", "passwd", "secret", "token", "api_?key"))
+    patterns = {
+        "assign": rf"({names})[\x22\x27]?\x20*[:=]\x20*[\x22\x27]?([A-Za-z0-9+/_.=-]+)",
+        "access": "AKIA[A-Z0-9]+",
+        "hex": "[0-9a-f]+",
+        "entropy": f"[A-Za-z0-9+/=_-]{{{WINDOW},}}",
+    }
+    least = {"assign": f"length(v) >= {LEAST_VALUE}", "access": f"length(w) >= {LEAST_ACCESS}", "hex": "length(w) >= 32"}
+    found = " UNION ALL ".join(
+        f"SELECT rid, t, '{k}' AS kind, {i} AS o, regexp_extract_all(t, '{p}') AS m, regexp_extract_all(t, '{p}', {2 if k == 'assign' else 0}) AS g, regexp_split_to_array(t, '{p}') AS s FROM d WHERE regexp_matches(t, '{p}')"
+        for i, (k, p) in enumerate(patterns.items())
+    )
+    known = " OR ".join(f"(kind = '{k}' AND {c})" for k, c in least.items())
+    whole = "|".join(f"(?:{x.decode()})" for x in ALLOWED_WHOLE)
+    repeated = "|".join(f"{c}{{8}}" for c in "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")
+    parts = [r"(?i:example|sample|dummy|placeholder|change_?me|redacted|your[-_]?(?:api|key|token|secret))", "(?i:abcdefgh|qwertyui|01234567|12345678)", f"(?:{repeated})", r"\A/*sha(?:1|256|384|512)-"]
+    allowed = f"regexp_full_match(w, '{whole}') OR regexp_matches(w, '{'|'.join(parts)}') OR ends_with(substr(t, 1, start), ';base64,')"
+    sets = {"hexadecimal": "[0-9A-Fa-f]+", "upper": "[0-9A-Z]+", "base64": "[0-9A-Za-z+/=_-]+"}
+    high = " OR ".join(f"(regexp_full_match(x, '{sets[c.name]}') AND h >= {c.bound} - 1e-9)" for c in CLASSES)
+    entropy = f"log2({WINDOW}) - list_sum(list_transform(map_values(list_histogram(string_split(x, ''))), lambda n: n * log2(n))) / {WINDOW}"
+    listed = "string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, o, stop)"
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+m AS ({found}),
+i AS (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM m),
+q AS (SELECT rid, t, kind, o, m[i] AS w, g[i] AS v, (list_sum(list_transform(s[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0))::BIGINT AS start FROM i WHERE kind <> 'hex' OR length(m[i]) >= 32),
+b AS (SELECT rid, kind, o, start, start + length(w) AS stop FROM q WHERE {known}),
+c AS (SELECT rid, start, w FROM q WHERE kind = 'entropy' AND NOT ({allowed})),
+n AS (SELECT rid, start + j AS pos, w[j + 1:j + {WINDOW}] AS x FROM (SELECT *, unnest(range(0, length(w) - {WINDOW - 1})) AS j FROM c)),
+h AS (SELECT rid, pos FROM (SELECT rid, pos, x, {entropy} AS h FROM n WHERE regexp_matches(x, '[0-9]') AND regexp_matches(x, '[A-Za-z]')) WHERE {high}),
+e AS (SELECT rid, pos, pos - coalesce(lag(pos) OVER w, -1000) > {WINDOW} AS new FROM h WINDOW w AS (PARTITION BY rid ORDER BY pos)),
+f AS (SELECT rid, pos, sum(new::INTEGER) OVER (PARTITION BY rid ORDER BY pos) AS k FROM e),
+r AS (SELECT rid, 'entropy' AS kind, 3 AS o, min(pos) AS start, max(pos) + {WINDOW} AS stop FROM f GROUP BY rid, k),
+a AS (SELECT * FROM b UNION ALL SELECT r.* FROM r WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.rid = r.rid AND b.start <= r.start AND b.stop >= r.stop)),
+z AS (SELECT rid, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex, {listed} FILTER (o < 3) AS base, {listed} AS spans FROM a GROUP BY rid)
+SELECT doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access, coalesce(n_hex, 0)::BIGINT AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN z ON z.rid = d.rid
+"""
+
+
 def _op13() -> str:
     """Every order's steps are counted from the documents' failures one by one."""
     fails = {
@@ -164,4 +210,4 @@ SELECT part, filter_order, step::INTEGER AS step, kept::BIGINT AS kept, removed:
 """
 
 
-ORACLES: dict[str, str] = {"op1_substring_dedup": OP1, "op4_url_reputation": _op4(), "op5_jaccard_join": OP5, "op10_license_scan": _op10(), "op11_prefix_trie": OP11, "op13_filter_audit": _op13()}
+ORACLES: dict[str, str] = {"op1_substring_dedup": OP1, "op4_url_reputation": _op4(), "op5_jaccard_join": OP5, "op10_license_scan": _op10(), "op11_prefix_trie": OP11, "op12_secret_scan": _op12(), "op13_filter_audit": _op13()}

@@ -26,7 +26,7 @@ def test_all_are_registered():
     assert {f"op{i}" for i in range(1, 14)} <= {n.split("_")[0] for n in names} and "pipeline" in names
 
 
-@pytest.mark.parametrize("name", ["op1_substring_dedup", "op4_url_reputation", "op5_jaccard_join", "op10_license_scan", "op11_prefix_trie", "op13_filter_audit"])
+@pytest.mark.parametrize("name", ["op1_substring_dedup", "op4_url_reputation", "op5_jaccard_join", "op10_license_scan", "op11_prefix_trie", "op12_secret_scan", "op13_filter_audit"])
 def test_sql_twins(spark, db, sf, name):
     import pandas as pd
 

@@ -111,3 +111,18 @@ def test_long_text_and_own_allow_list(spark):
     assert sum(s["end"] - s["start"] for s in spans[1]) > 500_000
     none = S.find_secrets(d, S.allow_list(whole=(rb".*",))).collect()
     assert all(not r["spans"] for r in none)
+
+
+def test_sql_twin_on_random_texts():
+    """The SQL of the query, of which the given tables exercise little."""
+    import duckdb
+
+    from seqloom.llm.oracles import ORACLES
+
+    rng = random.Random(11)
+    parts = [lambda: key(rng, rng.randint(1, 60)), lambda: key(rng, rng.randint(20, 50), "0123456789abcdef"), lambda: "token=" + key(rng, rng.randint(1, 12)), lambda: "ü", lambda: "AKIA" + key(rng, 14, string.ascii_uppercase), lambda: rng.choice(["-", "/", "\n", " ", ":", "secret", "'"]), lambda: "some words "]
+    texts = ["".join(rng.choice(parts)() for _ in range(rng.randint(0, 40))) for _ in range(300)] + [None, "", "secret=token: abcdefghijk", "Paſſword=abcdefghij", "data:image/png;base64," + key(rng, 300), "sha256-" + key(rng, 43), "aaaaaaaa" + key(rng, 30), "x EXAMPLE" + key(rng, 30), "this-is-a-long-slug-of-words-2024-12-01"]
+    db = duckdb.connect()
+    db.execute("CREATE TABLE documents(doc_id BIGINT, text VARCHAR)")
+    db.executemany("INSERT INTO documents VALUES (?, ?)", list(enumerate(texts)))
+    assert {r[0]: tuple(r[1:]) for r in db.execute(ORACLES["op12_secret_scan"]).fetchall()} == {i: brute(t) for i, t in enumerate(texts)}
