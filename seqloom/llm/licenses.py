@@ -12,26 +12,36 @@ their frequency in the whole corpus, rarest first.
 * Positional filter: a block starts at one of the template's words, and enough more of them
   must stand within its length.
 
-What passes is verified by counting.  The templates are a parameter of bounded size, so the
-index travels in the plan and the texts are never shuffled.  DataFrame functions only.
+What passes is verified by counting.  The templates, sentences as well as whole bodies, are a
+parameter of bounded size, so the index travels in the plan and the texts are never shuffled.
+DataFrame functions only.
 """
 
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._spark import columns
+from .license_texts import BODIES
 from .url_reputation import LOWER, UPPER
 
 BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Phrases of the base rules, and templates of the method (lower-case words).  A
-#: notice that differs from another template's in one word of many is not a template of its own.
+
+
+def plain_words(text: str) -> str:
+    """A template's words as ``normal`` makes those of a text."""
+    return re.sub(BREAK, " ", text.translate(str.maketrans(UPPER, LOWER))).strip(" ")
+
+
+#: Phrases of the base rules, and sentences that name a license (lower-case
+#: words).  A notice that differs from another's in one word of many is no sentence of its own.
 PHRASES = (("mit", "under the mit license"), ("apache-2", "apache license version 2"), ("cc-by-nc", "cc by nc"))
-TEMPLATES = (
+SENTENCES = (
     ("mit", "released under the mit license"),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
     ("apache-2", "licensed under the apache license version 2 0"),
@@ -52,6 +62,8 @@ TEMPLATES = (
     ("unlicense", "this is free and unencumbered software released into the public domain"),
     ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software"),
 )
+#: The method's templates: those sentences, and whole bodies of licenses.
+TEMPLATES = SENTENCES + tuple((label, plain_words(body)) for label, body in BODIES)
 THRESHOLD = 0.9
 
 
@@ -75,7 +87,8 @@ def _spaces(x: Column) -> Column:
 
 
 def _strings(values: Sequence[str]) -> Column:
-    return F.array(*[F.lit(v) for v in values])
+    """Words (without spaces) as one literal."""
+    return F.split(F.lit(" ".join(values)), " ")
 
 
 def word_frequencies(words: DataFrame, vocabulary: Sequence[str]) -> dict[str, int]:
