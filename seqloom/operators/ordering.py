@@ -2,8 +2,8 @@
 
 Distinct values are counted first and cut into ranges.  Sums of whole ranges are added up in
 a window with one row a range; inside a range a window has only the range's rows.  The cuts
-come from a sample that hashes of the values choose, so they are the same whenever a lost
-executor's part is computed again.
+are found before, by sketches of numbers or a sample that hashes choose, and are constants of
+the plan, so they are the same whenever a lost executor's part is computed again.
 """
 
 from __future__ import annotations
@@ -12,29 +12,48 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 #: Sampled values for each range, and ranges at most.
 SAMPLED, MOST_RANGES = 20, 400
 
 
-def sampled(values: DataFrame, column: str) -> tuple[list, int, bool]:
-    """Some values of a column (nulls aside) in order, about twenty for each range; how many
-    ranges, about as many as there are shuffle partitions; and whether these are all values."""
-    ranges = min(MOST_RANGES, int(values.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    # The values of the smallest hashes: the top rows of each task, whatever the input's size.
-    h = F.xxhash64(column)
-    chosen = values.where(F.col(column).isNotNull()).select(column).distinct().orderBy(h, column).limit(SAMPLED * ranges).collect()
-    return sorted({r[0] for r in chosen}), ranges, len(chosen) < SAMPLED * ranges
+def _ranges(df: DataFrame) -> int:
+    return min(MOST_RANGES, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
-def cuts(values: DataFrame, column: str) -> list:
-    """Values that cut those of a column (nulls aside) into ranges."""
-    found, ranges, _ = sampled(values, column)
-    return _cut(found, ranges)
+def _spread(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple[list, bool]]:
+    """For each number column: its cuts, and whether it has few values.  One pass for all of
+    them, without a shuffle of values: quantile sketches and distinct counts, one state a task.
 
+    Cuts are quantiles of the rows, so no range has more rows, and the less distinct values,
+    than its share; a value that fills several ranges is one cut."""
+    ranges = _ranges(df)
+    shares = F.array(*[F.lit(i / ranges) for i in range(1, ranges)] or [F.lit(0.5)])
+    aggregates = [f for c in columns for f in (F.percentile_approx(c, shares, 20 * max(ranges, 100)), F.approx_count_distinct(c))]
+    found = df.agg(*aggregates).first()
+    return {c: (sorted(set(found[2 * i] or [])), found[2 * i + 1] <= SAMPLED * ranges // 2) for i, c in enumerate(columns)}
 
-def _cut(found: list, ranges: int) -> list:
-    return sorted({found[len(found) * i // ranges] for i in range(1, ranges)}) if len(found) > 1 else []
+
+def _sampled(df: DataFrame, column: str) -> tuple[list, bool]:
+    """The same for values of any type: those of the smallest hashes, some twenty a range."""
+    ranges = _ranges(df)
+    h = F.xxhash64(column)  # the top rows of each task, whatever the input's size
+    chosen = df.where(F.col(column).isNotNull()).select(column).distinct().orderBy(h, column).limit(SAMPLED * ranges).collect()
+    found = sorted({r[0] for r in chosen})
+    return sorted({found[len(found) * i // ranges] for i in range(1, ranges)}) if len(found) > 1 else [], len(chosen) < SAMPLED * ranges
+
+
+def value_cuts(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple[list, bool]]:
+    """Values that cut those of each column (nulls aside) into ranges, about as many as there
+    are shuffle partitions, and whether it has so few that each may be a range of its own."""
+    numbers = [c for c in columns if isinstance(df.schema[c].dataType, NumericType)]
+    return {**(_spread(df, numbers) if numbers else {}), **{c: _sampled(df, c) for c in columns if c not in numbers}}
+
+
+def cuts(df: DataFrame, column: str) -> list:
+    """The cuts of one column."""
+    return value_cuts(df, [column])[column][0]
 
 
 def row_cuts(rows: DataFrame, order: Sequence[str]) -> list[tuple[int, Column]]:
@@ -43,7 +62,7 @@ def row_cuts(rows: DataFrame, order: Sequence[str]) -> list[tuple[int, Column]]:
     and their values.  A cut looks at the first column alone unless one value of it fills
     more than a range; then the next columns cut it.  Rows are sampled by a hash of all of
     them: some twenty a range go through the driver."""
-    ranges = min(MOST_RANGES, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ranges = _ranges(rows)
     every = max(1, rows.count() // (SAMPLED * ranges))
     chosen = rows.where(F.pmod(F.xxhash64(*order), F.lit(every)) == 0).select(*order).distinct().orderBy(*order).collect()
     kinds = [rows.schema[c].dataType for c in order]
@@ -86,22 +105,23 @@ def same(a: Sequence[str], b: Sequence[str]) -> Column:
     return out
 
 
-def value_counts_before(df: DataFrame, groups: Sequence[str], value: str, keep: Column | None = None) -> DataFrame:
+def value_counts_before(df: DataFrame, groups: Sequence[str], value: str, keep: Column | None = None, known: tuple[list, bool] | None = None) -> DataFrame:
     """Per group and value that is not null: ``n`` rows of it, ``before`` rows of smaller values,
     and ``total`` rows of the group.
 
     ``keep`` may rule out ranges by their columns first, rows before it, held rows in it and
-    total, so that only the ranges that matter are ordered.
+    total, so that only the ranges that matter are ordered.  ``known`` are the column's entry
+    of ``value_cuts``, where it has been found before.
     """
     counts = df.where(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.count(F.lit(1)).alias("n"))
-    found, ranges, complete = sampled(counts, value)
+    at, few_values = known or value_cuts(df, [value])[value]
     whole = Window.partitionBy(*groups) if groups else Window.partitionBy(F.lit(0))
-    if complete:  # as few values as a sample holds: each is a range, and a group has no more rows
+    if few_values:  # each is a range, and a group has no more rows
         before = F.coalesce(F.sum("n").over(whole.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
         few = counts.withColumns({"first": before, "held": F.col("n"), "total": F.sum("n").over(whole)})
         few = few if keep is None else few.where(keep)
         return few.select(*groups, value, "n", F.col("first").alias("before"), "total")
-    counts = counts.withColumn("part", range_of(F.col(value), _cut(found, ranges)))
+    counts = counts.withColumn("part", range_of(F.col(value), at))
     sums = counts.groupBy(*groups, "part").agg(F.sum("n").alias("held"))
     up = whole.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumns({"first": F.coalesce(F.sum("held").over(up), F.lit(0)), "total": F.sum("held").over(whole)})
@@ -143,7 +163,7 @@ def top_mass(df: DataFrame, value: str, sizes: Sequence[tuple[str, int | float |
     """
     d = df.select(*groups, F.col(value).cast("double").alias("v")).where("v IS NOT NULL")
     counts = d.groupBy(*groups, "v").agg(F.count(F.lit(1)).alias("n"))
-    counts = counts.withColumn("part", range_of(F.col("v"), cuts(counts, "v")))
+    counts = counts.withColumn("part", range_of(F.col("v"), cuts(d, "v")))
     sums = counts.groupBy(*groups, "part").agg(F.sum("n").alias("held"), F.sum(F.col("n") * F.col("v")).alias("mass"))
     whole = Window.partitionBy(*groups) if groups else Window.partitionBy(F.lit(0))
     down = whole.orderBy(F.desc("part")).rowsBetween(Window.unboundedPreceding, -1)
@@ -164,13 +184,23 @@ def top_mass(df: DataFrame, value: str, sizes: Sequence[tuple[str, int | float |
     return both.groupBy(*groups, "name", "rows", "above", "total").agg((F.col("above") + F.sum("part_mass")).alias("mass")).select(*groups, "name", "rows", "mass", "total")
 
 
+def with_average_ranks(df: DataFrame, ranks: Sequence[tuple[str, str]], groups: Sequence[str], base: int = 1) -> DataFrame:
+    """Rows with the rank of each (value, out) in its group, ties averaged, from ``base``; null
+    for null values.  The cuts of all values come from one pass, and each value's counts from
+    the rows as given, not from those that another rank was joined to."""
+    known = value_cuts(df, [v for v, _ in ranks])
+    out = df
+    for value, name in ranks:
+        c = value_counts_before(df.select(*groups, value), groups, value, known=known[value])
+        rank = F.col("before") + (F.col("n") - 1) / F.lit(2.0) + F.lit(float(base))
+        c = c.select(*[F.col(g).alias(f"of_{g}") for g in groups], F.col(value).alias("of_value"), rank.alias(name))
+        out = out.join(c, same(groups, [f"of_{g}" for g in groups]) & (F.col(value) == F.col("of_value")), "left").drop("of_value", *[f"of_{g}" for g in groups])
+    return out
+
+
 def with_average_rank(df: DataFrame, value: str, groups: Sequence[str], out: str, base: int = 1) -> DataFrame:
-    """Rows with the rank of their value in its group, ties averaged, from ``base``; null for
-    null values."""
-    c = value_counts_before(df.select(*groups, value), groups, value)
-    rank = F.col("before") + (F.col("n") - 1) / F.lit(2.0) + F.lit(float(base))
-    ranks = c.select(*[F.col(g).alias(f"of_{g}") for g in groups], F.col(value).alias("of_value"), rank.alias(out))
-    return df.join(ranks, same(groups, [f"of_{g}" for g in groups]) & (F.col(value) == F.col("of_value")), "left").drop("of_value", *[f"of_{g}" for g in groups])
+    """The same for one value."""
+    return with_average_ranks(df, [(value, out)], groups, base)
 
 
 def numbered(df: DataFrame, groups: Sequence[str], order: Sequence[str], out: str, keep: Column | None = None) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .moments import vector_moments
-from .ordering import same, with_average_rank
+from .ordering import same, with_average_ranks
 
 
 def pearson(a: Column, b: Column) -> Column:
@@ -22,7 +22,7 @@ def pearson(a: Column, b: Column) -> Column:
 def correlations(df: DataFrame, a: str, b: str, groups: Sequence[str] = ()) -> DataFrame:
     """Per group over complete pairs: n, pearson, spearman (ties averaged)."""
     d = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(*groups, a, b)
-    d = with_average_rank(with_average_rank(d, a, groups, "rank_a"), b, groups, "rank_b")
+    d = with_average_ranks(d, [(a, "rank_a"), (b, "rank_b")], groups)
     return d.groupBy(*groups).agg(F.count(F.lit(1)).alias("n"), pearson(F.col(a), F.col(b)).alias("pearson"), pearson(F.col("rank_a"), F.col("rank_b")).alias("spearman"))
 
 
