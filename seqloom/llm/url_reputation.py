@@ -68,8 +68,8 @@ def suffix(domain_: Column, suffixes: Sequence[str] = SUFFIXES) -> Column:
 
 
 def match_rule(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -> Column:
-    """The longest rule that fits, as struct(rule, verdict); null if none does."""
-    out = None
+    """The longest rule that fits, as struct(rule, verdict); null if none does, or there are none."""
+    out = F.lit(None).cast("struct<rule:string,verdict:string>") if not rules else None
     for verdict, rule in sorted(rules, key=lambda r: -len(r[1])):
         name, _, start = rule.partition("/")
         fits = ((host == name) | host.endswith("." + name)) & path.startswith("/" + start)

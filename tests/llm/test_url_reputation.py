@@ -91,3 +91,23 @@ def test_no_python_on_the_executors(spark):
     p = spark.createDataFrame([(1, "http://a.b/")], "page_id long, url string")
     plan = U.judge_urls(p, spark.createDataFrame([(1, 1)], "page_id long, bad long"))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_without_rules_only_reputation_decides(spark):
+    rows = [(i, f"http://a.bad.com/{i}") for i in range(40)] + [(100 + i, f"http://b.fine.org/{i}") for i in range(40)]
+    labels = spark.createDataFrame([(i, int(i < 40)) for i, _ in rows], "page_id long, bad long")
+    got = U.judge_urls(spark.createDataFrame(rows, "page_id long, url string"), labels, rules=()).collect()
+    assert all(r.rule is None for r in got) and {(r.host, r.verdict) for r in got} == {("a.bad.com", "block"), ("b.fine.org", "allow")}
+
+
+def test_empty_tables_repeated_rows_and_other_columns(spark):
+    schema = "page_id long, url string, host string, site string, bad long, n long, domain string, hit string, bad_lower double"
+    rows = [(1, "http://x.com/de/1", "h", "s", 7, 7, "d", "t", 0.5)] * 3 + [(2, None, None, None, None, None, None, None, None), (None, "http://x.com/en", "h", "s", 7, 7, "d", "t", 0.5), (3, "http://" + "a" * 200_000 + ".com/", "", "", 0, 0, "", "", 0.0)]
+    pages = spark.createDataFrame(rows, schema)
+    got = [(r.page_id, r.rule, r.verdict) for r in U.judge_urls(pages).orderBy("page_id").collect()]
+    assert got[1:4] == [(1, "com/de/", "block")] * 3 and len(got) == 6
+    plain = sorted(map(str, U.judge_urls(pages.select("page_id", "url")).collect()))
+    assert plain == sorted(map(str, U.judge_urls(pages).collect()))
+    assert U.judge_urls(pages.limit(0)).count() == 0
+    none = spark.createDataFrame([], "page_id long, bad long")
+    assert {(r.verdict, r.bad_lower) for r in U.judge_urls(pages, none).where("rule IS NULL").collect()} == {("allow", None)}
