@@ -56,15 +56,14 @@ def site(host: Column) -> Column:
 def domain(site_: Column, suffixes: Sequence[str] = SUFFIXES) -> Column:
     """The registered domain: one label more than the suffix, which is one of ``suffixes`` or
     the last label; numeric addresses are their own."""
-    two = F.regexp_extract(site_, r"([^.]*\.)?[^.]*$", 0)
-    three = F.regexp_extract(site_, r"([^.]*\.)?[^.]*\.[^.]*$", 0)
+    two, three = F.substring_index(site_, ".", -2), F.substring_index(site_, ".", -3)
     return F.when(site_.rlike(r"^[0-9.]+$"), site_).when(two.isin(*suffixes), three).otherwise(two)
 
 
 def suffix(domain_: Column, suffixes: Sequence[str] = SUFFIXES) -> Column:
     """The registered domain's suffix: two labels if they are one of ``suffixes``, else one."""
-    two = F.regexp_extract(domain_, r"([^.]*\.)?[^.]*$", 0)
-    return F.when(domain_.rlike(r"^[0-9.]+$"), F.lit("")).when(two.isin(*suffixes), two).otherwise(F.regexp_extract(domain_, r"[^.]*$", 0))
+    two = F.substring_index(domain_, ".", -2)
+    return F.when(domain_.rlike(r"^[0-9.]+$"), F.lit("")).when(two.isin(*suffixes), two).otherwise(F.substring_index(domain_, ".", -1))
 
 
 def match_rule(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -> Column:
