@@ -1,5 +1,5 @@
 """The bodies of common licenses and the notices that others ask for, as published,
-without names and years.  ``BODIES`` are (label, text).
+without names and years; of Unlicense, PostgreSQL and WTFPL the grants alone.  ``BODIES`` are (label, text).
 
 No two bodies here hold each other but BSD-2, whose conditions stand in BSD-3.  Texts that differ
 from one of these by less than the threshold (MIT-0, 0BSD, the notices of the LGPL and AGPL) meet it,
