@@ -1,21 +1,23 @@
 """LM scoring: a hashed maximum-entropy model with a class-factored softmax.
 
-P(word | context) = P(class | context) * P(word | class, context).  The most frequent words
-of the training documents, and the end of a text, are the vocabulary, in classes of equal
-size by frequency.  Every other word belongs to a tail class by its hash, in which it has
-its smoothed share of the class's training tokens, so the model is a distribution over all
+P(word | context) = P(class | context) * P(group | class, context) * P(word | group, context).
+The frequent words of the training documents, and the end of a text, are the vocabulary, a
+tree of classes, groups and words of one width.  The vocabulary, and so the width, follows the
+training tokens.  Every other word belongs to a tail class by its hash, in which it has its
+smoothed share of the class's training tokens, so the model is a distribution over all
 words.  Features of a context are the hash of the previous word, of the one before it (a
-skip), whichever words they are; with the word or class they predict they are the model's
-bigram and skip features.  They are rows of hashed weight tables, whose number follows the
-training tokens up to a bound that keeps the tables broadcastable.
+skip), whichever words they are; with the class, group or word they predict they are the
+model's bigram and skip features.  They are rows of hashed weight tables, one for each level,
+whose number follows the training tokens up to a size that keeps the tables broadcastable.
 
 Training runs in rounds of distributed gradient updates: training documents are dealt into
-parts of a set size by a hash, so reruns agree however files are split; every task takes
-AdaGrad steps (one rate a row of weights) on its part from the weights of the last round, and
-the weights are averaged over the tasks by how often each feature was met.
+parts by a hash, so reruns agree however files are split, and parts are as large as pays for
+the weights they send; every task takes AdaGrad steps (one rate a row of weights) on its part
+from the weights of the last round, and the weights are averaged over the tasks by how often
+each feature was met.
 
-Word counts cover all training documents.  Frequent words, a bounded number, are looked up
-in memory; a text's other words are joined with their counts.
+Word counts cover all training documents.  Frequent words, the vocabulary at least, are looked
+up in memory; a text's other words are joined with their counts.
 """
 
 from __future__ import annotations
@@ -33,16 +35,17 @@ from pyspark.sql import functions as F
 from . import kernel as K
 from ._spark import columns, prepare, stored
 
-#: Classes of the vocabulary and words in each (the last word is the end), tail classes, and
-#: words whose counts are kept in memory.
-CLASSES, IN_CLASS, TAILS = 64, 128, 32
-VOCABULARY, WIDTH, KEPT_WORDS = CLASSES * IN_CLASS, CLASSES + TAILS, 1 << 16
-END = VOCABULARY - 1
-#: Rows of each weight table: one for so many training tokens, within the two bounds (a model
-#: of the upper one has 29 MB).
-TOKENS_A_ROW, LEAST_ROWS, MOST_ROWS = 256, 1 << 12, 1 << 15
-#: Rounds of training, each on its own share of the training documents; tokens of one part.
-ROUNDS, RATES, PART_TOKENS = 2, (0.5, 0.25), 4_000_000
+#: Tail classes; training tokens for each word of the vocabulary, within bounds on the words;
+#: words whose counts are kept in memory, if the vocabulary has no more.
+TAILS, TOKENS_A_WORD, LEAST_WORDS, MOST_WORDS, KEPT_WORDS = 16, 1024, (1 << 15) - 1, (1 << 21) - 1, 1 << 16
+#: Classes, groups of a class and words of a group are softmaxes of one width each.
+LEVELS, END = 3, 0
+#: Rows of each weight table: one for so many training tokens, at least and at most so many,
+#: while all tables have no more bytes than these.
+TOKENS_A_ROW, LEAST_ROWS, MOST_ROWS, MODEL_BYTES = 32, 1 << 12, 1 << 16, 64 << 20
+#: Rounds of training, each on its own share of the training documents; tokens of a part for
+#: each row of a table (the weights a part sends are half its text then).
+ROUNDS, RATES, PART_TOKENS_A_ROW = 2, (0.5, 0.25), 128
 #: A row's rate is that of the round over sqrt(sum of its squared gradients / SPREAD + 1);
 #: weights are kept within LIMIT after each batch, so no exponential runs over.
 SPREAD, LIMIT = 16.0, 20.0
@@ -56,11 +59,10 @@ _KEYS = (K.U64(0x9E3779B97F4A7C15), K.U64(0xC2B2AE3D27D4EB4F), K.U64(0x27D4EB2F1
 
 class Model(NamedTuple):
     vocabulary: np.ndarray  # sorted hashes of the vocabulary's words
-    ids: np.ndarray  # their ids, by frequency
-    class_bias: np.ndarray  # WIDTH
-    word_bias: np.ndarray  # CLASSES x IN_CLASS
-    class_weights: np.ndarray  # rows x WIDTH
-    word_weights: np.ndarray  # rows x IN_CLASS
+    ids: np.ndarray  # their ids, by frequency, after the end's
+    width: int  # classes, groups of each, words of each
+    bias: tuple  # for each level: nodes x width (the classes with the tail classes)
+    weights: tuple  # for each level: rows x width
     tail_mass: np.ndarray  # smoothed tokens of each tail class
 
 
@@ -79,14 +81,17 @@ class Coded(NamedTuple):
 
     a: np.ndarray  # hash of the previous token as a feature
     b: np.ndarray  # of the one before it
-    cls: np.ndarray  # class of the token
-    word: np.ndarray  # its place within a class of the vocabulary
+    target: np.ndarray  # its id in the vocabulary, or its tail class below -1 (see tail_of)
     of: np.ndarray  # its text
     h: np.ndarray  # its hash
 
 
 def tail_class(h: np.ndarray) -> np.ndarray:
-    return CLASSES + ((h >> K.U64(7)) % K.U64(TAILS)).astype(np.int64)
+    return ((h >> K.U64(7)) % K.U64(TAILS)).astype(np.int64)
+
+
+def tail_of(target: np.ndarray) -> np.ndarray:
+    return -1 - target
 
 
 def coded(w: K.Words, m: Model) -> Coded:
@@ -101,63 +106,74 @@ def coded(w: K.Words, m: Model) -> Coded:
     p1[first] = START_HASH
     p2[first] = START_HASH
     p2[first[w.counts > 0] + 1] = START_HASH
-    target = np.full(len(h), -1)
+    target = -1 - tail_class(h)
     if len(m.vocabulary):
         pos = np.minimum(np.searchsorted(m.vocabulary, h), len(m.vocabulary) - 1)
-        target = np.where(m.vocabulary[pos] == h, m.ids[pos], -1)
+        target = np.where(m.vocabulary[pos] == h, m.ids[pos], target)
     target[h == END_HASH] = END
-    return Coded(K.mix(p1 ^ _KEYS[0]), K.mix(p2 ^ _KEYS[1]), np.where(target < 0, tail_class(h), target // IN_CLASS), target % IN_CLASS, of, h)
+    return Coded(K.mix(p1 ^ _KEYS[0]), K.mix(p2 ^ _KEYS[1]), target, of, h)
 
 
-def _class_rows(x: Coded, at: slice, m: Model) -> list[np.ndarray]:
-    """Rows of class weights, as numbers of 16 bits, which sort fastest."""
-    mask = K.U64(len(m.class_weights) - 1)
-    return [(f[at] & mask).astype(np.uint16) for f in (x.a, x.b)]
+class Choice(NamedTuple):
+    """One level's choices for some tokens."""
 
+    at: np.ndarray  # the tokens
+    rows: list  # for each feature the row of weights, in 16 bits, which sort fastest
+    node: np.ndarray  # where in the tree
+    picked: np.ndarray  # the branch taken
 
-def _word_rows(x: Coded, at: np.ndarray, m: Model) -> list[np.ndarray]:
-    mask, cls = K.U64(len(m.word_weights) - 1), x.cls[at].astype(K.U64) * _KEYS[2]
-    return [(K.mix(f[at] + cls) & mask).astype(np.uint16) for f in (x.a, x.b)]
 
+def choices(x: Coded, lo: int, hi: int, m: Model) -> Iterator[Choice]:
+    """The levels' choices for tokens lo to hi: classes for all, then groups and words for
+    those of the vocabulary."""
+    mask, target = K.U64(len(m.weights[0]) - 1), x.target[lo:hi]
+    at, inside = np.arange(lo, hi), np.flatnonzero(target >= 0)
+    top = np.where(target < 0, m.width + tail_of(target), target // m.width ** (LEVELS - 1))
+    yield Choice(at, [(f[lo:hi] & mask).astype(np.uint16) for f in (x.a, x.b)], np.zeros(len(at), np.int64), top)
+    at, target = at[inside], target[inside]
+    for level in range(1, LEVELS) if len(at) else ():
+        size = m.width ** (LEVELS - 1 - level)
+        node = target // (size * m.width)
+        key = (node + level * m.width**LEVELS).astype(K.U64) * _KEYS[2]
+        yield Choice(at, [(K.mix(f[at] + key) & mask).astype(np.uint16) for f in (x.a, x.b)], node, target // size % m.width)
 
-def _logits(bias: np.ndarray, weights: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
+
+def _logits(level: int, c: Choice, m: Model) -> np.ndarray:
     """A bias and one row of weights for each feature, added up."""
-    z = np.take(weights, rows[0], axis=0)
-    for r in rows[1:]:
-        z += np.take(weights, r, axis=0)
-    z += bias
+    z = np.take(m.weights[level], c.rows[0], axis=0)
+    for r in c.rows[1:]:
+        z += np.take(m.weights[level], r, axis=0)
+    z += m.bias[level] if level == 0 else m.bias[level][c.node]
     return z
 
 
 def log_probs(x: Coded, m: Model) -> np.ndarray:
     """Natural log of each token's probability; of a tail class's words only the class's."""
-
-    def of(z: np.ndarray, target: np.ndarray) -> np.ndarray:
-        own = z[np.arange(len(z)), target]
-        return own - np.log(np.exp(z, out=z).sum(axis=1))
-
-    out = np.empty(len(x.h))
+    out = np.zeros(len(x.h))
     for lo in range(0, len(x.h), STEP):
-        at = slice(lo, min(lo + STEP, len(x.h)))
-        out[at] = of(_logits(m.class_bias, m.class_weights, _class_rows(x, at, m)), x.cls[at])
-        inside = np.flatnonzero(x.cls[at] < CLASSES) + lo
-        if len(inside):
-            out[inside] += of(_logits(m.word_bias[x.cls[inside]], m.word_weights, _word_rows(x, inside, m)), x.word[inside])
+        for level, c in enumerate(choices(x, lo, min(lo + STEP, len(x.h)), m)):
+            z = _logits(level, c, m)
+            own = z[np.arange(len(z)), c.picked]
+            out[c.at] += own - np.log(np.exp(z, out=z).sum(axis=1))
     return out
 
 
-def add_up(g: np.ndarray, r: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For rows ``g`` in the order of ``r``: the distinct values of r, their rows' sums (added
-    pair by pair; g is overwritten) and counts."""
+def add_up(g: np.ndarray, r: np.ndarray, few: int = 8) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For rows ``g`` in the order of ``r``: the distinct values of r, their rows' sums and
+    counts.  Most values have few rows: for those the second rows are added at once, then the
+    third ones and so on."""
     start = np.flatnonzero(np.concatenate(([True], r[1:] != r[:-1])))
     n = np.diff(np.append(start, len(r)))
-    place, at = np.arange(len(r)) - np.repeat(start, n), r[start]
-    while len(g) > len(at):
-        odd = np.flatnonzero(place & 1)
-        g[odd - 1] += g[odd]
-        even = np.flatnonzero(~place & 1)
-        g, place = g[even], place[even] >> 1
-    return at, g, n
+    sums = np.take(g, start, axis=0)
+    left, k = np.flatnonzero((n > 1) & (n <= few)), 1
+    while len(left):
+        sums[left] += np.take(g, start[left] + k, axis=0)
+        k += 1
+        left = left[n[left] > k]
+    many = np.flatnonzero(n > few)
+    if len(many):
+        sums[many] = np.add.reduceat(g[np.repeat(n > few, n)], np.cumsum(n[many]) - n[many], axis=0)
+    return r[start], sums, n
 
 
 class Trainer:
@@ -165,36 +181,28 @@ class Trainer:
 
     def __init__(self, m: Model, rate: float):
         self.rate = np.float32(rate)
-        self.m = m._replace(class_weights=m.class_weights.copy(), word_weights=m.word_weights.copy())
-        self.squares = [np.zeros(len(m.class_weights), np.float32), np.zeros(len(m.word_weights), np.float32)]
-        self.met = [np.zeros(len(m.class_weights), np.float32), np.zeros(len(m.word_weights), np.float32)]
-
-    def _step(self, which: int, weights: np.ndarray, rows: list[np.ndarray], gradient: np.ndarray) -> None:
-        for r in rows:
-            order = np.argsort(r, kind="stable")
-            at, g, n = add_up(np.take(gradient, order, axis=0), r[order])
-            self.met[which][at] += n
-            self.squares[which][at] += np.einsum("ij,ij->i", g, g)
-            g *= (self.rate / np.sqrt(self.squares[which][at] / np.float32(SPREAD) + np.float32(1)))[:, None]
-            weights[at] -= g
+        self.m = m._replace(weights=tuple(w.copy() for w in m.weights))
+        self.squares = [np.zeros(len(w), np.float32) for w in m.weights]
+        self.met = [np.zeros(len(w), np.float32) for w in m.weights]
+
+    def _step(self, level: int, rows: list[np.ndarray], gradient: np.ndarray) -> None:
+        r = np.concatenate(rows)
+        order = np.argsort(r, kind="stable")
+        at, g, n = add_up(np.take(gradient, order % len(gradient), axis=0), r[order])
+        self.met[level][at] += n
+        self.squares[level][at] += np.einsum("ij,ij->i", g, g)
+        g *= (self.rate / np.sqrt(self.squares[level][at] / np.float32(SPREAD) + np.float32(1)))[:, None]
+        self.m.weights[level][at] -= g
 
     def learn(self, x: Coded) -> None:
-        def gradient(z: np.ndarray, target: np.ndarray) -> np.ndarray:
-            p = np.exp(z, out=z)
-            p /= p.sum(axis=1, keepdims=True)
-            p[np.arange(len(p)), target] -= 1
-            return p
-
-        m = self.m
         for lo in range(0, len(x.h), STEP):
-            at = slice(lo, min(lo + STEP, len(x.h)))
-            rows = _class_rows(x, at, m)
-            self._step(0, m.class_weights, rows, gradient(_logits(m.class_bias, m.class_weights, rows), x.cls[at]))
-            inside = np.flatnonzero(x.cls[at] < CLASSES) + lo
-            if len(inside):
-                rows = _word_rows(x, inside, m)
-                self._step(1, m.word_weights, rows, gradient(_logits(m.word_bias[x.cls[inside]], m.word_weights, rows), x.word[inside]))
-        for weights in (m.class_weights, m.word_weights):
+            for level, c in enumerate(choices(x, lo, min(lo + STEP, len(x.h)), self.m)):
+                z = _logits(level, c, self.m)
+                p = np.exp(z, out=z)
+                p /= p.sum(axis=1, keepdims=True)
+                p[np.arange(len(p)), c.picked] -= 1
+                self._step(level, c.rows, p)
+        for weights in self.m.weights:
             np.clip(weights, -LIMIT, LIMIT, out=weights)
 
 
@@ -247,7 +255,7 @@ def _train(shared, rate: float):
                 any_ = True
                 t.learn(coded(K.words(K.texts(b.column("text"))), t.m))
         task, slab = TaskContext.get().partitionId(), 0
-        for met, weights in zip(t.met, (t.m.class_weights, t.m.word_weights), strict=True) if any_ else ():
+        for met, weights in zip(t.met, t.m.weights, strict=True) if any_ else ():
             for i in range(0, len(met), SLAB):
                 n, x = met[i : i + SLAB], weights[i : i + SLAB]
                 if n.any():
@@ -276,38 +284,53 @@ def _averaged(m: Model, made: DataFrame, parts: int) -> Model:
     while first or parts > 1:
         made = made.withColumn("part", F.floor(F.col("task") / 64).cast("int")).groupBy("slab", "part").applyInArrow(_sum_slabs(first), _WEIGHTS)
         first, parts = False, -(-parts // 64)
-    tables = [m.class_weights.copy(), m.word_weights.copy()]
-    edge = len(tables[0]) // SLAB
-    for r in made.toLocalIterator():  # at most two tables of MOST_ROWS rows
-        which, slab = (0, r["slab"]) if r["slab"] < edge else (1, r["slab"] - edge)
+    tables = tuple(w.copy() for w in m.weights)
+    for r in made.toLocalIterator():  # MODEL_BYTES at most
+        which, slab = divmod(r["slab"], len(tables[0]) // SLAB)
         n = np.frombuffer(r["met"], np.float32)
         x = np.frombuffer(r["weighted"], np.float32).reshape(SLAB, -1)
         part = tables[which][slab * SLAB : (slab + 1) * SLAB]
         part[n > 0] = x[n > 0] / n[n > 0, None]
-    return m._replace(class_weights=tables[0], word_weights=tables[1])
+    return m._replace(weights=tables)
 
 
-def rows_for(tokens: int) -> int:
-    """Rows of each weight table for so many training tokens: a power of two."""
-    wanted = 1 << max(0, (max(1, tokens) - 1) // TOKENS_A_ROW).bit_length()
-    return min(MOST_ROWS, max(LEAST_ROWS, wanted))
+def words_for(tokens: int) -> int:
+    """The most words of a vocabulary for so many training tokens."""
+    return min(MOST_WORDS, max(LEAST_WORDS, tokens // TOKENS_A_WORD))
+
+
+def width_for(words: int) -> int:
+    """The width of a tree for so many words and the end: a multiple of four."""
+    width = 4
+    while width**LEVELS < words + 1:
+        width += 4
+    return width
 
 
-def unigram_model(words: np.ndarray, counts: np.ndarray, ends: int, tails: list[tuple[int, int, int]], rows: int = LEAST_ROWS) -> Model:
-    """The model without features: classes and words by their training counts.  ``tails`` are
-    (tail class from 0, tokens, distinct words) of all words but the vocabulary's.  Each tail
-    class has room for one unseen word."""
-    c = np.zeros(VOCABULARY)
-    c[: len(counts)] = counts
-    c[END] = ends
+def rows_for(tokens: int, width: int) -> int:
+    """Rows of each weight table for so many training tokens: a power of two."""
+    wanted = 1 << max(0, (max(1, tokens) - 1) // TOKENS_A_ROW).bit_length()
+    fitting = 1 << (MODEL_BYTES // (4 * (LEVELS * width + TAILS))).bit_length() - 1
+    return max(LEAST_ROWS, min(MOST_ROWS, wanted, fitting))
+
+
+def unigram_model(words: np.ndarray, counts: np.ndarray, ends: int, tails: list[tuple[int, int, int]], tokens: int = 0) -> Model:
+    """The model without features: classes, groups and words by their training counts.
+    ``tails`` are (tail class, tokens, distinct words) of all words but the vocabulary's.  Each
+    tail class has room for one unseen word."""
+    width = width_for(len(words))
+    c = np.full(width**LEVELS, ADD)
+    c[END] += ends
+    c[1 : len(counts) + 1] += counts
     mass = np.full(TAILS, ADD)
-    for t, tokens, distinct in tails:
-        mass[t] += tokens + ADD * distinct
-    inside = c.reshape(CLASSES, IN_CLASS) + ADD
-    by_class = np.concatenate((inside.sum(1), mass))
-    order = np.argsort(words)
-    log = lambda x: np.log(x).astype(np.float32)
-    return Model(words[order], np.arange(len(words))[order], log(by_class / by_class.sum()), log(inside / inside.sum(1, keepdims=True)), np.zeros((rows, WIDTH), np.float32), np.zeros((rows, IN_CLASS), np.float32), mass)
+    for t, n, distinct in tails:
+        mass[t] += n + ADD * distinct
+    masses = [c.reshape(width**level, width, -1).sum(2) for level in range(LEVELS)]
+    masses[0] = np.concatenate((masses[0][0], mass))
+    log = lambda x: np.log(x / x.sum(-1, keepdims=True)).astype(np.float32)
+    order, rows = np.argsort(words), rows_for(tokens, width)
+    weights = tuple(np.zeros((rows, width + TAILS * (level == 0)), np.float32) for level in range(LEVELS))
+    return Model(words[order], (np.arange(len(words))[order] + 1).astype(np.int32), width, tuple(map(log, masses)), weights, mass)
 
 
 def _kept(h: np.ndarray, c: Counts) -> tuple[np.ndarray, np.ndarray]:
@@ -334,9 +357,9 @@ def _score(shared):
             end = x.h == END_HASH
             there |= end
             logs = np.where(there, np.log10(np.where(end, c.ends, count) + ADD), 0.0)
-            tail = x.cls >= CLASSES
+            tail = x.target < 0
             # A tail word's count is among the kept ones, or comes with the join.
-            lp = log_probs(x, m) / math.log(10) + np.where(tail, logs - np.log10(m.tail_mass)[np.where(tail, x.cls - CLASSES, 0)], 0.0)
+            lp = log_probs(x, m) / math.log(10) + np.where(tail, logs - np.log10(m.tail_mass)[np.where(tail, tail_of(x.target), 0)], 0.0)
             add = lambda v: np.bincount(x.of, weights=v, minlength=b.num_rows)
             yield _batch(
                 doc_id=(b.column("doc_id"), pa.int64()), row_key=(b.column("row_key"), pa.int64()), row_sub=(b.column("row_sub"), pa.int32()), held_out=(b.column("held_out"), pa.bool_()),
@@ -362,31 +385,27 @@ def _rare(shared):
     return run
 
 
-def _most_frequent(counts: DataFrame):
-    """Words by falling count, at most KEPT_WORDS: all whose count is above a limit that a
-    histogram of the counts gives, but the vocabulary's at least.  Words of equal count come
-    by their hash."""
+def _most_frequent(counts: DataFrame, most: int):
+    """Words by falling count, those of equal count by their hash, and how many of them are the
+    vocabulary.  Both are all words above a limit that a histogram of the counts gives: the
+    vocabulary has at most ``most``, the others are kept while there are at most KEPT_WORDS."""
     level = F.floor(F.log2(F.col("c").cast("double")) * 16).cast("int")
     sizes = {r["level"]: r["count"] for r in counts.groupBy(level.alias("level")).count().collect()}  # 16 rows a doubling
-    total, low, enough = 0, None, None
+    total, low, vocabulary = 0, None, 0
     for x in sorted(sizes, reverse=True):
         total += sizes[x]
-        low = x if total <= KEPT_WORDS else low
-        enough = x if enough is None and total >= VOCABULARY - 1 else enough
-        if total > KEPT_WORDS:
+        if total > max(most, KEPT_WORDS):
             break
-    if low is not None and (enough is None or enough >= low):
-        return counts.where(level >= low).toPandas().sort_values(["c", "word"], ascending=[False, True])
-    # So many words share a count that the vocabulary must be cut among them.
-    top = counts if enough is None else counts.where(level >= enough)
-    return top.orderBy(F.desc("c"), "word").limit(VOCABULARY - 1).toPandas()
+        low, vocabulary = x, total if total <= most else vocabulary
+    kept = counts.where(F.lit(False) if low is None else level >= low)
+    return kept.toPandas().sort_values(["c", "word"], ascending=[False, True]), vocabulary
 
 
 def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 10 == 0
 
 
-def score_documents(docs: DataFrame, rounds: int = ROUNDS, part_tokens: int = PART_TOKENS) -> DataFrame:
+def score_documents(docs: DataFrame, rounds: int = ROUNDS, part_tokens: int | None = None) -> DataFrame:
     """Train on the documents that are not held out, score all: doc_id, held_out, n_tokens,
     n_known, train_tokens, base_score, score.
 
@@ -394,15 +413,15 @@ def score_documents(docs: DataFrame, rounds: int = ROUNDS, part_tokens: int = PA
     Words are lower-cased (A-Z); every text, also a null or empty one, has an end token.
     base_score is the smoothed unigram log10 probability, score the model's.
 
-    Ties: of words with equal counts those with smaller hashes come first into the
-    vocabulary.  Repeated rows count and are scored each; a very long text is one part's
+    Ties: words of equal counts are all in the vocabulary or none is; if so many words share
+    the highest count that they don't fit, all words are in tail classes.  Repeated rows count and are scored each; a very long text is one part's
     work.  Without training documents every token is unknown.  An empty table gives an empty
     one; other columns are ignored.
     """
     return _scored(docs, rounds, part_tokens)[0]
 
 
-def _scored(docs: DataFrame, rounds: int, part_tokens: int) -> tuple[DataFrame, Model, Counts]:
+def _scored(docs: DataFrame, rounds: int, part_tokens: int | None) -> tuple[DataFrame, Model, Counts]:
     spark = prepare(docs.sparkSession)
     d = columns(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     d = d.withColumns({"row_key": F.xxhash64("doc_id", "text"), "row_sub": F.hash("text", "doc_id"), "held_out": held_out(F.col("doc_id"))})
@@ -411,23 +430,24 @@ def _scored(docs: DataFrame, rounds: int, part_tokens: int) -> tuple[DataFrame,
     ends = train.count()
     total = counts.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).first()
     n, v = (total["n"] or 0) + ends, total["v"] + (ends > 0)
-    top = _most_frequent(counts)
+    top, size = _most_frequent(counts, words_for(n))
     words, often = top["word"].to_numpy(np.int64).view(K.U64), top["c"].to_numpy(np.int64)
     order = np.argsort(words)
     c = Counts(n, v, ends, words[order], often[order])
     # Tail classes: all words by hash, less the vocabulary's.
     by_tail = counts.groupBy(F.pmod(F.shiftrightunsigned("word", 7), F.lit(TAILS)).cast("int").alias("t")).agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v"))
     tails = {r["t"]: [r["n"], r["v"]] for r in by_tail.collect()}  # TAILS rows
-    for t, k in zip((tail_class(words[: VOCABULARY - 1]) - CLASSES).tolist(), often[: VOCABULARY - 1].tolist(), strict=True):
+    for t, k in zip(tail_class(words[:size]).tolist(), often[:size].tolist(), strict=True):
         tails[t][0] -= k
         tails[t][1] -= 1
-    m = unigram_model(words[: VOCABULARY - 1], often[: VOCABULARY - 1], ends, [(t, *x) for t, x in tails.items()], rows_for(n))
+    m = unigram_model(words[:size], often[:size], ends, [(t, *x) for t, x in tails.items()], n)
+    part_tokens = part_tokens or PART_TOKENS_A_ROW * len(m.weights[0])
     for r in range(rounds if n else 0):
         # Parts of equal size by a hash, in the order of another: the same in every run.
         parts = max(1, -(-n // (rounds * part_tokens)))
         share = train.where(F.pmod(F.xxhash64("row_key"), F.lit(rounds)) == r).select("row_key", "row_sub", "text")
         share = share.repartitionById(parts, F.pmod(F.xxhash64("row_sub", "row_key"), F.lit(parts)).cast("int")).sortWithinPartitions("row_key", "row_sub", "text").select("text")
-        shared = spark.sparkContext.broadcast(m)  # the hashed tables, 29 MB at most
+        shared = spark.sparkContext.broadcast(m)  # the hashed tables, MODEL_BYTES at most, and words
         m = _averaged(m, share.mapInArrow(_train(shared, RATES[min(r, len(RATES) - 1)]), _WEIGHTS), parts)
         shared.unpersist()
 

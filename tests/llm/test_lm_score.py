@@ -33,6 +33,7 @@ def test_base_scores_match_brute_force(docs, corpus, empty):
 def test_counts_without_kept_words(docs, corpus, monkeypatch):
     """Words beyond the kept ones are joined with their counts; scores stay the same."""
     monkeypatch.setattr(L, "KEPT_WORDS", 3)
+    monkeypatch.setattr(L, "LEAST_WORDS", 2)
     got = sorted((r.base_score for r in L.score_documents(docs, rounds=1).collect()))
     assert np.allclose(got, sorted(r[5] for r in base(corpus)), rtol=1e-8)
 
@@ -51,9 +52,9 @@ def small_model(train):
     names = [w for w, _ in counts.most_common(8)]
     rest = [w for w in counts if w not in names]
     tails = Counter()
-    for w, t in zip(rest, (L.tail_class(hashed(rest)) - L.CLASSES).tolist(), strict=True):
+    for w, t in zip(rest, L.tail_class(hashed(rest)).tolist(), strict=True):
         tails[t] += counts[w]
-    distinct = Counter((L.tail_class(hashed(rest)) - L.CLASSES).tolist())
+    distinct = Counter(L.tail_class(hashed(rest)).tolist())
     return L.unigram_model(hashed(names), np.array([counts[w] for w in names]), len(train), [(t, n, distinct[t]) for t, n in tails.items()]), counts
 
 
@@ -68,23 +69,26 @@ def brute_score(text, m, counts):
         p1, p2 = (h[i - 1] if i else int(L.START_HASH)), (h[i - 2] if i > 1 else int(L.START_HASH))
         a, b = mix(p1 ^ int(L._KEYS[0])), mix(p2 ^ int(L._KEYS[1]))
         target = L.END if i == len(h) - 1 else ids.get(x)
-        cls = L.CLASSES + (x >> 7) % L.TAILS if target is None else target // L.IN_CLASS
-        z = [float(m.class_bias[c]) + sum(float(m.class_weights[f % len(m.class_weights)][c]) for f in (a, b)) for c in range(L.WIDTH)]
-        total += z[cls] - math.log(sum(map(math.exp, z)))
+        top = m.width + (x >> 7) % L.TAILS if target is None else target // m.width ** (L.LEVELS - 1)
+        z = [float(m.bias[0][c]) + sum(float(m.weights[0][f % len(m.weights[0])][c]) for f in (a, b)) for c in range(m.width + L.TAILS)]
+        total += z[top] - math.log(sum(map(math.exp, z)))
         if target is None:
-            total += math.log((counts[words[i]] + L.ADD) / m.tail_mass[cls - L.CLASSES])
-        else:
-            rows = [mix(f + cls * int(L._KEYS[2])) % len(m.word_weights) for f in (a, b)]
-            z = [float(m.word_bias[cls][j]) + sum(float(m.word_weights[r][j]) for r in rows) for j in range(L.IN_CLASS)]
-            total += z[target % L.IN_CLASS] - math.log(sum(map(math.exp, z)))
+            total += math.log((counts[words[i]] + L.ADD) / m.tail_mass[top - m.width])
+        for level in range(1, L.LEVELS) if target is not None else ():
+            size = m.width ** (L.LEVELS - 1 - level)
+            node = target // (size * m.width)
+            rows = [mix(f + (node + level * m.width**L.LEVELS) * int(L._KEYS[2])) % len(m.weights[level]) for f in (a, b)]
+            z = [float(m.bias[level][node][j]) + sum(float(m.weights[level][r][j]) for r in rows) for j in range(m.width)]
+            total += z[target // size % m.width] - math.log(sum(map(math.exp, z)))
     return total / math.log(10)
 
 
 def test_scores_match_brute_force(docs, corpus, monkeypatch):
     """The whole query's score on the small corpus, from the model it trained."""
     monkeypatch.setattr(L, "KEPT_WORDS", 40)
+    monkeypatch.setattr(L, "LEAST_WORDS", 30)
     scored, m, _ = L._scored(docs, 2, 3000)
-    assert m.class_weights.any() and m.word_weights.any()
+    assert 0 < len(m.vocabulary) <= 30 and all(w.any() for w in m.weights)
     held = lambda d: zlib.crc32(("" if d is None else str(d)).encode()) % 10 == 0
     counts = Counter(x for r in corpus if not held(r[0]) for x in WORD.findall((r[1] or "").translate(LOWER)))
     short = [r for r in corpus if len(r[1] or "") < 3000]
@@ -114,12 +118,12 @@ def test_model_is_a_distribution_and_learns():
     for model in (m, t.m):
         seen = {w: 10 ** (brute_score(f"den hut {w}", model, counts) - brute_score("den hut", model, counts)) for w in ("den", "hut")}
         x = batch(["den hut q"], model)
-        z = L._logits(model.class_bias, model.class_weights, L._class_rows(x, slice(2, 3), model))[0].astype(float)
+        z = L._logits(0, next(L.choices(x, 2, 3, model)), model)[0].astype(float)
         assert np.isclose((np.exp(z) / np.exp(z).sum()).sum(), 1) and all(v > 0 for v in seen.values())
     mass = np.full(L.TAILS, L.ADD)
     for w, n in counts.items():
         if int(hashed([w])[0]) not in m.vocabulary.tolist():
-            mass[int(L.tail_class(hashed([w]))[0]) - L.CLASSES] += n + L.ADD
+            mass[int(L.tail_class(hashed([w]))[0])] += n + L.ADD
     assert np.allclose(mass, m.tail_mass)
 
 
@@ -147,11 +151,41 @@ def test_context_codes():
     a = hashed(["a"])
     m = L.unigram_model(a, np.array([5]), 1, [])
     x = batch(["A a", "", "a"], m)
-    assert (x.cls * L.IN_CLASS + x.word).tolist() == [0, 0, L.END, L.END, 0, L.END] and x.of.tolist() == [0, 0, 0, 1, 2, 2]
+    assert x.target.tolist() == [1, 1, L.END, L.END, 1, L.END] and x.of.tolist() == [0, 0, 0, 1, 2, 2]
     one, two = K.mix(a ^ L._KEYS[0])[0], K.mix(a ^ L._KEYS[1])[0]
     none = [K.mix(np.array([L.START_HASH]) ^ L._KEYS[i])[0] for i in (0, 1)]
     assert x.a.tolist() == [none[0], one, one, none[0], none[0], one] and x.b.tolist() == [none[1], none[1], two, none[1], none[1], none[1]]
-    assert L.rows_for(1) == L.LEAST_ROWS and L.rows_for(10**12) == L.MOST_ROWS and L.rows_for(L.TOKENS_A_ROW * 10_000) == 1 << 14
+
+
+def test_sizes_follow_the_training_tokens():
+    assert [L.words_for(n) for n in (0, 10**9, 10**13)] == [L.LEAST_WORDS, 10**9 // L.TOKENS_A_WORD, L.MOST_WORDS]
+    assert [L.width_for(n) for n in (0, 63, 64, 32_767, 32_768, L.MOST_WORDS)] == [4, 4, 8, 32, 36, 128]
+    assert L.rows_for(1, 32) == L.LEAST_ROWS and L.rows_for(L.TOKENS_A_ROW * 10_000, 32) == 1 << 14 and L.rows_for(10**12, 32) == L.MOST_ROWS
+    for width in (4, 32, 52, 128):
+        assert L.rows_for(10**12, width) * 4 * (L.LEVELS * width + L.TAILS) <= L.MODEL_BYTES
+
+
+def test_tree_of_classes():
+    """Masses of all levels are the counts of the words below, which are the paths' product."""
+    h = hashed([f"w{i}" for i in range(100)])
+    counts = np.arange(100, 0, -1)
+    m = L.unigram_model(h, counts, 7, [(0, 5, 2)])
+    total = 7 + counts.sum() + L.ADD * m.width**L.LEVELS + 5 + L.ADD * (2 + L.TAILS)
+    x = batch([" ".join(f"w{i}" for i in range(100)), "unseen"], m)
+    lp = L.log_probs(x, m)
+    assert m.width == 8 and np.allclose(lp[:100], np.log((counts + L.ADD) / total), atol=1e-4)
+    assert np.isclose(lp[100], math.log((7 + L.ADD) / total), atol=1e-4) and np.isclose(lp[101], math.log(m.tail_mass[L.tail_class(x.h[101:102])[0]] / total), atol=1e-4)
+
+
+def test_words_that_share_one_count(spark, monkeypatch):
+    """More words of one count than the vocabulary holds: all are tail words, none is dropped."""
+    monkeypatch.setattr(L, "LEAST_WORDS", 4)
+    rows = [(i, f"a{i} b{i} c{i}") for i in range(60)]
+    scored, m, _ = L._scored(spark.createDataFrame(rows, "doc_id long, text string"), 1, None)
+    got = sorted(tuple(r)[:6] for r in scored.collect())
+    assert not len(m.vocabulary)
+    for a, b in zip(got, sorted(base(rows)), strict=True):
+        assert a[:5] == b[:5] and math.isclose(a[5], b[5], rel_tol=1e-8)
 
 
 def test_base_columns_match_sql(spark, sf):
