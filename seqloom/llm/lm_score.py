@@ -94,6 +94,40 @@ def tail_of(target: np.ndarray) -> np.ndarray:
     return -1 - target
 
 
+_made: dict[int, tuple] = {}  # buckets of the tables at hand, by identity
+
+
+def _buckets(table: np.ndarray) -> tuple[np.uint64, np.ndarray]:
+    """For a table of sorted hashes: a shift that leaves their first bits, and the first place of each value of those."""
+    have = _made.get(id(table))
+    if have is None or have[0] is not table:
+        if len(_made) > 3:
+            _made.clear()
+        bits = min(24, (8 * len(table)).bit_length())
+        shift = K.U64(64 - bits)
+        first = np.searchsorted(table >> shift, np.arange(1 << bits, dtype=K.U64)).astype(np.int32)
+        have = _made[id(table)] = (table, shift, first)
+    return have[1:]
+
+
+def place_of(h: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """The places of hashes in a table of sorted, distinct ones; -1 if not there.  Buckets by
+    the hashes' first bits, eight times as many as hashes, leave a probe or two each."""
+    out = np.full(len(h), -1, np.int64)
+    if not len(table):
+        return out
+    shift, first = _buckets(table)
+    pos, left = first[(h >> shift).astype(np.int64)].astype(np.int64), np.arange(len(h))
+    while len(left):
+        inside = pos < len(table)
+        left, pos = left[inside], pos[inside]
+        here, want = table[pos], h[left]
+        out[left[here == want]] = pos[here == want]
+        go = here < want  # places are sorted: what is passed is not there
+        left, pos = left[go], pos[go] + 1
+    return out
+
+
 def coded(w: K.Words, m: Model) -> Coded:
     n_docs = len(w.first) - 1
     words = w.hashes(lower=True)
@@ -108,8 +142,8 @@ def coded(w: K.Words, m: Model) -> Coded:
     p2[first[w.counts > 0] + 1] = START_HASH
     target = -1 - tail_class(h)
     if len(m.vocabulary):
-        pos = np.minimum(np.searchsorted(m.vocabulary, h), len(m.vocabulary) - 1)
-        target = np.where(m.vocabulary[pos] == h, m.ids[pos], target)
+        pos = place_of(h, m.vocabulary)
+        target = np.where(pos < 0, target, m.ids[pos])
     target[h == END_HASH] = END
     return Coded(K.mix(p1 ^ _KEYS[0]), K.mix(p2 ^ _KEYS[1]), target, of, h)
 
@@ -342,9 +376,8 @@ def _kept(h: np.ndarray, c: Counts) -> tuple[np.ndarray, np.ndarray]:
     """Which hashes are kept words, and their counts."""
     if not len(c.kept):
         return np.zeros(len(h), bool), np.zeros(len(h), np.int64)
-    pos = np.minimum(np.searchsorted(c.kept, h), len(c.kept) - 1)
-    there = c.kept[pos] == h
-    return there, np.where(there, c.counts[pos], 0)
+    pos = place_of(h, c.kept)
+    return pos >= 0, np.where(pos < 0, 0, c.counts[pos])
 
 
 _SCORES = "doc_id long, row_key long, row_sub int, held_out boolean, n_tokens long, known long, log_counts double, model double"
