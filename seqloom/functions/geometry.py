@@ -144,13 +144,27 @@ def valid_geometry(b: Column, points: Column, w: Column, h: Column, ear: Column,
     """Structural validity of a face: face_valid, landmark_valid, valid, suspicious (any), and the
     reasons in a fixed order.  ``points`` are 68 (x, y); ear and mar are null where they are
     invalid.  A point outside the frame by more than the tolerance is a failure, one outside
-    the box only suspicious."""
+    the box only suspicious.  Points are made and gone through once a row: an array of one
+    element holds what several rules look at, first the points, then their outermost coordinates."""
+
+    def extremes(p: Column) -> Column:
+        x, y = p["x"], p["y"]
+        # Null if a coordinate is: nothing can be said to be no part of an array with nulls.
+        numbers = F.coalesce((F.size(p) == 68) & ~F.array_contains(x, float("nan")) & ~F.array_contains(y, float("nan")), F.lit(False))
+        return F.struct(numbers.alias("numbers"), F.array_min(x).alias("x1"), F.array_max(x).alias("x2"), F.array_min(y).alias("y1"), F.array_max(y).alias("y2"))
+
+    found = F.transform(F.transform(F.array(points), extremes), lambda e: _valid_geometry(b, e, w, h, ear, mar, pose_valid, tolerance, least_side, ear_range, mar_range))
+    return found[0]
+
+
+def _valid_geometry(b: Column, e: Column, w: Column, h: Column, ear: Column, mar: Column, pose_valid: Column, tolerance: float, least_side: int, ear_range: tuple[float, float], mar_range: tuple[float, float]) -> Column:
+    """``valid_geometry`` from the outermost coordinates of the points."""
     face = is_valid(b) & (b["x1"] < w) & (b["y1"] < h)
-    finite_ = lambda v: ~F.isnan(v) & (F.abs(v) < float("inf"))
-    shaped = F.coalesce((F.size(points) == 68) & F.forall(points, lambda p: finite_(p["x"]) & finite_(p["y"])), F.lit(False))
-    beyond = F.exists(points, lambda p: (p["x"] < -w * tolerance) | (p["x"] > w * (1 + tolerance)) | (p["y"] < -h * tolerance) | (p["y"] > h * (1 + tolerance)))
-    off_box = F.exists(points, lambda p: (p["x"] < b["x1"]) | (p["x"] > b["x2"]) | (p["y"] < b["y1"]) | (p["y"] > b["y2"]))
-    beyond, off_box = shaped & beyond, shaped & off_box
+    bounded = lambda v: F.abs(v) < float("inf")
+    shaped = F.coalesce(e["numbers"] & bounded(e["x1"]) & bounded(e["x2"]) & bounded(e["y1"]) & bounded(e["y2"]), F.lit(False))
+    outside = lambda x1, y1, x2, y2: (e["x1"] < x1) | (e["x2"] > x2) | (e["y1"] < y1) | (e["y2"] > y2)
+    beyond = shaped & outside(-w * tolerance, -h * tolerance, w * (1 + tolerance), h * (1 + tolerance))
+    off_box = shaped & outside(b["x1"], b["y1"], b["x2"], b["y2"])
     landmark = shaped & ~beyond
     odd = lambda v, r: v.isNotNull() & ~v.between(*r)
     named = lambda *pairs: F.array_compact(F.array(*[F.when(c, F.lit(n)) for c, n in pairs]))

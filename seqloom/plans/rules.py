@@ -362,13 +362,14 @@ def geometry_checks(spark: SparkSession, d: str) -> DataFrame:
     b = T.boxes(spark, d)
     a, k = F.col("a"), F.col("l_orderkey")
     w, h = a["x2"] - a["x1"], a["y2"] - a["y1"]
-    shift = lambda i: F.when((k % 19 == 0) & (i == 3), 2000.0).when((k % 17 == 0) & (i == 5), -30.0).otherwise(0.0)
-    points = F.transform(F.sequence(F.lit(0), F.lit(67)), lambda i: F.struct((a["x1"] + w * i / F.lit(67.0) + shift(i)).alias("x"), (a["y1"] + h * (i % 10) / F.lit(9.0)).alias("y")))
-    # A point on the edge may be rounded past it.
-    points = F.transform(points, lambda p: F.struct(F.when(F.abs(p["x"] - a["x2"]) < 1e-9, a["x2"].cast("double")).otherwise(p["x"]).alias("x"), F.when(F.abs(p["y"] - a["y2"]) < 1e-9, a["y2"].cast("double")).otherwise(p["y"]).alias("y")))
+    moved = {3: F.when(k % 19 == 0, 2000.0).otherwise(0.0), 5: F.when(k % 17 == 0, -30.0).otherwise(0.0)}
+    b = b.withColumns({"x1": a["x1"], "y1": a["y1"], "w": w, "h": h})
+    # Products and whole quotients are exact, so points on the edge stay there.
+    x = lambda i: F.col("x1") + F.col("w") * i / F.lit(67.0) + moved.get(i, F.lit(0.0))
+    points = F.array(*[F.struct(x(i).alias("x"), (F.col("y1") + F.col("h") * (i % 10) / F.lit(9.0)).alias("y")) for i in range(68)])
     ear, mar = F.when(F.col("l_linenumber") != 7, F.col("l_linenumber") / F.lit(10.0)), F.when(F.col("l_linenumber") != 6, (k % 10) / F.lit(5.0))
-    b = b.withColumns({"p": points, "ear": ear, "mar": mar})
-    v = G.valid_geometry(a, F.col("p"), F.lit(640), F.lit(480), F.col("ear"), F.col("mar"), k % 11 != 0, 0.1, 40, (0.15, 0.45), (0.0, 1.5))
+    b = b.withColumns({"ear": ear, "mar": mar})
+    v = G.valid_geometry(a, points, F.lit(640), F.lit(480), F.col("ear"), F.col("mar"), k % 11 != 0, 0.1, 40, (0.15, 0.45), (0.0, 1.5))
     x = b.withColumn("v", v)
     return x.select("l_orderkey", "l_linenumber", "v.face_valid", "v.landmark_valid", "v.valid", F.array_join("v.suspicious_reasons", ";").alias("suspicious"), F.array_join("v.failure_reasons", ";").alias("failures"))
 

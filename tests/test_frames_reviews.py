@@ -40,6 +40,15 @@ def test_geometry(spark):
     assert G.padding_color() == (104, 116, 124)
 
 
+def test_points_of_a_face_are_made_once(spark):
+    points = F.array(*[F.struct(F.col("id").cast("double").alias("x"), F.when(F.col("id") != i, F.lit(20.0)).alias("y")) for i in range(68)])
+    box = G.box(F.lit(10), F.lit(10), F.lit(60), F.lit(60))
+    v = spark.range(50, 101, 25).select("id", G.valid_geometry(box, points, F.lit(100), F.lit(100), F.lit(0.3), F.lit(0.5), F.lit(True), 0.1, 40, (0.1, 0.5), (0.0, 1.0)).alias("v"))
+    assert {r.id: (r.v.valid, r.v.suspicious_reasons) for r in v.collect()} == {50: (False, []), 75: (True, ["LANDMARK_OUTSIDE_BBOX"]), 100: (True, ["LANDMARK_OUTSIDE_BBOX"])}
+    plan = v.select("v.valid", "v.suspicious", "v.failure_reasons")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("array_min(") == 2
+
+
 def test_rules_name_shifts(spark):
     one = lambda c: spark.range(1).select(c.alias("r")).first().r
     f = lambda *v: [F.lit(float(x)) for x in v]
