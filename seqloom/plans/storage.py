@@ -77,8 +77,9 @@ def split_filled(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT * FROM (VALUES " + ", ".join(f"('{t}.parquet', '{t}', '.parquet', 'name:{t}.parquet', 'stem:{t}')" for t in TABLES) + ") AS t(name, stem, extension, by_name, by_stem)")
 def file_inventory(spark: SparkSession, d: str) -> DataFrame:
-    """Files of a folder without their content, and the keys they are found by."""
-    f = R.file_inventory(spark, d, [".PARQUET"]).where(F.col("name").isin([f"{t}.parquet" for t in TABLES]))
+    """Tables of a folder, files or folders of part files, without their content, and the keys
+    they are found by."""
+    f = R.file_inventory(spark, d, [".PARQUET"], whole_tables=True).where(F.col("name").isin([f"{t}.parquet" for t in TABLES]))
     k = R.lookup_keys(f, d, d).where("key LIKE 'name:%' OR key LIKE 'stem:%'").groupBy("path").agg(F.min("key").alias("by_name"), F.max("key").alias("by_stem"))
     return f.join(k, "path").select("name", "stem", "extension", "by_name", "by_stem")
 

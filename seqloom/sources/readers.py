@@ -7,7 +7,7 @@ import re
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -120,10 +120,21 @@ def duplicate_rows(df: DataFrame) -> DataFrame:
     return df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("n_duplicates"))
 
 
-def file_inventory(spark: SparkSession, path: str, extensions: Sequence[str]) -> DataFrame:
+def _below(root: str) -> Column:
+    """The column path as one below a folder."""
+    return F.regexp_replace(F.col("path"), f"^(file:)?/*{re.escape(root.strip('/'))}/", "")
+
+
+def file_inventory(spark: SparkSession, path: str, extensions: Sequence[str], whole_tables: bool = False) -> DataFrame:
     """Files below a folder with one of the extensions, without their content: path, length,
-    name, stem, extension."""
+    name, stem, extension.  With ``whole_tables`` a folder with one of the extensions, such as a
+    table of many part files, counts as one file: their length together, their latest change."""
     d = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length", "modificationTime")
+    if whole_tables:
+        ends = "|".join(re.escape(e) for e in extensions)
+        inside = F.regexp_extract(_below(path), rf"(?i)^(?:[^/]+/)*?[^/]*(?:{ends})(/.*)$", 1)
+        d = d.withColumn("path", F.col("path").substr(F.lit(1), F.length("path") - F.length(inside)))
+        d = d.groupBy("path").agg(F.sum("length").alias("length"), F.max("modificationTime").alias("modificationTime"))
     name = F.regexp_extract("path", r"[^/]+$", 0)
     d = d.withColumns({"name": name, "extension": F.lower(F.regexp_extract(name, r"\.[^.]*$", 0)), "stem": F.regexp_replace(name, r"\.[^.]*$", "")})
     return d.where(F.col("extension").isin([e.lower() for e in extensions]))
@@ -132,7 +143,7 @@ def file_inventory(spark: SparkSession, path: str, extensions: Sequence[str]) ->
 def lookup_keys(files: DataFrame, project: str, raw: str) -> DataFrame:
     """path and key: four names under which a file of ``file_inventory`` is found, its path below
     the project's folder, below the raw folder, its name and its stem, all in normal form."""
-    below = lambda root: normal_reference(F.regexp_replace(F.col("path"), f"^(file:)?/*{re.escape(root.strip('/'))}/", ""))
+    below = lambda root: normal_reference(_below(root))
     keys = F.array(F.concat(F.lit("project:"), below(project)), F.concat(F.lit("raw:"), below(raw)), F.concat(F.lit("name:"), F.lower("name")), F.concat(F.lit("stem:"), F.lower("stem")))
     return files.select("path", F.explode(keys).alias("key"))
 

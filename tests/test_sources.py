@@ -180,3 +180,13 @@ def test_reports_are_bounded_and_old_locks_go(spark, tmp_path):
         K.publish(d, f"file://{tmp_path}/b", {}, "s")
     os.utime(lock, (1, 1))
     assert K.publish(d, f"file://{tmp_path}/b", {}, "s")["rows"] == 5 and not lock.exists()
+
+
+def test_tables_of_many_files_in_an_inventory(spark, tmp_path):
+    spark.range(10).repartition(3).write.parquet(str(tmp_path / "a.parquet"))
+    spark.range(5).coalesce(1).write.parquet(str(tmp_path / "sub" / "b.Parquet"))
+    (tmp_path / "c.parquet").write_bytes(b"123")
+    (tmp_path / "d.txt").write_bytes(b"1")
+    size = lambda folder: sum(p.stat().st_size for p in folder.glob("part-*"))
+    got = {(r.name, r.stem, r.extension, r.length) for r in R.file_inventory(spark, str(tmp_path), [".parquet"], whole_tables=True).collect()}
+    assert got == {("a.parquet", "a", ".parquet", size(tmp_path / "a.parquet")), ("b.Parquet", "b", ".parquet", size(tmp_path / "sub" / "b.Parquet")), ("c.parquet", "c", ".parquet", 3)}
