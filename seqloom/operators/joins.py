@@ -37,12 +37,14 @@ def prioritized_lookup(left: DataFrame, left_id: str, candidates: Sequence[tuple
     """left_id, right_id, priority of the best key that finds exactly one row.
 
     ``candidates`` are (priority, left column, right table, right column, right id); lower
-    priorities come first, and a key with several matches is passed over.
+    priorities come first, and a key with several matches is passed over.  Right tables are
+    brought down to one row a key first, so matches of a common key are never written out.
     """
     found = None
     for priority, column, right, on, rid in candidates:
-        hits = left.select(F.col(left_id).alias("left_id"), F.col(column).alias("__k")).join(right.select(F.col(on).alias("__k"), F.col(rid).alias("right_id")).distinct(), "__k")
-        one = hits.groupBy("left_id").agg(F.count(F.lit(1)).alias("n"), F.first("right_id").alias("right_id")).where("n = 1")
+        held = right.groupBy(F.col(on).alias("__k")).agg(F.min(rid).alias("low"), F.max(rid).alias("high"))
+        hits = left.select(F.col(left_id).alias("left_id"), F.col(column).alias("__k")).join(held, "__k")
+        one = hits.groupBy("left_id").agg(F.min("low").alias("right_id"), F.max("high").alias("high")).where("right_id = high")
         one = one.select("left_id", "right_id", F.lit(priority).alias("priority"))
         found = one if found is None else found.unionByName(one)
     return found.groupBy("left_id").agg(F.min_by("right_id", "priority").alias("right_id"), F.min("priority").alias("priority"))

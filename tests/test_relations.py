@@ -35,6 +35,16 @@ def test_prioritized_lookup(spark):
     assert got == {1: (10, 1), 2: (11, 2), 4: (14, 1)}
 
 
+def test_prioritized_lookup_of_a_common_key(spark):
+    left, right = spark.range(20_000).withColumn("k", F.lit(1)), spark.range(20_000).select(F.col("id").alias("rid"), F.lit(1).alias("k"))
+    right = right.unionByName(spark.createDataFrame([(7, 2), (7, 2)], "rid long, k int"))  # one row, there twice
+    left = left.unionByName(spark.createDataFrame([(-1, 2), (-2, 2), (-2, 1)], "id long, k int"))
+    found = J.prioritized_lookup(left, "id", [(1, "k", right, "k", "rid")])
+    assert [tuple(r) for r in found.collect()] == [(-1, 7, 1)]
+    joins = found._jdf.queryExecution().optimizedPlan().toString().split("Join Inner")
+    assert len(joins) == 2 and joins[1].count("Aggregate [k") == 1
+
+
 def test_reconcile(spark):
     ids = lambda *v: spark.createDataFrame([(x,) for x in v], "k int")
     got = {r.k: r.status for r in J.reconcile(ids(1, 2), ids(2, 3), ["k"], universe=ids(1, 2, 3, 4)).collect()}
