@@ -34,9 +34,21 @@ def truncated_positions(n: Column, k: int) -> Column:
 
 
 def on_grid(keys: DataFrame, observed: DataFrame, key: Sequence[str], slots: int) -> DataFrame:
-    """Every key with every slot, and what was observed there (null where nothing was)."""
-    grid = keys.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))))
-    return grid.join(observed, [*key, "slot"], "left")
+    """Every key with every slot, and what was observed there (null where nothing was).
+
+    A key's observed slots meet in one array, and the empty ones are added to it when the keys
+    have been dealt out, so no slot is shuffled, and rows of a key stay together.  The number
+    of partitions is set, as their size before the slots are there says little.
+    """
+    values = [c for c in observed.columns if c not in (*key, "slot")]
+    inside = observed.where(F.col("slot").between(0, slots - 1))
+    held = inside.groupBy(*key).agg(F.collect_list(F.struct(F.col("slot").cast("int").alias("slot"), *values)).alias("__held"))
+    dealt = keys.repartition(int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions")), *key)
+    j = dealt.join(held, list(key), "left").withColumn("__held", F.coalesce("__held", F.array().cast(held.schema["__held"].dataType)))
+    none = [F.lit(None).cast(observed.schema[v].dataType).alias(v) for v in values]
+    empty = F.transform(F.array_except(F.sequence(F.lit(0), F.lit(slots - 1)), F.col("__held.slot")), lambda i: F.struct(i.alias("slot"), *none))
+    out = j.withColumn("__row", F.explode(F.concat("__held", empty)))
+    return out.select(*key, "__row.slot", *[c for c in keys.columns if c not in key], *[f"__row.{v}" for v in values])
 
 
 def nearest_valid(df: DataFrame, keys: Sequence[str], order: str, valid: Column) -> DataFrame:

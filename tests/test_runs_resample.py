@@ -86,3 +86,17 @@ def test_hints(spark):
     d = slots(spark, [1, 0, 0, 0, 0, 0])
     got = {r.slot: r.hint for r in S.near_hint(d, ["id"], "slot", ~F.col("flag"), F.col("flag"), 2).collect()}
     assert got == {1: 0, 2: 0, 3: None, 4: None, 5: None}
+
+
+def test_a_grid_is_not_shuffled(spark):
+    from seqloom.operators.resample import on_grid
+
+    keys = spark.createDataFrame([("a", 1), ("b", 2), (None, 3)], "k string, x int")
+    seen = spark.createDataFrame([("a", 0, 5.0), ("a", 2, None), ("a", 2, 7.0), ("a", 3, 1.0), (None, 1, 1.0), ("c", 1, 1.0)], "k string, slot int, v double")
+    g = on_grid(keys, seen, ["k"], 3)
+    rows = sorted(map(str, map(tuple, g.collect())))
+    want = [("a", 0, 1, 5.0), ("a", 1, 1, None), ("a", 2, 1, None), ("a", 2, 1, 7.0), *[("b", i, 2, None) for i in range(3)], *[(None, i, 3, None) for i in range(3)]]
+    assert rows == sorted(map(str, want)) and g.columns == ["k", "slot", "x", "v"]
+    plan = g._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    at = lambda what: next(i for i, line in enumerate(plan) if what in line)
+    assert at("Generate explode") < at("Join LeftOuter")
