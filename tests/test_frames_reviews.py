@@ -73,3 +73,11 @@ def test_reviews(spark):
     assert S.overridden("dropout", 0.1, 0.5, "wide") == 0.5 and S.overridden("norm", True, None, None) is True
     with pytest.raises(ValueError):
         S.run_names("net", 1, "-bad")
+
+
+def test_distinct_places_of_a_video(spark):
+    from seqloom.operators.frames import distinct_below
+
+    d = spark.createDataFrame([(x,) for x in [0, 62, 63, 63, 99, 100, -1, None]], "i int")
+    a = d.agg(distinct_below(F.col("i"), 100).alias("n"), distinct_below(F.col("i"), 63).alias("few"), distinct_below(F.when(F.col("i") > 500, F.col("i")), 100).alias("none"))
+    assert tuple(a.first()) == (4, 2, 0) and "Expand" not in a._jdf.queryExecution().optimizedPlan().toString()
