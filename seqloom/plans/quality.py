@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from seqloom.operators import distribution as D
 from seqloom.operators import rollup as R
 from seqloom.operators import runs as W
+from seqloom.operators.frames import distinct_below
 from seqloom.operators.sampling import top_k
 
 from seqloom.sources.readers import table
@@ -176,5 +177,5 @@ def shared_slot_excess(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {T.USERS}, {_F100}, g AS (SELECT video_id, split, label, count(*) AS n, min(slot) AS low, max(slot) AS high, count(DISTINCT slot) AS dist FROM frames GROUP BY 1, 2, 3)
 SELECT split, count(*) AS n_videos, count(*) FILTER (n <> 100) AS wrong_rows, count(*) FILTER (low <> 0 OR high <> 99) AS wrong_range, count(*) FILTER (dist <> n) AS repeated_slots FROM g GROUP BY split""")
 def frame_scan_checks(spark: SparkSession, d: str) -> DataFrame:
-    g = T.frames(spark, d, 100).groupBy("video_id", "split", "label").agg(F.count(F.lit(1)).alias("n"), F.min("slot").alias("low"), F.max("slot").alias("high"), F.count_distinct("slot").alias("dist"))
+    g = T.frames(spark, d, 100).groupBy("video_id", "split", "label").agg(F.count(F.lit(1)).alias("n"), F.min("slot").alias("low"), F.max("slot").alias("high"), distinct_below(F.col("slot"), 100).alias("dist"))
     return g.groupBy("split").agg(F.count(F.lit(1)).alias("n_videos"), F.count_if(F.expr("n <> 100")).alias("wrong_rows"), F.count_if(F.expr("low <> 0 OR high <> 99")).alias("wrong_range"), F.count_if(F.expr("dist <> n")).alias("repeated_slots"))
