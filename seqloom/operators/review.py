@@ -214,14 +214,20 @@ def review_scores(candidates: Sequence[str] = ("m05", "m10", "m15")) -> dict[str
 
 def pairwise_differences(df: DataFrame, key: str, features: Sequence[str], angles: Sequence[str], pairs: Sequence[tuple[str, str]]) -> DataFrame:
     """Per pair of candidates and feature the distribution of their differences (circular for
-    angles): pair, feature, n, min, mean, std, median, p95, max.  Columns are ``candidate_feature``."""
-    cells = []
-    for a, b in pairs:
-        for f in features:
-            x, y = F.col(f"{a}_{f}").cast("double"), F.col(f"{b}_{f}").cast("double")
-            cells.append(F.struct(F.lit(f"{a}_{b}").alias("pair"), F.lit(f).alias("feature"), (circular_difference(x, y) if f in angles else F.abs(x - y)).alias("d")))
-    long = df.select(F.explode(F.array(*cells)).alias("c")).select("c.*")
-    return summarize(long, ["pair", "feature"], F.col("d"), (50, 95))
+    angles): pair, feature, n, min, mean, std, median, p95, max.  Columns are ``candidate_feature``.
+
+    Rows are taken apart by feature, then by pair, and the difference is written once, for all
+    of them: with one expression a pair and feature, the code Spark makes of it outgrows what
+    the JVM compiles.  Pairs and features are numbers until their rows are summed up."""
+    names = list(dict.fromkeys(c for p in pairs for c in p))
+    values = [F.struct(F.lit(i).alias("feature"), F.lit(f in angles).alias("angle"), *[F.col(f"{c}_{f}").cast("double").alias(f"of_{c}") for c in names]) for i, f in enumerate(features)]
+    sides = [F.struct(F.lit(i).alias("pair"), F.col(f"of_{a}").alias("x"), F.col(f"of_{b}").alias("y")) for i, (a, b) in enumerate(pairs)]
+    long = df.select(F.explode(F.array(*values)).alias("c")).select("c.*").select("feature", "angle", F.explode(F.array(*sides)).alias("p")).select("feature", "angle", "p.*")
+    x, y = F.col("x"), F.col("y")
+    long = long.select("pair", "feature", F.when(F.col("angle"), circular_difference(x, y)).otherwise(F.abs(x - y)).alias("d"))
+    named = lambda of, c: F.get(F.array(*[F.lit(n) for n in of]), F.col(c)).alias(c)
+    found = summarize(long, ["pair", "feature"], F.col("d"), (50, 95))
+    return found.select(named([f"{a}_{b}" for a, b in pairs], "pair"), named(features, "feature"), *[c for c in found.columns if c not in ("pair", "feature")])
 
 
 def fallback_chain(df: DataFrame, dims: Sequence[str] = ()) -> DataFrame:

@@ -1,3 +1,6 @@
+import re
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -81,3 +84,39 @@ def test_distinct_places_of_a_video(spark):
     d = spark.createDataFrame([(x,) for x in [0, 62, 63, 63, 99, 100, -1, None]], "i int")
     a = d.agg(distinct_below(F.col("i"), 100).alias("n"), distinct_below(F.col("i"), 63).alias("few"), distinct_below(F.when(F.col("i") > 500, F.col("i")), 100).alias("none"))
     assert tuple(a.first()) == (4, 2, 0) and "Expand" not in a._jdf.queryExecution().optimizedPlan().toString()
+
+
+PAIRS = (("raw", "m05"), ("raw", "m10"), ("raw", "m15"), ("m05", "m10"), ("m10", "m15"))
+FEATURES, ANGLES = ("ear", "mar", "pitch_raw", "yaw", "roll"), ("pitch_raw", "yaw", "roll")
+
+
+def test_differences_of_all_pairs_and_features(spark):
+    """Angles across 180, values that are null or no number, a candidate without any."""
+    rng = np.random.default_rng(7)
+    names = [f"{c}_{f}" for c in ("raw", "m05", "m10", "m15") for f in FEATURES]
+    v = rng.uniform(-400, 400, (60, len(names))).round(1)
+    v[::7, names.index("m05_ear")] = np.nan
+    v[:3, [names.index("raw_yaw"), names.index("m10_yaw")]] = (179.5, -179.5)
+    v[:, names.index("m15_roll")] = np.nan
+    rows = [(i, *[None if np.isnan(x) and (i + k) % 2 else float(x) for k, x in enumerate(r)]) for i, r in enumerate(v)]
+    d = spark.createDataFrame(rows, "id long, " + ", ".join(f"{n} double" for n in names))
+    got = {(r.pair, r.feature): r for r in V.pairwise_differences(d, "id", FEATURES, ANGLES, PAIRS).collect()}
+    assert set(got) == {(f"{a}_{b}", f) for a, b in PAIRS for f in FEATURES}
+    for a, b in PAIRS:
+        for f in FEATURES:
+            x = v[:, names.index(f"{a}_{f}")] - v[:, names.index(f"{b}_{f}")]
+            x = np.abs((x + 180) % 360 - 180 if f in ANGLES else x)
+            x, r = x[~np.isnan(x)], got[f"{a}_{b}", f]
+            want = (x.min(), x.mean(), x.std(), np.median(x), np.quantile(x, 0.95), x.max()) if len(x) else (None,) * 6
+            assert r.n == len(x) and tuple(r)[3:] == (pytest.approx(want) if len(x) else want)
+
+
+def test_code_of_differences_is_compiled(spark, sf):
+    """The JVM leaves methods of more than 8,000 bytes to its interpreter."""
+    from seqloom.plans.registry import QUERIES
+
+    s = spark.newSession()
+    s.conf.set("spark.sql.adaptive.enabled", "false")
+    plan = QUERIES["candidate_differences"](s, sf)._jdf.queryExecution().executedPlan()
+    code = s._jvm.org.apache.spark.sql.execution.debug.package.codegenString(plan)
+    assert 0 < max(int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", code)) < 8000
