@@ -51,6 +51,8 @@ ROUNDS, RATES, PART_TOKENS_A_ROW = 2, (0.5, 0.25), 128
 SPREAD, LIMIT = 16.0, 20.0
 #: Tokens of one gradient step, and rows of a weight table that travel together.
 STEP, SLAB = 8192, 1024
+#: Groups of rows that are summed up one by one.
+FEW = 8
 ADD = 0.1
 #: Stand for the end of a text and for what is before its start.
 END_HASH, START_HASH = K.U64(0x51ED270B4D2B6F17), K.U64(0x2545F4914F6CDD1D)
@@ -172,46 +174,91 @@ def choices(x: Coded, lo: int, hi: int, m: Model) -> Iterator[Choice]:
         yield Choice(at, [(K.mix(f[at] + key) & mask).astype(np.uint16) for f in (x.a, x.b)], node, target // size % m.width)
 
 
+def _rows(table: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return np.take(table, at, axis=0, mode="clip")
+
+
+def _set_rows(table: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
+    """``table[at] = rows``, with each row as one item: numpy moves those several times as fast."""
+    item = np.dtype((np.void, table.itemsize * table.shape[1]))
+    table.view(item)[at, 0] = rows.view(item)[:, 0]
+
+
+def _joined(weights: np.ndarray, bias: np.ndarray, rows: list[np.ndarray], node: np.ndarray, join: np.ufunc) -> np.ndarray:
+    """A bias and one row of weights for each feature, added up or multiplied."""
+    z = _rows(weights, rows[0])
+    for r in rows[1:]:
+        join(z, _rows(weights, r), out=z)
+    return join(z, bias if bias.ndim == 1 else _rows(bias, node), out=z)
+
+
 def _logits(level: int, c: Choice, m: Model) -> np.ndarray:
-    """A bias and one row of weights for each feature, added up."""
-    z = np.take(m.weights[level], c.rows[0], axis=0)
-    for r in c.rows[1:]:
-        z += np.take(m.weights[level], r, axis=0)
-    z += m.bias[level] if level == 0 else np.take(m.bias[level], c.node, axis=0)
-    return z
+    return _joined(m.weights[level], m.bias[level], c.rows, c.node, np.add)
 
 
 def _row_sums(z: np.ndarray) -> np.ndarray:
     return z @ np.ones(z.shape[1], z.dtype)  # several times as fast as sum for short rows
 
 
-def log_probs(x: Coded, m: Model) -> np.ndarray:
-    """Natural log of each token's probability; of a tail class's words only the class's."""
+def _picked(z: np.ndarray, c: Choice) -> np.ndarray:
+    """Where in the flat ``z`` the branches taken are."""
+    return np.arange(0, z.size, z.shape[1]) + c.picked
+
+
+def factors(m: Model) -> Model:
+    """The model with the exponentials of its biases and weights: a token's are multiplied, so
+    scoring has no exponentials of its own.  LIMIT keeps the products within 32 bits."""
+    return m._replace(bias=tuple(map(np.exp, m.bias)), weights=tuple(map(np.exp, m.weights)))
+
+
+def log_shares(x: Coded, e: Model) -> np.ndarray:
+    """Natural log of each token's probability, by the factors of a model; of a tail class's
+    words only the class's."""
     out = np.zeros(len(x.h))
     for lo in range(0, len(x.h), STEP):
-        for level, c in enumerate(choices(x, lo, min(lo + STEP, len(x.h)), m)):
-            z = _logits(level, c, m)
-            own = z[np.arange(len(z)), c.picked]
-            out[c.at] += own - np.log(_row_sums(np.exp(z, out=z)))
+        for level, c in enumerate(choices(x, lo, min(lo + STEP, len(x.h)), e)):
+            z = _joined(e.weights[level], e.bias[level], c.rows, c.node, np.multiply)
+            out[c.at] += np.log(z.reshape(-1)[_picked(z, c)]) - np.log(_row_sums(z))
     return out
 
 
-def add_up(g: np.ndarray, r: np.ndarray, few: int = 8) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For rows ``g`` in the order of ``r``: the distinct values of r, their rows' sums and
-    counts.  Most values have few rows: for those the second rows are added at once, then the
-    third ones and so on."""
+def log_probs(x: Coded, m: Model) -> np.ndarray:
+    return log_shares(x, factors(m))
+
+
+def by_count(r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For sorted values: where each distinct one starts and how many there are, by falling
+    number.  Most stand alone, so only the others are sorted."""
     start = np.flatnonzero(np.concatenate(([True], r[1:] != r[:-1])))
-    n = np.diff(np.append(start, len(r)))
-    sums = np.take(g, start, axis=0)
-    left, k = np.flatnonzero((n > 1) & (n <= few)), 1
-    while len(left):
-        sums[left] += np.take(g, start[left] + k, axis=0)
+    n = np.diff(start, append=len(r))
+    more = np.flatnonzero(n > 1)
+    order = np.concatenate((more[np.argsort(-n[more], kind="stable")], np.flatnonzero(n == 1)))
+    return start[order], n[order]
+
+
+def sums_of(g: np.ndarray, of: np.ndarray, start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Sums of the rows ``g[of]`` in groups by falling size: the second rows of all groups that
+    have one are added at once, which are the first of the sums, then the third ones and so on;
+    a few large groups are left, whose other rows are summed up group by group."""
+    sums = _rows(g, of[start])
+    wide = np.searchsorted(-n, -np.arange(1, n[0] + 1))  # groups of more than so many rows
+    k = 1
+    while k < n[0] and wide[k - 1] > FEW:
+        m = wide[k - 1]
+        sums[:m] += _rows(g, of[start[:m] + k])
         k += 1
-        left = left[n[left] > k]
-    many = np.flatnonzero(n > few)
-    if len(many):
-        sums[many] = np.add.reduceat(g[np.repeat(n > few, n)], np.cumsum(n[many]) - n[many], axis=0)
-    return r[start], sums, n
+    for i in range(wide[k - 1] if k < n[0] else 0):
+        rest = _rows(g, of[start[i] + k : start[i] + n[i]])
+        sums[i] += np.ones(len(rest), g.dtype) @ rest
+    return sums
+
+
+def add_up(g: np.ndarray, r: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For rows ``g`` in the order of ``r``: the distinct values of r, their rows' sums and
+    counts."""
+    start, n = by_count(r)
+    order = np.argsort(start)
+    return r[start[order]], sums_of(g, np.arange(len(r)), start, n)[order], n[order]
 
 
 class Trainer:
@@ -222,25 +269,33 @@ class Trainer:
         self.m = m._replace(weights=tuple(w.copy() for w in m.weights))
         self.squares = [np.zeros(len(w), np.float32) for w in m.weights]
         self.met = [np.zeros(len(w), np.float32) for w in m.weights]
+        self.place = np.zeros(max(map(len, m.weights)), np.int32)  # of rows in a step
 
-    def _step(self, level: int, rows: list[np.ndarray], gradient: np.ndarray) -> None:
-        r = np.concatenate(rows)
+    def _step(self, level: int, c: Choice) -> None:
+        """One gradient step.  The rows of weights that it needs are read and written once, and
+        what lies between works on those."""
+        r, n = np.concatenate(c.rows), len(c.at)
         order = np.argsort(r, kind="stable")
-        at, g, n = add_up(np.take(gradient, order % len(gradient), axis=0), r[order])
-        at = at.astype(np.intp)
-        self.met[level][at] += n
-        self.squares[level][at] += np.einsum("ij,ij->i", g, g)
-        g *= (self.rate / np.sqrt(self.squares[level][at] / np.float32(SPREAD) + np.float32(1)))[:, None]
-        self.m.weights[level][at] -= g
+        start, times = by_count(r[order])
+        at, weights = r[order[start]].astype(np.intp), self.m.weights[level]
+        self.place[at] = np.arange(len(at))
+        place = np.take(self.place, r, mode="clip")
+        mine = _rows(weights, at)
+        p = _joined(mine, self.m.bias[level], [place[i : i + n] for i in range(0, len(r), n)], c.node, np.add)
+        np.exp(p, out=p)
+        p *= (np.float32(1) / _row_sums(p))[:, None]
+        p.reshape(-1)[_picked(p, c)] -= 1
+        g = sums_of(p, order % n, start, times)
+        self.met[level][at] += times
+        squares = self.squares[level][at] + np.einsum("ij,ij->i", g, g)
+        self.squares[level][at] = squares
+        g *= (self.rate / np.sqrt(squares / np.float32(SPREAD) + np.float32(1)))[:, None]
+        _set_rows(weights, at, np.subtract(mine, g, out=g))
 
     def learn(self, x: Coded) -> None:
         for lo in range(0, len(x.h), STEP):
             for level, c in enumerate(choices(x, lo, min(lo + STEP, len(x.h)), self.m)):
-                z = _logits(level, c, self.m)
-                p = np.exp(z, out=z)
-                p *= (np.float32(1) / _row_sums(p))[:, None]
-                p[np.arange(len(p)), c.picked] -= 1
-                self._step(level, c.rows, p)
+                self._step(level, c)
         for weights in self.m.weights:
             np.clip(weights, -LIMIT, LIMIT, out=weights)
 
@@ -386,18 +441,18 @@ _RARE = "row_key long, row_sub int, word long, times long"
 
 def _score(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, c = shared.value
+        e, c = shared.value
         for b in K.pieces(batches):
             if not b.num_rows:
                 continue
-            x = coded(K.words(K.texts(b.column("text"))), m)
+            x = coded(K.words(K.texts(b.column("text"))), e)
             there, count = _kept(x.h, c)
             end = x.h == END_HASH
             there |= end
             logs = np.where(there, np.log10(np.where(end, c.ends, count) + ADD), 0.0)
             tail = x.target < 0
             # A tail word's count is among the kept ones, or comes with the join.
-            lp = log_probs(x, m) / math.log(10) + np.where(tail, logs - np.log10(m.tail_mass)[np.where(tail, tail_of(x.target), 0)], 0.0)
+            lp = log_shares(x, e) / math.log(10) + np.where(tail, logs - np.log10(e.tail_mass)[np.where(tail, tail_of(x.target), 0)], 0.0)
             add = lambda v: np.bincount(x.of, weights=v, minlength=b.num_rows)
             yield _batch(
                 doc_id=(b.column("doc_id"), pa.int64()), row_key=(b.column("row_key"), pa.int64()), row_sub=(b.column("row_sub"), pa.int32()), held_out=(b.column("held_out"), pa.bool_()),
@@ -415,7 +470,7 @@ def _rare(shared):
             h, doc = w.hashes(lower=True), w.doc()
             out = ~_kept(h, c)[0]
             h, doc = h[out], doc[out]
-            order = np.lexsort((h, doc))
+            order = np.argsort(h ^ K.mix(doc))  # one key; a word whose places a clash sets apart has two rows, which add up
             h, doc = h[order], doc[order]
             at = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])))) if len(h) else np.zeros(0, np.int64)
             yield _batch(row_key=(np.asarray(b.column("row_key"))[doc[at]], pa.int64()), row_sub=(np.asarray(b.column("row_sub"))[doc[at]], pa.int32()), word=(K.signed(h[at]), pa.int64()), times=(np.diff(np.append(at, len(h))), pa.int64()))
@@ -489,7 +544,7 @@ def _scored(docs: DataFrame, rounds: int, part_tokens: int | None) -> tuple[Data
         m = _averaged(m, share.mapInArrow(_train(shared, RATES[min(r, len(RATES) - 1)]), _WEIGHTS), parts)
         shared.unpersist()
 
-    shared = spark.sparkContext.broadcast((m, c))
+    shared = spark.sparkContext.broadcast((factors(m), c))
     key = ["row_key", "row_sub"]
     scores = stored(d.mapInArrow(_score(shared), _SCORES), "lm-scores")
     rare = d.select(*key, "text").mapInArrow(_rare(shared), _RARE)

@@ -137,6 +137,57 @@ def test_sums_of_rows():
         assert np.allclose(s, [g[r == a].sum(axis=0) for a in at])
 
 
+def test_gradient_step_is_adagrad_on_the_sums_of_each_row(monkeypatch):
+    """Steps on rows met once, a few times and often, against one row at a time; the tables are
+    not touched elsewhere."""
+    monkeypatch.setattr(L, "LEAST_ROWS", 64)
+    monkeypatch.setattr(L, "STEP", 300)
+    rng = np.random.default_rng(5)
+    words = [f"w{int(i)}" for i in rng.zipf(1.3, 1500) % 200]
+    m, _ = small_model([" ".join(words)])
+    assert len(m.weights[0]) == 64
+    x, t = batch([" ".join(words)], m), L.Trainer(m, 0.5)
+    want = [w.astype(float) for w in m.weights]
+    squares, met, groups = [np.zeros(len(w)) for w in want], [np.zeros(len(w)) for w in want], set()
+    for lo in range(0, len(x.h), L.STEP):
+        for level, c in enumerate(L.choices(x, lo, min(lo + L.STEP, len(x.h)), m)):
+            sums, times = {}, Counter()
+            for i in range(len(c.at)):
+                bias = m.bias[level] if level == 0 else m.bias[level][c.node[i]]
+                z = bias + sum(want[level][r[i]] for r in c.rows)
+                p = np.exp(z) / np.exp(z).sum()
+                p[c.picked[i]] -= 1
+                for r in c.rows:
+                    sums[int(r[i])] = sums.get(int(r[i]), 0) + p
+                    times[int(r[i])] += 1
+            for r, g in sums.items():
+                squares[level][r] += (g**2).sum()
+                met[level][r] += times[r]
+                want[level][r] = want[level][r] - 0.5 * g / math.sqrt(squares[level][r] / L.SPREAD + 1)
+            groups.update(times.values())
+    assert {1, 2, 3} < groups and max(groups) > 50
+    t.learn(x)
+    for level in range(L.LEVELS):
+        assert np.allclose(t.m.weights[level], want[level], atol=1e-4) and (t.met[level] == met[level]).all()
+        assert not t.m.weights[level][met[level] == 0].any() and not m.weights[level].any()
+
+
+def test_scoring_has_no_exponentials_of_its_own(monkeypatch):
+    """They are taken once a model, whatever the number of tokens; extreme weights stay finite."""
+    text = " ".join(f"w{i % 23}" for i in range(3000))
+    m, _ = small_model([text])
+    rng = np.random.default_rng(6)
+    m = m._replace(weights=tuple(rng.choice(np.float32([-L.LIMIT, -1, 0, 1, L.LIMIT]), w.shape) for w in m.weights))
+    x, want = batch([text], m), np.zeros(3001)
+    for level, c in enumerate(L.choices(x, 0, len(x.h), m)):
+        z = L._logits(level, c, m).astype(float)
+        want[c.at] += z[np.arange(len(z)), c.picked] - np.log(np.exp(z).sum(1))
+    e, seen, exp = L.factors(m), [], np.exp
+    monkeypatch.setattr(np, "exp", lambda z, *a, **k: seen.append(1) or exp(z, *a, **k))
+    got = L.log_shares(x, e)
+    assert not seen and np.isfinite(got).all() and np.allclose(got, want, rtol=1e-5, atol=1e-5)
+
+
 def test_whole_model_beats_unigrams_on_held_out_text(spark):
     rng = random.Random(4)
     rows = []
