@@ -21,13 +21,16 @@ Signatures lead to candidates, candidates are verified on their true sets:
 
 Pairs whose sizes or parity sketches rule a link out are dropped before texts are joined:
 each element flips one bit of a set's sketch, so two sketches differ in no more bits than
-the sets in elements, and no link is lost.
+the sets in elements, and no link is lost.  A sketch of one width says nothing of sets that
+are larger than it: those have a wide sketch besides, as wide as they are large.  Pairs that
+it lets through are nearly all links, so only their texts travel.
 
 Equal sets are one node from the start.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -160,10 +163,41 @@ def _batch(**columns: tuple) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in columns.values()], names=list(columns))
 
 
-_SETS = "doc_id long, row_key long, row_sub int, n_shingles long, name long, second long, " + ", ".join(f"b{i} long" for i in range(SKETCH_WORDS))
+def sketch_bits(percent: int) -> int:
+    """Bits of a sketch for an element of its set, a power of two: sketches of sets that share
+    nothing then differ in half as many bits again as linked sets do at most."""
+    bits = 1
+    while bits < 8 and bits / 2 * (1 - math.exp(-4 / bits)) < 3 * (100 - percent) / (100 + percent):
+        bits *= 2
+    return bits
 
 
-def _describe(ngram: int, clashes: np.ndarray):
+def wide_sketches(g: np.ndarray, bounds: np.ndarray, bits: int) -> list[bytes | None]:
+    """Parity sketches of sets that 64 * SKETCH_WORDS bits are too few for; None for others.  A
+    width is the power of two at or above ``bits`` an element, and a wider sketch, its halves
+    laid over each other, is the narrower one of the same set."""
+    out: list[bytes | None] = [None] * (len(bounds) - 1)
+    for i in np.flatnonzero(np.diff(bounds) * bits > 64 * SKETCH_WORDS):
+        x = K.mix(g[bounds[i] : bounds[i + 1]] ^ _PART)
+        width = 1 << (len(x) * bits - 1).bit_length()
+        flips = np.bincount((x & K.U64(width - 1)).astype(np.int64), minlength=width)
+        out[i] = np.packbits((flips & 1).astype(np.uint8), bitorder="little").tobytes()
+    return out
+
+
+def differing_bits(a: bytes, b: bytes) -> int:
+    """Bits in which two wide sketches differ at the narrower one's width."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    if len(x) < len(y):
+        x, y = y, x
+    x = np.bitwise_xor.reduce(x.reshape(-1, len(y)), axis=0)
+    return int(np.unpackbits(x ^ y).sum())
+
+
+_SETS = "doc_id long, row_key long, row_sub int, n_shingles long, name long, second long, wide binary, " + ", ".join(f"b{i} long" for i in range(SKETCH_WORDS))
+
+
+def _describe(ngram: int, percent: int, clashes: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in K.pieces(batches):
             g, bounds = shingle_sets(b.column("text"), ngram)
@@ -174,7 +208,8 @@ def _describe(ngram: int, clashes: np.ndarray):
             np.bitwise_xor.at(sketch, cell, K.U64(1) << (bit & K.U64(63)))
             sketch = K.signed(sketch).reshape(-1, SKETCH_WORDS)
             name, (_, second) = set_names(g, bounds, clashes), set_hashes(g, bounds)
-            yield _batch(doc_id=(b.column("doc_id"), pa.int64()), row_key=(b.column("row_key"), pa.int64()), row_sub=(b.column("row_sub"), pa.int32()), n_shingles=(n, pa.int64()), name=(K.signed(name), pa.int64()), second=(K.signed(second), pa.int64()), **{f"b{i}": (sketch[:, i], pa.int64()) for i in range(SKETCH_WORDS)})
+            wide = wide_sketches(g, bounds, sketch_bits(percent))
+            yield _batch(doc_id=(b.column("doc_id"), pa.int64()), row_key=(b.column("row_key"), pa.int64()), row_sub=(b.column("row_sub"), pa.int32()), n_shingles=(n, pa.int64()), name=(K.signed(name), pa.int64()), second=(K.signed(second), pa.int64()), wide=(wide, pa.binary()), **{f"b{i}": (sketch[:, i], pa.int64()) for i in range(SKETCH_WORDS)})
 
     return run
 
@@ -267,8 +302,28 @@ def _bits(a: str, b: str) -> Column:
     return sum((F.bit_count(F.col(f"{a}{i}").bitwiseXOR(F.col(f"{b}{i}"))) for i in range(SKETCH_WORDS)), F.lit(0))
 
 
+def _near(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in K.pieces(batches, "wide_x", "wide_y"):
+            keep = np.ones(b.num_rows, bool)
+            both = np.flatnonzero(np.asarray(b.column("wide_x").is_valid()) & np.asarray(b.column("wide_y").is_valid()))
+            n_x, n_y = b.column("n_x").fill_null(0).to_numpy(), b.column("n_y").fill_null(0).to_numpy()
+            for i in both:
+                bits = differing_bits(b.column("wide_x")[i].as_py(), b.column("wide_y")[i].as_py())
+                keep[i] = bits * (100 + percent) <= (n_x[i] + n_y[i]) * (100 - percent)
+            yield _batch(x=(b.column("x").to_numpy()[keep], pa.int64()), y=(b.column("y").to_numpy()[keep], pa.int64()))
+
+    return run
+
+
+def widely_plausible(pairs: DataFrame, wide: DataFrame, percent: int) -> DataFrame:
+    """The pairs (x, y) that wide sketches, (node, n, wide) of large sets, don't rule out."""
+    side = lambda k: wide.select(F.col("node").alias(k), F.col("n").alias(f"n_{k}"), F.col("wide").alias(f"wide_{k}"))
+    return pairs.join(side("y"), "y", "left").join(side("x"), "x", "left").mapInArrow(_near(percent), "x long, y long")
+
+
 def plausible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """The pairs (x, y) that sizes and whole sketches don't rule out."""
+    """The pairs (x, y) that sizes and narrow sketches don't rule out."""
     sketch = [f"b{i}" for i in range(SKETCH_WORDS)]
     side = lambda k: nodes.select(F.col("node").alias(k), F.col("n").alias(f"n_{k}"), *[F.col(c).alias(f"{k}_{c}") for c in sketch])
     j = pairs.join(side("x"), "x").join(side("y"), "y")
@@ -312,7 +367,7 @@ def _components(docs: DataFrame, ngram: int, percent: int, subparts: int) -> Dat
     sketch = [F.first(f"b{i}").alias(f"b{i}") for i in range(SKETCH_WORDS)]
 
     def describe(clashes: np.ndarray) -> tuple[DataFrame, DataFrame]:
-        sets = stored(d.withColumns(_row_keys("doc_id", "text")).mapInArrow(_describe(ngram, clashes), _SETS), "shingle-sets")
+        sets = stored(d.withColumns(_row_keys("doc_id", "text")).mapInArrow(_describe(ngram, percent, clashes), _SETS), "shingle-sets")
         by_name = sets.where("doc_id IS NOT NULL AND n_shingles > 0").groupBy("name")
         return sets, stored(by_name.agg(F.min("second").alias("low"), F.max("second").alias("high"), F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), *sketch), "set-names")
 
@@ -326,20 +381,30 @@ def _components(docs: DataFrame, ngram: int, percent: int, subparts: int) -> Dat
         sets, named = describe(clashes)
     sets = sets.withColumnRenamed("name", "node")
     nodes = named.withColumnRenamed("name", "node").drop("low", "high")
+    large = sets.where("wide IS NOT NULL AND doc_id IS NOT NULL").groupBy("node")
+    wide = stored(large.agg(F.first("n_shingles").alias("n"), F.first("wide").alias("wide")), "wide-sketches")
     signed = d.where("doc_id IS NOT NULL").mapInArrow(_sign(ngram, percent, subparts, clashes), "sig long, node long")
     shared = signed.repartition(n, "sig").sortWithinPartitions("sig", "node").mapInArrow(_shared, "sig long, node long")
     shared = stored(shared, "signatures")
 
     degree = shared.groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
-    asked = degree.join(nodes, "node").select("node", "doc_id")
-    # The row of the smallest id stands for a node; an equal id with another text is sorted
-    # out, and of repeated rows one is kept.
-    texts = d.join(asked, "doc_id").mapInArrow(_named(ngram, clashes), "node long, text string")
-    texts = stored(texts.groupBy("node").agg(F.min("text").alias("text")), "node-texts")
+
+    def linked_pairs(pairs: DataFrame, name: str) -> DataFrame:
+        """The links among the pairs, of which there are few others: texts come with them only."""
+        pairs = stored(pairs, f"{name}-tried")
+        if pairs.isEmpty():
+            return pairs
+        asked = pairs.select(F.explode(F.array("x", "y")).alias("node")).distinct()
+        asked = stored(asked.join(nodes, "node").select("node", "doc_id"), f"{name}-asked")
+        # The row of the smallest id stands for a node; an equal id with another text is sorted
+        # out, and of repeated rows one is kept.
+        texts = d.join(asked, "doc_id").mapInArrow(_named(ngram, clashes), "node long, text string")
+        texts = stored(texts.groupBy("node").agg(F.min("text").alias("text")), f"{name}-texts")
+        return stored(verified(pairs, texts, ngram, percent), name)
 
     hubs = shared.join(degree, "node").groupBy("sig").agg(F.max(F.struct("degree", "node")).alias("m")).select("sig", F.col("m.node").alias("x"))
     stars = stored(shared.join(hubs, "sig").where("node <> x").select("x", F.col("node").alias("y")).distinct(), "star-pairs")
-    links = stored(verified(plausible(stars, nodes, percent), texts, ngram, percent), "links")
+    links = linked_pairs(widely_plausible(plausible(stars, nodes, percent), wide, percent), "links")
     roots = connected_components(links)
 
     placed = shared.join(roots, "node", "left").select("sig", "node", F.coalesce("root", "node").alias("root"))
@@ -349,8 +414,7 @@ def _components(docs: DataFrame, ngram: int, percent: int, subparts: int) -> Dat
     apart = (F.col("a.node") < F.col("b.node")) & (F.col("a.root") != F.col("b.root"))
     tried = stars.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
     pairs = a.join(b, (F.col("a.sig") == F.col("b.sig")) & apart & _could_link(F.col("a.n"), F.col("b.n"), _bits("a.b", "b.b"), percent)).select(F.col("a.node").alias("x"), F.col("b.node").alias("y")).distinct()
-    pairs = plausible(pairs.join(tried, ["x", "y"], "left_anti"), nodes, percent)
-    more = stored(verified(pairs, texts, ngram, percent), "more-links")
+    more = linked_pairs(widely_plausible(pairs.join(tried, ["x", "y"], "left_anti"), wide, percent), "more-links")
     if not more.isEmpty():
         links = links.unionByName(more)
         roots = connected_components(links)

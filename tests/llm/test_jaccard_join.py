@@ -117,6 +117,68 @@ def test_keep_one_of_each(docs, corpus, empty):
     assert J.keep_one_of_each(empty).count() == 0 and J.jaccard_components(empty).count() == 0
 
 
+def test_large_sets_that_share_signatures_only_are_not_verified(spark, monkeypatch):
+    """Texts of thousands of words with lines in common: only links, and what can't be told from
+    them, get as far as the join with texts; no link is lost."""
+    rng = random.Random(12)
+    make = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    lines = [make(5) for _ in range(60)]
+    rows = []
+    for i in range(36):
+        w = make(rng.randint(3000, 3600))
+        for line in rng.sample(lines, 50):
+            at = rng.randrange(len(w))
+            w[at:at] = line
+        rows.append((i, " ".join(w)))
+        if i % 6 == 0:
+            for at in rng.sample(range(len(w)), 60):
+                w[at] = f"e{rng.random()}"
+            rows.append((100 + i, " ".join([*w, *make(40)])))
+    tried = []
+    real = J.verified
+    monkeypatch.setattr(J, "verified", lambda pairs, *rest: tried.append(pairs.count()) or real(pairs, *rest))
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = J.jaccard_components(d, 5, 80, 2).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == brute(rows, 5, 80)
+    assert sum(tried) == 6
+
+
+@pytest.mark.parametrize("percent", [30, 60, 80, 90])
+def test_wide_sketches_bound_the_difference(percent):
+    rng = np.random.default_rng(6)
+    bits = J.sketch_bits(percent)
+    for _ in range(40):
+        n = int(rng.integers(1100, 9000))
+        a = rng.integers(1, 2**63, n).astype(np.uint64)
+        b = np.concatenate((a[int(rng.integers(0, n // 2)) :], rng.integers(1, 2**63, int(rng.integers(0, n))).astype(np.uint64)))
+        far = rng.integers(1, 2**63, n).astype(np.uint64)
+        a, b, far = np.unique(a), np.unique(b), np.unique(far)
+        g, bounds = np.concatenate((a, b, far)), np.cumsum([0, len(a), len(b), len(far)])
+        x, y, z = J.wide_sketches(g, bounds, bits)
+        assert len(x) * 8 >= n * bits and J.differing_bits(x, z) > J.max_difference(2 * n, percent)
+        if y is not None:
+            assert J.differing_bits(x, y) == J.differing_bits(y, x) <= len(np.setxor1d(a, b))
+    assert J.wide_sketches(np.arange(5, dtype=np.uint64), np.array([0, 0, 5]), bits) == [None, None]
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    """They went only when the driver's JVM happened to collect its garbage."""
+    from pyspark.sql import functions as F
+
+    from seqloom.llm._spark import stored
+
+    def shuffles():
+        blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks()
+        return {b for b in blocks.mkString(" ").split() if b.startswith("shuffle_")}
+
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, setting = shuffles(), spark.conf.get(key)
+    d = spark.range(5000).groupBy((F.col("id") % 70).alias("k")).count().repartition(5, "k")
+    counts = stored(d, "counts")
+    assert not shuffles() - before and spark.conf.get(key) == setting
+    assert counts.count() == 70
+
+
 def test_groups_with_one_smallest_id_keep_a_row_each(spark):
     a, b = [" ".join(f"{x}{i}" for i in range(60)) for x in "ab"]
     rows = [(1, a), (1, b), (2, a + " more"), (3, b + " more"), (1, a)]
